@@ -65,11 +65,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; rows repeated with one id and text stay once."""
-    gone = exact_dedup(docs, id_col, text_col).groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("k")).where("NOT k")
-    sha = F.sha2(normalised(text_of(text_col)).cast("binary"), 256)
-    gone = gone.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    left = docs.join(gone, F.col(id_col).eqNullSafe(F.col("_id")) & (sha == F.col("_sha")), "left_anti")
-    return left.dropDuplicates()
+
+    def place(doc_id: Column, sha: Column) -> Column:
+        return F.sha2(F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("null")), sha), 256)
+
+    found = exact_dedup(docs, id_col, text_col).groupBy(place(F.col("doc_id"), F.col("text_sha256")).alias("_place"))
+    gone = found.agg(F.max("kept").alias("_kept")).where("NOT _kept").select("_place")
+    placed = docs.withColumn("_place", place(F.col(id_col), F.sha2(normalised(text_of(text_col)).cast("binary"), 256)))
+    return placed.join(gone, "_place", "left_anti").dropDuplicates(["_place"]).select(*docs.columns)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -364,6 +364,37 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return joined.mapInArrow(run, ddl)
 
 
+def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = "n_chars", **how) -> DataFrame:
+    """``docs`` with all columns, the repeated bytes gone from the text and ``count_col``, where there is one, set to
+    its new number of characters. A character that loses one of its bytes goes whole. No row goes."""
+    length = how.get("length", LENGTH)
+    _, spans = repeated_spans(docs, id_col, text_col, **how)
+    of_doc = spans.groupBy("doc_id", "key").agg(F.collect_list(F.struct("s", "e")).alias("_spans"))
+    of_doc = of_doc.select(F.col("doc_id").alias("_i"), F.col("key").alias("_k"), "_spans")
+    keyed = docs.withColumn("_key", F.xxhash64(F.col(id_col), text_of(text_col)))
+    joined = keyed.join(of_doc, (F.col("_key") == F.col("_k")) & F.col(id_col).eqNullSafe(F.col("_i")), "left")
+
+    @F.pandas_udf("string")
+    def stripped(texts, spans):
+        import pandas as pd
+
+        out = []
+        for text, found in zip(texts, spans, strict=True):
+            if found is not None and len(found):
+                raw, upto, kept = text.encode(), 0, []
+                for a, b in merged([(x["s"], x["e"]) for x in found], length):
+                    kept.append(raw[upto:a])
+                    upto = b
+                text = "".join(x.decode("utf-8", "ignore") for x in [*kept, raw[upto:]])
+            out.append(text)
+        return pd.Series(out, dtype=object)
+
+    out = joined.withColumn(text_col, stripped(F.col(text_col), F.col("_spans")))
+    if count_col in docs.columns:
+        out = out.withColumn(count_col, F.length(text_col).cast(docs.schema[count_col].dataType))
+    return out.select(*docs.columns)
+
+
 def op5_prefix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(table(spark, sf_dir, "documents"), digest=True)
 
