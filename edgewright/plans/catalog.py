@@ -1,6 +1,356 @@
-"""Registered queries of the capture engine and the SQL that states the same result."""
+"""Registered queries of the capture engine and the SQL that states the same result.
+
+``events`` serves as a generic signal: a capture for each user, an edge for each event, its level the parity of the
+event's id. ``orders`` gives frames that are encoded to waveforms and decoded again.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .. import config
+from ..functions import bits
+from ..operators import coverage, decode, dedup, signal
+from ..sources import edge_csv, report
+from . import captures, synth
+
+HOUR = 3_600_000_000
+EPOCH_US = 1_704_067_200_000_000  # 2024-01-01, where the events begin
+IDLE_US, RUN_US, PROBE_US, COVER_US = 12 * HOUR, 8 * HOUR, HOUR // 2, HOUR
+_PROFILE = config.load_config().profile("remote-b04287")
+_R = _PROFILE.rules
+
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function under its name, with the SQL of the same result."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def events_signal(spark: SparkSession, sf_dir: str, by_id: bool = False) -> DataFrame:
+    """edges (capture_id, edge_idx, t in us, level); ``by_id``: in the order of ids instead of times."""
+    from pyspark.sql import Window
+
+    e = _t(spark, sf_dir, "events")
+    us = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))")
+    order = Window.partitionBy("user_id").orderBy("event_id") if by_id else Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return e.select(
+        F.col("user_id").alias("capture_id"), (F.row_number().over(order) - 1).cast("long").alias("edge_idx"), us.alias("t"), (F.col("event_id") % 2).cast("int").alias("level")
+    )
+
+
+def _intervals(spark, sf_dir):
+    return signal.intervals(events_signal(spark, sf_dir))
+
+
+def _segments(spark, sf_dir):
+    return signal.segments(_intervals(spark, sf_dir), 0, IDLE_US)
+
+
+_SIG = """sig AS (SELECT user_id AS capture_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS edge_idx,
+  epoch_us(ts) AS t, (event_id % 2)::INTEGER AS level FROM events)"""
+_INT = f"""{_SIG}, iv AS (SELECT * FROM (SELECT capture_id, edge_idx, t AS start_t, lead(t) OVER (PARTITION BY capture_id ORDER BY edge_idx) AS end_t, level
+  FROM sig) WHERE end_t IS NOT NULL)"""
+_SEG = f"""{_INT}, m AS (SELECT *, (level = 0 AND end_t - start_t >= {IDLE_US})::INTEGER AS sep FROM iv),
+isl AS (SELECT *, sum(sep) OVER (PARTITION BY capture_id ORDER BY edge_idx) AS island, sum(sep) OVER (PARTITION BY capture_id) AS seps FROM m),
+grp AS (SELECT capture_id, island, any_value(seps) AS seps, min(start_t) AS start_t, max(end_t) AS end_t, count(*) AS n_intervals FROM isl WHERE sep = 0 GROUP BY capture_id, island),
+seg AS (SELECT capture_id, row_number() OVER (PARTITION BY capture_id ORDER BY island) AS segment, start_t, end_t, n_intervals,
+  island > 0 AS left_known, island < seps AS right_known FROM grp WHERE start_t < end_t)"""
+
+
+@query("""WITH s AS (SELECT user_id AS capture_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS edge_idx, epoch_us(ts) AS t FROM events),
+l AS (SELECT *, lag(t) OVER (PARTITION BY capture_id ORDER BY edge_idx) AS previous_t FROM s)
+SELECT capture_id, edge_idx, t, previous_t FROM l WHERE t < previous_t""")
+def edges_monotonic_check(spark, sf_dir):
+    return signal.monotonic_violations(events_signal(spark, sf_dir, by_id=True)).select("capture_id", "edge_idx", "t", "previous_t")
+
+
+@query(f"WITH {_SIG} SELECT capture_id, edge_idx, level, 1 - level AS inverted, level AS direct FROM sig")
+def level_mapping(spark, sf_dir):
+    e = events_signal(spark, sf_dir)
+    return e.select("capture_id", "edge_idx", "level", bits.level_bit(F.col("level"), True).alias("inverted"), bits.level_bit(F.col("level"), False).alias("direct"))
+
+
+@query(f"WITH {_INT} SELECT capture_id, edge_idx, start_t, end_t, level FROM iv")
+def level_intervals(spark, sf_dir):
+    return _intervals(spark, sf_dir)
+
+
+@query(f"WITH {_INT} SELECT capture_id, edge_idx, start_t, end_t FROM iv WHERE level = 0 AND end_t - start_t >= {IDLE_US}")
+def idle_separators(spark, sf_dir):
+    return _intervals(spark, sf_dir).where(signal.idle_separator(0, IDLE_US)).select("capture_id", "edge_idx", "start_t", "end_t")
+
+
+@query(f"WITH {_SEG} SELECT capture_id, segment::INTEGER AS segment, start_t, end_t, n_intervals, left_known, right_known FROM seg")
+def activity_segments(spark, sf_dir):
+    return _segments(spark, sf_dir)
+
+
+@query(f"WITH {_SEG} SELECT capture_id, count(*) FILTER (NOT (left_known AND right_known)) AS at_boundary, count(*) AS n FROM seg GROUP BY capture_id")
+def segment_boundary_flags(spark, sf_dir):
+    return _segments(spark, sf_dir).groupBy("capture_id").agg(F.count_if(signal.at_file_boundary()).alias("at_boundary"), F.count("*").alias("n"))
+
+
+_RUNS = f"""{_SIG}, g AS (SELECT *, lead(t) OVER (PARTITION BY capture_id ORDER BY edge_idx) - t AS gap FROM sig),
+o AS (SELECT *, coalesce(gap BETWEEN 0 AND {RUN_US}, false) AS one FROM g),
+st AS (SELECT *, min(CASE WHEN NOT one THEN edge_idx END) OVER (PARTITION BY capture_id ORDER BY edge_idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS stop FROM o),
+run AS (SELECT capture_id, edge_idx, t, least(16, stop - edge_idx) AS pulses FROM st WHERE stop - edge_idx >= 3),
+pt AS (SELECT r.capture_id, r.edge_idx, r.pulses, (s.edge_idx - r.edge_idx)::DOUBLE AS x, (s.t - r.t)::DOUBLE AS y FROM run r JOIN sig s
+  ON s.capture_id = r.capture_id AND s.edge_idx BETWEEN r.edge_idx AND r.edge_idx + r.pulses),
+fit AS (SELECT capture_id, edge_idx, any_value(pulses) AS pulses, regr_slope(y, x) AS slope, regr_intercept(y, x) AS icpt FROM pt GROUP BY capture_id, edge_idx),
+res AS (SELECT f.*, r.worst FROM fit f JOIN (SELECT p.capture_id, p.edge_idx, max(abs(p.y - f.icpt - f.slope * p.x)) AS worst FROM pt p JOIN fit f
+  ON p.capture_id = f.capture_id AND p.edge_idx = f.edge_idx GROUP BY ALL) r ON r.capture_id = f.capture_id AND r.edge_idx = f.edge_idx)"""
+
+
+def _runs(spark, sf_dir):
+    return signal.pulse_runs(events_signal(spark, sf_dir), 0, RUN_US, 3, 16)
+
+
+@query(f"WITH {_RUNS} SELECT capture_id, edge_idx, pulses::INTEGER AS pulses FROM run")
+def pulse_runs(spark, sf_dir):
+    return _runs(spark, sf_dir).select("capture_id", "edge_idx", "pulses")
+
+
+def _fits(spark, sf_dir):
+    return _runs(spark, sf_dir).withColumn("fit", bits.ols(F.col("points")))
+
+
+@query(f"WITH {_RUNS} SELECT capture_id, edge_idx, round(slope / 1000)::BIGINT AS period_ms, round(icpt / 1000)::BIGINT AS offset_ms, (pulses + 1)::INTEGER AS n FROM fit")
+def run_ols_fit(spark, sf_dir):
+    whole = lambda c: F.round(F.col(c) / 1000).cast("long")
+    return _fits(spark, sf_dir).select("capture_id", "edge_idx", whole("fit.slope").alias("period_ms"), whole("fit.intercept").alias("offset_ms"), "fit.n")
+
+
+@query(f"WITH {_RUNS} SELECT capture_id, edge_idx, round(worst / 1000)::BIGINT AS residual_ms, worst / slope <= 0.5 AS reliable FROM res")
+def run_residuals(spark, sf_dir):
+    return _fits(spark, sf_dir).select("capture_id", "edge_idx", F.round(F.col("fit.max_residual") / 1000).cast("long").alias("residual_ms"), (F.col("fit.max_residual") / F.col("fit.slope") <= 0.5).alias("reliable"))
+
+
+@query(f"WITH {_RUNS} SELECT capture_id, edge_idx, k::INTEGER AS phase_no, round(k * slope / 16000)::BIGINT AS phase_ms FROM fit, generate_series(0, 15) g(k)")
+def phase_grid(spark, sf_dir):
+    fits = _fits(spark, sf_dir).select("capture_id", "edge_idx", F.col("fit.slope").alias("period"))
+    return signal.phase_grid(fits, _R.phases).select("capture_id", "edge_idx", "phase_no", F.round(F.col("phase") / 1000).cast("long").alias("phase_ms"))
+
+
+def _probes(spark, sf_dir, shift=PROBE_US):
+    return events_signal(spark, sf_dir).select("capture_id", "edge_idx", (F.col("t") + shift).alias("probe_t"))
+
+
+_PREV = f"""{_SIG}, nx AS (SELECT *, lead(t) OVER (PARTITION BY capture_id ORDER BY edge_idx) AS next_t FROM sig),
+pr AS (SELECT capture_id, edge_idx, t + {PROBE_US} AS probe_t FROM sig),
+aj AS (SELECT p.capture_id, p.edge_idx, p.probe_t, n.t AS prev_t, n.level AS prev_level, n.next_t FROM pr p ASOF LEFT JOIN nx n ON p.capture_id = n.capture_id AND p.probe_t >= n.t)"""
+
+
+@query(f"WITH {_PREV} SELECT capture_id, edge_idx, probe_t, prev_t, prev_level, next_t FROM aj")
+def asof_level_at(spark, sf_dir):
+    return signal.asof(_probes(spark, sf_dir), events_signal(spark, sf_dir))
+
+
+@query(f"WITH {_PREV} SELECT capture_id, edge_idx, prev_level FROM aj WHERE probe_t < next_t")
+def asof_level_contained(spark, sf_dir):
+    return signal.asof(_probes(spark, sf_dir), events_signal(spark, sf_dir)).where("probe_t < next_t").select("capture_id", "edge_idx", "prev_level")
+
+
+@query(f"""WITH {_SIG} SELECT p.capture_id, p.edge_idx, s.t AS prev_t FROM sig p ASOF LEFT JOIN sig s ON p.capture_id = s.capture_id AND p.t > s.t""")
+def strict_previous_edge(spark, sf_dir):
+    return signal.asof(_probes(spark, sf_dir, 0), events_signal(spark, sf_dir), strict=True).select("capture_id", "edge_idx", "prev_t")
+
+
+@query(f"""WITH {_PREV}, ah AS (SELECT a.*, f.t AS ahead FROM aj a ASOF LEFT JOIN sig f ON a.capture_id = f.capture_id AND a.probe_t < f.t),
+b AS (SELECT *, CASE WHEN prev_t IS NOT NULL AND (ahead IS NULL OR probe_t - prev_t <= ahead - probe_t) THEN prev_t ELSE ahead END AS best FROM ah)
+SELECT capture_id, edge_idx, probe_t, CASE WHEN abs(probe_t - best) <= {HOUR} // 4 THEN best END AS nearest_t FROM b""")
+def nearest_edge_within(spark, sf_dir):
+    return signal.nearest_edge(_probes(spark, sf_dir), events_signal(spark, sf_dir), HOUR // 4)
+
+
+@query(f"WITH {_PREV} SELECT capture_id, min(least(probe_t - prev_t, next_t - probe_t)) AS least_us FROM aj WHERE probe_t < next_t GROUP BY capture_id")
+def min_safety_distance(spark, sf_dir):
+    found = signal.asof(_probes(spark, sf_dir), events_signal(spark, sf_dir)).where("probe_t < next_t")
+    return found.groupBy("capture_id").agg(F.min(F.least(F.col("probe_t") - F.col("prev_t"), F.col("next_t") - F.col("probe_t"))).alias("least_us"))
+
+
+@query(f"""WITH {_INT}, w AS (SELECT *, min(start_t) OVER (PARTITION BY capture_id) AS first FROM iv),
+s AS (SELECT w.*, p AS phase_no, first + p * {3 * HOUR} AS origin FROM w, generate_series(0, 1) g(p)),
+r AS (SELECT *, greatest(0, ceil((start_t - origin) / {6 * HOUR}.0))::BIGINT AS lo, (ceil((end_t - origin) / {6 * HOUR}.0) - 1)::BIGINT AS hi FROM s)
+SELECT capture_id, phase_no::INTEGER AS phase_no, k, origin + k * {6 * HOUR} AS sample_us, level FROM (SELECT *, unnest(generate_series(lo, hi)) AS k FROM r WHERE lo <= hi)""")
+def fixed_period_samples(spark, sf_dir):
+    rows = signal.sampled_levels(_intervals(spark, sf_dir), float(6 * HOUR), 2)
+    return rows.select("capture_id", "phase_no", "k", F.round("sample_t").cast("long").alias("sample_us"), "level")
+
+
+@query(f"SELECT '{''.join(map(str, _R.marker_bits))}' AS bits, '{','.join(map(str, _R.transitions))}' AS transitions")
+def marker_bits(spark, sf_dir):
+    b = bits.bytes_to_bits(bits.hex_to_bytes(F.lit(config.MARKER)))
+    return spark.range(1).select(bits.bit_string(b).alias("bits"), F.array_join(F.transform(bits.marker_transitions(b), lambda x: x.cast("string")), ",").alias("transitions"))
+
+
+@query("""SELECT o_orderkey, printf('%02X %02X', (o_orderkey >> 8) & 255, o_orderkey & 255) AS hex, right('0000000000000000' || bin(o_orderkey & 65535), 16) AS bits FROM orders""")
+def bits_bytes_hex(spark, sf_dir):
+    key = F.col("o_orderkey")
+    two = F.array(F.shiftright(key, 8).bitwiseAND(F.lit(255)).cast("int"), key.bitwiseAND(F.lit(255)).cast("int"))
+    b = bits.bytes_to_bits(two)
+    return _t(spark, sf_dir, "orders").select("o_orderkey", bits.bytes_hex(bits.bits_to_bytes(b)).alias("hex"), bits.bit_string(b).alias("bits"))
+
+
+_COMMANDS = "cmd AS (SELECT * FROM (VALUES " + ", ".join(f"({c}, '{ch}', '{a}')" for c, ch, a in _R.commands) + ") v(code, channel, action))"
+
+
+@query(f"""WITH {_COMMANDS} SELECT coalesce(channel, '{config.UNKNOWN_CHANNEL}') AS channel, coalesce(action, '{config.UNKNOWN_ACTION}') AS action, count(*) AS n
+FROM lineitem LEFT JOIN cmd ON (l_orderkey + l_linenumber) % 256 = code GROUP BY ALL""")
+def command_lookup(spark, sf_dir):
+    rows = _t(spark, sf_dir, "lineitem").select(F.array_repeat(((F.col("l_orderkey") + F.col("l_linenumber")) % 256).cast("int"), 11).alias("bytes"))
+    return decode.with_commands(rows, _R).groupBy("channel", "action").agg(F.count("*").alias("n"))
+
+
+_PAYLOAD = f"""{_COMMANDS}, k AS (SELECT *, row_number() OVER () - 1 AS no FROM cmd), pay AS (SELECT o_custkey AS capture_id, o_orderkey, k.channel, k.action,
+  printf('2D D4 %02X %02X %02X %02X B0 42 87 %02X %02X AA AA', (o_orderkey >> 24) & 255, (o_orderkey >> 16) & 255, (o_orderkey >> 8) & 255, o_orderkey & 255, o_orderkey % 251, k.code) AS hex
+  FROM orders JOIN (SELECT *, row_number() OVER (ORDER BY code) - 1 AS n FROM cmd) k ON k.n = o_orderkey % {len(_R.commands)})"""
+
+
+def _payloads(spark, sf_dir):
+    return synth.payloads(_t(spark, sf_dir, "orders"), _PROFILE)
+
+
+@query(f"""WITH o AS (SELECT o_orderkey, o_orderkey % 6 AS f FROM orders) SELECT o_orderkey, CASE f WHEN 1 THEN '{decode.BAD_HEADER}' WHEN 2 THEN '{decode.BAD_ID}' WHEN 3 THEN '{decode.BAD_COMMAND}'
+WHEN 4 THEN '{decode.BAD_ID}；{decode.BAD_TAIL}' WHEN 5 THEN '{decode.TRUNCATED}' ELSE '' END AS reasons, f = 0 AS valid FROM o""")
+def failure_reasons(spark, sf_dir):
+    """Frames with planted faults: header, ID, command, ID and tail, cut short."""
+    f, b = F.col("frame_key") % 6, F.col("bytes")
+    put = lambda col, at, v: F.transform(col, lambda x, i: F.when(i == at, v).otherwise(x))
+    faulty = F.when(f == 1, put(b, 0, 0)).when(f == 2, put(b, 7, 1)).when(f == 3, put(b, 10, 3)).when(f == 4, put(put(b, 8, 0), 12, 0)).when(f == 5, F.slice(b, 1, 12)).otherwise(b)
+    rows = _payloads(spark, sf_dir).select("frame_key", bits.bit_string(bits.bytes_to_bits(faulty)).alias("bits"))
+    rows = decode.validated(rows, _PROFILE)
+    return rows.select(F.col("frame_key").alias("o_orderkey"), F.array_join("reasons", "；").alias("reasons"), "valid")
+
+
+def _decoded(spark, sf_dir, drop_last=False):
+    return captures.decoded(synth.waveform(_payloads(spark, sf_dir), _PROFILE, drop_last), _PROFILE)
+
+
+@query(f"""WITH {_PAYLOAD} SELECT capture_id, row_number() OVER (PARTITION BY capture_id ORDER BY o_orderkey)::INTEGER AS frame_no, hex, channel, action, true AS valid, 104 AS direct_bits FROM pay""")
+def decoded_frames(spark, sf_dir):
+    """Every order as a frame: encoded to a jittered waveform, decoded, one row for each physical frame."""
+    return _decoded(spark, sf_dir).select("capture_id", "frame_no", bits.bytes_hex(F.col("bytes")).alias("hex"), "channel", "action", "valid", "direct_bits")
+
+
+@query(f"""WITH {_PAYLOAD} SELECT capture_id, hex, CASE WHEN o_orderkey = max(o_orderkey) OVER (PARTITION BY capture_id) THEN '{decode.EXTENDED}' ELSE '{decode.NOT_NEEDED}' END AS tail_status FROM pay""")
+def tail_recovery_status(spark, sf_dir):
+    """The closing edge of each capture's last frame is missing; its last bit is recovered."""
+    return _decoded(spark, sf_dir, True).select("capture_id", bits.bytes_hex(F.col("bytes")).alias("hex"), "tail_status")
+
+
+@query(f"WITH {_PAYLOAD} SELECT channel, action, count(*) AS n FROM pay GROUP BY ALL")
+def frames_by_channel_action(spark, sf_dir):
+    return _decoded(spark, sf_dir).where("valid").groupBy("channel", "action").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {_PAYLOAD} SELECT capture_id, '0xAA' AS c00, '0x2D' AS c01, '0x' || split_part(hex, ' ', 6) AS c06, channel AS c14, action AS c15,
+row_number() OVER (PARTITION BY capture_id ORDER BY o_orderkey)::INTEGER AS c16, '{report.VALID}' AS c21, '' AS c22, '104' AS c35, '{report.NOT_APPLICABLE}' AS c37, hex AS c42 FROM pay""")
+def result_sheet_view(spark, sf_dir):
+    return report.result_view(_decoded(spark, sf_dir), _PROFILE).select("capture_id", "c00", "c01", "c06", "c14", "c15", "c16", "c21", "c22", "c35", "c37", "c42")
+
+
+@query("SELECT o_custkey AS capture_id, count(*) AS n_valid, 0::BIGINT AS n_invalid FROM orders GROUP BY ALL")
+def capture_summary(spark, sf_dir):
+    result = captures.decode_edges(synth.waveform(_payloads(spark, sf_dir), _PROFILE), _PROFILE)
+    return result.summary.select("capture_id", "n_valid", "n_invalid")
+
+
+@query(f"""WITH {_SIG}, n AS (SELECT *, coalesce((t - lag(t) OVER (PARTITION BY capture_id ORDER BY t) > {6 * HOUR})::INTEGER, 1) AS new FROM sig),
+i AS (SELECT *, sum(new) OVER (PARTITION BY capture_id ORDER BY t) AS island FROM n)
+SELECT capture_id, island::BIGINT AS island, count(*) AS n, min(t) AS first_t FROM i GROUP BY ALL""")
+def dedup_islands(spark, sf_dir):
+    e = events_signal(spark, sf_dir)
+    return dedup.islands(e, 6 * HOUR, "t").groupBy("capture_id", "island").agg(F.count("*").alias("n"), F.min("t").alias("first_t"))
+
+
+@query("""WITH c AS (SELECT o_custkey AS capture_id, o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 4 WHEN 1 THEN 3 WHEN 2 THEN 2 ELSE 1 END AS rank, (o_orderkey % 3)::INTEGER AS pulses FROM orders)
+SELECT capture_id, o_orderkey, rank::INTEGER AS rank FROM c QUALIFY row_number() OVER (PARTITION BY capture_id ORDER BY rank DESC, pulses DESC, o_orderkey) = 1""")
+def dedup_preference(spark, sf_dir):
+    """The preferred one of made-up candidates that all lie in one place."""
+    k = F.col("o_orderkey")
+    rows = _t(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("capture_id"), k.alias("edge_idx"), (k % 4 < 2).alias("valid"), (k % 4 == 1).alias("tail_extended"), (k % 4 < 3).alias("complete"), (k % 3).cast("int").alias("pulses"),
+        F.lit(0.1).alias("residual_ratio"), F.lit(0.5).alias("safety_ratio"), F.lit(416.0).alias("period_us"), k.cast("double").alias("phase_us"), F.lit(1.0).alias("start_t"), F.lit(1).cast("decimal(20,12)").alias("prelude_t"),
+    )
+    best = dedup.ranked(dedup.deduplicated(rows, _R))
+    return best.select("capture_id", F.col("edge_idx").alias("o_orderkey"), "rank")
+
+
+_COVER = f"""{_SEG}, fr AS (SELECT capture_id, edge_idx, t AS prelude_t, t + {COVER_US} AS end_t FROM sig WHERE edge_idx % 5 = 0),
+fs AS (SELECT f.capture_id, f.edge_idx, f.prelude_t, f.end_t, s.segment, s.start_t AS segment_start, s.end_t AS segment_end FROM fr f JOIN seg s ON f.capture_id = s.capture_id AND f.prelude_t >= s.start_t AND f.prelude_t < s.end_t),
+cl AS (SELECT s.capture_id, s.segment, s.start_t, s.end_t, s.left_known, s.right_known, greatest(f.prelude_t, s.start_t) AS a, least(f.end_t, s.end_t) AS b FROM seg s JOIN fs f USING (capture_id, segment)
+  UNION ALL SELECT capture_id, segment, start_t, end_t, left_known, right_known, end_t, NULL FROM seg),
+cu AS (SELECT *, greatest(start_t, coalesce(max(b) OVER (PARTITION BY capture_id, segment ORDER BY a, b NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), start_t)) AS gap FROM cl)"""
+
+
+def _frames(spark, sf_dir):
+    e = events_signal(spark, sf_dir).where("edge_idx % 5 = 0")
+    return e.select("capture_id", "edge_idx", F.col("t").alias("prelude_t"), (F.col("t") + COVER_US).alias("end_t"))
+
+
+@query(f"WITH {_COVER} SELECT capture_id, edge_idx, prelude_t, end_t, segment::INTEGER AS segment, segment_start, segment_end FROM fs")
+def frame_segment_join(spark, sf_dir):
+    return coverage.frames_in_segments(_frames(spark, sf_dir), _segments(spark, sf_dir))
+
+
+@query(f"""WITH {_COVER} SELECT capture_id, segment::INTEGER AS segment, gap AS start_t, a AS end_t, CASE WHEN NOT left_known AND gap = start_t THEN '{coverage.AT_HEAD}'
+WHEN NOT right_known AND a = end_t THEN '{coverage.AT_TAIL}' ELSE '{coverage.INSIDE}' END AS reason,
+row_number() OVER (PARTITION BY capture_id ORDER BY segment, gap)::INTEGER AS number FROM cu WHERE gap < a""")
+def uncovered_ranges(spark, sf_dir):
+    segments = _segments(spark, sf_dir)
+    return captures.fragments(_frames(spark, sf_dir), segments)
+
+
+@query("SELECT " + ", ".join(f"'{v}' AS {k}" for k, v in (("config_key", _PROFILE.key), ("name", _PROFILE.name), ("remote_id", "B0 42 87"), ("charset", "GBK"), ("idle_threshold_ms", "40"))) + f", 0 AS idle_level, 'inverted' AS level_mapping, '{_R.key}' AS rule_key, '{_R.name}' AS rule_name")
+def remote_profiles(spark, sf_dir):
+    return config.remote_profiles(spark)
+
+
+@query("""SELECT 'nrzlDefault' AS rule_key, * FROM (VALUES ('timing', 'nominal_bit_period_us', '416'), ('timing', 'prefilter_tolerance_ratio', '0.2'), ('timing', 'min_valid_pulse_count', '5'),
+('timing', 'max_initial_fit_pulse_count', '16'), ('timing', 'max_fit_residual_ratio', '0.15'), ('timing', 'tail_edge_tolerance_ratio', '0.35'), ('timing', 'phase_count', '16'), ('timing', 'dedup_tolerance_ratio', '0.5'),
+('frame', 'sync_marker_hex', 'AA 2D D4'), ('frame', 'formal_header_hex', '2D D4'), ('frame', 'formal_frame_bits', '104'), ('frame', 'remote_id_byte_offset', '6'), ('frame', 'command_byte_offset', '10'),
+('frame', 'tail_byte_offset', '11'), ('frame', 'tail_hex', 'AA AA'), ('derived', 'single_bit_pulse_min_us', '332.8'), ('derived', 'single_bit_pulse_max_us', '499.2'), ('derived', 'previous_pulse_tolerance_ratio', '0.3'),
+('derived', 'formal_frame_bytes', '13'), ('derived', 'sync_prelude_bits', '8'), ('derived', 'sync_inclusive_bits', '112'), ('derived', 'phase_step', 'T_est / 16'),
+('derived', 'marker_transitions', '0,1,2,3,4,5,6,7,10,11,12,14,15,18,19,20,21,22')) v(section, setting, value)""")
+def protocol_settings(spark, sf_dir):
+    return config.parser_settings(spark)
+
+
+def _csv_lines(spark, sf_dir, faults=False):
+    """The signal as decoded lines of CSV files, with a header each; ``faults`` breaks a line in some captures."""
+    e = events_signal(spark, sf_dir).withColumn("t", F.col("t") - EPOCH_US)
+    text = F.concat_ws(",", (F.col("t").cast("decimal(20,0)") * F.expr("CAST(0.000001 AS DECIMAL(7,6))")).cast("string"), F.col("level").cast("string"))
+    if faults:
+        hit = (F.col("edge_idx") == 3) & (F.col("capture_id") % 5 == 0)
+        bad = F.element_at(F.array(F.lit("1.5"), F.lit("x,1"), F.lit("1.0,2"), F.lit("0.5,1")), (F.col("capture_id") / 5 % 4).cast("int") + 1)
+        text = F.when(hit, bad).otherwise(text)
+    body = e.select("capture_id", (F.col("edge_idx") + 2).alias("line"), text.alias("text"))
+    head = e.select("capture_id").distinct().select("capture_id", F.lit(1).cast("long").alias("line"), F.lit("Time[s],Channel 0").alias("text"))
+    return edge_csv.text_lines(head.unionByName(body))
+
+
+@query(f"WITH {_SIG} SELECT capture_id, edge_idx, t - {EPOCH_US} AS t_us, level, edge_idx + 2 AS source_line FROM sig")
+def csv_edge_scan(spark, sf_dir):
+    e = edge_csv.edges_of(edge_csv.checked(_csv_lines(spark, sf_dir)))
+    return e.select("capture_id", "edge_idx", (F.col("t") * 1_000_000).cast("long").alias("t_us"), "level", "source_line")
+
+
+@query(f"""WITH {_SIG} SELECT capture_id, 5::BIGINT AS source_line, '第 5 行: ' || CASE (capture_id // 5) % 4 WHEN 0 THEN '至少需要时间和电平两列' WHEN 1 THEN '时间不是合法数值' WHEN 2 THEN '电平只能是 0 或 1' ELSE '时间不能倒退' END AS message
+FROM sig WHERE edge_idx = 3 AND capture_id % 5 = 0""")
+def csv_error_lines(spark, sf_dir):
+    return edge_csv.csv_errors(edge_csv.checked(_csv_lines(spark, sf_dir, True)))
