@@ -79,6 +79,13 @@ class TreeBPE:
         return b"".join([self.bytes_of[i] for i in ids])
 
 
+@lru_cache(maxsize=2)
+def _worker(path: str) -> tuple[TreeBPE, PieceCache]:
+    """A worker's encoder and cache, kept from task to task."""
+    bpe = TreeBPE(path)
+    return bpe, PieceCache(lambda new: map(bpe.encode_piece, new))
+
+
 def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, digest: bool = False) -> DataFrame:
     """One row per input row: doc_id, ids (little-endian unsigned 32-bit, binary), decoded (binary); with
     ``digest`` instead doc_id, n_tokens, ids_sha256, decoded_sha256 of the same values, hashed where they arise.
@@ -89,8 +96,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     path = path or public_tokenizers.path(VOCABULARY)
 
     def start():
-        bpe = TreeBPE(path)
-        cache = PieceCache(lambda new: map(bpe.encode_piece, new))
+        bpe, cache = _worker(path)
 
         def one(doc_id, text):
             ids = cache.encode(spaced_pieces(text or ""))

@@ -6,9 +6,12 @@ are the ids of its pieces in a row. Pieces repeat a lot; each worker keeps those
 
 from __future__ import annotations
 
+import json
+import os
 import re
 import struct
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,7 +20,9 @@ from pyspark.sql import DataFrame
 WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 _SPACED = tuple(w + " " for w in WHITE_SPACE)
 _RUNS = re.compile(f"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+")
-#: Encoded pieces that a worker keeps, and the longest piece worth keeping.
+#: Marks that may follow a word.
+PUNCTUATION = ".,;:!?|"
+#: Encoded pieces in each of a worker's two generations, and the longest piece worth keeping.
 CACHED_PIECES, CACHED_CHARS = 500_000, 48
 
 
@@ -41,38 +46,109 @@ def bare_pieces(text: str) -> list[str]:
 class PieceCache:
     """``encode(pieces)``: the little-endian unsigned 32-bit ids of all pieces, as bytes.
 
-    encode_new: gives the ids of each of a list of pieces.
+    encode_new: gives the ids of each of a list of strings. fold: a change of a string that leaves its ids alone.
+    A new piece that ends in punctuation after a letter is looked up in two parts, since a pre-token starts there.
+    The cache has two generations; what is used again moves to the younger one when it would be forgotten.
     """
 
-    def __init__(self, encode_new: Callable[[list[str]], Iterable[list[int]]], limit: int = CACHED_PIECES):
-        self.encode_new, self.limit, self.known = encode_new, limit, {"": b""}
+    def __init__(self, encode_new: Callable[[list[str]], Iterable[list[int]]], fold: Callable[[str], str] = str, limit: int = CACHED_PIECES):
+        self.encode_new, self.fold, self.limit = encode_new, fold, limit
+        self.young, self.old = {"": b""}, {}
 
     def encode(self, pieces: list[str]) -> bytes:
-        known = self.known
-        try:
-            return b"".join([known[p] for p in pieces])
-        except KeyError:
-            pass
-        new = list({p for p in pieces if p not in known})
-        here = dict(zip(new, (struct.pack(f"<{len(i)}I", *i) for i in self.encode_new(new)), strict=True))
-        out = b"".join([known[p] if p in known else here[p] for p in pieces])
-        if len(known) + len(here) > self.limit:
-            known.clear()
-            known[""] = b""
-        known.update((p, i) for p, i in here.items() if len(p) <= CACHED_CHARS)
-        return out
-
-
+        young, old = self.young, self.old
+        out = list(map(young.get, pieces))
+        if None not in out:
+            return b"".join(out)
+        gaps = [k for k, ids in enumerate(out) if ids is None]
+        long, parts = {}, {}
+        for p in {pieces[k] for k in gaps}:
+            if (ids := old.get(p)) is not None:
+                young[p] = ids
+                continue
+            body = p.rstrip(PUNCTUATION)
+            if body == p or not body or not body[-1].isalpha():
+                body = p
+            parts[p] = (self.fold(body), p[len(body) :])
+        wanted = {x for both in parts.values() for x in both if x not in young}
+        for x in [x for x in wanted if x in old]:
+            young[x] = old[x]
+            wanted.discard(x)
+        new = list(wanted)
+        for x, ids in zip(new, self.encode_new(new), strict=True):
+            (young if len(x) <= CACHED_CHARS else long)[x] = struct.pack(f"<{len(ids)}I", *ids)
+        for p, (body, tail) in parts.items():
+            if body != p:
+                ids = (long if body in long else young)[body] + (long if tail in long else young)[tail]
+                (young if len(p) <= CACHED_CHARS else long)[p] = ids
+        for k in gaps:
+            p = pieces[k]
+            out[k] = long[p] if p in long else young[p]
+        if len(young) > self.limit:
+            self.young, self.old = {"": b""}, young
+        return b"".join(out)
+
+
+def folded(text: str) -> str:
+    """For vocabularies that compose and lower-case: Latin-1 letters need no library for that."""
+    return text.lower() if max(text, default="") <= "\xff" else text
+
+
+class Words:
+    """The merges of a ``tokenizers`` file, run by the byte-pair engine of ``tiktoken``, for words of Latin-1
+    letters. A merge's rank stands for the pair; an end-of-word mark is a byte that UTF-8 never has, joined to its
+    letter before all else."""
+
+    def __init__(self, path: str):
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        printable = [b for b in range(256) if chr(b).isprintable() and b not in (32, 0xAD)]
+        rest = [b for b in range(256) if b not in printable]
+        byte_of = {chr(b): b for b in printable} | {chr(256 + n): b for n, b in enumerate(rest)}
+        mark = model.get("end_of_word_suffix") or None
+
+        def raw(token: str) -> bytes:
+            ended = bool(mark) and token.endswith(mark)
+            return bytes(byte_of[c] for c in (token[: -len(mark)] if ended else token)) + b"\xff" * ended
+
+        ranks = {bytes([b]): b for b in range(256)}
+        for b in range(256) if mark else ():
+            ranks[bytes([b, 255])] = len(ranks)
+        for m in model["merges"]:
+            both = b"".join(raw(t) for t in (m.split(" ") if isinstance(m, str) else m))
+            ranks.setdefault(both, len(ranks))
+        ids = {raw(t): i for t, i in model["vocab"].items() if all(c in byte_of for c in (t[: -len(mark)] if mark and t.endswith(mark) else t))}
+        self.ids = [ids.get(b, -1) for b in sorted(ranks, key=ranks.get)]
+        self.ranks_of = tiktoken.Encoding("merges", pat_str=".", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        self.end, self.spaced = b"\xff" if mark else b"", not mark
+
+    def knows(self, word: str) -> bool:
+        letters = word[1:] if self.spaced and word[:1] == " " else word
+        return letters.isalpha() and max(letters) <= "\xff" and (self.spaced or letters.islower())
+
+    def encode(self, word: str) -> list[int]:
+        return [self.ids[r] for r in self.ranks_of(word.encode() + self.end)]
+
+
+@lru_cache(maxsize=4)
 def library_cache(path: str) -> PieceCache:
-    """A cache over a ``tokenizers`` file; strings of special tokens in a text are ordinary text."""
-    import os
-
+    """A worker's cache over a ``tokenizers`` file, kept from task to task. Plain words go through the file's merges
+    (class Words), all else through the library. Strings of special tokens in a text are ordinary text."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(path)
+    tok, words = Tokenizer.from_file(path), Words(path)
     tok.encode_special_tokens = True
-    return PieceCache(lambda new: (e.ids for e in tok.encode_batch_fast(new, add_special_tokens=False)))
+    lowers = tok.encode("AbC").ids == tok.encode("abc").ids
+
+    def encode_new(new):
+        rest = [x for x in new if not words.knows(x)]
+        found = dict(zip(rest, (e.ids for e in tok.encode_batch_fast(rest, add_special_tokens=False)), strict=True))
+        return [found[x] if x in found else words.encode(x) for x in new]
+
+    return PieceCache(encode_new, folded if lowers else str)
 
 
 PA = {
