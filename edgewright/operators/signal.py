@@ -9,17 +9,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BY_EDGE = Window.partitionBy("capture_id").orderBy("edge_idx")
+
+def by_edge():
+    return Window.partitionBy("capture_id").orderBy("edge_idx")
 
 
 def monotonic_violations(edges: DataFrame, t: str = "t") -> DataFrame:
     """Edges that lie before the one ahead of them."""
-    return edges.withColumn("previous_t", F.lag(t).over(BY_EDGE)).where(F.col(t) < F.col("previous_t"))
+    return edges.withColumn("previous_t", F.lag(t).over(by_edge())).where(F.col(t) < F.col("previous_t"))
 
 
 def intervals(edges: DataFrame, t: str = "t") -> DataFrame:
     """Half-open [start_t, end_t) at one level; the last edge opens none."""
-    nxt = F.lead(t).over(BY_EDGE)
+    nxt = F.lead(t).over(by_edge())
     return edges.select("capture_id", "edge_idx", F.col(t).alias("start_t"), nxt.alias("end_t"), "level").where("end_t IS NOT NULL")
 
 
@@ -34,7 +36,7 @@ def segments(spans: DataFrame, idle_level: int, threshold) -> DataFrame:
     A side is known if a separator stands there. Segments of no length are dropped, the others numbered from 1.
     """
     rows = spans.withColumn("_sep", idle_separator(idle_level, threshold).cast("int"))
-    upto = BY_EDGE.rowsBetween(Window.unboundedPreceding, 0)
+    upto = by_edge().rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy("capture_id")
     rows = rows.withColumns({"_island": F.sum("_sep").over(upto), "_seps": F.sum("_sep").over(whole)}).where("_sep = 0")
     found = rows.groupBy("capture_id", "_island", "_seps").agg(F.min("start_t").alias("start_t"), F.max("end_t").alias("end_t"), F.count("*").alias("n_intervals")).where("start_t < end_t")
@@ -50,9 +52,9 @@ def pulse_runs(edges: DataFrame, low, high, least: int = 5, most: int = 16, t: s
     """For each edge that starts ``least`` or more pulses of low to high (both inclusive) in a row: capture_id,
     edge_idx, pulses (``most`` at most), and points, the edges of the run as (x: pulse number, y: time since its
     first edge)."""
-    rows = edges.withColumn("_next", F.lead(t).over(BY_EDGE))
+    rows = edges.withColumn("_next", F.lead(t).over(by_edge()))
     rows = rows.withColumn("_one", F.coalesce((F.col("_next") - F.col(t)).between(F.lit(low), F.lit(high)), F.lit(False)))
-    ahead = BY_EDGE.rowsBetween(0, most)
+    ahead = by_edge().rowsBetween(0, most)
     rows = rows.withColumns({"_ones": F.collect_list("_one").over(ahead), "_times": F.collect_list(t).over(ahead)})
     stop = F.array_position("_ones", F.lit(False))
     rows = rows.withColumn("pulses", F.least(F.lit(most), F.when(stop > 0, stop - 1).otherwise(F.size("_ones") - 0)).cast("int")).where(F.col("pulses") >= least)
@@ -63,7 +65,7 @@ def pulse_runs(edges: DataFrame, low, high, least: int = 5, most: int = 16, t: s
 def asof(probes: DataFrame, edges: DataFrame, probe_t: str = "probe_t", t: str = "t", strict: bool = False) -> DataFrame:
     """``probes`` with the last edge at or before ``probe_t`` (strictly before, with ``strict``): prev_t, prev_level,
     and the time of the edge after that one, next_t. One sort of both sides by time, no range join."""
-    e = edges.select("capture_id", F.col(t).alias("_t"), F.lit(1 if strict else 0).alias("_side"), "edge_idx", "level", F.lead(t).over(BY_EDGE).alias("_next"))
+    e = edges.select("capture_id", F.col(t).alias("_t"), F.lit(1 if strict else 0).alias("_side"), "edge_idx", "level", F.lead(t).over(by_edge()).alias("_next"))
     e = e.withColumn("_edge", F.struct(F.col("_t").alias("t"), "level", F.col("_next").alias("n")))
     p = probes.withColumns({"_probe": F.struct(*probes.columns), "_t": F.col(probe_t), "_side": F.lit(0 if strict else 1)})
     both = e.select("capture_id", "_t", "_side", "edge_idx", "_edge").unionByName(p.select("capture_id", "_t", "_side", "_probe"), allowMissingColumns=True)
