@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, table, text_of
+from .common import ascii_lower, cut, table, text_of
 
 #: Words of a k-gram.
 K = 3
@@ -113,6 +113,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
     votes = hits.groupBy(*doc, "template", "label", "phrase", "n_grams", "diagonal").agg(
         F.count("*").alias("votes"), F.min("at").alias("low"), F.max("at").alias("high"), F.max("n_words").alias("n_words"), F.sum(F.lit(1)).alias("copies"),
     )
+    votes = cut(votes, "votes")  # one scan of the texts; what follows reads a few narrow rows
     documents = votes.where("template < 0").select(*doc, "copies", "n_words")
     per_copy = votes.where("template >= 0").drop("copies", "n_words").join(documents.select(F.col("doc_id").alias("i"), F.col("text_hash").alias("x"), "copies"), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_hash") == F.col("x"))).withColumn("votes", F.col("votes") / F.col("copies"))
     places = per_copy.where("phrase AND votes >= n_grams").select(
