@@ -109,26 +109,44 @@ class BlockDecoder:
         fit = fitted(np.array(self.transitions, float), t[picked] - t[picked[0]])
         return None if fit is None else (fit, float(t[picked[0]]))
 
+    def initial_fits(self, t, bit, last, starts, run):
+        """(start edge, pulses, period, residual, sync start) of the runs whose fit is good and shows the marker; all
+        runs of a block at once."""
+        n = np.minimum(run[starts], len(t) - 1 - starts)
+        x = np.arange(self.r.max_pulses + 1)
+        inside = x[None, :] <= n[:, None]
+        y = t[np.minimum(starts[:, None] + x, len(t) - 1)] - t[starts][:, None]
+        rising = (np.diff(y, axis=1) > 0) | ~inside[:, 1:]
+        mx, my = n / 2, (y * inside).sum(axis=1) / (n + 1)
+        dx = (x[None, :] - mx[:, None]) * inside
+        slope = (dx * (y - my[:, None])).sum(axis=1) / (dx * dx).sum(axis=1)
+        intercept = my - slope * mx
+        residual = (np.abs(y - (intercept[:, None] + slope[:, None] * x)) * inside).max(axis=1)
+        good = rising.all(axis=1) & (slope > 0)
+        good[good] &= residual[good] / slope[good] <= self.residual
+        starts, n, slope, residual = starts[good], n[good], slope[good], residual[good]
+        sync = t[starts] + intercept[good]
+        bits = np.arange(len(self.marker))
+        at = sync[:, None, None] + slope[:, None, None] * (np.arange(self.r.phases)[None, :, None] / self.r.phases + bits)
+        i = np.searchsorted(t, at.ravel(), "right").reshape(at.shape) - 1
+        ok = (at < last) & (i >= 0) & (i + 1 < len(t)) & (bit[np.clip(i, 0, len(t) - 1)] == self.marker)
+        for k in np.flatnonzero(ok.all(axis=2).any(axis=1)).tolist():
+            yield int(starts[k]), int(n[k]), float(slope[k]), float(residual[k]), float(sync[k])
+
     def candidates(self, us, edge_idx, level, one, own, last, last_level, before, before_level):
-        r, t = self.r, np.array(us)
+        r, t = self.r, np.asarray(us, float)
         if len(t) < 2:
             return
-        level = np.array(level)
+        level = np.asarray(level, np.int64)
         bit = 1 - level if self.inverted else level
-        one = np.array(one, bool)
-        stops = np.flatnonzero(~one)
-        here = np.arange(len(t))
-        run = np.minimum(stops[np.minimum(np.searchsorted(stops, here), len(stops) - 1)] - here, r.max_pulses) if len(stops) else np.full(len(t), len(t))
-        run = np.where(run < 0, 0, run)
-        for s in np.flatnonzero(np.array(own, bool) & (run >= r.min_pulses)).tolist():
-            n = int(min(run[s], len(t) - 1 - s))
-            first = fitted(np.arange(n + 1, dtype=float), t[s : s + n + 1] - t[s])
-            if first is None or first[2] / first[0] > self.residual:
-                continue
-            start = t[s] + first[1]
-            if not len(self.confirmed(t, bit, last, start, first[0])):
-                continue
-            again = self.refined(t, s, start, first[0])
+        stops, here = np.flatnonzero(~np.asarray(one, bool)), np.arange(len(t))
+        after = np.searchsorted(stops, here)
+        run = np.minimum(np.append(stops, len(t))[after] - here, r.max_pulses)
+        starts = np.flatnonzero(np.asarray(own, bool) & (run >= r.min_pulses) & (here < len(t) - 1))
+        if not len(starts):
+            return
+        for s, n, first_period, first_residual, start in self.initial_fits(t, bit, last, starts, run):
+            again = self.refined(t, s, start, first_period)
             if again is None or again[0][2] / again[0][0] > self.residual:
                 continue
             (period, intercept, residual), origin = again
@@ -138,24 +156,26 @@ class BlockDecoder:
             begin = origin + intercept + period * r.prelude_bits
             end = begin + period * r.frame_bits
             bits, count, near, _ = self.sample(t, bit, last, begin, period, phases, r.frame_bits)
+            text, values = (bits + 48).astype(np.uint8), np.packbits(bits.astype(np.uint8), axis=1)
             i = int(np.searchsorted(t, end, "left")) - 1
             associated = float(t[i] if i >= 0 else t[s])
-            for phase, b, m, safe in zip(phases.tolist(), bits.tolist(), count.tolist(), near.tolist(), strict=True):
-                b = b[:m]
-                status, extended, figures = self.recovered(b, begin, end, period, phase, last, last_level, before, before_level)
+            for k, (phase, m, safe) in enumerate(zip(phases.tolist(), count.tolist(), near.tolist(), strict=True)):
+                b, v = text[k, :m].tobytes().decode(), values[k, : m // 8].tolist()
+                status, extended, figures = self.recovered(m, begin, end, period, phase, last, last_level, before, before_level)
                 if extended is not None:
-                    b, safe = [*b, 1 - last_level if self.inverted else last_level], min(safe, extended)
+                    b, safe = b + str(1 - last_level if self.inverted else last_level), min(safe, extended)
+                    v = [int(b[q : q + 8], 2) for q in range(0, len(b) - 7, 8)]
                 yield (
-                    edge_idx[s], n, first[0], first[2], period, residual, phase, round(phase * r.phases / period), float(t[s]), associated, begin, end, m,
-                    "".join(map(str, b)), *figures, status, extended is not None, safe,
+                    int(edge_idx[s]), n, first_period, first_residual, period, residual, phase, round(phase * r.phases / period), float(t[s]), associated, begin, end, m,
+                    b, v, *figures, status, extended is not None, safe,
                 )
 
-    def recovered(self, bits, begin, end, period, phase, last, last_level, before, before_level):
+    def recovered(self, count, begin, end, period, phase, last, last_level, before, before_level):
         """(status, safety of the added bit or None, (deviation, tolerance, previous pulse's error))."""
         n = self.r.frame_bits
-        if len(bits) == n:
+        if count == n:
             return NOT_NEEDED, None, (None, None, None)
-        if len(bits) != n - 1 or before is None:
+        if count != n - 1 or before is None:
             return TOO_SHORT, None, (None, None, None)
         due, tolerance, pulse = begin + period * (n - 1), period * self.tail, last - before
         sample = begin + phase + period * (n - 1)
@@ -173,10 +193,10 @@ class BlockDecoder:
 _CANDIDATE = {
     "edge_idx": pa.int64(), "pulses": pa.int32(), "initial_period_us": pa.float64(), "initial_residual_us": pa.float64(), "period_us": pa.float64(),
     "residual_us": pa.float64(), "phase_us": pa.float64(), "phase_no": pa.int32(), "prelude_us": pa.float64(), "associated_us": pa.float64(), "start_us": pa.float64(),
-    "end_us": pa.float64(), "direct_bits": pa.int32(), "bits": pa.string(), "tail_deviation_us": pa.float64(), "tail_tolerance_us": pa.float64(),
+    "end_us": pa.float64(), "direct_bits": pa.int32(), "bits": pa.string(), "bytes": pa.list_(pa.int32()), "tail_deviation_us": pa.float64(), "tail_tolerance_us": pa.float64(),
     "previous_pulse_error_us": pa.float64(), "tail_status": pa.string(), "tail_extended": pa.bool_(), "safety_ratio": pa.float64(),
 }
-_DDL = {pa.int64(): "long", pa.int32(): "int", pa.float64(): "double", pa.string(): "string", pa.bool_(): "boolean"}
+_DDL = {pa.int64(): "long", pa.int32(): "int", pa.float64(): "double", pa.string(): "string", pa.bool_(): "boolean", pa.list_(pa.int32()): "array<int>"}
 
 
 def candidates(edges: DataFrame, profile: Profile) -> DataFrame:
@@ -191,9 +211,12 @@ def candidates(edges: DataFrame, profile: Profile) -> DataFrame:
         decoder = BlockDecoder(rules, inverted)
         for batch in batches:
             out = []
-            names = ("us", "edge_idx", "level", "one", "own", "last_us", "last_level", "before_us", "before_level")
-            for row in batch.to_pylist():
-                out += [(row["capture_id"], row["block"], *c) for c in decoder.candidates(*(row[n] for n in names))]
+            lists = [batch.column(c) for c in ("us", "edge_idx", "level", "one", "own")]
+            ends = np.append(0, np.cumsum(lists[0].value_lengths().to_numpy())).tolist()
+            flat = [x.flatten().to_numpy(zero_copy_only=False) for x in lists]
+            rest = [batch.column(c).to_pylist() for c in ("capture_id", "block", "last_us", "last_level", "before_us", "before_level")]
+            for a, b, capture_id, block, *tail in zip(ends, ends[1:], *rest, strict=False):
+                out += [(capture_id, block, *c) for c in decoder.candidates(*(x[a:b] for x in flat), *tail)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
@@ -234,8 +257,10 @@ def with_commands(frames: DataFrame, rules: Rules, bytes_col: str = "bytes") ->
 
 
 def validated(frames: DataFrame, profile: Profile) -> DataFrame:
-    """``frames`` (column bits) with bytes, complete, reasons, valid, channel and action."""
-    digits = F.transform(F.filter(F.split("bits", ""), lambda x: x != ""), lambda x: x.cast("int"))
-    rows = with_commands(frames.withColumn("bytes", bits_to_bytes(digits)), profile.rules)
+    """``frames`` (column bits, and bytes if they are known) with bytes, complete, reasons, valid, channel, action."""
+    if "bytes" not in frames.columns:
+        digits = F.transform(F.filter(F.split("bits", ""), lambda x: x != ""), lambda x: x.cast("int"))
+        frames = frames.withColumn("bytes", bits_to_bytes(digits))
+    rows = with_commands(frames, profile.rules)
     rows = rows.withColumn("reasons", failure_reasons(F.col("bytes"), F.col("command_known"), profile)).drop("command_known")
     return rows.withColumns({"complete": F.size("bytes") >= profile.rules.frame_bytes, "valid": F.size("reasons") == 0})

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import bits
-from ..operators import coverage, decode, dedup, signal
+from ..operators import bitstreams, coverage, decode, dedup, signal
 from ..sources import edge_csv, report
 from . import captures, synth
 
@@ -354,3 +354,53 @@ def csv_edge_scan(spark, sf_dir):
 FROM sig WHERE edge_idx = 3 AND capture_id % 5 = 0""")
 def csv_error_lines(spark, sf_dir):
     return edge_csv.csv_errors(edge_csv.checked(_csv_lines(spark, sf_dir, True)))
+
+
+def _streams(spark, sf_dir):
+    """Two frames in a row as one stream of bits, the second one cut for every third order."""
+    rows = _payloads(spark, sf_dir).withColumn("b", bits.bit_string(bits.bytes_to_bits(F.concat(F.array(F.lit(0xAA)), "bytes"))))
+    cut = F.when(F.col("frame_key") % 3 == 0, F.substring("b", 1, 60)).otherwise(F.col("b"))
+    return rows.select(
+        "capture_id", F.col("frame_key").cast("int").alias("segment"), F.lit(0.0).alias("phase_us"), F.concat(F.lit("00"), "b", F.lit("0110"), cut).alias("bits"), F.lit(1.0).alias("first_t"), F.lit(416.0).alias("period_us"),
+        F.lit(1.0).alias("start_t"), F.lit(9.0).alias("end_t"),
+    )
+
+
+@query(f"""WITH {_PAYLOAD} SELECT o_orderkey::INTEGER AS segment, s AS start_bit, s = 2 OR o_orderkey % 3 <> 0 AS valid, CASE WHEN s = 2 OR o_orderkey % 3 <> 0 THEN 'AA ' || hex ELSE left('AA ' || hex, 20) END AS hex,
+CASE WHEN s = 2 OR o_orderkey % 3 <> 0 THEN '' ELSE '{decode.CORE_TRUNCATED}' END AS reasons FROM pay, (VALUES (2), (118)) v(s)""")
+def bit_stream_frames(spark, sf_dir):
+    found = bitstreams.framed(_streams(spark, sf_dir), _PROFILE)
+    return found.select("segment", "start_bit", "valid", bits.bytes_hex(F.col("bytes")).alias("hex"), F.array_join("reasons", "；").alias("reasons"))
+
+
+@query("SELECT o_orderkey::INTEGER AS segment, CASE WHEN o_orderkey % 3 = 0 THEN 178 ELSE 230 END AS n_bits, '未找到识别开头' AS reason, false AS valid FROM orders")
+def bit_stream_unmatched(spark, sf_dir):
+    found = bitstreams.unmatched(_streams(spark, sf_dir))
+    return found.select("segment", F.length("bits").alias("n_bits"), F.element_at("reasons", 1).alias("reason"), "valid")
+
+
+@query(f"""WITH {_COVER}, g AS (SELECT capture_id, segment, min(prelude_t) AS a, arg_max(end_t, prelude_t) AS z FROM fs GROUP BY ALL),
+b AS (SELECT s.*, g.a, g.z FROM seg s LEFT JOIN g USING (capture_id, segment) WHERE NOT (left_known AND right_known))
+SELECT capture_id, segment::INTEGER AS segment, start_t::DOUBLE AS start_t, end_t::DOUBLE AS end_t, '{bitstreams.EDGE_UNMATCHED}' AS reason FROM b WHERE a IS NULL
+UNION ALL SELECT capture_id, segment::INTEGER, start_t::DOUBLE, a::DOUBLE, '{bitstreams.HEAD_PIECE}' FROM b WHERE NOT left_known AND start_t < a
+UNION ALL SELECT capture_id, segment::INTEGER, z::DOUBLE, end_t::DOUBLE, '{bitstreams.TAIL_PIECE}' FROM b WHERE a IS NOT NULL AND NOT right_known AND z < end_t""")
+def boundary_fragments(spark, sf_dir):
+    segments = _segments(spark, sf_dir)
+    inside = coverage.frames_in_segments(_frames(spark, sf_dir), segments)
+    return bitstreams.boundary_fragments(segments, inside.select("capture_id", "segment", F.col("prelude_t").alias("cover_start"), F.col("end_t").alias("cover_end")))
+
+
+@query("""SELECT o_custkey AS capture_id, count(*) AS n, max(o_orderkey)::INTEGER AS last_segment FROM orders GROUP BY ALL""")
+def bit_stream_dedup(spark, sf_dir):
+    """Each order's frame seen at three phases within one period: one stays."""
+    rows = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("capture_id"), F.col("o_orderkey").cast("int").alias("segment"), F.explode(F.array(*[F.lit(float(p)) for p in (0, 104, 208)])).alias("phase_us"))
+    rows = rows.select("*", F.lit(0).alias("start_bit"), F.lit(416.0).alias("period_us"), F.lit(True).alias("valid"), F.lit(True).alias("complete"), (F.col("segment") + F.col("phase_us") / 1e6).alias("start_t"))
+    best = bitstreams.deduplicated(rows, 50.0)
+    return best.groupBy("capture_id").agg(F.count("*").alias("n"), F.max("segment").alias("last_segment"))
+
+
+@query(f"""WITH {_COMMANDS} SELECT channel, regexp_extract(channel, '([0-9]+)', 1)::INTEGER AS channel_no, string_agg(printf('%02X', code), ' ' ORDER BY code) AS codes, count(*) AS n FROM cmd GROUP BY ALL""")
+def commands_by_channel(spark, sf_dir):
+    c = config.commands(spark, _R)
+    codes = F.array_join(F.transform(F.sort_array(F.collect_list("code")), bits.byte_hex), " ")
+    return c.groupBy("channel").agg(codes.alias("codes"), F.count("*").alias("n")).withColumn("channel_no", F.regexp_extract("channel", "([0-9]+)", 1).cast("int"))
