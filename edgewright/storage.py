@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +23,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = f"file://{LOCAL_FALLBACK}"
+        folder = os.path.join(LOCAL_FALLBACK, f"ew-{uuid.uuid4().hex}")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        return f"file://{folder}"
     return f"{base.rstrip('/')}/ew-{uuid.uuid4().hex}"
 
 

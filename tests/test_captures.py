@@ -246,3 +246,18 @@ def test_synthesised_orders_come_back(spark):
     sent = synth.payloads(orders, PROFILE)
     got = captures.decoded(synth.waveform(sent, PROFILE, drop_last=True), PROFILE)
     assert got.where("valid").count() == sent.count() and sent.select("capture_id", "bytes").exceptAll(got.select("capture_id", "bytes")).count() == 0
+
+
+def test_stream_of_files(spark, tmp_path):
+    from edgewright.streaming.captures import decode_stream
+
+    lines = "".join(f"{Decimal(us) / 1_000_000},{level}\n" for us, level in wave([GOOD]))
+    source = tmp_path / "in"
+    source.mkdir()
+    for number, names in enumerate((("a.csv", "bad.csv"), ("b.csv",))):
+        write(source, {n: "T,L\n" + ("x,1\n" if n == "bad.csv" else lines) for n in names})
+        query = decode_stream(spark, f"file://{source}", f"file://{tmp_path}/out", f"file://{tmp_path}/checkpoint", PROFILE)
+        assert query.awaitTermination(120)
+    frames = spark.read.option("basePath", f"{tmp_path}/out/frames").parquet(f"{tmp_path}/out/frames")
+    assert sorted((r.capture_id, r.valid) for r in frames.collect()) == [("a.csv", True), ("b.csv", True)]
+    assert [r.capture_id for r in spark.read.parquet(f"{tmp_path}/out/errors").collect()] == ["bad.csv"]

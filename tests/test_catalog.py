@@ -35,3 +35,16 @@ def test_query_equals_sql(spark, duck, name):
 def test_entry_points(spark):
     assert set(entry_points.oracle_sql()) <= set(entry_points.queries())
     assert entry_points.entry(spark).columns == ["capture_id", "frame_no", "hex", "channel", "action", "valid", "direct_bits"]
+
+
+def test_rest_stands_without_the_training_data_folders(tmp_path):
+    """The entry points and the capture queries import where those folders are missing."""
+    import shutil
+    import subprocess
+    import sys
+
+    root = Path(__file__).resolve().parent.parent
+    shutil.copytree(root / "edgewright", tmp_path / "edgewright", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; assert 'decoded_frames' in e.queries() and not any(n.startswith('op') for n in e.queries()); assert 'pipeline' not in e.oracle_sql()"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120)
