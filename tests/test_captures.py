@@ -261,3 +261,17 @@ def test_stream_of_files(spark, tmp_path):
     frames = spark.read.option("basePath", f"{tmp_path}/out/frames").parquet(f"{tmp_path}/out/frames")
     assert sorted((r.capture_id, r.valid) for r in frames.collect()) == [("a.csv", True), ("b.csv", True)]
     assert [r.capture_id for r in spark.read.parquet(f"{tmp_path}/out/errors").collect()] == ["bad.csv"]
+
+
+def test_service(spark, tmp_path):
+    from edgewright.plans.service import parse_capture
+
+    lines = "".join(f"{Decimal(us) / 1_000_000},{level}\n" for us, level in wave([GOOD]))
+    write(tmp_path, {"a.csv": "时间,电平\n" + lines, "head.csv": "T,L\n", "bad.csv": "T,L\nx,1\n", "bytes.csv": b"\xff\xff,T\n0.1,1\n", "none.csv": ""})
+    out = parse_capture(spark, f"{tmp_path}/a.csv", "remote-b04287", f"{tmp_path}/out")
+    assert out.endswith("/out/a-解析结果.xlsx") and zipfile.is_zipfile(out)
+    assert zipfile.is_zipfile(parse_capture(spark, f"{tmp_path}/head.csv", "remote-b04287", f"{tmp_path}/out"))
+    for name, key, code in (("a.csv", "x", "CONFIG_NOT_FOUND"), ("none.csv", "remote-b04287", "INVALID_REQUEST"), ("gone.csv", "remote-b04287", "INVALID_REQUEST"), ("bad.csv", "remote-b04287", "CSV_READ_FAILED"), ("bytes.csv", "remote-b04287", "CSV_READ_FAILED")):
+        with pytest.raises(CaptureError) as e:
+            parse_capture(spark, f"{tmp_path}/{name}", key, f"{tmp_path}/out")
+        assert e.value.code == code, name
