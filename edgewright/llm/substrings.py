@@ -23,13 +23,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, table, text_of
-from .tokens import PA
+from .tokens import PA, library_cache
 
 LENGTH, GRAM = 200, 40
 #: An anchor with more runs than this in step 3 has its windows dealt one by one; the result is the same.
 LARGE_ANCHOR = 20_000
 #: Bytes of text named together in step 3.
-BULK = 16_000_000
+BULK = 1_000_000
 
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _POWERS: list[tuple[np.ndarray, np.ndarray]] = []
@@ -100,6 +100,7 @@ def sampled_runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches):
         from xxhash import xxh3_128_digest
 
+        library_cache.cache_clear()  # a worker may still keep words that another operator encoded
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 out = []
