@@ -17,48 +17,54 @@ BLOCK = 1024
 TURN_START, TURN_END = "<|im_start|>", "<|im_end|>"
 
 
-def numbered_turns(turns: DataFrame) -> DataFrame:
-    """conv_id, idx (from 1), role, text, h1, h2: turns in order with the rolling hash of the turns up to each.
-
-    The hash is the exclusive or of hashes of (position, role, text), so blocks of a conversation can be hashed
-    apart and put together; no window spans more than one block or the list of a conversation's blocks.
-    """
+def ordered_turns(turns: DataFrame) -> DataFrame:
+    """conv_id, block, k (from 1, in the block), role, text, t1, t2 (hashes of role and text), each turn once; written
+    to a table, the only one with texts."""
     clean = turns.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-    ).distinct()
+    )
     clean = clean.withColumn("block", F.coalesce(F.expr(f"turn div {BLOCK}"), F.lit(-1 << 62)))
     inside = Window.partitionBy("conv_id", "block").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
-    rows = cut(clean.withColumn("k", F.row_number().over(inside)), "turns")
+    once = Window.partitionBy("conv_id", "block", "turn", "role", "text").orderBy("k")
+    rows = clean.withColumn("k", F.dense_rank().over(inside)).withColumn("_copy", F.row_number().over(once)).where("_copy = 1")
+    hashes = F.xxhash64("role", "text").alias("t1"), F.xxhash64("text", F.lit("second"), "role").alias("t2")
+    return cut(rows.select("conv_id", "block", "k", "role", "text", *hashes), "turns")
+
+
+def rolling_names(rows: DataFrame) -> DataFrame:
+    """conv_id, idx (from 1), h1, h2: the rolling hash of the turns up to each; no texts.
 
+    The hash is the exclusive or of hashes of (position, turn), so blocks of a conversation can be hashed apart and
+    put together; no window spans more than one block or the list of a conversation's blocks.
+    """
+    rows = rows.select("conv_id", "block", "k", "t1", "t2")
     before = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = rows.groupBy("conv_id", "block").agg(F.count("*").alias("n"))
-    sizes = sizes.select(F.col("conv_id").alias("_c"), F.col("block").alias("_b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    zero = F.lit(0).cast("long")
     same = F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("block") == F.col("_b"))
-    rows = rows.join(sizes, same).withColumn("idx", F.col("before") + F.col("k")).drop("_c", "_b", "before")
-    rows = rows.withColumn("g1", F.xxhash64("idx", "role", "text")).withColumn("g2", F.xxhash64("text", "idx", F.lit("second"), "role"))
 
-    marks = rows.groupBy("conv_id", "block").agg(F.bit_xor("g1").alias("g1"), F.bit_xor("g2").alias("g2"))
-    zero = F.lit(0).cast("long")
-    marks = marks.select(
-        F.col("conv_id").alias("_c"), F.col("block").alias("_b"),
-        F.coalesce(F.bit_xor("g1").over(before), zero).alias("b1"), F.coalesce(F.bit_xor("g2").over(before), zero).alias("b2"),
-    )
+    def ahead(df, **columns):
+        sums = df.groupBy("conv_id", "block").agg(*[f.alias(f"_{c}") for c, (f, _) in columns.items()])
+        return sums.select(F.col("conv_id").alias("_c"), F.col("block").alias("_b"), *[F.coalesce(over(f"_{c}").over(before), zero).alias(c) for c, (_, over) in columns.items()])
+
+    sizes = ahead(rows, ahead=(F.count("*"), F.sum))
+    rows = rows.join(sizes, same).withColumn("idx", F.col("ahead") + F.col("k")).drop("_c", "_b", "ahead")
+    rows = rows.withColumns({"g1": F.xxhash64("idx", "t1"), "g2": F.xxhash64("t2", "idx")})
+    marks = ahead(rows, b1=(F.bit_xor("g1"), F.bit_xor), b2=(F.bit_xor("g2"), F.bit_xor))
     upto = Window.partitionBy("conv_id", "block").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("g1", F.bit_xor("g1").over(upto)).withColumn("g2", F.bit_xor("g2").over(upto)).join(marks, same)
-    return rows.select("conv_id", "idx", "role", "text", F.col("g1").bitwiseXOR(F.col("b1")).alias("h1"), F.col("g2").bitwiseXOR(F.col("b2")).alias("h2"))
+    rows = rows.withColumns({"g1": F.bit_xor("g1").over(upto), "g2": F.bit_xor("g2").over(upto)}).join(marks, same)
+    return rows.select("conv_id", "idx", F.col("g1").bitwiseXOR(F.col("b1")).alias("h1"), F.col("g2").bitwiseXOR(F.col("b2")).alias("h2"))
 
 
-def maximal_conversations(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(numbered turns, conversations that stay with conv_id, n_turns, n_copies)."""
-    rows = cut(numbered_turns(turns), "numbered")
-    names = rows.select("conv_id", "idx", "h1", "h2")
+def maximal_conversations(rows: DataFrame) -> DataFrame:
+    """conv_id, n_turns, n_copies of the conversations that stay; rows: what ``ordered_turns`` gives."""
+    names = cut(rolling_names(rows), "names")
     n_turns = names.groupBy("conv_id").agg(F.max("idx").alias("n")).select(F.col("conv_id").alias("_c"), "n")
     ends = names.join(n_turns, F.col("conv_id").eqNullSafe(F.col("_c"))).drop("_c")
     whole = ends.where("idx = n").groupBy("n", "h1", "h2").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_copies"))
     inner = ends.where("idx < n").select(F.col("idx").alias("n"), "h1", "h2").distinct()
     stay = whole.join(inner, ["n", "h1", "h2"], "left_anti")
-    return rows, stay.select("conv_id", F.col("n").alias("n_turns"), "n_copies")
+    return stay.select("conv_id", F.col("n").alias("n_turns"), "n_copies")
 
 
 def render(turns: DataFrame) -> DataFrame:
@@ -69,10 +75,11 @@ def render(turns: DataFrame) -> DataFrame:
     like others and stays only without another. Other columns are not read; empty in, empty out. A conversation
     is one string in the end, so its turns meet in one row; nothing else gathers a group.
     """
-    rows, stay = maximal_conversations(turns)
+    rows = ordered_turns(turns)
+    stay = maximal_conversations(rows)
     line = F.concat(F.lit(TURN_START), "role", F.lit("\n"), "text", F.lit(TURN_END + "\n"))
     kept = rows.join(stay.select(F.col("conv_id").alias("_c")), F.col("conv_id").eqNullSafe(F.col("_c")), "left_semi")
-    chats = kept.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("idx", line.alias("line")))).alias("lines"))
+    chats = kept.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("block", "k", line.alias("line")))).alias("lines"))
     chats = chats.select(F.col("conv_id").alias("_c"), F.array_join("lines.line", "").alias("chat"))
     return stay.join(chats, F.col("conv_id").eqNullSafe(F.col("_c"))).select("conv_id", "n_turns", "n_copies", "chat")
 
