@@ -49,31 +49,37 @@ def features(text: str) -> np.ndarray:
     return x / max(float(np.linalg.norm(x)), 1e-9)
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, seed: int = 7) -> np.ndarray:
-    """Weights (the last one is the bias) of a linear SVM, by dual coordinate descent; y holds -1 and 1."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    w, a, rng = np.zeros(x.shape[1], np.float32), np.zeros(len(x)), np.random.default_rng(seed)
-    size = np.einsum("ij,ij->i", x, x)
+def fit_svm(x: np.ndarray, rows: np.ndarray, y: np.ndarray, seed: int = 7) -> np.ndarray:
+    """Weights (the last one is the bias) of a linear SVM over some rows of x, by dual coordinate descent; y holds -1
+    or 1 for each of them. The rows are read where they lie."""
+    w, bias, a, rng = np.zeros(x.shape[1], np.float32), 0.0, np.zeros(len(rows)), np.random.default_rng(seed)
+    size = [float(x[r] @ x[r]) + 1.0 for r in rows]
     for _ in range(EPOCHS):
-        for i in rng.permutation(len(x)):
-            g = y[i] * float(x[i] @ w) - 1
+        for i in rng.permutation(len(rows)):
+            one = x[rows[i]]
+            g = y[i] * (float(one @ w) + bias) - 1
             new = min(max(a[i] - g / size[i], 0.0), COST)
             if new != a[i]:
-                w += np.float32((new - a[i]) * y[i]) * x[i]
+                step = (new - a[i]) * y[i]
+                w += np.float32(step) * one
+                bias += step
                 a[i] = new
-    return w
+    return np.append(w, np.float32(bias))
 
 
 class OneVersusOne:
     """Classes and a weight vector for each pair of them; the most votes win, then the larger margins."""
 
-    def __init__(self, x: np.ndarray, labels: np.ndarray):
+    def __init__(self, x: np.ndarray, labels: np.ndarray, among: np.ndarray | None = None):
+        """among: the rows of x to learn from, all if None."""
+        among = np.arange(len(labels)) if among is None else among
+        labels = labels[among]
         self.classes = sorted(set(labels.tolist()))
         self.pairs = list(combinations(range(len(self.classes)), 2))
         w = []
         for i, j in self.pairs:
-            rows = (labels == self.classes[i]) | (labels == self.classes[j])
-            w.append(fit_svm(x[rows], np.where(labels[rows] == self.classes[i], 1.0, -1.0)))
+            rows = np.flatnonzero((labels == self.classes[i]) | (labels == self.classes[j]))
+            w.append(fit_svm(x, among[rows], np.where(labels[rows] == self.classes[i], 1.0, -1.0)))
         self.w = np.array(w, np.float32).reshape(len(w), BUCKETS + 1)
 
     def predict(self, x: np.ndarray) -> tuple[str, float]:
@@ -96,7 +102,7 @@ class Hierarchy:
         langs = np.array(langs, dtype=object)
         of = np.array([families.get(v, v) for v in langs], dtype=object)
         self.families = OneVersusOne(x, of)
-        self.within = {f: OneVersusOne(x[of == f], langs[of == f]) for f in self.families.classes}
+        self.within = {f: OneVersusOne(x, langs, np.flatnonzero(of == f)) for f in self.families.classes}
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not has_letter(text):
@@ -139,8 +145,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     got = cut(map_rows(drawn, start, {"lang": "string", "h": "long", "x": "binary"}), "sample").orderBy("lang", "h", "x").collect()
     if not got:
         return None
-    x = np.frombuffer(b"".join(bytes(r["x"]) for r in got), np.float32).reshape(len(got), BUCKETS)
-    return Hierarchy(x, [r["lang"] for r in got], families or FAMILIES)
+    x, langs = np.empty((len(got), BUCKETS), np.float32), [r["lang"] for r in got]
+    for i in range(len(got)):
+        x[i] = np.frombuffer(got[i]["x"], np.float32)
+        got[i] = None
+    return Hierarchy(x, langs, families or FAMILIES)
 
 
 def with_language(docs: DataFrame, model: Hierarchy | None, text_col: str = "text", out: str = "language") -> DataFrame:
