@@ -79,6 +79,34 @@ def test_compression_bands():
     assert quality.band(quality.WHOLE_BANDS, 150)[0] == 0.30
 
 
+def noise_and_prose():
+    import base64
+    import random
+
+    import pyarrow.parquet as pq
+    import zstandard
+
+    rng = random.Random(4)
+
+    def noise(n):
+        letters = base64.b64encode(rng.randbytes(n)).decode()
+        return " ".join(letters[i : i + 10] for i in range(0, n, 10))[:n].encode()
+
+    folder = "/root/testdata/sf0.01/"
+    good = {r["doc_id"] for r in pq.read_table(folder + "labels.parquet").to_pylist() if r["quality"] == 1}
+    texts = [r["text"].encode() for r in pq.read_table(folder + "documents.parquet").to_pylist() if r["doc_id"] in good and r["text"]]
+    return noise, texts, zstandard.ZstdCompressor(level=3).compress
+
+
+def test_short_noise_is_rejected():
+    noise, texts, compress = noise_and_prose()
+    for least, most in ((112, 200), (200, 300), (300, 400), (400, 600), (600, 1600), (1600, 6400)):
+        kept = sum(quality.in_bands(noise(n), compress)[2] for n in range(least, most, 3))
+        assert kept == 0, (least, kept)
+        clean = [t[:n] for t in texts for n in (least, most - 1) if len(t) >= n]
+        assert sum(quality.in_bands(t, compress)[2] for t in clean) >= 0.98 * len(clean), least
+
+
 def test_clean_documents_are_kept(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = quality.quality(docs)
