@@ -20,8 +20,8 @@ WHOLE_BANDS = (
     (0, 0.0, 9.0), (100, 0.30, 1.06), (112, 0.30, 1.00), (125, 0.30, 0.97), (150, 0.30, 0.93), (200, 0.27, 0.88), (250, 0.27, 0.85),
     (300, 0.27, 0.82), (400, 0.25, 0.79), (600, 0.25, 0.73), (1600, 0.22, 0.70), (6400, 0.20, 0.70),
 )
-#: The same for one chunk, and the share of chunks outside their band that rejects a text.
-CHUNK_BYTES, CHUNK_SHARE = 4096, 0.5
+#: The same for one chunk, and the share of chunks outside their band that rejects a text: one of up to ten does.
+CHUNK_BYTES, CHUNK_SHARE = 4096, 0.1
 CHUNK_BANDS = tuple((n, 0.0 if n < 400 else 0.20 if n < 1600 else 0.17, high) for n, _, high in WHOLE_BANDS)
 LEVEL = 3
 WHITE = " \t\n\x0b\x0c\r"

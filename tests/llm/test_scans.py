@@ -107,6 +107,18 @@ def test_short_noise_is_rejected():
         assert sum(quality.in_bands(t, compress)[2] for t in clean) >= 0.98 * len(clean), least
 
 
+def test_long_texts_with_noise_chunks_are_rejected():
+    noise, texts, compress = noise_and_prose()
+    prose = b" ".join(texts)[: 40 * quality.CHUNK_BYTES]
+    for chunks in (8, 9, 20):
+        clean = prose[: chunks * quality.CHUNK_BYTES]
+        assert quality.in_bands(clean, compress)[2]
+        for more in range(-(-chunks // 5), chunks // 2 + 1):
+            assert not quality.in_bands(clean + noise(more * quality.CHUNK_BYTES), compress)[2]
+            at = 2 * quality.CHUNK_BYTES + 1000
+            assert not quality.in_bands(clean[:at] + noise(more * quality.CHUNK_BYTES) + clean[at:], compress)[2]
+
+
 def test_clean_documents_are_kept(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = quality.quality(docs)
