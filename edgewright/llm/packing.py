@@ -24,8 +24,8 @@ from .tokens import PA, library_cache, map_rows, spaced_pieces
 VOCABULARY, END_ID, WINDOW = "byte_bpe_50k.json", 0, 1024
 #: Documents of a shard, on average.
 SHARD_DOCS = 4096
-#: BM25; terms in more than STOP_SHARE of a shard's left-overs tell nothing and are not searched for.
-K1, B, STOP_SHARE = 1.2, 0.75, 0.125
+#: BM25; terms in more than DENSE_SHARE of a shard's left-overs are kept as rows of weights, not as posting lists.
+K1, B, DENSE_SHARE = 1.2, 0.75, 0.125
 
 PIECES = {
     "doc_id": "long", "start": "long", "length": "long", "ids_crc32": "long", "doc_tokens": "long",
@@ -34,10 +34,13 @@ PIECES = {
 
 
 class ShardIndex:
-    """BM25 over a shard's left-overs; token ids are the terms."""
+    """BM25 over a shard's left-overs; token ids are the terms, and every one counts.
+
+    ``alive``: the documents that are still scored; ``keep`` takes the others from the index.
+    """
 
     def __init__(self, texts: list[np.ndarray]):
-        self.n = n = len(texts)
+        n = len(texts)
         found = [np.unique(x, return_counts=True) for x in texts]
         sizes = np.array([len(t) for t, _ in found], np.int64)
         term = np.concatenate([t for t, _ in found]).astype(np.int64) if n else np.empty(0, np.int64)
@@ -47,21 +50,38 @@ class ShardIndex:
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
         length = np.array([len(x) for x in texts], np.float64)
         norm = K1 * (1 - B + B * length / max(length.mean() if n else 1.0, 1.0))
-        weight = idf[term] * tf * (K1 + 1) / (tf + norm[doc])
-        told = (df[term] > 1) & (df[term] <= max(2, STOP_SHARE * n))
-        self.terms = np.split(np.where(told, term, -1), np.cumsum(sizes)[:-1]) if n else []
-        order = np.argsort(term, kind="stable")
-        self.doc, self.weight = doc[order], weight[order]
-        self.end = np.cumsum(df)
-        self.begin = self.end - df
+        weight = (idf[term] * tf * (K1 + 1) / (tf + norm[doc])).astype(np.float32)
+        self.alive = np.arange(n)
+        self.terms = np.split(term, np.cumsum(sizes)[:-1]) if n else []
+        dense = df > max(2, DENSE_SHARE * n)
+        self.row = np.where(dense, np.cumsum(dense) - 1, -1)
+        self.rows = np.zeros((int(dense.sum()), n), np.float32)
+        often = dense[term]
+        self.rows[self.row[term[often]], doc[often]] = weight[often]
+        order = np.flatnonzero(~often)
+        order = order[np.argsort(term[order], kind="stable")]
+        self._post(term[order], doc[order], weight[order])
+
+    def _post(self, term: np.ndarray, doc: np.ndarray, weight: np.ndarray) -> None:
+        self.term, self.doc, self.weight = term, doc, weight
+        size = np.bincount(term, minlength=len(self.row))
+        self.end = np.cumsum(size)
+        self.begin = self.end - size
+
+    def keep(self, wanted: np.ndarray) -> None:
+        """Score only the documents that ``wanted`` marks."""
+        stay = wanted[self.alive]
+        self.alive, self.rows = self.alive[stay], self.rows[:, stay]
+        told = stay[self.doc]
+        self._post(self.term[told], (np.cumsum(stay) - 1)[self.doc[told]], self.weight[told])
 
     def scores(self, i: int) -> np.ndarray:
-        """BM25 of every document for the terms of document i."""
+        """BM25 of the documents ``alive`` for the terms of document i."""
         t = self.terms[i]
-        t = t[t >= 0]
         begin, size = self.begin[t], self.end[t] - self.begin[t]
         at = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
-        return np.bincount(self.doc[at], self.weight[at], self.n)
+        row = self.row[t]
+        return np.bincount(self.doc[at], self.weight[at], len(self.alive)) + self.rows[row[row >= 0]].sum(axis=0)
 
 
 def fill(texts: list[np.ndarray], window: int) -> list[tuple[int, int, int, int, int]]:
@@ -87,16 +107,20 @@ def fill(texts: list[np.ndarray], window: int) -> list[tuple[int, int, int, int,
                 sequence, upto = sequence + 1, 0
                 break
             if score is None:
-                score = np.where(unused, index.scores(seed), -1.0)
-            best = int(score.argmax())
-            if score[best] < 0:
+                left = unused[index.alive]
+                if 4 * left.sum() < 3 * len(left):
+                    index.keep(unused)
+                score = np.where(unused[index.alive], index.scores(seed), -1.0)
+            place = int(score.argmax()) if len(score) else -1
+            if place < 0 or score[place] < 0:
                 doc = None
-            elif score[best] == 0:  # no neighbour is left that shares a term
-                doc = next((i for i in following if unused[i]), best)
+            elif score[place] == 0:  # no neighbour is left that shares a term
+                doc = next((i for i in following if unused[i]), int(index.alive[place]))
             else:
-                doc = best
+                doc = int(index.alive[place])
             if doc is not None:
-                unused[doc], score[doc] = False, -1.0
+                unused[doc] = False
+                score[np.searchsorted(index.alive, doc)] = -1.0
         else:
             return out
 

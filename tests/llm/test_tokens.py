@@ -143,3 +143,33 @@ def test_bm25_neighbours_come_first():
     assert pairs[0] == {0, 2} and pairs[1] == {1, 3}
     index = packing.ShardIndex(topic)
     assert index.scores(0).argsort()[::-1][:2].tolist() in ([0, 2], [2, 0])
+
+
+def test_hot_groups_are_searched():
+    rng = np.random.default_rng(5)
+    copy = rng.integers(0, 500, 100).astype("<u4")
+    texts = [copy if k % 3 == 0 else rng.integers(500, 3000, 100).astype("<u4") for k in range(90)]
+    scores = packing.ShardIndex(texts).scores(0)
+    assert min(scores[::3]) > 0 and not scores[1::3].any() and not scores[2::3].any()
+    first = [doc for doc, _, _, sequence, _ in packing.fill(texts, 1000) if sequence == 0]
+    assert len(first) == 10 and all(doc % 3 == 0 for doc in first)
+    few = [copy[:50]] * 3 + [rng.integers(500, 3000, 50).astype("<u4") for _ in range(3)]
+    assert all(packing.ShardIndex(few).scores(0)[:3] > 0)
+
+
+def plain_scores(texts, i):
+    n, terms = len(texts), [collections.Counter(x.tolist()) for x in texts]
+    mean = sum(map(len, texts)) / n
+    df = collections.Counter(t for x in terms for t in x)
+    idf = {t: np.log1p((n - f + 0.5) / (f + 0.5)) for t, f in df.items()}
+    return [sum(idf[t] * x[t] * 2.2 / (x[t] + 1.2 * (0.25 + 0.75 * len(y) / mean)) for t in terms[i] if t in x) for x, y in zip(terms, texts, strict=True)]
+
+
+def test_scores_are_bm25_over_all_terms():
+    rng = np.random.default_rng(6)
+    texts = [np.minimum(rng.geometric(0.05, rng.integers(1, 200)), 300).astype("<u4") for _ in range(60)]
+    index = packing.ShardIndex(texts)
+    for i in range(60):
+        assert np.allclose(index.scores(i), plain_scores(texts, i), rtol=1e-5)
+    index.keep(np.arange(60) % 4 == 0)
+    assert np.allclose(index.scores(3), plain_scores(texts, 3)[::4], rtol=1e-5)
