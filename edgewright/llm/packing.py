@@ -1,7 +1,7 @@
 """Packing documents into windows of a fixed number of tokens, by lexical retrieval.
 
 A document gives as many full windows as it can; what is left over is packed with others. The left-overs are dealt
-to shards of bounded size. Each shard has a BM25 inverted index over its left-overs; a seed document opens a
+to shards of bounded size. Each shard has a BM25 inverted index over the whole texts of its left-overs; a seed document opens a
 window, its best unused neighbours fill it, and the last of them is cut where the window ends, its rest being the
 next seed. So only the last window of a shard is not full.
 """
@@ -39,16 +39,17 @@ class ShardIndex:
     ``alive``: the documents that are still scored; ``keep`` takes the others from the index.
     """
 
-    def __init__(self, texts: list[np.ndarray]):
+    def __init__(self, texts: list[np.ndarray], found: list[tuple[np.ndarray, np.ndarray]] | None = None):
+        """found: terms and counts of each document where ``texts`` are but their ends."""
         n = len(texts)
-        found = [np.unique(x, return_counts=True) for x in texts]
+        found = [np.unique(x, return_counts=True) for x in texts] if found is None else found
         sizes = np.array([len(t) for t, _ in found], np.int64)
         term = np.concatenate([t for t, _ in found]).astype(np.int64) if n else np.empty(0, np.int64)
         tf = np.concatenate([c for _, c in found]).astype(np.float64) if n else np.empty(0)
         doc = np.repeat(np.arange(n), sizes)
         df = np.bincount(term, minlength=1)
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        length = np.array([len(x) for x in texts], np.float64)
+        length = np.bincount(doc, tf, n)
         norm = K1 * (1 - B + B * length / max(length.mean() if n else 1.0, 1.0))
         weight = (idf[term] * tf * (K1 + 1) / (tf + norm[doc])).astype(np.float32)
         self.alive = np.arange(n)
@@ -84,9 +85,9 @@ class ShardIndex:
         return np.bincount(self.doc[at], self.weight[at], len(self.alive)) + self.rows[row[row >= 0]].sum(axis=0)
 
 
-def fill(texts: list[np.ndarray], window: int) -> list[tuple[int, int, int, int, int]]:
+def fill(texts: list[np.ndarray], window: int, index: ShardIndex | None = None) -> list[tuple[int, int, int, int, int]]:
     """(document, start, length, sequence, offset) of each piece of a shard's left-overs."""
-    index, out = ShardIndex(texts), []
+    index, out = index or ShardIndex(texts), []
     unused = np.array([len(x) > 0 for x in texts])
     at, sequence, upto, seed = [0] * len(texts), 0, 0, None
     following = iter(range(len(texts)))
@@ -126,7 +127,8 @@ def fill(texts: list[np.ndarray], window: int) -> list[tuple[int, int, int, int,
 
 
 def left_overs(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: int, window: int, with_ids: bool) -> DataFrame:
-    """doc_id, row (unique), doc_tokens, crcs (of the full windows), head (their ids, if asked for), tail."""
+    """doc_id, row (unique), doc_tokens, crcs (of the full windows), head (their ids, if asked for), tail, terms (ids
+    of the whole text, ascending, then how often each stands there; none if the tail is empty)."""
 
     def start():
         import zstandard
@@ -140,11 +142,13 @@ def left_overs(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: i
             full = len(ids) // window
             crcs = [zlib.crc32(raw[4 * k * window : 4 * (k + 1) * window]) for k in range(full)]
             head = packed(ids[: full * window], pack) if with_ids else None
-            yield doc_id, next(rows), len(ids), crcs, head, packed(ids[full * window :], pack)
+            tail = ids[full * window :]
+            terms = np.concatenate(np.unique(ids, return_counts=True)) if len(tail) else tail
+            yield doc_id, next(rows), len(ids), crcs, head, packed(tail, pack), packed(terms, pack)
 
         return one
 
-    columns = {"doc_id": "long", "row": "long", "doc_tokens": "long", "crcs": "array<long>", "head": "binary", "tail": "binary"}
+    columns = {"doc_id": "long", "row": "long", "doc_tokens": "long", "crcs": "array<long>", "head": "binary", "tail": "binary", "terms": "binary"}
     return map_rows(docs.select(F.col(id_col), F.col(text_col)), start, columns, 500)
 
 
@@ -169,10 +173,11 @@ def pack(
 
         unpack = zstandard.ZstdDecompressor().decompress
         rows = rows.sort_by("row")
-        ids, total, crcs, tails, heads = (rows[c].to_pylist() for c in ("doc_id", "doc_tokens", "crcs", "tail", "head"))
+        ids, total, crcs, tails, heads, terms = (rows[c].to_pylist() for c in ("doc_id", "doc_tokens", "crcs", "tail", "head", "terms"))
         tails = [unpacked(t, unpack) for t in tails]
+        found = [np.split(unpacked(t, unpack), 2) for t in terms]
         first, out = key[0].as_py() << 32, []
-        pieces = fill(tails, window)
+        pieces = fill(tails, window, ShardIndex(tails, found))
         for doc, start, length, sequence, offset in pieces:
             raw = tails[doc][start : start + length].tobytes()
             out.append((ids[doc], len(crcs[doc]) * window + start, length, zlib.crc32(raw), total[doc], first + sequence, offset, raw))

@@ -173,3 +173,16 @@ def test_scores_are_bm25_over_all_terms():
         assert np.allclose(index.scores(i), plain_scores(texts, i), rtol=1e-5)
     index.keep(np.arange(60) % 4 == 0)
     assert np.allclose(index.scores(3), plain_scores(texts, 3)[::4], rtol=1e-5)
+
+
+def test_long_documents_are_found_by_their_whole_text(spark):
+    words = [["red", "blue", "green", "white"], ["cat", "dog", "horse", "cow"], ["tin", "iron", "copper", "lead"]]
+    texts = [" ".join(random.Random(k).choices(words[k % 3], k=950)) for k in range(30)]
+    docs = spark.createDataFrame([(k, t + " end of the text" * 90) for k, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    tails = collections.defaultdict(set)
+    got = packing.pack(docs).where("length < 1024").collect()
+    for r in got:
+        tails[r.sequence_id].add(r.doc_id)
+    full = [x for x in tails.values() if len(x) > 1]
+    same = sum(len({d % 3 for d in x}) == 1 for x in full)
+    assert len(full) > 8 and same >= len(full) - 4
