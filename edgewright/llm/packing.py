@@ -1,16 +1,20 @@
 """Packing documents into windows of a fixed number of tokens, by lexical retrieval.
 
-A document gives as many full windows as it can; what is left over is packed with others. The left-overs are dealt
-to shards of bounded size. Each shard has a BM25 inverted index over the whole texts of its left-overs; a seed document opens a
-window, its best unused neighbours fill it, and the last of them is cut where the window ends, its rest being the
+A document gives as many full windows as it can; what is left over is packed with others. Document frequencies and
+the average length are counted once, over the whole texts of all documents with a left-over. The left-overs are dealt
+to shards of bounded size in the order of weighted min-hashes of their terms, so documents that share much tend to
+meet. Each shard has a BM25 inverted index over the whole texts; a seed document opens a window, its best unused neighbours fill it, and the last of them is cut where the window ends, its rest being the
 next seed. So only the last window of a shard is not full.
 """
 
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
+from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 from pyspark import TaskContext
@@ -24,6 +28,8 @@ from .tokens import PA, library_cache, map_rows, spaced_pieces
 VOCABULARY, END_ID, WINDOW = "byte_bpe_50k.json", 0, 1024
 #: Documents of a shard, on average.
 SHARD_DOCS = 4096
+#: Documents of each shard, on average, that tell where shards begin; min-hashes of a document's place and their bits.
+SAMPLE_OF_SHARD, HASHES, HASH_BITS = 64, 3, 20
 #: BM25; terms in more than DENSE_SHARE of a shard's left-overs are kept as rows of weights, not as posting lists.
 K1, B, DENSE_SHARE = 1.2, 0.75, 0.125
 
@@ -33,14 +39,98 @@ PIECES = {
 }
 
 
+class Corpus(NamedTuple):
+    """Documents, their average length, and by term the documents that have it."""
+
+    n: int
+    mean: float
+    df: np.ndarray
+
+    def idf(self) -> np.ndarray:
+        return np.log1p((self.n - self.df + 0.5) / (self.df + 0.5))
+
+
+def corpus_of(staged: DataFrame) -> Corpus:
+    """Counted over all rows; the driver gets one row for each term of the vocabulary."""
+
+    def count(batches):
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
+        df, n, tokens = np.zeros(0, np.int64), 0, 0
+        for b in batches:
+            found = [np.split(unpacked(t, unpack), 2) for t in b.column(0).to_pylist()]
+            part = np.bincount(np.concatenate([t for t, _ in found] or [df]).astype(np.int64), minlength=len(df))
+            part[: len(df)] += df
+            df, n, tokens = part, n + sum(len(t) > 0 for t, _ in found), tokens + sum(int(c.sum()) for _, c in found)
+        term = df.nonzero()[0]
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-2, -1, term]), pa.array(np.r_[tokens, n, df[term]])], ["term", "n"])
+
+    rows = staged.select("terms").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    found = dict(zip(*(rows[c].to_pylist() for c in ("term", "n")), strict=True))
+    tokens, n = found.pop(-2, 0), found.pop(-1, 0)
+    df = np.zeros(max(found, default=0) + 1, np.int64)
+    df[list(found)] = list(found.values())
+    return Corpus(n, tokens / max(n, 1), df)
+
+
+def places(corpus: Corpus):
+    """A function from documents' terms to one number each. It is made of HASHES min-hashes, weighted by IDF, of the
+    terms that two documents or more have; two documents agree in one as often as their weighted terms do."""
+    ranks, last = [], (1 << HASH_BITS) - 1
+    with np.errstate(divide="ignore"):
+        for k in range(HASHES):
+            chance = -np.log(1 - np.random.default_rng(k).random(len(corpus.df))) / corpus.idf()
+            rank = np.empty(len(chance), np.int64)
+            rank[np.argsort(chance, kind="stable")] = np.arange(len(chance))
+            ranks.append(np.where(corpus.df > 1, np.minimum(rank, last), last))
+
+    def place(terms: list[np.ndarray]) -> np.ndarray:
+        ends = np.cumsum([len(t) + 1 for t in terms])
+        out = np.zeros(len(terms), np.int64)
+        for rank in ranks:
+            both = np.concatenate([np.append(rank[t], last) for t in terms])
+            out = out << HASH_BITS | np.minimum.reduceat(both, np.r_[0, ends[:-1]])
+        return out
+
+    return place
+
+
+def dealt(staged: DataFrame, corpus: Corpus, rows: int, shard_docs: int) -> DataFrame:
+    """``staged`` with its shard: rows in the order of their place, and of their number where that is equal, cut at
+    places that a sample by a hash of the row number gives."""
+
+    def placed(bounds):
+        def run(terms: pd.Series, row: pd.Series) -> pd.Series:
+            import zstandard
+
+            unpack = zstandard.ZstdDecompressor().decompress
+            if not len(terms):
+                return pd.Series([], dtype="int64")
+            at = places_of([np.split(unpacked(t, unpack), 2)[0] for t in terms])
+            return pd.Series(at if bounds is None else [bisect_right(bounds, x) for x in zip(at.tolist(), row.tolist(), strict=True)], dtype="int64")
+
+        return F.pandas_udf(run, "long")("terms", "row")
+
+    shards = max(1, -(-rows // shard_docs))
+    if shards == 1:
+        return staged.withColumn("shard", F.lit(0).cast("long"))
+    places_of = places(corpus)
+    some = staged.where(F.pmod(F.xxhash64("row"), F.lit(max(1, shard_docs // SAMPLE_OF_SHARD))) == 0)
+    some = some.select(placed(None).alias("place"), "row").toArrow()
+    some = sorted(zip(*(some[c].to_pylist() for c in ("place", "row")), strict=True))
+    return staged.withColumn("shard", placed([some[k * len(some) // shards] for k in range(1, shards)] if some else []))
+
+
 class ShardIndex:
     """BM25 over a shard's left-overs; token ids are the terms, and every one counts.
 
     ``alive``: the documents that are still scored; ``keep`` takes the others from the index.
     """
 
-    def __init__(self, texts: list[np.ndarray], found: list[tuple[np.ndarray, np.ndarray]] | None = None):
-        """found: terms and counts of each document where ``texts`` are but their ends."""
+    def __init__(self, texts: list[np.ndarray], found: list[tuple[np.ndarray, np.ndarray]] | None = None, corpus: Corpus | None = None):
+        """found: terms and counts of each document where ``texts`` are but their ends. corpus: what the statistics
+        are of; these documents, if not given."""
         n = len(texts)
         found = [np.unique(x, return_counts=True) for x in texts] if found is None else found
         sizes = np.array([len(t) for t, _ in found], np.int64)
@@ -48,9 +138,10 @@ class ShardIndex:
         tf = np.concatenate([c for _, c in found]).astype(np.float64) if n else np.empty(0)
         doc = np.repeat(np.arange(n), sizes)
         df = np.bincount(term, minlength=1)
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
         length = np.bincount(doc, tf, n)
-        norm = K1 * (1 - B + B * length / max(length.mean() if n else 1.0, 1.0))
+        corpus = corpus or Corpus(n, length.mean() if n else 1.0, df)
+        idf = corpus.idf()
+        norm = K1 * (1 - B + B * length / max(corpus.mean, 1.0))
         weight = (idf[term] * tf * (K1 + 1) / (tf + norm[doc])).astype(np.float32)
         self.alive = np.arange(n)
         self.terms = np.split(term, np.cumsum(sizes)[:-1]) if n else []
@@ -161,10 +252,10 @@ def pack(
 
     Every id of every document, its end id included, lies in exactly one piece. A null text counts as empty: its
     end id alone. Repeated rows are documents of their own, null ids pass through, other columns are not read,
-    empty in, empty out. Shards are dealt by a hash of the row number, so copies spread like other documents.
+    empty in, empty out. Copies lie in one shard, or in several neighbouring ones if they are too many for one.
     """
     staged = cut(left_overs(docs, id_col, text_col, tokenizer or public_tokenizers.path(VOCABULARY), end_id, window, with_ids), "left_overs")
-    shards = max(1, -(-staged.count() // shard_docs))
+    corpus, rows = corpus_of(staged), staged.count()
     columns = PIECES | ({"ids": "binary"} if with_ids else {})
     schema = pa.schema([(c, PA[t]) for c, t in columns.items()])
 
@@ -177,7 +268,7 @@ def pack(
         tails = [unpacked(t, unpack) for t in tails]
         found = [np.split(unpacked(t, unpack), 2) for t in terms]
         first, out = key[0].as_py() << 32, []
-        pieces = fill(tails, window, ShardIndex(tails, found))
+        pieces = fill(tails, window, ShardIndex(tails, found, corpus))
         for doc, start, length, sequence, offset in pieces:
             raw = tails[doc][start : start + length].tobytes()
             out.append((ids[doc], len(crcs[doc]) * window + start, length, zlib.crc32(raw), total[doc], first + sequence, offset, raw))
@@ -190,8 +281,7 @@ def pack(
         values = list(zip(*out, strict=True)) or [()] * 8
         return pa.table([pa.array(v, f.type) for v, f in zip(values, schema, strict=False)], schema=schema)
 
-    dealt = staged.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInArrow(shard, ", ".join(f"`{c}` {t}" for c, t in columns.items()))
+    return dealt(staged, corpus, rows, shard_docs).groupBy("shard").applyInArrow(shard, ", ".join(f"`{c}` {t}" for c, t in columns.items()))
 
 
 def op6_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 from edgewright.llm import bpe_tree, packing, token_store
-from edgewright.llm.common import shared_dir
+from edgewright.llm.common import cut, shared_dir
 from edgewright.llm.tokens import PieceCache, bare_pieces, library_cache, spaced_pieces
 
 ODD = ["", "a" * 5000, "ab" * 3000, " \n \t x  y\n", "\x1c a\x1c b  \x1c", "don't 'll  we've!!  ... 12 3a", " x", " ", "  ", "　a　 b", "é" * 700 + "́", "the" * 2000]
@@ -186,3 +186,24 @@ def test_long_documents_are_found_by_their_whole_text(spark):
     full = [x for x in tails.values() if len(x) > 1]
     same = sum(len({d % 3 for d in x}) == 1 for x in full)
     assert len(full) > 8 and same >= len(full) - 4
+
+
+def test_statistics_cover_all_and_copies_meet(spark):
+    rng = random.Random(8)
+    words = [a + b + c for a in "bdfgk" for b in "aeiou" for c in ("lor", "min", "tas", "vek", "zun", "pir")]
+    texts = [" ".join(rng.choices(words, k=60)) for _ in range(300)]
+    docs = spark.createDataFrame([(k % 300, texts[k % 300]) for k in range(600)] + [(1000, texts[0])] * 150, "doc_id long, text string").repartition(3)
+    staged = cut(packing.left_overs(docs, "doc_id", "text", P.path("byte_bpe_50k.json"), 0, 1024, False), "left_overs")
+    corpus = packing.corpus_of(staged)
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    ids = [np.array([*tok.encode(r.text).ids, 0]) for r in docs.collect()]
+    assert corpus.n == 750 and corpus.mean == sum(map(len, ids)) / 750
+    df = np.bincount(np.concatenate([np.unique(x) for x in ids]))
+    assert corpus.df.tolist() == df.tolist()
+    got = packing.dealt(staged, corpus, 750, 100).collect()
+    sizes = collections.Counter(r.shard for r in got)
+    assert len(sizes) == 8 and max(sizes.values()) < 150
+    shards = collections.defaultdict(set)
+    for r in got:
+        shards[r.doc_id].add(r.shard)
+    assert sum(len(shards[k]) == 1 for k in range(1, 300)) > 285 and len(shards[1000]) <= 3
