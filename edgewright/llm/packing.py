@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, table
 from .token_store import packed, unpacked
-from .tokens import PA, library_cache, map_rows, spaced_pieces
+from .tokens import PA, map_rows, whole_encoder
 
 VOCABULARY, END_ID, WINDOW = "byte_bpe_50k.json", 0, 1024
 #: Documents of a shard, on average.
@@ -224,13 +224,12 @@ def left_overs(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: i
     def start():
         import zstandard
 
-        cache, pack = library_cache(path), zstandard.ZstdCompressor(level=1).compress
+        encode, pack = whole_encoder(path), zstandard.ZstdCompressor(level=1).compress
         rows = iter(range(TaskContext.get().partitionId() << 33, 1 << 63))
 
         def one(doc_id, text):
-            raw = cache.encode(spaced_pieces(text or "")) + end_id.to_bytes(4, "little")
-            ids = np.frombuffer(raw, "<u4")
-            full = len(ids) // window
+            ids = np.append(encode(text or ""), np.uint32(end_id))
+            raw, full = memoryview(ids).cast("B"), len(ids) // window
             crcs = [zlib.crc32(raw[4 * k * window : 4 * (k + 1) * window]) for k in range(full)]
             head = packed(ids[: full * window], pack) if with_ids else None
             tail = ids[full * window :]

@@ -13,6 +13,8 @@ import struct
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -24,6 +26,8 @@ _RUNS = re.compile(f"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+")
 PUNCTUATION = ".,;:!?|"
 #: Encoded pieces in each of a worker's two generations, and the longest piece worth keeping.
 CACHED_PIECES, CACHED_CHARS = 500_000, 48
+#: A longer run of white space, or of anything else, is left to the library.
+UNCUT = 100_000
 
 
 def spaced_pieces(text: str) -> list[str]:
@@ -121,7 +125,8 @@ class Words:
             ranks.setdefault(both, len(ranks))
         ids = {raw(t): i for t, i in model["vocab"].items() if all(c in byte_of for c in (t[: -len(mark)] if mark and t.endswith(mark) else t))}
         self.ids = [ids.get(b, -1) for b in sorted(ranks, key=ranks.get)]
-        self.ranks_of = tiktoken.Encoding("merges", pat_str=".", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        self.engine = tiktoken.Encoding("merges", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.ranks_of = self.engine._core_bpe.encode_single_piece
         self.end, self.spaced = b"\xff" if mark else b"", not mark
 
     def knows(self, word: str) -> bool:
@@ -151,6 +156,21 @@ def library_cache(path: str) -> PieceCache:
     return PieceCache(encode_new, folded if lowers else str)
 
 
+@lru_cache(maxsize=2)
+def whole_encoder(path: str) -> Callable[[str], np.ndarray]:
+    """For a byte-level file whose pattern is ``public_tokenizers.PATTERN``: the ids (unsigned 32-bit) of a whole
+    text, by the file's merges. Stretches without a place to cut (``UNCUT`` characters) go through the library."""
+    words = Words(path)
+    table, encode = np.array(words.ids, "<u4"), words.engine.encode_ordinary
+
+    def run(text: str) -> np.ndarray:
+        if len(text) > UNCUT and any(len(m) > UNCUT for m in _RUNS.findall(text)):
+            return np.frombuffer(library_cache(path).encode(spaced_pieces(text)), "<u4")
+        return table[np.array(encode(text), np.int64)]
+
+    return run
+
+
 PA = {
     "long": pa.int64(),
     "int": pa.int32(),

@@ -6,13 +6,14 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow.parquet as pq
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
 from edgewright.llm import bpe_tree, packing, token_store
 from edgewright.llm.common import cut, shared_dir
-from edgewright.llm.tokens import PieceCache, bare_pieces, library_cache, spaced_pieces
+from edgewright.llm.tokens import bare_pieces, library_cache, spaced_pieces, whole_encoder
 
 ODD = ["", "a" * 5000, "ab" * 3000, " \n \t x  y\n", "\x1c a\x1c b  \x1c", "don't 'll  we've!!  ... 12 3a", " x", " ", "  ", "　a　 b", "é" * 700 + "́", "the" * 2000]
 ODD += ["Ωσς ΑΣ", "µm ªº ß ÀÉ", "<|endoftext|> <|startoftext|>", "word. word, word|", "İstanbul ǅ", "\x85x\x85 y"]
@@ -37,25 +38,46 @@ def test_pieces_give_the_library_ids(name, pieces):
         assert ids_of(cache.encode(pieces(t))) == tok.encode(t, add_special_tokens=False).ids
 
 
+def test_whole_texts_give_the_library_ids(monkeypatch):
+    tok, encode = Tokenizer.from_file(P.path("byte_bpe_50k.json")), whole_encoder(P.path("byte_bpe_50k.json"))
+    tok.encode_special_tokens = True
+    for uncut in (100_000, 50):
+        monkeypatch.setattr("edgewright.llm.tokens.UNCUT", uncut)
+        for t in texts():
+            assert encode(t).tolist() == tok.encode(t, add_special_tokens=False).ids
+
+
 def encoder():
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path(bpe_tree.VOCABULARY), "rb"))}
     return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-@pytest.mark.parametrize("leaf", [64, 2, 1])
-def test_tree_joins_give_the_library_ids(leaf):
-    enc, tree = encoder(), bpe_tree.TreeBPE(P.path(bpe_tree.VOCABULARY), leaf=leaf)
-    cache = PieceCache(lambda new: map(tree.encode_piece, new), limit=500)
-    for t in texts():
+@pytest.mark.parametrize(("leaf", "long_window"), [(64, 256), (32, 64), (7, 0), (3, 8), (1, 2), (1, 0)])
+def test_tree_joins_give_the_library_ids(leaf, long_window):
+    enc, tree = encoder(), bpe_tree.TreeBPE(P.path(bpe_tree.VOCABULARY), leaf=leaf, long_window=long_window)
+    hard = ["é" * 3000 + " x", "'s't'll" * 900, "a'll b" * 500, "  \n" * 400 + "x", " " * 3000, "don't" * 300 + "'" * 300]
+    for t in texts() + hard:
         want = enc.encode_ordinary(t)
-        assert ids_of(cache.encode(spaced_pieces(t))) == want
+        assert tree.encode(t) == want
         assert tree.decode(want) == t.encode()
+    assert tree.joins > 1000
     assert tree.decode(list(range(200)) * 500) == b"".join(tree.bytes_of[:200]) * 500
 
 
+def test_documents_go_through_joins():
+    enc, tree = encoder(), bpe_tree.TreeBPE(P.path(bpe_tree.VOCABULARY))
+    found = [t or "" for t in pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist()]
+    long = sum(len(t) > 2 * tree.leaf for t in found)
+    for t in found:
+        before = tree.joins
+        assert tree.encode(t) == enc.encode_ordinary(t)
+        long -= len(t) > 2 * tree.leaf and tree.joins > before
+    assert long <= 2 and tree.joins * 150 > sum(map(len, found))
+
+
 def test_encode_documents(spark):
     enc = encoder()
-    docs = spark.createDataFrame(DOCS, "doc_id long, text string")
+    docs = spark.createDataFrame([(*r, 1, b"z", "q") for r in DOCS], "doc_id long, text string, ids long, decoded binary, n_tokens string")
     got = bpe_tree.encode_documents(docs).collect()
     assert collections.Counter((r.doc_id, tuple(ids_of(r.ids)), bytes(r.decoded)) for r in got) == collections.Counter((i, tuple(enc.encode_ordinary(t or "")), (t or "").encode()) for i, t in DOCS)
     assert bpe_tree.encode_documents(docs.limit(0), digest=True).count() == 0
