@@ -2,7 +2,8 @@
 
 Texts are compared after each run of ASCII white space became one space. Candidates are refined in three
 steps: equal length, then equal prefix hash, then equal full hash; a row leaves as soon as it is alone. What
-travels between the steps is a narrow table (id, length, prefix hash, full hash), never the text.
+travels between the steps is a narrow table (id, length, prefix hash, full hash), never the text. The full hash is
+made in the scan that reads the text anyway, because every row returns it; it is compared only in groups that are left.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Other columns of ``docs`` are not looked at; an empty table gives an empty result. Long texts are hashed
     where they lie.
 
-    Skew: every grouping has a map-side count, and the joins are plain equi-joins, whose hot keys adaptive
-    execution splits.
+    Skew: every grouping has a map-side count, and is written before it is joined. Both sides of each join are then
+    sorted straight from a shuffle, the form in which adaptive execution splits a hot length, prefix or text.
     """
     text = normalised(text_of(text_col))
     scanned = docs.select(F.col(id_col).alias("doc_id"), text.alias("_t")).select(
@@ -41,16 +42,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = cut(scanned.groupBy("doc_id", "n_len", "prefix", "text_sha256").agg(F.count("*").alias("copies")), "hashes")
 
     many = F.sum("copies") > 1
-    same_length = rows.groupBy("n_len").agg(many.alias("more")).where("more").drop("more")
-    left = rows.join(same_length, "n_len", "left_semi")
-    same_prefix = left.groupBy("n_len", "prefix").agg(many.alias("more")).where("more").drop("more")
-    left = left.join(same_prefix, ["n_len", "prefix"], "left_semi")
-    groups = (
-        left.groupBy("n_len", "prefix", "text_sha256")
-        .agg(F.min("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
-        .where("group_size > 1")
-        .withColumn("found", F.lit(True))
-    )
+    left = rows
+    for keys, name in ((["n_len"], "length"), (["n_len", "prefix"], "prefix")):
+        more = cut(left.groupBy(*keys).agg(many.alias("more")).where("more").drop("more"), f"more_{name}")
+        left = cut(left.join(more, keys, "left_semi"), f"same_{name}")
+    groups = left.groupBy("n_len", "prefix", "text_sha256").agg(F.min("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
+    groups = cut(groups.where("group_size > 1").withColumn("found", F.lit(True)), "groups")
     found = F.coalesce("found", F.lit(False))
     out = rows.join(groups, ["n_len", "prefix", "text_sha256"], "left").select(
         "doc_id",
