@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, table, text_of
 from .components import connected_components
 from .tokens import map_rows
 
@@ -121,7 +121,7 @@ def fingerprint_links(prints: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     pair = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def joined(batches):
-        held_fp, held_cell = np.empty(0, np.uint64), np.empty(0, np.int64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # of the cell whose end has not come yet
 
         def links(fp, cell):
             found = cell_links(fp, cell, bits)
@@ -129,13 +129,27 @@ def fingerprint_links(prints: DataFrame, bits: int = MAX_BITS) -> DataFrame:
                 ab = np.concatenate(found, axis=1).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(ab[0]), pa.array(ab[1])], schema=pair)
 
+        def closed():
+            yield from links(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            held.clear()
+
         for b in batches:
             cell, fp = b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64)
-            cell, fp = np.concatenate([held_cell, cell]), np.concatenate([held_fp, fp])
-            last = int(np.searchsorted(cell, cell[-1], "left")) if len(cell) else 0
+            if not len(cell):
+                continue
+            first = int(np.searchsorted(cell, cell[0], "right"))
+            if held and held[0][1][0] == cell[0]:  # the cell goes on
+                held.append((fp[:first], cell[:first]))
+                cell, fp = cell[first:], fp[first:]
+                if not len(cell):
+                    continue
+            if held:
+                yield from closed()
+            last = int(np.searchsorted(cell, cell[-1], "left"))
             yield from links(fp[:last], cell[:last])
-            held_cell, held_fp = cell[last:], fp[last:]
-        yield from links(held_fp, held_cell)
+            held.append((fp[last:], cell[last:]))
+        if held:
+            yield from closed()
 
     spark = prints.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -143,37 +157,51 @@ def fingerprint_links(prints: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     return dealt.mapInArrow(joined, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, bits: int = MAX_BITS) -> DataFrame:
-    """One row per input row: doc_id, fp (long), component_id, the smallest id among all texts reachable by links.
-
-    Texts without a word (null, empty) have fingerprint 0 and are linked like any other. Equal fingerprints are
-    one node, so copies cost no links; no cell is capped. Null ids never give a component its id unless it has no
-    other. Repeated rows get the same component. Other columns are not read; empty in, empty out.
-    """
+def components_of_rows(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, bits: int) -> DataFrame:
+    """doc_id, key (a hash of the text), fp, label (the smallest fingerprint of the component), component_id."""
 
     def start():
-        def one(doc_id, text):
+        def one(doc_id, key, text):
             fp = fingerprint(text, shingle_words)
-            yield doc_id, fp - (1 << 64) if fp >> 63 else fp
+            yield doc_id, key, fp - (1 << 64) if fp >> 63 else fp
 
         return one
 
-    rows = cut(map_rows(docs.select(F.col(id_col), F.col(text_col)), start, {"doc_id": "long", "fp": "long"}), "prints")
+    read = docs.select(F.col(id_col), F.xxhash64(text_of(text_col)), F.col(text_col))
+    rows = cut(map_rows(read, start, {"doc_id": "long", "key": "long", "fp": "long"}), "prints")
     prints = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     links = fingerprint_links(prints.select("fp"), bits)
     labels = connected_components(links)
     nodes = prints.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    smallest = nodes.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    of_print = nodes.join(smallest, "label").select("fp", "component_id")
-    return rows.join(of_print, "fp").select("doc_id", "fp", "component_id")
+    nodes = cut(nodes, "nodes")  # this and the minima are written, so a hot label's join can be split
+    smallest = cut(nodes.groupBy("label").agg(F.min("first_id").alias("component_id")), "smallest")
+    of_print = nodes.join(smallest, "label").select("fp", "label", "component_id")
+    return rows.join(of_print, "fp")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` whose id is their component's smallest, with all their columns; of rows repeated with
-    that id in one component, all stay."""
-    found = near_duplicates(docs, id_col, text_col, **how)
-    gone = found.where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, bits: int = MAX_BITS) -> DataFrame:
+    """One row per input row: doc_id, fp (long), component_id, the smallest id among all texts reachable by links.
+
+    Texts without a word (null, empty) have fingerprint 0 and are linked like any other. Equal fingerprints are
+    one node, so copies cost no links; no cell is capped. Null ids never give a component its id unless it has no
+    other. Repeated rows get the same component. Other columns are not read; empty in, empty out.
+    """
+    return components_of_rows(docs, id_col, text_col, shingle_words, bits).select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, bits: int = MAX_BITS) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: one document of each component, that with the smallest
+    id (a null id is the largest), and of several with that id the one whose text has the smallest hash.
+
+    Each row is judged by its own text: rows with one id and texts of different components stay or go on their own.
+    Rows repeated with one id and text are one document, all or none of them stay.
+    """
+    found = components_of_rows(docs, id_col, text_col, shingle_words, bits)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
+    stays = found.groupBy("label").agg(first).select(F.col("first.doc_id").alias("_stays"), F.col("first.key").alias("_stays_key"))
+    keyed = docs.withColumn("_near_key", F.xxhash64(text_of(text_col)))
+    same = (F.col("_near_key") == F.col("_stays_key")) & F.col(id_col).eqNullSafe(F.col("_stays"))
+    return keyed.join(stays, same, "left_semi").select(*docs.columns)
 
 
 def op3_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -118,3 +118,57 @@ def test_near_duplicates_against_brute_force(spark):
     want = collections.Counter((r.doc_id, signed(brute_fingerprint(r.text)), smallest[component[brute_fingerprint(r.text)]]) for r in rows)
     assert collections.Counter(map(tuple, simhash.near_duplicates(docs).collect())) == want
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_keep_one_judges_each_row_by_its_own_text(spark):
+    near = lambda n: " ".join(f"word{k}" for k in range(400)) + f" end{n}"
+    other = lambda c: " ".join(c + str(k) for k in range(50))
+    rows = [(3, near(1)), (5, near(1)), (5, other("b")), (7, near(2)), (None, other("q")), (None, other("q")), (None, near(3)), (9, None), (10, ""), (11, other("r")), (11, other("r"))]
+    docs = spark.createDataFrame([(*r, "x", 1, 2) for r in rows], "doc_id long, text string, label string, fp long, key long")
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    component = brute_components([brute_fingerprint(t) for _, t in rows])
+    groups = collections.defaultdict(list)
+    for i, t in rows:
+        groups[component[brute_fingerprint(t)]].append((i is None, i or 0, t or ""))
+    got = collections.Counter((r.doc_id, r.text or "") for r in kept.collect())
+    assert len(got) == len(groups) and sum(got.values()) == len(groups) + 2
+    for members in groups.values():
+        least = min(m[:2] for m in members)
+        assert sum(n > 0 for (i, t), n in got.items() if (i is None, i or 0) == least and (i is None, i or 0, t) in members) == 1
+    assert got[(5, other("b"))] == 1 and (5, near(1)) not in got and got[(3, near(1))] == 1 and got[(None, other("q"))] == 2
+    assert simhash.keep_one(docs.limit(0)).count() == 0
+
+
+def test_cells_over_many_batches(spark):
+    rng = random.Random(9)
+    base = rng.getrandbits(64)
+    fps = {base ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for _ in range(300)}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        links = simhash.fingerprint_links(spark.createDataFrame([(signed(f),) for f in fps], "fp long"))
+        labels = connected_components(links).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r.node for r in labels} == {signed(f) for f in fps} and len({r.label for r in labels}) == len(set(brute_components(fps).values()))
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_hot_keys_can_be_split(spark):
+    """Both sides of a join are sorted straight from a shuffle, so adaptive execution splits a hot length."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "8k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "64"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        docs = spark.range(60_000).selectExpr("id AS doc_id", "IF(id % 3 = 0, 'one hot text', concat('text ', id)) AS text").repartition(8)
+        out = exact_dedup.exact_dedup(docs)
+        assert out.where("kept").count() == 40_001
+        out.collect()
+        assert "skew=true" in plan_of(out)
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
