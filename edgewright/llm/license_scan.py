@@ -1,9 +1,10 @@
 """License scan by diagonal voting (native DataFrame operations only).
 
 Every word k-gram of every text is joined by its hash to the places where that k-gram stands in a template. A
-match votes for the diagonal ``place in the text - place in the template``. Neighbouring diagonals of a template
-are merged, so a few words more or less do not break a span, and a merged span is verified by how much of the
-template it has. A phrase is a template whose k-grams must all lie on one diagonal.
+match votes for the diagonal ``place in the text - place in the template``. Each diagonal is merged with its
+neighbours, so a few words more or less do not break a span, and a merged span is verified by the template words that
+its matches cover, each counted once: a fragment said many times is no license. The span is as long as the template and
+twice the band at most. A phrase is a template whose k-grams must all lie on one diagonal.
 """
 
 from __future__ import annotations
@@ -58,7 +59,7 @@ TEMPLATES = (
     ("this is free and unencumbered software released into the public domain", "unlicense"),
     ("all rights reserved no part of this publication may be reproduced", "proprietary"),
 )
-#: Diagonals this near are one span; the share of a template's k-grams that makes a span its license.
+#: Diagonals this near to one are merged with it; the share of a template's words that makes a span its license.
 BAND, LEAST_COVERAGE = 4, 0.8
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -104,36 +105,42 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
         marked.join(F.broadcast(known), "h")
         .where(F.when(F.col("template") < 0, F.col("p") == 0).otherwise((F.col("p") > 0) & same))
         .select(
-            "doc_id", "text_hash", "template", "label", "phrase", "n_grams", (F.col("p") - 1).alias("at"),
+            "doc_id", "text_hash", "template", "label", "phrase", "n_grams", "place", (F.col("p") - 1).alias("at"),
             (F.col("p") - 1 - F.col("place")).alias("diagonal"),
             F.when(F.col("template") < 0, F.size("words")).cast("long").alias("n_words"),
         )
     )
     doc = ["doc_id", "text_hash"]
     votes = hits.groupBy(*doc, "template", "label", "phrase", "n_grams", "diagonal").agg(
-        F.count("*").alias("votes"), F.min("at").alias("low"), F.max("at").alias("high"), F.max("n_words").alias("n_words"), F.sum(F.lit(1)).alias("copies"),
+        F.sort_array(F.collect_set("place")).alias("places"), F.min("at").alias("low"), F.max("at").alias("high"),
+        F.max("n_words").alias("n_words"), F.count("*").alias("copies"),
     )
     votes = cut(votes, "votes")  # one scan of the texts; what follows reads a few narrow rows
     documents = votes.where("template < 0").select(*doc, "copies", "n_words")
-    per_copy = votes.where("template >= 0").drop("copies", "n_words").join(documents.select(F.col("doc_id").alias("i"), F.col("text_hash").alias("x"), "copies"), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_hash") == F.col("x"))).withColumn("votes", F.col("votes") / F.col("copies"))
-    places = per_copy.where("phrase AND votes >= n_grams").select(
+    known = votes.where("template >= 0").drop("copies", "n_words")
+    places = known.where("phrase AND size(places) = n_grams").select(
         *doc, "label", "phrase", F.col("diagonal").cast("long").alias("first_word"), F.col("diagonal").cast("long").alias("last_word"), F.lit(1.0).alias("coverage"),
     )
     along = Window.partitionBy(*doc, "template").orderBy("diagonal")
+    near = along.rangeBetween(-BAND, BAND)
+    merged = known.where("NOT phrase").withColumns({
+        "places": F.array_distinct(F.flatten(F.collect_list("places").over(near))), "low": F.min("low").over(near), "high": F.max("high").over(near),
+    })
+    covered = F.size(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + K - 1)))))
+    merged = merged.withColumn("coverage", F.size("places") / F.col("n_grams")).where(covered / (F.col("n_grams") + K - 1) >= LEAST_COVERAGE)
     apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(along) > BAND, F.lit(True)).cast("int")
-    merged = per_copy.where("NOT phrase").withColumn("apart", apart)
-    merged = merged.withColumn("span", F.sum("apart").over(along)).groupBy(*doc, "template", "label", "phrase", "n_grams", "span")
-    merged = merged.agg(F.sum("votes").alias("votes"), F.min("low").alias("low"), F.max("high").alias("high"))
-    coverage = F.least(F.lit(1.0), F.col("votes") / F.col("n_grams"))
-    spans = merged.select(
-        *doc, "label", "phrase", F.col("low").cast("long").alias("first_word"), (F.col("high") + K - 1).cast("long").alias("last_word"), coverage.alias("coverage"),
-    ).where(F.col("coverage") >= LEAST_COVERAGE)
+    spans = merged.withColumn("apart", apart).withColumn("span", F.sum("apart").over(along))
+    best = F.max(F.struct("coverage", (-F.col("low")).alias("low"), "high")).alias("best")
+    spans = spans.groupBy(*doc, "template", "label", "phrase", "span").agg(best).select(
+        *doc, "label", "phrase", (-F.col("best.low")).cast("long").alias("first_word"), (F.col("best.high") + K - 1).cast("long").alias("last_word"), F.col("best.coverage").alias("coverage"),
+    )
     return documents, places.unionByName(spans)
 
 
 def license_labels(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score; see
-    ``scan``. Score: the largest coverage of a span, 1 for a phrase, 0 for nothing."""
+    ``scan``. Score: the largest share of a template's k-grams that a verified span has, 1 for a phrase, 0 for
+    nothing."""
     documents, spans = scan(docs, id_col, text_col)
     base = F.when(F.col("phrase"), F.col("first_word"))
     found = spans.groupBy("doc_id", "text_hash").agg(
@@ -156,33 +163,38 @@ def op4_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    """The same result with lists: places where all words of a phrase stand, and votes of 3-grams by diagonal."""
-    values = ", ".join(
-        f"({n}, '{words}', '{label}', {phrase})"
-        for n, (words, label, phrase) in enumerate([(w, x, "true") for w, x in PHRASES] + [(w, x, "false") for w, x in TEMPLATES])
-    )
+    """The same result word by word: where all words of a phrase stand; and for each word of a text that starts three
+    words of a template, which template words and 3-grams lie within BAND words of that alignment."""
+    phrases = ", ".join(f"('{words}', '{label}')" for words, label in PHRASES)
+    templates = ", ".join(f"({n}, '{words}', '{label}')" for n, (words, label) in enumerate(TEMPLATES))
     return rf"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id,
          list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                         '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
   FROM documents),
-t AS (SELECT n, string_split(words, ' ') AS w, label, phrase FROM (VALUES {values}) v(n, words, label, phrase)),
-tg AS (SELECT n, label, phrase, len(w) - 2 AS n_grams, i - 1 AS place, list_slice(w, i, i + 2) AS g
-       FROM (SELECT *, unnest(range(1, len(w) - 1)) AS i FROM t)),
-dg AS (SELECT r, i - 1 AS pos, list_slice(w, i, i + 2) AS g FROM (SELECT *, unnest(range(1, len(w) - 1)) AS i FROM d)),
-v AS (SELECT r, n, label, phrase, n_grams, pos - place AS diag, count(*) AS votes
-      FROM dg JOIN tg ON dg.g = tg.g GROUP BY ALL),
-p AS (SELECT r, label, true AS phrase, diag AS f, 1.0::DOUBLE AS coverage FROM v WHERE phrase AND votes = n_grams),
-s AS (SELECT *, sum(apart) OVER (PARTITION BY r, n ORDER BY diag) AS span
-      FROM (SELECT *, CASE WHEN diag - lag(diag) OVER (PARTITION BY r, n ORDER BY diag) <= {BAND} THEN 0 ELSE 1 END AS apart
-            FROM v WHERE NOT phrase)),
-m AS (SELECT r, label, false AS phrase, NULL::BIGINT AS f, least(1.0, sum(votes)::DOUBLE / any_value(n_grams)) AS coverage
-      FROM s GROUP BY r, n, label, span),
-a AS (SELECT * FROM p UNION ALL SELECT * FROM m WHERE coverage >= {LEAST_COVERAGE}),
-g AS (SELECT r, count(*) FILTER (phrase) AS n_base, min(f) AS first_word, max(f) AS last_word,
-             coalesce(array_to_string(list_sort(list_distinct(list(label) FILTER (phrase))), ','), '') AS base_labels,
-             array_to_string(list_sort(list_distinct(list(label))), ',') AS labels, max(coverage) AS score
+word AS (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) - 1 AS i FROM d),
+pw AS (SELECT words, label, string_split(words, ' ') AS pl FROM (VALUES {phrases}) v(words, label)),
+p AS (SELECT d.r, label, i FROM word JOIN pw ON x = pl[1] JOIN d ON d.r = word.r
+      WHERE list_slice(w, i + 1, i + len(pl)) = pl),
+tw AS (SELECT n, label, string_split(words, ' ') AS tl FROM (VALUES {templates}) v(n, words, label)),
+three AS (SELECT n, label, len(tl) AS size, tl[k] AS x, tl[k + 1] AS y, tl[k + 2] AS z, k - 1 AS place
+          FROM (SELECT *, unnest(range(1, len(tl) - 1)) AS k FROM tw)),
+hit AS (SELECT a.r, n, label, size, place, a.i - place AS diag
+        FROM word a JOIN word b ON a.r = b.r AND b.i = a.i + 1 JOIN word c ON a.r = c.r AND c.i = a.i + 2
+        JOIN three t ON a.x = t.x AND b.x = t.y AND c.x = t.z),
+centre AS (SELECT DISTINCT r, n, label, size, diag FROM hit),
+around AS (SELECT DISTINCT c.r, c.n, c.label, c.size, c.diag, h.place
+           FROM centre c JOIN hit h ON c.r = h.r AND c.n = h.n AND abs(c.diag - h.diag) <= {BAND}),
+said AS (SELECT r, n, diag, count(DISTINCT place + o) AS words
+         FROM around CROSS JOIN (VALUES (0), (1), (2)) v(o) GROUP BY ALL),
+span AS (SELECT r, label, count(*) / (any_value(size) - 2)::DOUBLE AS coverage
+         FROM around JOIN said USING (r, n, diag) GROUP BY r, n, label, diag
+         HAVING any_value(words) >= {LEAST_COVERAGE} * any_value(size)),
+a AS (SELECT r, label, i, 1.0::DOUBLE AS coverage FROM p UNION ALL SELECT r, label, NULL, coverage FROM span),
+g AS (SELECT r, count(i) AS n_base, min(i) AS first_word, max(i) AS last_word,
+             coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (i IS NOT NULL), '') AS base_labels,
+             string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(coverage) AS score
       FROM a GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word,
        last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,

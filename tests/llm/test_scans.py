@@ -1,4 +1,5 @@
 import collections
+import random
 import re
 
 import pytest
@@ -41,6 +42,47 @@ def test_license_spans_cover_the_words(spark):
     assert found[(6, "mit")] == (0, len(MIT) - 1) and found[(7, "mit")] == (1, len(MIT) + 1)
 
 
+def brute_labels(t):
+    """Labels and score by aligning every word of the text with every word of a template."""
+    t = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t)
+    found = {(label, 1.0) for words, label in license_scan.PHRASES for k in range(len(w)) if w[k : k + len(words.split())] == words.split()}
+    for words, label in license_scan.TEMPLATES:
+        x = words.split()
+        hits = [(i - p, p) for i in range(len(w) - 2) for p in range(len(x) - 2) if w[i : i + 3] == x[p : p + 3]]
+        for d in {d for d, _ in hits}:
+            places = {p for e, p in hits if abs(d - e) <= license_scan.BAND}
+            if len({p + o for p in places for o in range(3)}) >= license_scan.LEAST_COVERAGE * len(x):
+                found.add((label, len(places) / (len(x) - 2)))
+    return ",".join(sorted({x for x, _ in found})), max((s for _, s in found), default=0.0)
+
+
+def test_license_labels_against_brute_force(spark):
+    rng = random.Random(3)
+    rows = [(100, "the license you may y " * 12), (101, "of the software x " * 40), (102, " ".join(MIT[::-1])), (103, " ".join(MIT * 3)), (104, " ".join(MIT[:25]) + " and more " * 9 + " ".join(MIT[25:]))]
+    for n, (words, _) in enumerate(license_scan.TEMPLATES):
+        w = words.split()
+        for k in range(12):
+            i = rng.randrange(len(w))
+            edit = [w[:i] + ["changed"] + w[i + 1 :], w[:i] + ["more"] + w[i:], w[:i] + w[i + 1 :], w[i:] + w[:i], w[: len(w) * k // 12], rng.sample(w, len(w))][k % 6]
+            rows.append((200 + 100 * n + k, "some text " * rng.randrange(3) + " ".join(edit) + " tail"))
+    got = {r.doc_id: (r.labels, r.score) for r in license_scan.license_labels(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    for i, t in rows:
+        labels, score = brute_labels(t)
+        assert got[i][0] == labels and abs(got[i][1] - score) < 1e-12, (i, t)
+    assert got[100] == got[101] == got[102] == ("", 0.0)
+
+
+def test_one_edit_inside_a_template_is_found(spark):
+    rows = []
+    for n, (words, _) in enumerate(license_scan.TEMPLATES):
+        w = words.split()
+        for i in range(3, len(w) - 3):
+            rows += [(1000 * n + 10 * i + e, " ".join(x)) for e, x in enumerate((w[:i] + ["changed"] + w[i + 1 :], w[:i] + ["more"] + w[i:], w[:i] + w[i + 1 :]))]
+    got = license_scan.license_labels(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(license_scan.TEMPLATES[r.doc_id // 1000][1] in r.labels.split(",") for r in got)
+
+
 def brute_quality(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
     windows = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
