@@ -2,9 +2,10 @@
 
 Each document's ids are cut where a rolling hash over the last ids says so, so equal passages give equal chunks
 wherever they stand. A chunk is addressed by the digest of its ids and stored once, in the row of the document
-that holds it first (in doc_id order); every document has a recipe, the list of its chunk addresses, and the root
-of the Merkle tree over them. The files lie in ascending doc_id order, part by part. Reading checks each stored
-chunk against its address and each document against its root.
+that was read first with it; every document has a recipe, the list of its chunk addresses, and the root of the Merkle
+tree over them. The files lie in ascending doc_id order, part by part. A manifest has for each part the root of the tree
+over its documents, in order, and their number. Reading checks each stored chunk against its address, each document
+against its root, each part against the manifest, and that no chunk of a recipe is lost.
 """
 
 from __future__ import annotations
@@ -70,7 +71,8 @@ def crc_of_both(left: int, right: int, n_right: int) -> int:
 
 
 def encoded(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: int) -> DataFrame:
-    """doc_id, row (unique), n_tokens, chunks (addresses), lens, blob (all ids as 16 or 32 bits, zstandard)."""
+    """doc_id, row (unique), n_tokens, chunks (addresses), lens, again (positions of chunks that repeat an earlier one of
+    the document), blob (all ids as 16 or 32 bits, zstandard)."""
 
     def start():
         import zstandard
@@ -81,15 +83,14 @@ def encoded(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: int)
         def one(doc_id, text):
             ids = np.frombuffer(cache.encode(bare_pieces(text or "")) + end_id.to_bytes(4, "little"), "<u4")
             ends = cut_points(ids)
-            raw, begins = ids.tobytes(), [0, *ends[:-1]]
-            yield (
-                doc_id, next(rows), len(ids), [address(raw[4 * a : 4 * b]) for a, b in zip(begins, ends, strict=True)],
-                [b - a for a, b in zip(begins, ends, strict=True)], packed(ids, pack),
-            )
+            raw, begins, seen = ids.tobytes(), [0, *ends[:-1]], set()
+            chunks = [address(raw[4 * a : 4 * b]) for a, b in zip(begins, ends, strict=True)]
+            again = [k for k, c in enumerate(chunks) if c in seen or seen.add(c)]
+            yield doc_id, next(rows), len(ids), chunks, [b - a for a, b in zip(begins, ends, strict=True)], again, packed(ids, pack)
 
         return one
 
-    columns = {"doc_id": "long", "row": "long", "n_tokens": "long", "chunks": "array<binary>", "lens": "array<int>", "blob": "binary"}
+    columns = {"doc_id": "long", "row": "long", "n_tokens": "long", "chunks": "array<binary>", "lens": "array<int>", "again": "array<int>", "blob": "binary"}
     return map_rows(docs.select(F.col(id_col), F.col(text_col)), start, columns, 500)
 
 
@@ -106,24 +107,20 @@ STORED = {"doc_id": "long", "row": "long", "n_tokens": "long", "root": "binary",
 
 
 def write_store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = END_ID) -> None:
-    """Encode every text and write the store below ``path``: ``documents`` (recipe, root and the chunks that no
-    earlier document holds) and ``index`` (doc_id, row, start, n_tokens, root), both in ascending doc_id order.
+    """Encode every text and write the store below ``path``: ``documents`` (recipe, root and the chunks that it is
+    the first to hold), ``index`` (doc_id, row, start, n_tokens, root), both in ascending doc_id order, and
+    ``manifest`` (part, n_docs, root).
 
     A null text counts as empty: only the end id. A null id sorts first. Rows with one id each get a document.
     Other columns are not read; an empty table gives an empty store. A chunk that very many documents share
-    costs each of them one address.
+    costs each of them one address; its owners are written before they are joined, so its rows can be split.
     """
     spark = docs.sparkSession
     staged = cut(encoded(docs, id_col, text_col, tokenizer or public_tokenizers.path(VOCABULARY), end_id), "encoded")
-    entries = staged.select("doc_id", "row", F.posexplode("chunks").alias("k", "chunk"))
-    place = F.struct("doc_id", "row", "k")
-    shared = entries.groupBy("chunk").agg(F.min(place).alias("owner"), F.count("*").alias("n")).where("n > 1")
-    elsewhere = (
-        entries.join(shared, "chunk")
-        .where(~place.eqNullSafe(F.col("owner")))
-        .groupBy("doc_id", "row")
-        .agg(F.sort_array(F.collect_list("k")).alias("elsewhere"))
-    )
+    first = F.filter(F.arrays_zip(F.sequence(F.lit(0), F.size("chunks") - 1).alias("k"), F.col("chunks").alias("chunk")), lambda x: ~F.array_contains("again", x["k"]))
+    entries = staged.select("doc_id", "row", F.explode(first).alias("x")).select("doc_id", "row", "x.k", "x.chunk")
+    owners = cut(entries.groupBy("chunk").agg(F.min("row").alias("owner"), F.count("*").alias("n")).where("n > 1").drop("n"), "owners")
+    elsewhere = entries.join(owners, "chunk").where("row <> owner").groupBy("doc_id", "row").agg(F.sort_array(F.collect_list("k")).alias("elsewhere"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     both = staged.withColumn("elsewhere", F.lit(None).cast("array<int>")).unionByName(elsewhere, allowMissingColumns=True)
     ordered = both.repartitionByRange(n, "doc_id", "row").sortWithinPartitions("doc_id", "row", F.col("n_tokens").isNull())
@@ -135,7 +132,7 @@ def write_store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
         pack, unpack, doc, out = zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdDecompressor().decompress, None, []
 
         def finish(x):
-            there = set(x["elsewhere"] or ())
+            there = {*(x["elsewhere"] or ()), *x.pop("again")}
             blob = x["blob"]
             if there:
                 ids, at = unpacked(blob, unpack), 0
@@ -166,6 +163,7 @@ def write_store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
 
     parts = ordered.mapInArrow(write, ", ".join(f"{c} {t}" for c, t in STORED.items()))
     parts.withColumn("part", F.spark_partition_id()).write.option("compression", "zstd").parquet(f"{path}/documents")
+    part_roots(spark, path).write.parquet(f"{path}/manifest")
 
     stored = spark.read.parquet(f"{path}/documents").select("doc_id", "row", "part", "n_tokens", "root")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -176,6 +174,30 @@ def write_store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     index.select("doc_id", "row", "part", "start", "n_tokens", "root").write.parquet(f"{path}/index")
 
 
+def part_roots(spark: SparkSession, path: str) -> DataFrame:
+    """part, n_docs, root: of the roots of each part's documents, in order. A part is as large as a partition."""
+
+    def root(key, rows):
+        rows = rows.sort_by([("none", "descending"), ("doc_id", "ascending"), ("row", "ascending")])
+        out = [[key[0].as_py()], [rows.num_rows], [merkle_root(rows["root"].to_pylist())]]
+        return pa.table([pa.array(x, t) for x, t in zip(out, (pa.int32(), pa.int64(), pa.binary()), strict=True)], ["part", "n_docs", "root"])
+
+    rows = spark.read.parquet(f"{path}/documents").select("part", F.col("doc_id").isNull().alias("none"), "doc_id", "row", "root")
+    return rows.groupBy("part").applyInArrow(root, "part int, n_docs long, root binary")
+
+
+def verify(spark: SparkSession, path: str) -> None:
+    """Compare the files with the manifest and the index; a document lost, added or changed raises ValueError."""
+    manifest, now = spark.read.parquet(f"{path}/manifest"), part_roots(spark, path)
+    both = manifest.alias("m").join(now.alias("n"), "part", "full").where("NOT (m.root <=> n.root AND m.n_docs <=> n.n_docs)")
+    if bad := both.select("part").orderBy("part").first():
+        raise ValueError(f"part {bad[0]} of the store differs from its manifest")
+    index = spark.read.parquet(f"{path}/index").select("row", F.col("root").alias("want"))
+    stored = spark.read.parquet(f"{path}/documents").select("row", "root")
+    if bad := stored.join(index, "row", "full").where("NOT (root <=> want)").select("row").first():
+        raise ValueError(f"row {bad[0]} of the store differs from its index")
+
+
 def stored_chunks(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:
     """doc_id, row, root, chunks, lens, found: for each chunk of the recipe its crc32 (with ``ids`` its ids) where
     the document's own row stores it, else null. Every stored chunk is checked against its address, every recipe
@@ -187,6 +209,8 @@ def stored_chunks(spark: SparkSession, path: str, ids: bool = False) -> DataFram
         unpack = zstandard.ZstdDecompressor().decompress
 
         def one(doc_id, row, root, chunks, lens, elsewhere, blob):
+            if merkle_root(chunks) != root:
+                raise ValueError(f"document {doc_id}: the recipe differs from its root")
             there, own, at, found = set(elsewhere), unpacked(blob, unpack).tobytes(), 0, []
             for k, m in enumerate(lens):
                 if k in there:
@@ -197,8 +221,6 @@ def stored_chunks(spark: SparkSession, path: str, ids: bool = False) -> DataFram
                 if address(x) != chunks[k]:
                     raise ValueError(f"document {doc_id}: chunk {k} differs from its address")
                 found.append(x if ids else zlib.crc32(x))
-            if merkle_root(chunks) != root:
-                raise ValueError(f"document {doc_id}: the recipe differs from its root")
             yield doc_id, row, chunks, lens, found
 
         return one
@@ -208,6 +230,14 @@ def stored_chunks(spark: SparkSession, path: str, ids: bool = False) -> DataFram
     return map_rows(rows, start, columns, 500)
 
 
+def _content(doc_id, k: int, own, more: dict):
+    """What the document's own row stores of chunk k, or another's; ValueError if no row does."""
+    x = more.get(k) if own is None else own
+    if x is None:
+        raise ValueError(f"document {doc_id}: chunk {k} is lost")
+    return x
+
+
 def _fetched(own: DataFrame) -> DataFrame:
     """``own`` with column ``more``: position and content of the chunks that other documents store."""
     entries = own.select("row", F.posexplode(F.arrays_zip("chunks", "found")).alias("k", "x")).select("row", "k", "x.chunks", "x.found")
@@ -223,14 +253,15 @@ def more_type(own: DataFrame) -> str:
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, ids (array of int): the documents as they were encoded."""
+    """doc_id, start, ids (array of int): the documents as they were encoded. A damaged store raises ValueError."""
+    verify(spark, path)
     own = cut(stored_chunks(spark, path, ids=True), "chunks")
     index = spark.read.parquet(f"{path}/index").select("row", "start")
 
     def start():
         def one(doc_id, start, found, more):
             more = dict(more)
-            yield doc_id, start, np.frombuffer(b"".join(more[k] if x is None else x for k, x in enumerate(found)), "<u4").tolist()
+            yield doc_id, start, np.frombuffer(b"".join(_content(doc_id, k, x, more) for k, x in enumerate(found)), "<u4").tolist()
 
         return one
 
@@ -241,6 +272,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32: from the files, without moving ids. A document's crc32 is put together
     from those of its chunks, each computed where the chunk is stored."""
+    verify(spark, path)
     own = cut(stored_chunks(spark, path), "chunks")
     index = spark.read.parquet(f"{path}/index").select("row", "start")
 
@@ -248,7 +280,7 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
         def one(doc_id, start, lens, found, more):
             more, crc = dict(more), 0
             for k, (m, x) in enumerate(zip(lens, found, strict=True)):
-                crc = crc_of_both(crc, more[k] if x is None else x, 4 * m)
+                crc = crc_of_both(crc, _content(doc_id, k, x, more), 4 * m)
             yield doc_id, start, sum(lens), crc
 
         return one

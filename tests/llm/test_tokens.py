@@ -9,6 +9,7 @@ import public_tokenizers as P
 import pyarrow.parquet as pq
 import pytest
 import tiktoken
+import zstandard
 from tokenizers import Tokenizer
 
 from edgewright.llm import bpe_tree, packing, token_store
@@ -130,6 +131,57 @@ def test_token_store_empty(spark):
     assert token_store.read_digests(spark, path).count() == 0
 
 
+def damaged(spark, path, table, change):
+    """A copy of the store in which one table's rows are changed."""
+    to = f"{shared_dir(spark)}/tokens"
+    for name in ("documents", "index", "manifest"):
+        df = spark.read.parquet(f"{path}/{name}")
+        if name == table:
+            df = spark.createDataFrame(change([r.asDict() for r in df.collect()]), df.schema)
+        df.write.parquet(f"{to}/{name}")
+    return to
+
+
+def test_damaged_stores_are_noticed(spark):
+    rng = random.Random(3)
+    long = " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "eps"]) + str(rng.randrange(99)) for _ in range(9000))
+    docs = spark.createDataFrame([(1, long, "c"), (2, long + " more", "c"), (3, None, "c"), (None, "x " + long, "c")], "doc_id long, text string, chunks string")
+    path = f"{shared_dir(spark)}/tokens"
+    token_store.write_store(docs, path)
+    assert token_store.read_digests(spark, path).count() == 4
+
+    def edit(k, v):
+        def change(rows):
+            i = next(i for i, r in enumerate(rows) if r["doc_id"] == 1)
+            rows[i][k] = v(rows[i])
+            return rows
+
+        return change
+
+    def repacked(r):
+        ids = token_store.unpacked(r["blob"], zstandard.ZstdDecompressor().decompress).copy()
+        ids[len(ids) // 2] ^= 1
+        return token_store.packed(ids, zstandard.ZstdCompressor().compress)
+
+    owner = next(r for r in spark.read.parquet(f"{path}/documents").collect() if not r["elsewhere"] and len(r["chunks"]) > 3)
+
+    def lost(rows):  # the owner says that its first chunk is stored elsewhere
+        r = next(r for r in rows if r["doc_id"] == owner["doc_id"])
+        ids = token_store.unpacked(r["blob"], zstandard.ZstdDecompressor().decompress)
+        r["elsewhere"], r["blob"] = [0], token_store.packed(ids[r["lens"][0] :], zstandard.ZstdCompressor().compress)
+        return rows
+
+    cases = [
+        ("documents", edit("chunks", lambda r: [b"z" * 16, *r["chunks"][1:]]), "root"), ("documents", edit("root", lambda r: b"z" * 16), "manifest"),
+        ("documents", lambda rows: rows[1:], "manifest"), ("index", edit("root", lambda r: b"z" * 16), "index"), ("index", lambda rows: rows[1:], "index"),
+        ("documents", lambda rows: [r if r["doc_id"] != owner["doc_id"] else r | {"blob": repacked(r)} for r in rows], "address"), ("documents", lost, "is lost"),
+        ("manifest", lambda rows: rows[1:], "manifest"),
+    ]
+    for table, change, what in cases:
+        with pytest.raises(Exception, match=what):
+            token_store.read_digests(spark, damaged(spark, path, table, change)).collect()
+
+
 def test_packing(spark):
     docs = spark.createDataFrame(DOCS, "doc_id long, text string").where("doc_id <> 3").union(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").where("doc_id > 20"))
     got = packing.pack(docs, shard_docs=100, with_ids=True).collect()
