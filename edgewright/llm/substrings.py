@@ -1,15 +1,18 @@
-"""Repeated substrings by distributed prefix doubling over sampled positions.
-
-Every byte that a ``LENGTH``-byte string covers is removed if that string starts anywhere else too. A suffix array
-of all positions would be many times the input, so positions are sampled by content first: a window is a
-LENGTH-byte string, its anchor the GRAM-byte string in it with the least hash (the leftmost one). Equal windows
-have equal anchors at equal places. Consecutive windows with one anchor are a run, the unit that Spark sorts:
-
-1. runs are sorted by the rank (hash) of their anchor's GRAM bytes; those whose rank is unique leave;
-2. next by the rank of the run's whole text: all windows of runs that are equal here are repeated (past the
-   threshold); one run of each such class goes on as a partner for others of its anchor;
-3. the windows of the runs left are named by doubling: the name of 2n bytes is the pair of names at p and p + n,
-   from GRAM bytes up to LENGTH; at each length they are sorted, and unique ones leave.
+"""Repeated substrings by distributed prefix doubling.
+
+Every byte that a ``LENGTH``-byte string covers is removed if that string starts anywhere else too. A window is a
+LENGTH-byte string. Doubling over all positions would move many times the input, so positions that cannot repeat, or
+that are known to, leave first. A window's anchor is the GRAM-byte string in it with the least hash (the leftmost one):
+equal windows have equal anchors at equal places. Consecutive windows with one anchor are a run.
+
+1. runs are sorted by the hash of their anchor; those whose anchor is unique leave;
+2. next by the hash of the run's whole text: all windows of runs that are equal here are repeated, past the threshold;
+   one run of each such class goes on as a partner for others of its anchor;
+3. the windows of a run are divided into PARTS by their distance to the anchor; the bytes that all windows of a part
+   hold are its core, and windows whose core is unique leave;
+4. doubling over the positions left: the rank of a position is first the hash of SIZES[0] bytes; Spark sorts the pairs
+   (rank(p), rank(p + n)) of all positions, equal pairs get a new common rank, unique ones leave, and n doubles, until the
+   pairs reach LENGTH bytes: what is not unique there is repeated.
 """
 
 from __future__ import annotations
@@ -19,17 +22,16 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table, text_of
+from .common import cut, drop_table, table, text_of
 from .tokens import PA, library_cache
 
 LENGTH, GRAM = 200, 40
-#: An anchor with more runs than this in step 3 has its windows dealt one by one; the result is the same.
-LARGE_ANCHOR = 20_000
-#: Bytes of text named together in step 3.
-BULK = 1_000_000
+#: Parts that a run's windows are divided into in step 3.
+PARTS = 4
 
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _POWERS: list[tuple[np.ndarray, np.ndarray]] = []
@@ -84,7 +86,13 @@ def runs_of(b: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarr
 
 RUNS = {"cell": "long", "f1": "long", "f2": "long", "doc_id": "long", "key": "long", "s": "int", "e": "int", "local": "boolean"}
 FOUND = {"cell": "long", "doc_id": "long", "key": "long", "s": "int", "e": "int", "whole": "boolean", "partner": "boolean"}
-CONTEXTS = {"cell": "long", "w1": "long", "w2": "long", "doc_id": "long", "key": "long", "s": "int", "e": "int", "context": "binary"}
+CONTEXTS = {"run": "long", "doc_id": "long", "key": "long", "s": "int", "windows": "int", "anchor": "int", "context": "binary"}
+
+
+def sizes(length: int) -> tuple[int, int]:
+    """Bytes of a rank before the first and before the second sort of pairs."""
+    first = -(-length // 4)
+    return first, 2 * first
 
 
 def _schema(columns: dict[str, str]) -> tuple[pa.Schema, str]:
@@ -133,7 +141,7 @@ def sampled_runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
 def matched_runs(runs: DataFrame) -> DataFrame:
     """Steps 1 and 2: the runs whose anchor is not unique, ``whole`` if all their windows are repeated, ``partner``
-    if they go on to step 3 (the first of each class of equal runs of an anchor that has two classes or more).
+    if they go on (the first of each class of equal runs of an anchor that has two classes or more).
 
     The sorted rows stream by; of a cell of any size only its last row and last class are held."""
     schema, ddl = _schema(FOUND)
@@ -196,39 +204,21 @@ def matched_runs(runs: DataFrame) -> DataFrame:
     return runs.repartition(n, "cell").sortWithinPartitions("cell", "f1", "f2").mapInArrow(run, ddl)
 
 
-def doubled(b: np.ndarray, at: np.ndarray, length: int, gram: int) -> np.ndarray:
-    """Which of the windows of b that start at ``at`` are repeated among them, by doubling names."""
-    names = [gram_hashes(b, gram, base) for base in (0, 1)]
-    size, left = gram, np.arange(len(at))
-    while True:
-        here = [n[at[left]] for n in names]
-        order = np.lexsort((here[1], here[0])) if len(left) else np.empty(0, int)
-        same = (here[0][order[1:]] == here[0][order[:-1]]) & (here[1][order[1:]] == here[1][order[:-1]])
-        keep = np.zeros(len(left), bool)
-        keep[order[1:][same]] = True
-        keep[order[:-1][same]] = True
-        left = left[keep]
-        if size == length or not len(left):
-            out = np.zeros(len(at), bool)
-            out[left] = True
-            return out
-        step = min(size, length - size)
-        pairs = [mixed(n[:-step] * np.uint64(m) + (n[step:] ^ np.uint64(a))) for n, m, a in zip(names, _BASES, reversed(_BASES), strict=True)]
-        names, size = pairs, size + step
-
-
-def intervals_of(runs: DataFrame, docs: DataFrame, length: int, gram: int, large: int) -> DataFrame:
-    """Step 3: (doc_id, key, s, e), the first and last window of stretches of repeated windows."""
+def by_key(df: DataFrame, keys: list[str], *then: str) -> DataFrame:
+    """The rows of equal ``keys`` together, sorted by them and ``then``."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys).sortWithinPartitions(*keys, *then)
+
+
+def anchored(runs: DataFrame, docs: DataFrame, length: int, gram: int) -> DataFrame:
+    """CONTEXTS of the partner runs: run (unique), how many windows it has, where its anchor lies, and its bytes."""
     schema, ddl = _schema(CONTEXTS)
-    crowded = runs.groupBy("cell").count().where(F.col("count") > large).select("cell", F.lit(True).alias("crowded"))
-    runs = runs.join(crowded, "cell", "left").select("doc_id", "key", F.struct("cell", "s", "e", F.coalesce("crowded", F.lit(False)).alias("crowded")).alias("run"))
-    of_doc = runs.groupBy("doc_id", "key").agg(F.collect_list("run").alias("runs"))
+    of_doc = runs.groupBy("doc_id", "key").agg(F.collect_list(F.struct("s", "e")).alias("runs"))
     of_doc = of_doc.select(F.col("doc_id").alias("_i"), F.col("key").alias("_k"), "runs")
     joined = docs.join(of_doc, (F.col("key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_i"))).select("doc_id", "key", "text", "runs")
 
-    def contexts(batches):
-        from xxhash import xxh3_128_intdigest
-
+    def run(batches):
+        number = TaskContext.get().partitionId() << 40
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 out = []
@@ -236,66 +226,175 @@ def intervals_of(runs: DataFrame, docs: DataFrame, length: int, gram: int, large
                     raw = text.encode()
                     for r in runs:
                         s, e = r["s"], r["e"]
-                        if not r["crowded"]:
-                            out.append((r["cell"], 0, 0, doc_id, key, s, e, raw[s : e + length]))
-                            continue
-                        for p in range(s, e + 1):
-                            w = xxh3_128_intdigest(raw[p : p + length])
-                            w1, w2 = (w >> 64) - (1 << 63), (w & (1 << 64) - 1) - (1 << 63)
-                            out.append((w1, w1, w2, doc_id, key, p, p, None))
+                        context, number = raw[s : e + length], number + 1
+                        h = gram_hashes(np.frombuffer(context, np.uint8), gram)[e - s : length - gram + 1]  # what all its windows hold
+                        anchor = e - s + int((h >> np.uint64(32)).argmin())
+                        out.append((number, doc_id, key, s, e - s + 1, anchor, context))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    stretch, stretch_ddl = _schema({"doc_id": "long", "key": "long", "s": "int", "e": "int"})
-
-    def named(batches):
-        rows: list[tuple] = []
-        size = 0
-        last = None  # the last single window: (w1, w2), where it is, whether it has gone out
-
-        def bulk(rows):
-            text = b"".join(r[4] for r in rows)
-            starts = np.cumsum([0] + [len(r[4]) for r in rows])[:-1]
-            counts = np.array([r[3] - r[2] + 1 for r in rows])
-            row = np.repeat(np.arange(len(rows)), counts)
-            inside = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-            hit = np.flatnonzero(doubled(np.frombuffer(text, np.uint8), starts[row] + inside, length, gram))
-            if not len(hit):
-                return
-            new = np.r_[True, (row[hit[1:]] != row[hit[:-1]]) | (hit[1:] != hit[:-1] + 1)]
-            begin = hit[new]
-            end = hit[np.r_[np.flatnonzero(new)[1:] - 1, len(hit) - 1]]
-            yield from batch_of([(rows[r][0], rows[r][1], rows[r][2] + a, rows[r][2] + z) for r, a, z in zip(row[begin].tolist(), inside[begin].tolist(), inside[end].tolist(), strict=True)])
-
-        def batch_of(found):
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), stretch, strict=True)], schema=stretch)
-
-        cell = None
+    return joined.mapInArrow(run, ddl)
+
+
+def part_of(windows: int, anchor: int, part: int, length: int, gram: int) -> tuple[int, int, int, int]:
+    """First and last window of a part (first > last if the run has none), first and last byte of what they all hold."""
+    width = length - gram
+    near, far = part * width // PARTS, (part + 1) * width // PARTS  # distance to the anchor
+    first, last = max(0, anchor - far + (part < PARTS - 1)), min(windows - 1, anchor - near)
+    return first, last, anchor - near, anchor - far + (part < PARTS - 1) + length
+
+
+def live_parts(contexts: DataFrame, length: int, gram: int) -> DataFrame:
+    """Step 3: (run, parts), a bit for each part whose core stands in two runs or more."""
+    schema, ddl = _schema({"run": "long", "part": "int", "h": "long"})
+
+    def cores(batches):
+        from xxhash import xxh3_64_intdigest
+
         for batch in batches:
-            found = []
-            for c, w1, w2, doc_id, key, s, e, context in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if context is None:
-                    same = last is not None and last[0] == (w1, w2)
-                    if same:
-                        if not last[2]:
-                            found.append(last[1])
-                        found.append((doc_id, key, s, s))
-                    last = ((w1, w2), (doc_id, key, s, s), same)
-                    continue
-                if c != cell and size >= BULK:
-                    yield from bulk(rows)
-                    rows, size = [], 0
-                cell = c
-                rows.append((doc_id, key, s, e, context))
-                size += len(context)
-            yield from batch_of(found)
-        if rows:
-            yield from bulk(rows)
-
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = joined.mapInArrow(contexts, ddl).repartition(n, "cell").sortWithinPartitions("cell", "w2")
-    return dealt.mapInArrow(named, stretch_ddl)
+            out = []
+            for run, windows, anchor, context in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for part in range(PARTS):
+                    first, last, begin, end = part_of(windows, anchor, part, length, gram)
+                    if first <= last:
+                        h = xxh3_64_intdigest(context[begin:end], part)
+                        out.append((run, 1 << part, h - (1 << 64) if h >> 63 else h))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+    found = cut(contexts.select("run", "windows", "anchor", "context").mapInArrow(cores, ddl), "cores")
+    again = cut(found.groupBy("h").count().where("count > 1").select("h"), "repeated_cores")
+    return found.join(again, "h", "left_semi").groupBy("run").agg(F.sum("part").alias("parts"))
+
+
+def position_pairs(contexts: DataFrame, length: int, gram: int) -> DataFrame:
+    """(r1, r2, run, at): ranks of the first bytes of each position left and of those ``sizes(length)[0]`` later; for
+    every window that is left its own position and the one where its second half begins. ``at`` is twice the position,
+    and one more where only a second half begins."""
+    schema, ddl = _schema({"r1": "long", "r2": "long", "run": "long", "at": "int"})
+    first_size, second_size = sizes(length)
+    later = length - second_size
+
+    def pairs(batches):
+        for batch in batches:
+            out = []
+            for run, windows, anchor, context, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                wanted, own = np.zeros(windows + later, bool), np.zeros(windows + later, bool)
+                for part in range(PARTS):
+                    first, last, _, _ = part_of(windows, anchor, part, length, gram)
+                    if parts >> part & 1 and first <= last:
+                        own[first : last + 1] = True
+                        wanted[first + later : last + 1 + later] = True
+                at = np.flatnonzero(wanted | own)
+                h = gram_hashes(np.frombuffer(context, np.uint8), first_size).view(np.int64)
+                out.append((h[at], h[at + first_size], np.full(len(at), run), 2 * at + (~own[at]).astype(int)))
+                if sum(len(x[0]) for x in out[-64:]) > 10_000 or len(out) >= 256:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+                    out = []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+    return contexts.select("run", "windows", "anchor", "context", "parts").mapInArrow(pairs, ddl)
+
+
+def reranked(pairs: DataFrame) -> DataFrame:
+    """(run, at, rank) of the positions whose pair (r1, r2) is not unique: Spark sorts the pairs, and equal ones get a
+    common new rank. The sorted rows stream by; only the last one is held."""
+    schema, ddl = _schema({"run": "long", "at": "int", "rank": "long"})
+
+    def rank(batches):
+        r, held = TaskContext.get().partitionId() << 40, None
+        before = None  # the pair ahead of the held row
+
+        def told(rows, before, after, r):
+            """Rows of equal pairs with their rank, and the last rank; before, after: the pairs around them."""
+            r1, r2, run, at = rows
+            a, b = np.r_[before[0] if before else 0, r1, after[0] if after else 0], np.r_[before[1] if before else 0, r2, after[1] if after else 0]
+            same = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+            same[0] &= before is not None
+            same[-1] &= after is not None
+            ranks = r + np.cumsum(~same[:-1])
+            keep = same[:-1] | same[1:]
+            return pa.RecordBatch.from_arrays([pa.array(x[keep], f.type) for x, f in zip((run, at, ranks), schema, strict=True)], schema=schema), int(ranks[-1])
+
+        for batch in batches:
+            rows = [c.to_numpy() for c in batch.columns]
+            if not len(rows[0]):
+                continue
+            if held is not None:
+                rows = [np.r_[h, x] for h, x in zip(held, rows, strict=True)]
+            out, held = [x[:-1] for x in rows], [x[-1:] for x in rows]
+            if len(out[0]):
+                batch, r = told(out, before, (held[0][0], held[1][0]), r)
+                before = out[0][-1], out[1][-1]
+                yield batch
+        if held is not None:
+            yield told(held, before, None, r)[0]
+
+    return by_key(pairs, ["r1", "r2"]).mapInArrow(rank, ddl)
+
+
+def whole_runs(batches):
+    """Columns of the rows of whole runs (sorted by run and at) out of batches: a run has LENGTH rows or so."""
+    held = None
+    for batch in batches:
+        rows = [c.to_numpy() for c in batch.columns]
+        if held is not None:
+            rows = [np.r_[h, x] for h, x in zip(held, rows, strict=True)]
+        if not len(rows[0]):
+            continue
+        last = int(np.searchsorted(rows[0], rows[0][-1], "left"))
+        held = [x[last:] for x in rows]
+        if last:
+            yield [x[:last] for x in rows]
+    if held is not None and len(held[0]):
+        yield held
+
+
+def next_pairs(ranks: DataFrame, later: int) -> DataFrame:
+    """(r1, r2, run, at) for the next sort: the rank of a window's position and that of the one ``later`` bytes on,
+    where both are left; ``at`` is the window."""
+    schema, ddl = _schema({"r1": "long", "r2": "long", "run": "long", "at": "int"})
+
+    def pairs(batches):
+        for run, at, rank in whole_runs(batches):
+            own, at = at & 1 == 0, at >> 1
+            place = (np.cumsum(np.r_[True, run[1:] != run[:-1]]) << 32) + at
+            other = np.searchsorted(place, place + later)
+            ok = own & (place[np.minimum(other, len(place) - 1)] == place + later)
+            out = rank[ok], rank[other[ok]], run[ok], at[ok]
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, schema, strict=True)], schema=schema)
+
+    return by_key(ranks, ["run"], "at").mapInArrow(pairs, ddl)
+
+
+def stretches(left: DataFrame) -> DataFrame:
+    """(run, a, z): the first and last window of each stretch of positions that are left."""
+    schema, ddl = _schema({"run": "long", "a": "int", "z": "int"})
+
+    def joined(batches):
+        for run, at, _ in whole_runs(batches):
+            new = np.r_[True, (run[1:] != run[:-1]) | (at[1:] != at[:-1] + 1)]
+            ends = np.r_[np.flatnonzero(new)[1:] - 1, len(at) - 1]
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((run[new], at[new], at[ends]), schema, strict=True)], schema=schema)
+
+    return by_key(left, ["run"], "at").mapInArrow(joined, ddl)
+
+
+def doubled(contexts: DataFrame, length: int, gram: int) -> DataFrame:
+    """Steps 3 and 4: (doc_id, key, s, e), the first and last window of stretches of repeated windows."""
+    spark, (_, second_size) = contexts.sparkSession, sizes(length)
+    live = cut(live_parts(contexts, length, gram), "live")
+    halves = cut(reranked(position_pairs(contexts.join(live, "run"), length, gram)), "ranks")
+    free_shuffles(spark)
+    again = cut(next_pairs(halves, length - second_size), "pairs")
+    drop_table(halves)
+    free_shuffles(spark)
+    found = cut(stretches(reranked(again)), "repeated")
+    drop_table(again)
+    free_shuffles(spark)
+    where = contexts.select("run", "doc_id", "key", "s")
+    return found.join(where, "run").select("doc_id", "key", (F.col("s") + F.col("a")).alias("s"), (F.col("s") + F.col("z")).alias("e"))
 
 
 def free_shuffles(spark: SparkSession) -> None:
@@ -304,7 +403,7 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, large: int = LARGE_ANCHOR) -> tuple[DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
     """(docs with doc_id, key, text; spans with doc_id, key, s, e): in the text with that id and key, every window
     that starts at a byte from s to e is repeated somewhere in the table."""
     spark = docs.sparkSession
@@ -312,9 +411,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), text).alias("key"), text.alias("text"))
     found = cut(matched_runs(sampled_runs(rows, length, gram)), "runs")
     free_shuffles(spark)
-    stretches = cut(intervals_of(found.where("partner"), rows, length, gram, large), "stretches")
+    contexts = cut(anchored(found.where("partner"), rows, length, gram), "contexts")
+    free_shuffles(spark)
+    more = cut(doubled(contexts, length, gram), "stretches")
     free_shuffles(spark)
-    return rows, found.where("whole").select("doc_id", "key", "s", "e").union(stretches)
+    return rows, found.where("whole").select("doc_id", "key", "s", "e").union(more)
 
 
 def merged(spans: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
@@ -328,7 +429,7 @@ def merged(spans: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
     return out
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, large: int = LARGE_ANCHOR, digest: bool = False) -> DataFrame:
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, digest: bool = False) -> DataFrame:
     """One row per input row: doc_id, key, kept (the remaining bytes, binary), removed (array of begin and end
     offsets); with ``digest`` instead doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
@@ -336,7 +437,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     repeated string are removed, the first one too; rows repeated with one id are different places, so they lose
     what they share. Null ids are ids like others. Other columns are not read; empty in, empty out.
     """
-    rows, spans = repeated_spans(docs, id_col, text_col, length, gram, large)
+    rows, spans = repeated_spans(docs, id_col, text_col, length, gram)
     of_doc = spans.groupBy("doc_id", "key").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     of_doc = of_doc.select(F.col("doc_id").alias("_i"), F.col("key").alias("_k"), "spans")
     joined = rows.join(of_doc, (F.col("key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_i")), "left").select("doc_id", "key", "text", "spans")

@@ -36,11 +36,12 @@ def made(seed):
     return [*rows, (300, None), (301, ""), (302, "a" * 500), (303, "ab" * 300), (None, passages[0] * 2), (None, passages[0] * 2), (5, rows[5][1]), (304, "x" * 29)]
 
 
-@pytest.mark.parametrize("large", [20_000, 3])
-def test_against_brute_force(spark, large):
-    rows = made(large)
-    got = S.without_repeats(spark.createDataFrame(rows, SCHEMA), length=30, gram=8, large=large, digest=True)
-    assert collections.Counter(map(tuple, got.collect())) == brute(rows, 30)
+@pytest.mark.parametrize(("seed", "length", "gram"), [(1, 30, 8), (2, 30, 8), (3, 31, 8), (4, 17, 5), (5, 40, 20)])
+def test_against_brute_force(spark, seed, length, gram):
+    rows = made(seed)
+    docs = spark.createDataFrame([(*r, b"x", "y") for r in rows], "doc_id long, text string, key binary, run string")
+    got = S.without_repeats(docs, length=length, gram=gram, digest=True)
+    assert collections.Counter(map(tuple, got.collect())) == brute(rows, length)
 
 
 def test_documents_table(spark):
