@@ -6,9 +6,12 @@ import atexit
 import os
 import shutil
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's option that deletes a query's shuffle files when it ends.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Where written intermediate tables go on a single machine whose session names no shared folder.
 LOCAL_FALLBACK = os.path.join("/tmp", "checkpoints", "edgewright")
 
@@ -29,9 +32,32 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/ew-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def option(spark: SparkSession, key: str, value: str):
+    """A session option that holds for a while and is then what it was."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends in files that outlive any executor."""
+    """Write ``df`` to the shared folder and read it back: lineage ends in files that outlive any executor. The shuffle
+    files of the plan that made it go when it is written."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
+    with option(spark, FREE_SHUFFLES, "true"):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_table(df: DataFrame) -> None:
+    """Delete the files of a table that ``cut`` wrote and that no later step reads."""
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/ew-" in folder:
+            path = jvm.org.apache.hadoop.fs.Path(folder).getParent()
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
