@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import cut, shared_dir
+from ..storage import cut, drop_table, shared_dir
 
 __all__ = ["ascii_lower", "cut", "drop_table", "shared_dir", "table", "text_of"]
 
@@ -15,16 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def drop_table(df: DataFrame) -> None:
-    """Delete the files of a table that ``cut`` wrote and that no later step reads."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/ew-" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder).getParent()
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def text_of(col: str) -> Column:
     """The text, a null one as the empty text."""
     return F.coalesce(F.col(col).cast("string"), F.lit(""))

@@ -10,14 +10,15 @@ equal windows have equal anchors at equal places. Consecutive windows with one a
    one run of each such class goes on as a partner for others of its anchor;
 3. the windows of a run are divided into PARTS by their distance to the anchor; the bytes that all windows of a part
    hold are its core, and windows whose core is unique leave;
-4. doubling over the positions left: the rank of a position is first the hash of SIZES[0] bytes; Spark sorts the pairs
-   (rank(p), rank(p + n)) of all positions, equal pairs get a new common rank, unique ones leave, and n doubles, until the
-   pairs reach LENGTH bytes: what is not unique there is repeated.
+4. doubling over the windows left: a position's rank is first the hash of n = LENGTH / 4 bytes. Spark sorts the pairs
+   (rank(p), rank(p + n)), equal pairs get a new common rank and unique ones leave. The second halves of the windows left
+   are ranked by such a sort too, and with n doubled Spark sorts (rank(p), rank(p + n)) again. That is past the
+   threshold: what is not unique is repeated. Ranks of first and second halves are never compared, so the halves are
+   sorted one after the other, the second one without what has left.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, drop_table, table, text_of
-from .tokens import PA, library_cache
+from .tokens import PA
 
 LENGTH, GRAM = 200, 40
 #: Parts that a run's windows are divided into in step 3.
@@ -108,7 +109,6 @@ def sampled_runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches):
         from xxhash import xxh3_128_digest
 
-        library_cache.cache_clear()  # a worker may still keep words that another operator encoded
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 out = []
@@ -267,40 +267,68 @@ def live_parts(contexts: DataFrame, length: int, gram: int) -> DataFrame:
     return found.join(again, "h", "left_semi").groupBy("run").agg(F.sum("part").alias("parts"))
 
 
-def position_pairs(contexts: DataFrame, length: int, gram: int) -> DataFrame:
-    """(r1, r2, run, at): ranks of the first bytes of each position left and of those ``sizes(length)[0]`` later; for
-    every window that is left its own position and the one where its second half begins. ``at`` is twice the position,
-    and one more where only a second half begins."""
+def batch_of(columns, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def first_pairs(contexts: DataFrame, length: int, gram: int) -> DataFrame:
+    """(r1, r2, run, at): for every window left the ranks of its first bytes and of those ``sizes(length)[0]`` later."""
     schema, ddl = _schema({"r1": "long", "r2": "long", "run": "long", "at": "int"})
-    first_size, second_size = sizes(length)
-    later = length - second_size
+    size, _ = sizes(length)
 
     def pairs(batches):
         for batch in batches:
             out = []
             for run, windows, anchor, context, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                wanted, own = np.zeros(windows + later, bool), np.zeros(windows + later, bool)
+                left = np.zeros(windows, bool)
                 for part in range(PARTS):
                     first, last, _, _ = part_of(windows, anchor, part, length, gram)
                     if parts >> part & 1 and first <= last:
-                        own[first : last + 1] = True
-                        wanted[first + later : last + 1 + later] = True
-                at = np.flatnonzero(wanted | own)
-                h = gram_hashes(np.frombuffer(context, np.uint8), first_size).view(np.int64)
-                out.append((h[at], h[at + first_size], np.full(len(at), run), 2 * at + (~own[at]).astype(int)))
-                if sum(len(x[0]) for x in out[-64:]) > 10_000 or len(out) >= 256:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+                        left[first : last + 1] = True
+                at = np.flatnonzero(left)
+                h = gram_hashes(np.frombuffer(context, np.uint8), size).view(np.int64)
+                out.append((h[at], h[at + size], np.full(len(at), run), at))
+                if len(out) >= 128:
+                    yield batch_of(map(np.concatenate, zip(*out, strict=True)), schema)
                     out = []
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+                yield batch_of(map(np.concatenate, zip(*out, strict=True)), schema)
 
     return contexts.select("run", "windows", "anchor", "context", "parts").mapInArrow(pairs, ddl)
 
 
+def second_pairs(ranks: DataFrame, contexts: DataFrame, length: int) -> DataFrame:
+    """(r1, r2, run, at, first): for every window of ``ranks`` the pair of its second half; first: its rank so far. A
+    run's bytes come ahead of its windows in one sort, and stay until the next run's."""
+    schema, ddl = _schema({"r1": "long", "r2": "long", "run": "long", "at": "int", "first": "long"})
+    size, half = sizes(length)
+    later = length - half
+
+    def pairs(batches):
+        h = None
+        for batch in batches:
+            run, at, rank = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("run", "at", "rank"))
+            begins = np.flatnonzero(at < 0)
+            texts = batch.column("context").take(pa.array(begins)).to_pylist()
+            out = []
+            for k, (a, z) in enumerate(zip(np.r_[0, begins + 1].tolist(), np.r_[begins, len(at)].tolist(), strict=True)):
+                if k:
+                    h = gram_hashes(np.frombuffer(texts[k - 1], np.uint8), size).view(np.int64)
+                if a < z:
+                    out.append((h[at[a:z] + later], h[at[a:z] + later + size], run[a:z], at[a:z], rank[a:z].astype(np.int64)))
+            if out:
+                yield batch_of(map(np.concatenate, zip(*out, strict=True)), schema)
+
+    of_run = contexts.select("run", F.lit(-1).alias("at"), F.lit(0).cast("long").alias("rank"), "context")
+    both = of_run.join(ranks.select("run").distinct(), "run", "left_semi").unionByName(ranks, allowMissingColumns=True)
+    return by_key(both, ["run"], "at").mapInArrow(pairs, ddl)
+
+
 def reranked(pairs: DataFrame) -> DataFrame:
-    """(run, at, rank) of the positions whose pair (r1, r2) is not unique: Spark sorts the pairs, and equal ones get a
-    common new rank. The sorted rows stream by; only the last one is held."""
-    schema, ddl = _schema({"run": "long", "at": "int", "rank": "long"})
+    """(run, at, rank, and first if there is one) of the positions whose pair (r1, r2) is not unique: Spark sorts the
+    pairs, and equal ones get a common new rank. The sorted rows stream by; only the last one is held."""
+    first = {"first": "long"} if "first" in pairs.columns else {}
+    schema, ddl = _schema({"run": "long", "at": "int", "rank": "long"} | first)
 
     def rank(batches):
         r, held = TaskContext.get().partitionId() << 40, None
@@ -308,14 +336,14 @@ def reranked(pairs: DataFrame) -> DataFrame:
 
         def told(rows, before, after, r):
             """Rows of equal pairs with their rank, and the last rank; before, after: the pairs around them."""
-            r1, r2, run, at = rows
+            r1, r2, run, at, *more = rows
             a, b = np.r_[before[0] if before else 0, r1, after[0] if after else 0], np.r_[before[1] if before else 0, r2, after[1] if after else 0]
             same = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
             same[0] &= before is not None
             same[-1] &= after is not None
             ranks = r + np.cumsum(~same[:-1])
             keep = same[:-1] | same[1:]
-            return pa.RecordBatch.from_arrays([pa.array(x[keep], f.type) for x, f in zip((run, at, ranks), schema, strict=True)], schema=schema), int(ranks[-1])
+            return batch_of([x[keep] for x in (run, at, ranks, *more)], schema), int(ranks[-1])
 
         for batch in batches:
             rows = [c.to_numpy() for c in batch.columns]
@@ -351,23 +379,6 @@ def whole_runs(batches):
         yield held
 
 
-def next_pairs(ranks: DataFrame, later: int) -> DataFrame:
-    """(r1, r2, run, at) for the next sort: the rank of a window's position and that of the one ``later`` bytes on,
-    where both are left; ``at`` is the window."""
-    schema, ddl = _schema({"r1": "long", "r2": "long", "run": "long", "at": "int"})
-
-    def pairs(batches):
-        for run, at, rank in whole_runs(batches):
-            own, at = at & 1 == 0, at >> 1
-            place = (np.cumsum(np.r_[True, run[1:] != run[:-1]]) << 32) + at
-            other = np.searchsorted(place, place + later)
-            ok = own & (place[np.minimum(other, len(place) - 1)] == place + later)
-            out = rank[ok], rank[other[ok]], run[ok], at[ok]
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, schema, strict=True)], schema=schema)
-
-    return by_key(ranks, ["run"], "at").mapInArrow(pairs, ddl)
-
-
 def stretches(left: DataFrame) -> DataFrame:
     """(run, a, z): the first and last window of each stretch of positions that are left."""
     schema, ddl = _schema({"run": "long", "a": "int", "z": "int"})
@@ -376,31 +387,27 @@ def stretches(left: DataFrame) -> DataFrame:
         for run, at, _ in whole_runs(batches):
             new = np.r_[True, (run[1:] != run[:-1]) | (at[1:] != at[:-1] + 1)]
             ends = np.r_[np.flatnonzero(new)[1:] - 1, len(at) - 1]
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((run[new], at[new], at[ends]), schema, strict=True)], schema=schema)
+            yield batch_of((run[new], at[new], at[ends]), schema)
 
     return by_key(left, ["run"], "at").mapInArrow(joined, ddl)
 
 
 def doubled(contexts: DataFrame, length: int, gram: int) -> DataFrame:
     """Steps 3 and 4: (doc_id, key, s, e), the first and last window of stretches of repeated windows."""
-    spark, (_, second_size) = contexts.sparkSession, sizes(length)
     live = cut(live_parts(contexts, length, gram), "live")
-    halves = cut(reranked(position_pairs(contexts.join(live, "run"), length, gram)), "ranks")
-    free_shuffles(spark)
-    again = cut(next_pairs(halves, length - second_size), "pairs")
-    drop_table(halves)
-    free_shuffles(spark)
-    found = cut(stretches(reranked(again)), "repeated")
-    drop_table(again)
-    free_shuffles(spark)
-    where = contexts.select("run", "doc_id", "key", "s")
-    return found.join(where, "run").select("doc_id", "key", (F.col("s") + F.col("a")).alias("s"), (F.col("s") + F.col("z")).alias("e"))
 
+    def step(df: DataFrame, name: str, *done: DataFrame) -> DataFrame:
+        out = cut(df, name)
+        for table in done:
+            drop_table(table)
+        return out
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    first = step(reranked(first_pairs(contexts.join(live, "run"), length, gram)), "first_halves", live)
+    both = step(reranked(second_pairs(first, contexts, length)), "second_halves", first)
+    last = both.select(F.col("first").alias("r1"), F.col("rank").alias("r2"), "run", "at")
+    found = step(stretches(reranked(last)), "repeated", both)
+    where = contexts.select("run", "doc_id", "key", "s")
+    return found.join(where, "run").select("doc_id", "key", (F.col("s") + F.col("a")).alias("s"), (F.col("s") + F.col("z")).alias("e"))
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
@@ -410,11 +417,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = text_of(text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), text).alias("key"), text.alias("text"))
     found = cut(matched_runs(sampled_runs(rows, length, gram)), "runs")
-    free_shuffles(spark)
     contexts = cut(anchored(found.where("partner"), rows, length, gram), "contexts")
-    free_shuffles(spark)
     more = cut(doubled(contexts, length, gram), "stretches")
-    free_shuffles(spark)
     return rows, found.where("whole").select("doc_id", "key", "s", "e").union(more)
 
 
