@@ -413,7 +413,6 @@ def doubled(contexts: DataFrame, length: int, gram: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
     """(docs with doc_id, key, text; spans with doc_id, key, s, e): in the text with that id and key, every window
     that starts at a byte from s to e is repeated somewhere in the table."""
-    spark = docs.sparkSession
     text = text_of(text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), text).alias("key"), text.alias("text"))
     found = cut(matched_runs(sampled_runs(rows, length, gram)), "runs")
