@@ -22,13 +22,23 @@ def bytes_to_bits(values: Column) -> Column:
     return F.flatten(F.transform(values, one))
 
 
-def bits_to_bytes(bits: Column) -> Column:
-    """Whole bytes, most significant bit first; a partial one at the end is dropped."""
-    n = F.floor(F.size(bits) / 8).cast("int")
-    byte = lambda k: F.aggregate(F.slice(bits, k * 8 + 1, F.lit(8)), F.lit(0), lambda a, b: a * 2 + b)
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, also where ``use`` needs it inside a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def text_to_bytes(bits: Column) -> Column:
+    """Whole bytes of a string of bits, most significant bit first; a partial one at the end is dropped."""
+    n = F.floor(F.length(bits) / 8).cast("int")
+    byte = lambda k: F.conv(F.substr(bits, k * 8 + 1, F.lit(8)), 2, 10).cast("int")
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), byte)).otherwise(F.array().cast("array<int>"))
 
 
+def bits_to_bytes(bits: Column) -> Column:
+    """The same of an array of bits."""
+    return let(bit_string(bits), text_to_bytes)
+
+
 def bit_string(bits: Column) -> Column:
     return F.array_join(F.transform(bits, lambda b: b.cast("string")), "")
 
@@ -48,13 +58,19 @@ def marker_transitions(bits: Column) -> Column:
 def ols(points: Column) -> Column:
     """Least squares over an array of structs (x, y): a struct (n, slope, intercept, max_residual), null with fewer
     than two points or no spread in x. Sums run in array order, so the result does not depend on partitions."""
-    zero = F.lit(0.0)
-    n = F.size(points).cast("double")
-    mean = lambda f: F.aggregate(points, zero, lambda a, p: a + p[f].cast("double")) / n
-    mx, my = mean("x"), mean("y")
-    num = F.aggregate(points, zero, lambda a, p: a + (p["x"] - mx) * (p["y"] - my))
-    den = F.aggregate(points, zero, lambda a, p: a + (p["x"] - mx) * (p["x"] - mx))
-    slope = num / F.nullif(den, zero)
-    intercept = my - slope * mx
-    worst = F.array_max(F.transform(points, lambda p: F.abs(p["y"] - (intercept + slope * p["x"]))))
-    return F.when((F.size(points) >= 2) & slope.isNotNull(), F.struct(F.size(points).alias("n"), slope.alias("slope"), intercept.alias("intercept"), worst.alias("max_residual")))
+    n, zero = F.size(points).cast("double"), F.lit(0.0)
+    pair = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+    sums = F.aggregate(points, pair(zero, zero), lambda s, p: pair(s["a"] + p["x"].cast("double"), s["b"] + p["y"].cast("double")))
+
+    def fit(means: Column) -> Column:
+        mx, my = means["a"] / n, means["b"] / n
+        apart = F.aggregate(points, pair(zero, zero), lambda s, p: pair(s["a"] + (p["x"] - mx) * (p["y"] - my), s["b"] + (p["x"] - mx) * (p["x"] - mx)))
+        return let(apart, lambda s: let(pair(s["a"] / F.nullif(s["b"], zero), my), lambda f: told(f["a"], f["b"] - f["a"] * mx)))
+
+    def told(slope: Column, intercept: Column) -> Column:
+        return let(pair(slope, intercept), lambda f: F.when(f["a"].isNotNull(), F.struct(
+            F.size(points).alias("n"), f["a"].alias("slope"), f["b"].alias("intercept"),
+            F.array_max(F.transform(points, lambda p: F.abs(p["y"] - (f["b"] + f["a"] * p["x"])))).alias("max_residual"),
+        )))
+
+    return F.when(F.size(points) >= 2, let(sums, fit))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import UNKNOWN_ACTION, UNKNOWN_CHANNEL, Profile
-from ..functions.bits import bits_to_bytes
+from ..functions.bits import text_to_bytes
 from .decode import failure_reasons, with_commands
 
 #: Texts of diagnostics (fixed values).
@@ -19,10 +19,6 @@ NO_START = "未找到识别开头"
 EDGE_UNMATCHED, HEAD_PIECE, TAIL_PIECE = "文件边界缺少完整活动边界且未找到识别开头", "文件开头残片", "文件结尾残片"
 
 
-def _bytes(bits: str):
-    return bits_to_bytes(F.transform(F.filter(F.split(bits, ""), lambda x: x != ""), lambda x: x.cast("int")))
-
-
 def framed(streams: DataFrame, profile: Profile) -> DataFrame:
     """One row for each marker that begins a frame: start_bit, bits, bytes, start_t, end_t, complete, reasons, valid,
     channel, action. A whole frame is passed over before the next search; a cut one ends its stream."""
@@ -33,7 +29,7 @@ def framed(streams: DataFrame, profile: Profile) -> DataFrame:
     begin = F.struct(F.lit(0).alias("next"), F.array().cast("array<int>").alias("found"))
     step = lambda a, i: F.when(i >= a["next"], F.struct((i + size).alias("next"), F.array_append(a["found"], i).alias("found"))).otherwise(a)
     rows = streams.withColumn("start_bit", F.explode(F.aggregate(places, begin, step)["found"]))
-    rows = rows.withColumn("bits", F.substring(F.col("bits"), F.col("start_bit") + 1, F.lit(size))).withColumn("_all", _bytes("bits"))
+    rows = rows.withColumn("bits", F.substring(F.col("bits"), F.col("start_bit") + 1, F.lit(size))).withColumn("_all", text_to_bytes(F.col("bits")))
     rows = rows.withColumn("bytes", F.slice("_all", F.lit(len(r.marker) - len(r.header) + 1), F.greatest(F.size("_all"), F.lit(1))))
     rows = with_commands(rows, r).withColumn("reasons", failure_reasons(F.col("bytes"), F.col("command_known"), profile, core=True))
     start = F.col("first_t") + F.col("start_bit") * F.col("period_us") / 1e6
@@ -44,7 +40,7 @@ def framed(streams: DataFrame, profile: Profile) -> DataFrame:
 def unmatched(streams: DataFrame) -> DataFrame:
     """A whole stream as one invalid frame, for segments in which no marker was found."""
     return streams.select(
-        "capture_id", "segment", "phase_us", "bits", _bytes("bits").alias("bytes"), F.when(F.col("bits") == "", F.col("start_t")).otherwise(F.col("first_t")).cast("double").alias("start_t"),
+        "capture_id", "segment", "phase_us", "bits", text_to_bytes(F.col("bits")).alias("bytes"), F.when(F.col("bits") == "", F.col("start_t")).otherwise(F.col("first_t")).cast("double").alias("start_t"),
         F.col("end_t").cast("double").alias("end_t"), F.lit(-1).alias("start_bit"), F.lit(False).alias("valid"), F.array(F.lit(NO_START)).alias("reasons"),
         F.lit(UNKNOWN_CHANNEL).alias("channel"), F.lit(UNKNOWN_ACTION).alias("action"),
     )

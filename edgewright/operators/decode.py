@@ -1,8 +1,8 @@
-"""From edges to candidate frames.
+"""From edges to candidate frames, and to the frames that stay.
 
-Edges are grouped into blocks of time longer than a frame; a block also gets the next block's edges and one edge
-to either side, so every candidate that starts in it can be decoded inside one row. One shuffle by capture (for
-neighbours) and one by block do it for captures of any length.
+Edges are sorted by capture once and stream by. Time is cut into blocks longer than a frame: the candidates that start in
+a block need its edges, the next block's and one edge to either side, so a capture's edges are held for about two blocks,
+whatever its length. Candidates that cannot meet later ones are settled at once, so only frames leave the task.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import UNKNOWN_ACTION, UNKNOWN_CHANNEL, Profile, Rules, commands
-from ..functions.bits import bits_to_bytes
+from ..functions.bits import text_to_bytes
 
 #: Outcomes of the recovery of a missing last bit (fixed values).
 NOT_NEEDED = "不适用，CSV已直接恢复104 bit"
@@ -32,32 +32,18 @@ def block_us(rules: Rules) -> int:
     return int(150 * rules.pulse_max_us) + 1
 
 
-def blocks(edges: DataFrame, rules: Rules) -> DataFrame:
-    """capture_id, block, edges (sorted structs of edge_idx, us since the block began, level, one: a single-bit
-    pulse follows, own: the edge lies in this block), and us and level of the capture's last two edges."""
+def marked(edges: DataFrame, rules: Rules) -> DataFrame:
+    """capture_id, edge_idx, block, us (since the block began), level, one (a single-bit pulse follows), sorted by
+    capture and edge."""
     size = Decimal(block_us(rules)) / 1_000_000
-    by_edge, whole = Window.partitionBy("capture_id").orderBy("edge_idx"), Window.partitionBy("capture_id")
-    ends = whole.orderBy("edge_idx").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = edges.select("capture_id", "edge_idx", "t", "level").withColumns({"_p": F.lag("t").over(by_edge), "_pl": F.lag("level").over(by_edge), "_n": F.lead("t").over(by_edge)})
-    pulse = (F.col("_n") - F.col("t")) * 1_000_000
-    rows = rows.withColumns({
-        "one": F.coalesce(pulse.between(F.lit(rules.pulse_min_us), F.lit(rules.pulse_max_us)), F.lit(False)),
-        "_last": F.last("t").over(ends), "_last_level": F.last("level").over(ends), "_before": F.last("_p").over(ends), "_before_level": F.last("_pl").over(ends),
-    })
-    at = lambda c: F.floor(F.col(c).cast("double") / float(size))
-    rows = rows.withColumn("_b", at("t"))
-    targets = F.array_distinct(F.array_compact(F.array("_b", F.col("_b") - 1, at("_p"), at("_p") - 1, at("_n"))))
-    rows = rows.withColumn("block", F.explode(targets))
-    since = lambda c: ((F.col(c) - F.col("block").cast("decimal(12,0)") * F.lit(size)) * 1_000_000).cast("double")
-    one = F.struct("edge_idx", since("t").alias("us"), "level", "one", (F.col("_b") == F.col("block")).alias("own"))
-    got = rows.groupBy("capture_id", "block").agg(
-        F.sort_array(F.collect_list(one)).alias("edges"), F.max(F.struct(since("_last").alias("t"), "_last_level")).alias("_l"),
-        F.max(F.struct(since("_before").alias("t"), "_before_level")).alias("_q"), F.max((F.col("_b") == F.col("block")) & F.col("one")).alias("_any"),
-    ).where("_any")
-    return got.select(
-        "capture_id", "block", F.col("edges.us").alias("us"), F.col("edges.edge_idx").alias("edge_idx"), F.col("edges.level").alias("level"), F.col("edges.one").alias("one"),
-        F.col("edges.own").alias("own"), F.col("_l.t").alias("last_us"), F.col("_l._last_level").alias("last_level"), F.col("_q.t").alias("before_us"), F.col("_q._before_level").alias("before_level"),
-    )
+    following = F.lead("t").over(Window.partitionBy("capture_id").orderBy("edge_idx"))
+    pulse = (following - F.col("t")) * 1_000_000
+    one = F.coalesce(pulse.between(F.lit(rules.pulse_min_us), F.lit(rules.pulse_max_us)), F.lit(False))
+    rows = edges.select("capture_id", F.col("edge_idx").cast("long").alias("edge_idx"), "t", F.col("level").cast("int").alias("level"), one.alias("one"))
+    rows = rows.withColumn("block", F.floor(F.col("t").cast("double") / float(size)).cast("long"))
+    since = ((F.col("t") - F.col("block").cast("decimal(12,0)") * F.lit(size)) * 1_000_000).cast("double")
+    rows = rows.select(F.col("capture_id").cast("string").alias("capture_id"), "edge_idx", "block", since.alias("us"), "level", "one")
+    return rows.sortWithinPartitions("capture_id", "edge_idx")
 
 
 def fitted(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float] | None:
@@ -199,28 +185,66 @@ _CANDIDATE = {
 _DDL = {pa.int64(): "long", pa.int32(): "int", pa.float64(): "double", pa.string(): "string", pa.bool_(): "boolean", pa.list_(pa.int32()): "array<int>"}
 
 
-def candidates(edges: DataFrame, profile: Profile) -> DataFrame:
-    """One row for each confirmed start edge and phase, times in seconds: those of edges as exact decimals, others as
-    doubles. Invalid candidates are kept; without a confirmed marker there is none."""
-    rules, inverted = profile.rules, profile.inverted
-    capture = edges.schema["capture_id"].dataType
-    rows = blocks(edges, rules).withColumn("capture_id", F.col("capture_id").cast("string"))
-    schema = pa.schema([("capture_id", pa.string()), ("block", pa.int64()), *_CANDIDATE.items()])
+class EdgeStream:
+    """Candidates of sorted edges that come in batches, capture by capture.
 
-    def run(batches):
-        decoder = BlockDecoder(rules, inverted)
-        for batch in batches:
-            out = []
-            lists = [batch.column(c) for c in ("us", "edge_idx", "level", "one", "own")]
-            ends = np.append(0, np.cumsum(lists[0].value_lengths().to_numpy())).tolist()
-            flat = [x.flatten().to_numpy(zero_copy_only=False) for x in lists]
-            rest = [batch.column(c).to_pylist() for c in ("capture_id", "block", "last_us", "last_level", "before_us", "before_level")]
-            for a, b, capture_id, block, *tail in zip(ends, ends[1:], *rest, strict=False):
-                out += [(capture_id, block, *c) for c in decoder.candidates(*(x[a:b] for x in flat), *tail)]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+    ``feed`` gives (capture_id, block up to which all is known, candidates as (block, ...)); that number is None at a
+    capture's end. Of a capture no more is held than the edges of blocks that wait for the next one's."""
+
+    def __init__(self, rules: Rules, inverted: bool):
+        self.decoder, self.size = BlockDecoder(rules, inverted), block_us(rules)
+        self.capture, self.held = None, None
+
+    def feed(self, batch: pa.RecordBatch):
+        names = batch.column(0)
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]]
+        coded = names.dictionary_encode()
+        code = coded.indices.to_numpy(zero_copy_only=False)
+        starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else []
+        for a, z in zip(starts, [*starts[1:], len(code)], strict=True):
+            name = coded.dictionary[int(code[a])].as_py()
+            part = [c[a:z] for c in columns]
+            if self.capture is not None and name == self.capture:
+                part = [np.concatenate(x) for x in zip(self.held, part, strict=True)]
+            else:
+                yield from self.end()
+            self.capture = name
+            yield from self._decode(part, False)
+
+    def end(self):
+        if self.held is not None:
+            yield from self._decode(self.held, True)
+        self.capture = self.held = None
+
+    def _decode(self, part, ended):
+        edge_idx, block, us, level, one = part
+        whole, last = len(block), np.inf
+        upto = None if ended else int(block[-1]) - 2  # the next block's edges, and one more, are there
+        out = []
+        live = np.unique(block[one]) if ended else np.unique(block[one & (block <= upto)])
+        for b in live.tolist():
+            i, j = np.searchsorted(block, [b, b + 1], "left")
+            z = min(int(np.searchsorted(block, b + 1, "right")) + 1, whole)
+            a = max(int(i) - 1, 0)
+            t = us[a:z] + (block[a:z] - b) * float(self.size)
+            own = np.zeros(z - a, bool)
+            own[i - a : j - a] = True
+            tail = (None, None, None)
+            if ended:
+                last = us[-1] + float(block[-1] - b) * self.size
+                before = us[-2] + float(block[-2] - b) * self.size if whole > 1 else None
+                tail = int(level[-1]), before, int(level[-2]) if whole > 1 else None
+            out += [(b, *c) for c in self.decoder.candidates(t, edge_idx[a:z], level[a:z], one[a:z], own, last, *tail)]
+        if ended:
+            yield self.capture, None, out
+            return
+        keep = max(int(np.searchsorted(block, upto, "right")) - 1, 0)
+        self.held = [x[keep:] for x in part]
+        yield self.capture, upto, out
 
-    found = rows.mapInArrow(run, "capture_id string, block long, " + ", ".join(f"{c} {_DDL[t]}" for c, t in _CANDIDATE.items()))
+
+def _finished(found: DataFrame, rules: Rules, capture) -> DataFrame:
+    """Times in seconds and the derived columns of decoded rows."""
     size = Decimal(block_us(rules)) / 1_000_000
     base = F.col("block").cast("decimal(12,0)") * F.lit(size)
     exact = lambda c: (base + F.round(c, 6).cast("decimal(18,6)") * F.lit(Decimal("0.000001"))).cast("decimal(20,12)")
@@ -234,6 +258,41 @@ def candidates(edges: DataFrame, profile: Profile) -> DataFrame:
     return found.drop("block", "prelude_us", "associated_us", "start_us", "end_us")
 
 
+def _streamed(edges: DataFrame, profile: Profile, settle) -> DataFrame:
+    """Decoded rows of all captures; ``settle()`` gives a function from what EdgeStream gives to the rows that stay."""
+    rules, inverted = profile.rules, profile.inverted
+    schema = pa.schema([("capture_id", pa.string()), ("block", pa.int64()), *_CANDIDATE.items()])
+
+    def run(batches):
+        stream, stay, out = EdgeStream(rules, inverted), settle(), []
+        for batch in batches:
+            for piece in stream.feed(batch):
+                out += stay(*piece)
+            if len(out) >= 500:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+                out = []
+        for piece in stream.end():
+            out += stay(*piece)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+    ddl = "capture_id string, block long, " + ", ".join(f"{c} {_DDL[t]}" for c, t in _CANDIDATE.items())
+    return _finished(marked(edges, rules).mapInArrow(run, ddl), rules, edges.schema["capture_id"].dataType)
+
+
+def candidates(edges: DataFrame, profile: Profile) -> DataFrame:
+    """One row for each confirmed start edge and phase, times in seconds: those of edges as exact decimals, others as
+    doubles. Invalid candidates are kept; without a confirmed marker there is none."""
+    return _streamed(edges, profile, lambda: lambda capture, upto, found: [(capture, *c) for c in found])
+
+
+def frames(edges: DataFrame, profile: Profile) -> DataFrame:
+    """The candidates that stay when duplicates have gone (``dedup.Settler``), settled where they are decoded."""
+    from .dedup import Settler
+
+    return _streamed(edges, profile, lambda: Settler(profile).feed)
+
+
 def failure_reasons(values: Column, command_known: Column, profile: Profile, core: bool = False) -> Column:
     """Why the bytes of a frame are not valid, in a fixed order; ``core``: the older form that begins with the whole
     marker, already cut to the formal bytes."""
@@ -259,8 +318,7 @@ def with_commands(frames: DataFrame, rules: Rules, bytes_col: str = "bytes") ->
 def validated(frames: DataFrame, profile: Profile) -> DataFrame:
     """``frames`` (column bits, and bytes if they are known) with bytes, complete, reasons, valid, channel, action."""
     if "bytes" not in frames.columns:
-        digits = F.transform(F.filter(F.split("bits", ""), lambda x: x != ""), lambda x: x.cast("int"))
-        frames = frames.withColumn("bytes", bits_to_bytes(digits))
+        frames = frames.withColumn("bytes", text_to_bytes(F.col("bits")))
     rows = with_commands(frames, profile.rules)
     rows = rows.withColumn("reasons", failure_reasons(F.col("bytes"), F.col("command_known"), profile)).drop("command_known")
     return rows.withColumns({"complete": F.size("bytes") >= profile.rules.frame_bytes, "valid": F.size("reasons") == 0})
