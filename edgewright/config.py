@@ -6,7 +6,6 @@ frozen object, and the dimension tables are DataFrames of its rows.
 
 from __future__ import annotations
 
-import codecs
 import json
 from dataclasses import dataclass
 from decimal import Decimal
@@ -268,7 +267,7 @@ def _profile(raw, where: str, rules: dict[str, Rules]) -> Profile:
     r = _Reader(raw, where, "key name remoteId charset idleThresholdMs idleLevel levelMapping protocolRuleKey")
     key, name, remote_id, charset = r.text("key"), r.text("name"), r.hex("remoteId", 3), r.text("charset")
     try:
-        codecs.lookup(charset)
+        "".encode(charset)  # text encodings only
     except LookupError:
         raise _no(f"{r.at('charset')} 不是支持的字符集: {charset}") from None
     idle = r.positive("idleThresholdMs")

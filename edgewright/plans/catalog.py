@@ -6,13 +6,17 @@ event's id. ``orders`` gives frames that are encoded to waveforms and decoded ag
 
 from __future__ import annotations
 
+import copy
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config
+from ..errors import MESSAGES, CaptureError
 from ..functions import bits
 from ..operators import bitstreams, coverage, decode, dedup, signal
 from ..sources import edge_csv, report
+from ..storage import cut, option, shared_dir
 from . import captures, synth
 
 HOUR = 3_600_000_000
@@ -42,12 +46,12 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def events_signal(spark: SparkSession, sf_dir: str, by_id: bool = False) -> DataFrame:
-    """edges (capture_id, edge_idx, t in us, level); ``by_id``: in the order of ids instead of times."""
+    """edges (capture_id, edge_idx, t in us, level); ``by_id``: in the order of the ids' remainder instead of times."""
     from pyspark.sql import Window
 
     e = _t(spark, sf_dir, "events")
     us = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))")
-    order = Window.partitionBy("user_id").orderBy("event_id") if by_id else Window.partitionBy("user_id").orderBy("ts", "event_id")
+    order = Window.partitionBy("user_id").orderBy(F.col("event_id") % 5, "event_id") if by_id else Window.partitionBy("user_id").orderBy("ts", "event_id")
     return e.select(
         F.col("user_id").alias("capture_id"), (F.row_number().over(order) - 1).cast("long").alias("edge_idx"), us.alias("t"), (F.col("event_id") % 2).cast("int").alias("level")
     )
@@ -72,7 +76,7 @@ seg AS (SELECT capture_id, row_number() OVER (PARTITION BY capture_id ORDER BY i
   island > 0 AS left_known, island < seps AS right_known FROM grp WHERE start_t < end_t)"""
 
 
-@query("""WITH s AS (SELECT user_id AS capture_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS edge_idx, epoch_us(ts) AS t FROM events),
+@query("""WITH s AS (SELECT user_id AS capture_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id % 5, event_id) - 1 AS edge_idx, epoch_us(ts) AS t FROM events),
 l AS (SELECT *, lag(t) OVER (PARTITION BY capture_id ORDER BY edge_idx) AS previous_t FROM s)
 SELECT capture_id, edge_idx, t, previous_t FROM l WHERE t < previous_t""")
 def edges_monotonic_check(spark, sf_dir):
@@ -291,7 +295,7 @@ def dedup_preference(spark, sf_dir):
     return best.select("capture_id", F.col("edge_idx").alias("o_orderkey"), "rank")
 
 
-_COVER = f"""{_SEG}, fr AS (SELECT capture_id, edge_idx, t AS prelude_t, t + {COVER_US} AS end_t FROM sig WHERE edge_idx % 5 = 0),
+_COVER = f"""{_SEG}, fr AS (SELECT capture_id, edge_idx, t AS prelude_t, t + {COVER_US} AS end_t FROM sig),
 fs AS (SELECT f.capture_id, f.edge_idx, f.prelude_t, f.end_t, s.segment, s.start_t AS segment_start, s.end_t AS segment_end FROM fr f JOIN seg s ON f.capture_id = s.capture_id AND f.prelude_t >= s.start_t AND f.prelude_t < s.end_t),
 cl AS (SELECT s.capture_id, s.segment, s.start_t, s.end_t, s.left_known, s.right_known, greatest(f.prelude_t, s.start_t) AS a, least(f.end_t, s.end_t) AS b FROM seg s JOIN fs f USING (capture_id, segment)
   UNION ALL SELECT capture_id, segment, start_t, end_t, left_known, right_known, end_t, NULL FROM seg),
@@ -299,7 +303,7 @@ cu AS (SELECT *, greatest(start_t, coalesce(max(b) OVER (PARTITION BY capture_id
 
 
 def _frames(spark, sf_dir):
-    e = events_signal(spark, sf_dir).where("edge_idx % 5 = 0")
+    e = events_signal(spark, sf_dir)
     return e.select("capture_id", "edge_idx", F.col("t").alias("prelude_t"), (F.col("t") + COVER_US).alias("end_t"))
 
 
@@ -331,7 +335,7 @@ def protocol_settings(spark, sf_dir):
     return config.parser_settings(spark)
 
 
-def _csv_lines(spark, sf_dir, faults=False):
+def _csv_text(spark, sf_dir, faults=False):
     """The signal as decoded lines of CSV files, with a header each; ``faults`` breaks a line in some captures."""
     e = events_signal(spark, sf_dir).withColumn("t", F.col("t") - EPOCH_US)
     text = F.concat_ws(",", (F.col("t").cast("decimal(20,0)") * F.expr("CAST(0.000001 AS DECIMAL(7,6))")).cast("string"), F.col("level").cast("string"))
@@ -341,7 +345,11 @@ def _csv_lines(spark, sf_dir, faults=False):
         text = F.when(hit, bad).otherwise(text)
     body = e.select("capture_id", (F.col("edge_idx") + 2).alias("line"), text.alias("text"))
     head = e.select("capture_id").distinct().select("capture_id", F.lit(1).cast("long").alias("line"), F.lit("Time[s],Channel 0").alias("text"))
-    return edge_csv.text_lines(head.unionByName(body))
+    return head.unionByName(body)
+
+
+def _csv_lines(spark, sf_dir, faults=False):
+    return edge_csv.text_lines(_csv_text(spark, sf_dir, faults))
 
 
 @query(f"WITH {_SIG} SELECT capture_id, edge_idx, t - {EPOCH_US} AS t_us, level, edge_idx + 2 AS source_line FROM sig")
@@ -356,6 +364,74 @@ def csv_error_lines(spark, sf_dir):
     return edge_csv.csv_errors(edge_csv.checked(_csv_lines(spark, sf_dir, True)))
 
 
+@query(f"""WITH {_SIG} SELECT capture_id, edge_idx, t - {EPOCH_US} AS t_us, level, edge_idx + 2 AS source_line FROM sig WHERE capture_id % 7 <> 0""")
+def csv_file_scan(spark, sf_dir):
+    """The signal written as one file for each capture and read again; every seventh file has a header of one column."""
+    rows, path = _csv_text(spark, sf_dir), f"{shared_dir(spark)}/captures"
+    rows = rows.withColumn("text", F.when((F.col("line") == 1) & (F.col("capture_id") % 7 == 0), "Time[s]").otherwise(F.col("text")))
+    rows = rows.repartition("capture_id").sortWithinPartitions("capture_id", "line")
+    rows.select("capture_id", "text").write.partitionBy("capture_id").option("lineSep", "\r\n").text(path)
+    e = edge_csv.edges_of(cut(edge_csv.checked(edge_csv.file_lines(spark, f"{path}/capture_id=*")), "lines"))
+    e = e.withColumn("capture_id", F.regexp_extract("capture_id", "capture_id=([0-9]+)/", 1).cast("long"))
+    return e.select("capture_id", "edge_idx", (F.col("t") * 1_000_000).cast("long").alias("t_us"), "level", "source_line")
+
+
+@query(f"""WITH {_SIG} SELECT capture_id || '.csv' AS capture_id, CASE capture_id % 6 WHEN 4 THEN 3 ELSE 1 END::BIGINT AS source_line, '第 ' || CASE capture_id % 6 WHEN 4 THEN 3 ELSE 1 END || ' 行: '
+|| CASE capture_id % 6 WHEN 4 THEN '至少需要时间和电平两列' ELSE '表头至少需要两列且不能为空' END AS message FROM sig WHERE capture_id % 6 IN (1, 2, 3, 4) GROUP BY ALL""")
+def csv_header_faults(spark, sf_dir):
+    """Files in GBK: header of one column, an empty cell, no text at all, a blank line; and two good ones, one of them
+    with old line ends."""
+    k, say = F.col("capture_id") % 6, lambda head, end="\n", more="": F.lit(f"{head}{end}0.1,1{end}{more}0.2,0{end}")
+    body = F.when(k == 1, say("时间")).when(k == 2, say("时间, ")).when(k == 3, F.lit(" ")).when(k == 4, say("时间,电平", more="\n")).when(k == 5, say("时间,电平", "\r")).otherwise(say("时间[s],通道 0"))
+    with option(spark, "spark.sql.legacy.javaCharsets", "true"):
+        files = events_signal(spark, sf_dir).select("capture_id").distinct().select(F.format_string("x/%s.csv", "capture_id").alias("path"), F.encode(body, "GBK").alias("content"))
+    return edge_csv.csv_errors(edge_csv.checked(edge_csv.lines_of(files, "GBK")))
+
+
+@query(f"""WITH {_COVER}, f AS (SELECT capture_id, count(*) FILTER (level = 1) AS n_valid, count(*) FILTER (level = 0) AS n_invalid FROM sig GROUP BY ALL),
+g AS (SELECT capture_id, count(*) AS n FROM cu WHERE gap < a GROUP BY ALL), s AS (SELECT capture_id, count(*) AS n FROM seg GROUP BY ALL)
+SELECT f.capture_id, n_valid + n_invalid AS n_edges, coalesce(s.n, 0)::BIGINT AS n_segments, n_valid, n_invalid, coalesce(g.n, 0)::BIGINT AS n_fragments FROM f LEFT JOIN s USING (capture_id) LEFT JOIN g USING (capture_id)""")
+def summary_counts(spark, sf_dir):
+    """All five counts of a summary over the signal; an edge at level 1 stands for a valid frame."""
+    e, segments = events_signal(spark, sf_dir), _segments(spark, sf_dir)
+    made = e.select("capture_id", F.col("t").alias("prelude_t"), (F.col("t") + COVER_US).alias("end_t"), (F.col("level") == 1).alias("valid"))
+    return captures.summary(e, segments, made, captures.fragments(made, segments))
+
+
+_SHEET = ("capture_id", "n_edges", "n_segments", "n_valid", "n_invalid", "n_fragments")
+
+
+@query("SELECT o_custkey AS capture_id, no::INTEGER AS no, value FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY ALL), LATERAL (VALUES (1, o_custkey::VARCHAR), (2, (2 * n)::VARCHAR), (3, '1'), (4, n::VARCHAR), (5, '0'), (6, '3'), (7, 'B0 42 87'), "
+       "(8, '332.80～499.20'), (10, 'T_est / 16'), (12, '40'), (13, '0'), (15, '2024-01-01 00:00:00')) v(no, value)")
+def summary_sheet_view(spark, sf_dir):
+    """The rows of the summary sheet whose texts are figures, for made-up counts."""
+    rows = _t(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("capture_id")).agg(F.count("*").alias("n_valid"))
+    rows = rows.select("*", (2 * F.col("n_valid")).alias("n_edges"), F.lit(1).alias("n_segments"), F.lit(0).alias("n_invalid"), F.lit(3).alias("n_fragments")).select(*_SHEET)
+    view = report.summary_view(rows, _PROFILE, "2024-01-01 00:00:00")
+    return view.where(~F.col("no").isin(9, 11, 14)).select("capture_id", F.col("no").cast("int").alias("no"), "value")
+
+
+_TAILS = (decode.EXTENDED, decode.TOO_SHORT, decode.NO_EDGE, decode.BAD_EDGE)
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 4 " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in enumerate(_TAILS)) + " END AS status FROM orders")
+def tail_outcomes(spark, sf_dir):
+    """One frame for each order without its closing edge, and the edge that begins its last bit there, absent, early
+    or late: whether some phase's tail comes to what that calls for, else all that came."""
+    from pyspark.sql import Window
+
+    sent = _payloads(spark, sf_dir).select(F.col("frame_key").alias("capture_id"), "frame_key", "bytes")
+    e = synth.waveform(sent, _PROFILE)
+    e = e.withColumn("back", F.row_number().over(Window.partitionBy("capture_id").orderBy(F.desc("edge_idx"))))
+    kind = F.col("capture_id") % 4
+    e = e.where((F.col("back") > 1) & ~((kind == 1) & (F.col("back") == 2)))
+    late = F.when((F.col("back") == 2) & (kind == 2), -208).when((F.col("back") == 2) & (kind == 3), 166).otherwise(0)
+    e = e.withColumn("t", (F.col("t") + late.cast("decimal(6,0)") * F.expr("CAST(0.000001 AS DECIMAL(7,6))")).cast("decimal(20,12)"))
+    found = decode.candidates(e, _PROFILE).groupBy("capture_id").agg(F.sort_array(F.collect_set("tail_status")).alias("all"))
+    due = F.get(F.array(*[F.lit(x) for x in _TAILS]), kind.cast("int"))
+    return found.select(F.col("capture_id").alias("o_orderkey"), F.when(F.array_contains("all", due), due).otherwise(F.array_join("all", "；")).alias("status"))
+
+
 def _streams(spark, sf_dir):
     """Two frames in a row as one stream of bits, the second one cut for every third order."""
     rows = _payloads(spark, sf_dir).withColumn("b", bits.bit_string(bits.bytes_to_bits(F.concat(F.array(F.lit(0xAA)), "bytes"))))
@@ -404,3 +480,68 @@ def commands_by_channel(spark, sf_dir):
     c = config.commands(spark, _R)
     codes = F.array_join(F.transform(F.sort_array(F.collect_list("code")), bits.byte_hex), " ")
     return c.groupBy("channel").agg(codes.alias("codes"), F.count("*").alias("n")).withColumn("channel_no", F.regexp_extract("channel", "([0-9]+)", 1).cast("int"))
+
+
+#: A change of one field of the shipped configuration (its path and new value) that breaks a rule; the message names it.
+_BROKEN = (
+    ("schemaVersion", 2), ("remoteConfigs", []), ("protocolRuleSets", None), ("extra", 1), ("remoteConfigs.0.key", " "), ("remoteConfigs.0.name", None),
+    ("remoteConfigs.0.remoteId", "B0 42"), ("remoteConfigs.0.charset", "no-such"), ("remoteConfigs.0.charset", "rot13"), ("remoteConfigs.0.idleThresholdMs", 0),
+    ("remoteConfigs.0.idleLevel", 2), ("remoteConfigs.0.levelMapping", "other"), ("remoteConfigs.0.protocolRuleKey", "none"), ("remoteConfigs.0.more", 1),
+    ("protocolRuleSets.0.timing.nominalBitPeriodUs", 0), ("protocolRuleSets.0.timing.prefilterToleranceRatio", 1), ("protocolRuleSets.0.timing.minValidPulseCount", 0),
+    ("protocolRuleSets.0.timing.maxInitialFitPulseCount", 1), ("protocolRuleSets.0.timing.tailEdgeToleranceRatio", 0.5), ("protocolRuleSets.0.timing.phaseCount", 1),
+    ("protocolRuleSets.0.timing.dedupToleranceRatio", None), ("protocolRuleSets.0.frame.syncMarkerHex", "AA"), ("protocolRuleSets.0.frame.formalHeaderHex", "2D D5"),
+    ("protocolRuleSets.0.frame.formalFrameBits", 96), ("protocolRuleSets.0.frame.remoteIdByteOffset", 5), ("protocolRuleSets.0.frame.commandByteOffset", 9),
+    ("protocolRuleSets.0.frame.tailByteOffset", 12), ("protocolRuleSets.0.frame.tailHex", "AA"), ("protocolRuleSets.0.commands", []), ("protocolRuleSets.0.commands.0.code", "GG"),
+    ("protocolRuleSets.0.commands.0.channel", ""), ("protocolRuleSets.0.commands.0.action", None),
+)
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{path}', '{value}', 'CONFIG_INVALID', true)" for path, value in _BROKEN) + ") v(path, value, code, named)")
+def config_rules(spark, sf_dir):
+    """Each rule of the configuration broken once: the code of the error, and whether it names the field."""
+    rows = []
+    for path, value in _BROKEN:
+        document = copy.deepcopy(config.DEFAULT_CONFIG)
+        at, *rest = (int(x) if x.isdigit() else x for x in reversed(path.split(".")))
+        inner = document
+        for k in reversed(rest):
+            inner = inner[k]
+        inner[at] = value
+        try:
+            config.validated(document)
+            code, message = "none", ""
+        except CaptureError as e:
+            code, message = e.code, e.message
+        rows.append((path, str(value), code, str(at) in message))
+    return spark.createDataFrame(rows, "path string, value string, code string, named boolean")
+
+
+@query(r"""SELECT * FROM (VALUES ('a.csv', 1, 'a.csv'), ('x/y\b.CSV', 5, 'b.CSV'), ('.csv', 5, 'INVALID_REQUEST'), ('a.txt', 5, 'INVALID_REQUEST'), ('a.csv', 0, 'INVALID_REQUEST'),
+(' ', 5, 'INVALID_REQUEST'), ('a.csv', 20971520, 'a.csv'), ('a.csv', 20971521, 'UPLOAD_TOO_LARGE')) v(name, size, outcome)""")
+def upload_checks(spark, sf_dir):
+    """What becomes of uploads: the bare name, or the code of the error."""
+    cases = (("a.csv", 1), ("x/y\\b.CSV", 5), (".csv", 5), ("a.txt", 5), ("a.csv", 0), (" ", 5), ("a.csv", 20 << 20), ("a.csv", (20 << 20) + 1))
+
+    def outcome(name, size):
+        try:
+            return edge_csv.check_upload(name, size)
+        except CaptureError as e:
+            return e.code
+
+    return spark.createDataFrame([(n, k, outcome(n, k)) for n, k in cases], "name string, size int, outcome string")
+
+
+@query("""SELECT * FROM (VALUES ('status', 'UP'), ('file', 'a' || '""" + report.SUFFIX + """'), ('dedup', '1/2'), ('INVALID_REQUEST', '400'), ('UPLOAD_TOO_LARGE', '413'), ('CONFIG_READ_FAILED', '422'), ('CONFIG_INVALID', '422'),
+('CONFIG_NOT_FOUND', '404'), ('CSV_READ_FAILED', '422'), ('PROTOCOL_PARSE_FAILED', '422'), ('EXCEL_GENERATION_FAILED', '500'), ('INTERNAL_ERROR', '500'), ('blank', 'CONFIG_NOT_FOUND'), (' remote-b04287 ', 'remote-b04287')) v(what, value)""")
+def service_answers(spark, sf_dir):
+    """Health, the name of a report, the fraction of the deduplication rule, statuses of errors, profiles by key."""
+
+    def profile(key):
+        try:
+            return config.load_config().profile(key).key
+        except CaptureError as e:
+            return e.code
+
+    rows = [("status", captures.health(spark)["status"]), ("file", report.download_name("a.csv")), ("dedup", _R.dedup_fraction)]
+    rows += [(code, str(CaptureError(code).status)) for code in MESSAGES] + [("blank", profile(" ")), (" remote-b04287 ", profile(" remote-b04287 "))]
+    return spark.createDataFrame(rows, "what string, value string")

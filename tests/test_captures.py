@@ -275,3 +275,18 @@ def test_service(spark, tmp_path):
         with pytest.raises(CaptureError) as e:
             parse_capture(spark, f"{tmp_path}/{name}", key, f"{tmp_path}/out")
         assert e.value.code == code, name
+
+
+def test_files_with_one_name_are_different_captures(spark, tmp_path):
+    for folder, text in (("a", "T,L\n5,1\n6,0\n"), ("b", "T,L\n1,1\n2,0\n3,1\n"), ("c", "T,L\n")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "x.csv").write_text(text)
+    result = captures.decode_captures(spark, f"{tmp_path}/*", "remote-b04287")
+    assert {(r.capture_id, r.n_edges) for r in result.summary.collect()} == {("a/x.csv", 2), ("b/x.csv", 3), ("c/x.csv", 0)}
+    assert result.errors.count() == 0
+
+
+def test_times_are_rounded_to_twelve_decimals(spark):
+    lines = spark.createDataFrame([("a", 1, "T,L"), ("a", 2, "0.1234567890123,1"), ("a", 3, "0.1234567890126,0"), ("a", 4, "123456789,1")], "capture_id string, line long, text string")
+    rows = {r.source_line: (str(r.t), r.reason) for r in edge_csv.checked(edge_csv.text_lines(lines)).collect()}
+    assert rows[2] == ("0.123456789012", None) and rows[3] == ("0.123456789013", None) and rows[4][1] == "时间不是合法数值"
