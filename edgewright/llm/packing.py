@@ -3,8 +3,9 @@
 A document gives as many full windows as it can; what is left over is packed with others. Document frequencies and
 the average length are counted once, over the whole texts of all documents with a left-over. The left-overs are dealt
 to shards of bounded size in the order of weighted min-hashes of their terms, so documents that share much tend to
-meet. Each shard has a BM25 inverted index over the whole texts; a seed document opens a window, its best unused neighbours fill it, and the last of them is cut where the window ends, its rest being the
-next seed. So only the last window of a shard is not full.
+meet. Each shard has a BM25 inverted index over the whole texts; a seed document opens a window, its best unused
+neighbours fill it, and the last of them is cut where the window ends, its rest being the next seed. So only the last
+window of a shard is not full.
 """
 
 from __future__ import annotations
@@ -173,7 +174,7 @@ class ShardIndex:
         begin, size = self.begin[t], self.end[t] - self.begin[t]
         at = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
         row = self.row[t]
-        return np.bincount(self.doc[at], self.weight[at], len(self.alive)) + self.rows[row[row >= 0]].sum(axis=0)
+        return np.bincount(self.doc[at], self.weight[at], len(self.alive)) + self.rows.take(row[row >= 0], axis=0).sum(axis=0)
 
 
 def fill(texts: list[np.ndarray], window: int, index: ShardIndex | None = None) -> list[tuple[int, int, int, int, int]]:

@@ -215,6 +215,51 @@ def test_chats(spark, monkeypatch, block):
     assert got == brute_chats(real)
 
 
+def test_pipeline_stages_against_brute_force(spark):
+    """Null and repeated ids, null and empty texts, repeated rows and columns that clash: each stage on what the one
+    before it kept."""
+    from test_exact_and_near import brute_components, brute_fingerprint
+    from test_substrings import brute
+
+    real = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(DOCUMENTS).limit(60).collect()]
+    near = " ".join(f"the word{k} and" for k in range(200))
+    odd = [(None, real[0][1], "en"), (None, near + " x", "en"), (7000, near + " y", "en"), (7000, "completely other text with the and of words", "en"), (7001, None, "en"), (7002, "", None), (7003, "123", "en")]
+    rows = [(*r, "s", 1, 2, "k", True) for r in [*real, *odd, odd[3], odd[2]]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, key int, fp string, kept boolean").repartition(3)
+    stages = dict(corpus_pipeline.STAGES)
+    known = cut(stages["language"](spark, docs, ""), "a")
+    assert known.columns == docs.columns
+    a = [(r.doc_id, r.text) for r in known.collect()]
+    assert all(t and language.has_letter(t) for _, t in a) and len(a) >= len(rows) - 6
+    exact = cut(stages["exact"](spark, known, ""), "b")
+    first = {}
+    for i, t in a:
+        k = re.sub(r"[\x20\x09-\x0D]+", " ", t)
+        first[k] = min(first.get(k, (True, 0)), (i is None, i or 0))
+    b = [(r.doc_id, r.text) for r in exact.collect()]
+    assert collections.Counter((re.sub(r"[\x20\x09-\x0D]+", " ", t), (i is None, i or 0)) for i, t in b) == collections.Counter(first.items())
+    one = cut(stages["near"](spark, exact, ""), "c")
+    component = brute_components([brute_fingerprint(t) for _, t in b])
+    groups = collections.defaultdict(list)
+    for i, t in b:
+        groups[component[brute_fingerprint(t)]].append((i is None, i or 0))
+    c = [(r.doc_id, r.text) for r in one.collect()]
+    assert sorted((i is None, i or 0) for i, _ in c) == sorted(map(min, groups.values()))
+    stripped = cut(stages["passages"](spark, one, ""), "d")
+    want = collections.Counter({k: n for k, n in brute(c, 200).items()})
+    left = collections.defaultdict(list)
+    for r in stripped.collect():
+        left[r.doc_id].append(len(r.text.encode()))
+    assert sum(map(len, left.values())) == len(c)
+    assert all(any(0 <= (n - gone) - x <= 6 * spans for x in left[i]) for i, n, gone, spans, _ in want)
+    pieces = stages["packing"](spark, stripped, "").collect()
+    assert {r.doc_id for r in pieces} == set(left)
+    for sf in (docs.limit(0),):
+        for name, stage in corpus_pipeline.STAGES:
+            sf = cut(stage(spark, sf, ""), name)
+        assert sf.count() == 0
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(DOCUMENTS)
     base, count = docs.columns, [docs.count()]
