@@ -40,7 +40,8 @@ STAGES = [
     ("passages", passages_stage),
     ("packing", packing_stage),
 ]
-#: Classifier, fingerprints and tokens have no SQL; tests compare each stage with a brute-force version.
+#: Classifier, fingerprints and tokens have no SQL. ``test_pipeline_stages_against_brute_force`` compares exact, near and
+#: passages with brute-force versions, and what goes into language and packing with what comes out.
 ORACLE_SQL = None
 
 
