@@ -164,7 +164,7 @@ class ShardIndex:
     def keep(self, wanted: np.ndarray) -> None:
         """Score only the documents that ``wanted`` marks."""
         stay = wanted[self.alive]
-        self.alive, self.rows = self.alive[stay], self.rows[:, stay]
+        self.alive, self.rows = self.alive[stay], np.ascontiguousarray(self.rows[:, stay])
         told = stay[self.doc]
         self._post(self.term[told], (np.cumsum(stay) - 1)[self.doc[told]], self.weight[told])
 
@@ -174,7 +174,7 @@ class ShardIndex:
         begin, size = self.begin[t], self.end[t] - self.begin[t]
         at = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
         row = self.row[t]
-        return np.bincount(self.doc[at], self.weight[at], len(self.alive)) + self.rows.take(row[row >= 0], axis=0).sum(axis=0)
+        return np.bincount(self.doc[at], self.weight[at], len(self.alive)) + self.rows[row[row >= 0]].sum(axis=0)
 
 
 def fill(texts: list[np.ndarray], window: int, index: ShardIndex | None = None) -> list[tuple[int, int, int, int, int]]:
