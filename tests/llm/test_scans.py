@@ -104,6 +104,38 @@ def test_quality(spark):
     assert quality.quality(docs.limit(0)).count() == 0
 
 
+def brute_verdict(t):
+    """kept, ratio and the share of chunks outside, by reading the tables of limits from the top."""
+    import zstandard
+
+    raw, size = (t or "").encode(), lambda b: len(zstandard.ZstdCompressor(level=3).compress(b)) / len(b)
+
+    def inside(bands, b):
+        for least, low, high in bands:
+            if len(b) >= least:
+                found = low <= size(b) <= high
+        return found
+
+    if not raw:
+        return False, None, 0.0
+    chunks = [raw[i : i + 4096] for i in range(0, len(raw), 4096)]
+    outside = sum(not inside(quality.CHUNK_BANDS, c) for c in chunks) / len(chunks)
+    return inside(quality.WHOLE_BANDS, raw) and outside < 0.1 and not brute_quality(t)[-1], size(raw), outside
+
+
+def test_kept_against_brute_force(spark):
+    rng = random.Random(7)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"
+    noise = lambda n: " ".join("".join(rng.choice(letters) for _ in range(10)) for _ in range(n // 11 + 1))[:n]
+    prose = [r.text for r in spark.read.parquet(DOCUMENTS).collect() if r.text]
+    rows = [noise(n) for n in (60, 120, 180, 260, 350, 500, 900, 3000, 9000, 60_000)] + ["ab cd ef " * (n // 9) for n in (60, 120, 180, 260, 350, 500, 900, 3000, 9000)]
+    rows += [(p * 40)[:20_000] + noise(4096 * k) for p in prose[:5] for k in (1, 3)] + prose + [None, "", "é " * 50_000]
+    docs = spark.createDataFrame([(i, t, True, 0.5) for i, t in enumerate(rows)], "doc_id long, text string, kept boolean, ratio double")
+    got = {r.doc_id: (r.kept, r.ratio, r.chunks_outside) for r in quality.quality(docs).collect()}
+    assert got == {i: brute_verdict(t) for i, t in enumerate(rows)}
+    assert not any(got[i][0] for i in range(1, 19))
+
+
 def test_compression_bands():
     import os
     import random
