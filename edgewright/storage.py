@@ -43,11 +43,11 @@ def option(spark: SparkSession, key: str, value: str):
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends in files that outlive any executor. The shuffle
-    files of the plan that made it go when it is written."""
+def cut(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder, or to a folder of the caller's, and read it back: lineage ends in files that
+    outlive any executor. The shuffle files of the plan that made it go when it is written."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}"
+    path = f"{folder or shared_dir(spark)}/{name}"
     with option(spark, FREE_SHUFFLES, "true"):
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
