@@ -3,9 +3,11 @@
 Each task keeps a shard of its texts as word numbers and builds a suffix automaton over all of the shard's pieces, bounded
 to the longest phrase: its states are classes of phrases with the same end places, with a length, a link to the longest
 shorter suffix of another class, and the number of end places. As no phrase is longer than the bound, the states and links
-come from sorting end places by the words before them, read backwards, rather than from adding words one by one. Every
-phrase of every state goes out with its count; Spark adds the counts of all shards. A frequent phrase then hands its count
-along its link (itself without the first word) and along the mirrored one (without the last word) to what it contains.
+come from sorting end places by the words before them, read backwards, rather than from adding words one by one. The
+phrases of the states go out with their counts, and Spark adds those of all shards, one length of phrase after the other:
+a phrase can only be frequent if both of its parts that are one word shorter are, so the automata of a length leave out
+what a bitmap of the frequent shorter ones rules out. A frequent phrase then hands its count along its link (itself without
+the first word) and along the mirrored one (without the last word) to what it contains.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,8 +28,10 @@ from .common import cut, table
 #: Words of a phrase, occurrences it needs, percent of its occurrences that a longer one may take up, phrases reported.
 MAX_WORDS, LEAST, SHARE, TOP = 3, 10, 50, 2000
 NO_LANG = "und"
-#: Words of a shard, and the words that a task remembers from shard to shard.
-SHARD_WORDS, KEPT_WORDS, BATCH_ROWS = 1 << 21, 1 << 19, 1 << 16
+#: Words of a shard, words that a task remembers from shard to shard, rows of a batch, texts taken from Arrow at a time.
+SHARD_WORDS, KEPT_WORDS, BATCH_ROWS, TEXTS = 1 << 19, 1 << 18, 1 << 16, 256
+#: Bits of the map of frequent phrases, a multiple of 32768: 8 MB. It rules out less when more phrases than that are frequent.
+FILTER_BITS = 1 << 26
 #: A-Z to a-z, and every mark that ends a piece to a full stop; no other byte of UTF-8 text changes.
 _ENDS = bytes([*b".,;:!?", *range(0x0A, 0x0E)])
 _CHANGE = bytes.maketrans(bytes(range(65, 91)) + _ENDS, bytes(range(97, 123)) + b"." * len(_ENDS))
@@ -80,7 +85,7 @@ def automaton(ids: np.ndarray, depth: int) -> Automaton:
     for d in range(depth):
         new[1:] |= back[d][1:] != back[d][:-1]
         first.append(np.flatnonzero(new))
-        run.append(np.cumsum(new) - 1)
+        run.append(np.cumsum(new, dtype=np.int32) - 1)
         size.append(np.diff(np.r_[first[d], m]))
         valid.append(back[d][first[d]] > 0)
     state, n, parts = [None] * depth, 0, []
@@ -105,33 +110,87 @@ def automaton(ids: np.ndarray, depth: int) -> Automaton:
     return Automaton(length, link, link_length, count, np.stack([b[at] for b in back]) if depth else np.empty((0, 0)))
 
 
-def phrases(a: Automaton, spelled: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray]]:
-    """Every phrase of every state (words in order, joined by spaces) with its count, one length after the other."""
-    for n in range(1, len(a.words) + 1):
-        has = np.flatnonzero((a.link_length < n) & (n <= a.length))
-        for at in range(0, len(has), BATCH_ROWS):
-            part = has[at : at + BATCH_ROWS]
-            words = [spelled.take(pa.array(a.words[k, part])) for k in reversed(range(n))]
-            yield pc.binary_join_element_wise(*words, " "), a.count[part]
+def hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
-def shard_counts(docs: DataFrame, text_col: str, lang_col: str, max_words: int, shard_words: int) -> DataFrame:
-    """lang, phrase, n: the counts of every shard, and for the empty phrase its words. A shard is as many texts of one
-    task as hold ``shard_words`` words; what a task keeps in memory depends on that and its longest text only."""
+def places(lang: str, words: list[np.ndarray]) -> np.ndarray:
+    """The bits (from 0) of phrases, given the hashes of their words in order."""
+    h = np.full(len(words[0]), xxhash.xxh64_intdigest(lang.encode()), np.uint64)
+    for w in words:
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + w
+    return ((h ^ (h >> np.uint64(32))) % np.uint64(FILTER_BITS)).astype(np.int64)
+
+
+def bitmap(frequent: DataFrame) -> np.ndarray:
+    """A bit for each of the phrases (lang, phrase), all of one length. Its size is fixed, whatever the rows are; that is
+    what the driver gets and the tasks are sent. Bits that phrases share cost time, not results."""
+
+    def run(batches):
+        for b in batches:
+            langs, split = b.column(0).to_pylist(), [p.encode().split(b" ") for p in b.column(1).to_pylist()]
+            at = np.zeros(len(langs), np.int64)
+            for lang in set(langs):
+                mine = [k for k, x in enumerate(langs) if x == lang]
+                at[mine] = places(lang, [hashes([split[k][n] for k in mine]) for n in range(len(split[0]))])
+            yield pa.RecordBatch.from_arrays([pa.array(at + 1)], ["bit"])
+
+    rows = frequent.select("lang", "phrase").mapInArrow(run, "bit long").groupBy(F.bitmap_bucket_number("bit").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    out, found = np.zeros(FILTER_BITS // 8, np.uint8), rows.toArrow()
+    for k, bits in zip(found["k"].to_pylist(), found["bits"].to_pylist(), strict=True):
+        out[(k - 1) * len(bits) : k * len(bits)] = np.frombuffer(bits, np.uint8)
+    return out
+
+
+def phrases(a: Automaton, n: int, allowed=None) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """The phrases of n words of all states, as word numbers in order, with their counts; ``allowed``: of such phrases
+    (arrays of word numbers) those that may be frequent."""
+    has = np.flatnonzero((a.link_length < n) & (n <= a.length))
+    for at in range(0, len(has), BATCH_ROWS):
+        part = has[at : at + BATCH_ROWS]
+        words = [a.words[k, part] for k in reversed(range(n))]
+        if allowed is not None:
+            stay = allowed(words)
+            part, words = part[stay], [w[stay] for w in words]
+        yield words, a.count[part]
+
+
+def shard_counts(docs: DataFrame, text_col: str, lang_col: str, length: int, known: list, shard_words: int) -> DataFrame:
+    """lang, phrase, n: the counts of phrases of this length in every shard; with the words (length 1) also the empty
+    phrase, counted at every word. known: broadcast bitmaps of the frequent phrases of lengths 1 to length - 1.
+
+    A shard is as many texts of one task as hold ``shard_words`` words; what a task keeps in memory depends on that and
+    its longest text only."""
     schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
 
     def run(batches):
         numbers, held, total = Numbers(), {}, 0
 
         def counted():
-            spelled = pa.array(list(numbers), pa.binary()).cast(pa.string())
+            words = list(numbers)
+            spelled, hashed = pa.array(words, pa.binary()).cast(pa.string()), hashes(words) if length > 1 else None
+
+            def frequent(lang, numbers):
+                at, bits = places(lang, [hashed[w] for w in numbers]), known[len(numbers) - 1].value
+                return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+            def rows(lang, ids):
+                if length == 1:
+                    yield [], np.array([np.count_nonzero(ids)])
+                    yield from phrases(automaton(ids, 1), 1)
+                    return
+                stay = frequent(lang, [np.arange(len(words))])
+                stay[0] = False
+                found = automaton(np.where(stay[ids], ids, 0), length)
+                parts = (lambda x: frequent(lang, x[1:]) & frequent(lang, x[:-1])) if length > 2 else None
+                yield from phrases(found, length, parts)
+
             for lang, parts in held.items():
-                found = automaton(np.concatenate(parts), max_words)
-                rows = [(pa.array([""]), np.array([int((found.count * (found.link_length == 0)).sum())]))]
-                for phrase, n in (*rows, *phrases(found, spelled)):
-                    yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()).take(pa.array(np.zeros(len(n), np.int8))), phrase, pa.array(n, pa.int64())], schema=schema)
+                for found, n in rows(lang, np.concatenate(parts)):
+                    phrase = pc.binary_join_element_wise(*[spelled.take(pa.array(w)) for w in found], " ") if found else pa.array([""])
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), phrase, pa.array(n, pa.int64())], schema=schema)
 
-        for b in batches:
+        for b in (b.slice(at, TEXTS) for b in batches for at in range(0, b.num_rows, TEXTS)):
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 words = tokens(text or "")
                 if not words:
@@ -148,6 +207,19 @@ def shard_counts(docs: DataFrame, text_col: str, lang_col: str, max_words: int,
     return docs.select(F.col(lang_col).cast("string"), F.col(text_col).cast("string")).mapInArrow(run, "lang string, phrase string, n long")
 
 
+def frequent_phrases(docs: DataFrame, text_col: str, lang_col: str, max_words: int, least: int, shard_words: int) -> DataFrame:
+    """lang, phrase, words, a: the phrases of up to ``max_words`` words with ``least`` occurrences or more, and for each
+    language the empty phrase with all its words; one pass over the texts for each length."""
+    context, known, out = docs.sparkSession.sparkContext, [], []
+    for length in range(1, max_words + 1):
+        counts = shard_counts(docs, text_col, lang_col, length, known, shard_words).groupBy("lang", "phrase").agg(F.sum("n").alias("a"))
+        counts = counts.where((F.col("a") >= least) | (F.col("phrase") == ""))
+        out.append(cut(counts.select("lang", "phrase", F.when(F.col("phrase") == "", 0).otherwise(length).alias("words"), "a"), f"frequent_{length}"))
+        if length < max_words:
+            known = [*known, context.broadcast(bitmap(out[-1].where("words > 0")))]
+    return reduce(DataFrame.unionByName, out)
+
+
 def part(words: Column, start, length) -> Column:
     return F.array_join(F.slice(words, start, length), " ")
 
@@ -199,9 +271,7 @@ def collocations(
     Skew: shards hold any mix of languages, so neither a hot one nor a hot phrase meets before it is counted; phrases
     below ``least`` leave in the reduction. The last ranking keeps ``top`` rows a task before it gathers a language.
     """
-    counts = shard_counts(docs, text_col, lang_col, max_words, shard_words).groupBy("lang", "phrase").agg(F.sum("n").alias("a"))
-    words = F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " ")))
-    counts = cut(counts.where((F.col("a") >= least) | (F.col("phrase") == "")).withColumn("words", words), "frequent")
+    counts = frequent_phrases(docs, text_col, lang_col, max_words, least, shard_words)
     frequent, total = counts.where("words > 0"), counts.where("words = 0").select("lang", F.col("a").alias("n"))
     stay = cut(scored(frequent), "scored").join(cut(subsumed(frequent, max_words, share), "subsumed"), ["lang", "phrase"], "left_anti")
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
