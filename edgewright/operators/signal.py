@@ -1,7 +1,9 @@
 """Intervals, segments and pulse runs of an edge table (capture_id, edge_idx, t, level, ...).
 
 Every operator takes the name of its time column and the idle threshold or window in that column's unit, so exact
-decimals stay exact. Rows are ordered by edge_idx; equal times and repeated levels are allowed.
+decimals stay exact. Rows are ordered by edge_idx; equal times and repeated levels are allowed, and times do not fall.
+Windows are made block by block (``blocks``), so a capture of any length is spread over many tasks. Every operator keeps
+the column block, and makes it where it is missing. An empty table gives an empty one; a null capture is a capture.
 """
 
 from __future__ import annotations
@@ -9,20 +11,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def by_edge():
-    return Window.partitionBy("capture_id").orderBy("edge_idx")
+from .blocks import blocked, counted, following, placed, preceding, with_halo, within
 
 
 def monotonic_violations(edges: DataFrame, t: str = "t") -> DataFrame:
-    """Edges that lie before the one ahead of them."""
-    return edges.withColumn("previous_t", F.lag(t).over(by_edge())).where(F.col(t) < F.col("previous_t"))
+    """Edges that lie before the one ahead of them, with its time (previous_t). A null time is no violation."""
+    rows = preceding(blocked(edges), t).withColumn("previous_t", F.col(f"_previous.{t}"))
+    return rows.drop("_previous").where(F.col(t) < F.col("previous_t"))
 
 
 def intervals(edges: DataFrame, t: str = "t") -> DataFrame:
-    """Half-open [start_t, end_t) at one level; the last edge opens none."""
-    nxt = F.lead(t).over(by_edge())
-    return edges.select("capture_id", "edge_idx", F.col(t).alias("start_t"), nxt.alias("end_t"), "level").where("end_t IS NOT NULL")
+    """capture_id, edge_idx, start_t, end_t, level, block: half-open [start_t, end_t) at one level; the last edge opens none."""
+    rows = following(blocked(edges).select("capture_id", "edge_idx", "block", F.col(t).alias("start_t"), "level"), "start_t", "level")
+    return rows.select("capture_id", "edge_idx", "start_t", F.col("_next.start_t").alias("end_t"), "level", "block").where("end_t IS NOT NULL")
 
 
 def idle_separator(idle_level: int, threshold) -> Column:
@@ -33,13 +34,13 @@ def idle_separator(idle_level: int, threshold) -> Column:
 def segments(spans: DataFrame, idle_level: int, threshold) -> DataFrame:
     """Activity between idle separators: capture_id, segment, start_t, end_t, n_intervals, left_known, right_known.
 
-    A side is known if a separator stands there. Segments of no length are dropped, the others numbered from 1.
+    A side is known if a separator stands there. Segments of no length are dropped, the others numbered from 1. A long
+    segment is summed up by parts, one for each block.
     """
-    rows = spans.withColumn("_sep", idle_separator(idle_level, threshold).cast("int"))
-    upto = by_edge().rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("capture_id")
-    rows = rows.withColumns({"_island": F.sum("_sep").over(upto), "_seps": F.sum("_sep").over(whole)}).where("_sep = 0")
-    found = rows.groupBy("capture_id", "_island", "_seps").agg(F.min("start_t").alias("start_t"), F.max("end_t").alias("end_t"), F.count("*").alias("n_intervals")).where("start_t < end_t")
+    rows = blocked(spans).withColumn("_sep", idle_separator(idle_level, threshold).cast("int"))
+    rows = counted(rows, "_sep", "_island", "_seps").where("_sep = 0")
+    part = F.min("start_t").alias("start_t"), F.max("end_t").alias("end_t"), F.count("*").alias("n_intervals")
+    found = rows.groupBy("capture_id", "_island", "_seps").agg(*part).where("start_t < end_t")
     number = F.row_number().over(Window.partitionBy("capture_id").orderBy("_island"))
     return found.select("capture_id", number.alias("segment"), "start_t", "end_t", "n_intervals", (F.col("_island") > 0).alias("left_known"), (F.col("_island") < F.col("_seps")).alias("right_known"))
 
@@ -50,26 +51,36 @@ def at_file_boundary(left_known: str = "left_known", right_known: str = "right_k
 
 def pulse_runs(edges: DataFrame, low, high, least: int = 5, most: int = 16, t: str = "t") -> DataFrame:
     """For each edge that starts ``least`` or more pulses of low to high (both inclusive) in a row: capture_id,
-    edge_idx, pulses (``most`` at most), and points, the edges of the run as (x: pulse number, y: time since its
-    first edge)."""
-    rows = edges.withColumn("_next", F.lead(t).over(by_edge()))
-    rows = rows.withColumn("_one", F.coalesce((F.col("_next") - F.col(t)).between(F.lit(low), F.lit(high)), F.lit(False)))
-    ahead = by_edge().rowsBetween(0, most)
-    rows = rows.withColumns({"_ones": F.collect_list("_one").over(ahead), "_times": F.collect_list(t).over(ahead)})
-    stop = F.array_position("_ones", F.lit(False))
-    rows = rows.withColumn("pulses", F.least(F.lit(most), F.when(stop > 0, stop - 1).otherwise(F.size("_ones") - 0)).cast("int")).where(F.col("pulses") >= least)
-    points = F.transform(F.slice("_times", F.lit(1), F.col("pulses") + 1), lambda x, i: F.struct(i.cast("double").alias("x"), (x - F.col(t)).cast("double").alias("y")))
-    return rows.select("capture_id", "edge_idx", F.col(t).alias("t"), "pulses", points.alias("points"))
+    edge_idx, t, pulses (``most`` at most), and points, the edges of the run as (x: pulse number, y: time since its
+    first edge).
+
+    A run ends at the first edge without such a pulse: the last edge of an island that begins behind the one before it,
+    so its length is a difference of row numbers. Only edges of runs that are long enough are put into lists. A block
+    sees as many edges behind it as a run can have."""
+    rows = with_halo(blocked(edges).select("capture_id", "edge_idx", "block", F.col(t).alias("t")), most + 1)
+    one = F.coalesce((F.lead("t").over(within()) - F.col("t")).between(F.lit(low), F.lit(high)), F.lit(False))
+    rows = rows.withColumns({"_one": one, "_row": F.row_number().over(within())})
+    ended = F.count_if(~F.col("_one")).over(within().rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_island", F.coalesce(ended, F.lit(0)))
+    island = Window.partitionBy("capture_id", "block", "_island")
+    rows = rows.withColumns({"_stop": F.max("_row").over(island), "_start": F.min("_row").over(island)})
+    ahead = within().rowsBetween(0, most)
+    rows = rows.withColumn("_times", F.collect_list(F.when(F.col("_stop") - F.col("_start") >= least, F.col("t"))).over(ahead))
+    rows = rows.withColumn("pulses", F.least(F.lit(most), F.col("_stop") - F.col("_row")).cast("int")).where((F.col("pulses") >= least) & ~F.col("halo"))
+    points = F.transform(F.slice("_times", F.lit(1), F.col("pulses") + 1), lambda x, i: F.struct(i.cast("double").alias("x"), (x - F.col("t")).cast("double").alias("y")))
+    return rows.select("capture_id", "edge_idx", "t", "pulses", points.alias("points"), "block")
 
 
 def asof(probes: DataFrame, edges: DataFrame, probe_t: str = "probe_t", t: str = "t", strict: bool = False) -> DataFrame:
     """``probes`` with the last edge at or before ``probe_t`` (strictly before, with ``strict``): prev_t, prev_level,
-    and the time of the edge after that one, next_t. One sort of both sides by time, no range join."""
-    e = edges.select("capture_id", F.col(t).alias("_t"), F.lit(1 if strict else 0).alias("_side"), "edge_idx", "level", F.lead(t).over(by_edge()).alias("_next"))
-    e = e.withColumn("_edge", F.struct(F.col("_t").alias("t"), "level", F.col("_next").alias("n")))
-    p = probes.withColumns({"_probe": F.struct(*probes.columns), "_t": F.col(probe_t), "_side": F.lit(0 if strict else 1)})
-    both = e.select("capture_id", "_t", "_side", "edge_idx", "_edge").unionByName(p.select("capture_id", "_t", "_side", "_probe"), allowMissingColumns=True)
-    before = Window.partitionBy("capture_id").orderBy("_t", "_side", "edge_idx").rowsBetween(Window.unboundedPreceding, 0)
+    and the time of the edge after that one, next_t. A probe goes to the block of that edge, where both sides are sorted
+    by time; there is no range join, and a hot capture is as many tasks as it has blocks."""
+    e = following(blocked(edges).select("capture_id", "edge_idx", "block", F.col(t).alias("_t"), "level"), "_t", "level")
+    p = probes.select("capture_id", F.struct(*probes.columns).alias("_probe"), F.col(probe_t).alias("_t"), F.lit(0 if strict else 1).alias("_side"))
+    p = placed(p, e, "_t", "_t", strict)
+    e = e.withColumns({"_side": F.lit(1 if strict else 0), "_edge": F.struct(F.col("_t").alias("t"), "level", F.col("_next._t").alias("n"))})
+    both = e.select("capture_id", "block", "_t", "_side", "edge_idx", "_edge").unionByName(p, allowMissingColumns=True)
+    before = within("_t", "_side", "edge_idx").rowsBetween(Window.unboundedPreceding, 0)
     found = both.withColumn("_edge", F.last("_edge", ignorenulls=True).over(before)).where("_probe IS NOT NULL")
     return found.select("_probe.*", F.col("_edge.t").alias("prev_t"), F.col("_edge.level").alias("prev_level"), F.col("_edge.n").alias("next_t"))
 
@@ -79,8 +90,8 @@ def nearest_edge(probes: DataFrame, edges: DataFrame, within, probe_t: str = "pr
     near edges the earlier one."""
     both = asof(probes, edges, probe_t, t)
     back, ahead = F.col(probe_t) - F.col("prev_t"), F.col("_ahead") - F.col(probe_t)
-    first = edges.groupBy("capture_id").agg(F.min(t).alias("_first"))
-    both = both.join(first, "capture_id", "left").withColumn("_ahead", F.when(F.col("prev_t").isNull(), F.col("_first")).otherwise(F.col("next_t")))
+    first = edges.groupBy(F.col("capture_id").alias("_c")).agg(F.min(t).alias("_first"))
+    both = both.join(first, F.col("capture_id").eqNullSafe(F.col("_c")), "left").withColumn("_ahead", F.when(F.col("prev_t").isNull(), F.col("_first")).otherwise(F.col("next_t")))
     best = F.when(F.col("prev_t").isNotNull() & (ahead.isNull() | (back <= ahead)), F.col("prev_t")).otherwise(F.col("_ahead"))
     near = F.abs(F.col(probe_t) - best) <= F.lit(within)
     return both.select(*probes.columns, F.when(near, best).alias("nearest_t"))
@@ -91,16 +102,18 @@ def phase_grid(fits: DataFrame, phases: int, period: str = "period") -> DataFram
     return fits.withColumn("phase_no", F.explode(F.sequence(F.lit(0), F.lit(phases - 1)))).withColumn("phase", F.col("phase_no") * F.col(period) / phases)
 
 
-def sampled_levels(spans: DataFrame, period: float, phases: int, level_col: str = "level") -> DataFrame:
-    """Fixed-period sampling of an interval table for every phase: capture_id, phase_no, k, sample_t, level.
+def sampled_levels(spans: DataFrame, segments: DataFrame, period: float, phases: int, level_col: str = "level") -> DataFrame:
+    """Fixed-period sampling of every segment for every phase: capture_id, segment, phase_no, k, sample_t, level.
 
-    Sample k of a phase lies at the start of the segment plus phase plus k periods; each interval finds the samples
-    that it contains by arithmetic, so nothing is joined."""
-    first = F.min("start_t").over(Window.partitionBy("capture_id"))
-    rows = spans.withColumn("_first", first.cast("double")).withColumn("phase_no", F.explode(F.sequence(F.lit(0), F.lit(phases - 1))))
-    origin = F.col("_first") + F.col("phase_no") * (period / phases)
+    Sample k of a phase lies at the start of the segment plus phase plus k periods, before the segment's end; each
+    interval of the segment finds the samples that it contains by arithmetic. Intervals outside all segments have none."""
+    s = segments.select("capture_id", F.col("segment").cast("long").alias("edge_idx"), "start_t", "end_t")
+    s = blocked(s).withColumn("level", F.struct("edge_idx", F.col("start_t").alias("a"), F.col("end_t").alias("z")))
+    rows = asof(spans.select("capture_id", "start_t", "end_t", F.col(level_col).alias("_level")), s, "start_t", "start_t")
+    rows = rows.where(F.col("start_t") < F.col("prev_level.z")).withColumn("phase_no", F.explode(F.sequence(F.lit(0), F.lit(phases - 1))))
+    origin = F.col("prev_level.a").cast("double") + F.col("phase_no") * (period / phases)
     low = F.ceil((F.col("start_t").cast("double") - origin) / period)
     high = F.ceil((F.col("end_t").cast("double") - origin) / period) - 1
     rows = rows.withColumns({"_low": F.greatest(low, F.lit(0)), "_high": high, "_origin": origin}).where("_low <= _high")
     rows = rows.withColumn("k", F.explode(F.sequence("_low", "_high")))
-    return rows.select("capture_id", "phase_no", "k", (F.col("_origin") + F.col("k") * period).alias("sample_t"), F.col(level_col).alias("level"))
+    return rows.select("capture_id", F.col("prev_level.edge_idx").cast("int").alias("segment"), "phase_no", "k", (F.col("_origin") + F.col("k") * period).alias("sample_t"), F.col("_level").alias("level"))

@@ -91,7 +91,7 @@ def level_mapping(spark, sf_dir):
 
 @query(f"WITH {_INT} SELECT capture_id, edge_idx, start_t, end_t, level FROM iv")
 def level_intervals(spark, sf_dir):
-    return _intervals(spark, sf_dir)
+    return _intervals(spark, sf_dir).drop("block")
 
 
 @query(f"WITH {_INT} SELECT capture_id, edge_idx, start_t, end_t FROM iv WHERE level = 0 AND end_t - start_t >= {IDLE_US}")
@@ -187,13 +187,13 @@ def min_safety_distance(spark, sf_dir):
     return found.groupBy("capture_id").agg(F.min(F.least(F.col("probe_t") - F.col("prev_t"), F.col("next_t") - F.col("probe_t"))).alias("least_us"))
 
 
-@query(f"""WITH {_INT}, w AS (SELECT *, min(start_t) OVER (PARTITION BY capture_id) AS first FROM iv),
-s AS (SELECT w.*, p AS phase_no, first + p * {3 * HOUR} AS origin FROM w, generate_series(0, 1) g(p)),
-r AS (SELECT *, greatest(0, ceil((start_t - origin) / {6 * HOUR}.0))::BIGINT AS lo, (ceil((end_t - origin) / {6 * HOUR}.0) - 1)::BIGINT AS hi FROM s)
-SELECT capture_id, phase_no::INTEGER AS phase_no, k, origin + k * {6 * HOUR} AS sample_us, level FROM (SELECT *, unnest(generate_series(lo, hi)) AS k FROM r WHERE lo <= hi)""")
+@query(f"""WITH {_SEG}, p AS (SELECT s.*, p AS phase_no, start_t + p * {3 * HOUR} AS origin FROM seg s, generate_series(0, 1) g(p)),
+r AS (SELECT capture_id, segment, phase_no, k, origin + k * {6 * HOUR} AS sample_us FROM p, LATERAL (SELECT unnest(generate_series(0, (end_t - origin - 1) // {6 * HOUR})) AS k) WHERE origin < end_t)
+SELECT r.capture_id, segment::INTEGER AS segment, phase_no::INTEGER AS phase_no, k, sample_us, level FROM r ASOF JOIN iv ON r.capture_id = iv.capture_id AND r.sample_us >= iv.start_t""")
 def fixed_period_samples(spark, sf_dir):
-    rows = signal.sampled_levels(_intervals(spark, sf_dir), float(6 * HOUR), 2)
-    return rows.select("capture_id", "phase_no", "k", F.round("sample_t").cast("long").alias("sample_us"), "level")
+    spans = _intervals(spark, sf_dir)
+    rows = signal.sampled_levels(spans, signal.segments(spans, 0, IDLE_US), float(6 * HOUR), 2)
+    return rows.select("capture_id", "segment", "phase_no", "k", F.round("sample_t").cast("long").alias("sample_us"), "level")
 
 
 @query(f"SELECT '{''.join(map(str, _R.marker_bits))}' AS bits, '{','.join(map(str, _R.transitions))}' AS transitions")

@@ -12,18 +12,17 @@ from ..plans import captures
 from ..sources import edge_csv
 from ..storage import cut
 
-_FILES = "path string, modificationTime timestamp, length long, content binary"
-
 
 def decode_stream(spark: SparkSession, path: str, out: str, checkpoint: str, profile: Profile) -> StreamingQuery:
     """Watch a folder of capture files; the frames of each batch of new files go to ``out``/frames (Parquet), the bad
     lines to ``out``/errors. A file is a whole capture, so no state goes from batch to batch; the checkpoint sees to
     it that each file is read once. Stops when all files that are there have been read."""
     root = edge_csv.root_of(spark, path)
-    files = spark.readStream.format("binaryFile").schema(_FILES).load(path)
+    files = spark.readStream.format("text").load(path).select("value", "_metadata.file_path", F.col("_metadata.file_block_start").alias("start"))
 
     def batch(rows: DataFrame, number: int) -> None:
-        checked = cut(edge_csv.checked(edge_csv.lines_of(rows, profile.charset, root)), "lines")
+        ranges = rows.select("file_path", "start", F.monotonically_increasing_id().alias("_at"), F.col("value").cast("binary").alias("value"))
+        checked = cut(edge_csv.checked(edge_csv.range_lines(ranges, profile.charset, root)), "lines")
         frames = captures.decoded(edge_csv.edges_of(checked), profile)
         where = f"batch={number}"
         frames.select("capture_id", "frame_no", bytes_hex(F.col("bytes")).alias("hex"), "channel", "action", "valid", "start_t", "end_t").write.mode("overwrite").parquet(f"{out}/frames/{where}")
