@@ -1,8 +1,10 @@
 """From edges to candidate frames, and to the frames that stay.
 
-Edges are sorted by capture once and stream by. Time is cut into blocks longer than a frame: the candidates that start in
-a block need its edges, the next block's and one edge to either side, so a capture's edges are held for about two blocks,
-whatever its length. Candidates that cannot meet later ones are settled at once, so only frames leave the task.
+Time is cut into blocks longer than a frame, and many blocks make a stretch; each stretch is decoded by one task, so a long
+capture is spread over as many tasks as it has stretches. The candidates that start in a block need its edges, those of
+the blocks beside it and one edge more at both ends; a stretch therefore sees the block before it, the block behind it and
+the edges that lie beside those, and decodes its own starts only. Edges stream by, so no more than a few blocks are held.
+Duplicates are settled where they arise; only candidates near the ends of a stretch wait until all stretches are done.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ from pyspark.sql import functions as F
 
 from ..config import UNKNOWN_ACTION, UNKNOWN_CHANNEL, Profile, Rules, commands
 from ..functions.bits import text_to_bytes
+from ..storage import cut
+from .blocks import beside, blocked
 
 #: Outcomes of the recovery of a missing last bit (fixed values).
 NOT_NEEDED = "不适用，CSV已直接恢复104 bit"
@@ -30,24 +34,30 @@ CORE_TRUNCATED = "核心帧数据截断"
 
 #: Blocks that are decoded at once: few enough for times since the first one to be exact to a millionth of a us.
 TOGETHER = 1000
+#: Blocks of a stretch, half a minute with the shipped rules: what one task decodes at least.
+STRETCH_BLOCKS = 400
 
 
 def block_us(rules: Rules) -> int:
     return int(150 * rules.pulse_max_us) + 1
 
 
-def marked(edges: DataFrame, rules: Rules) -> DataFrame:
-    """capture_id, edge_idx, block, us (since the block began), level, one (a single-bit pulse follows), sorted by
-    capture and edge."""
+def marked(edges: DataFrame, rules: Rules, stretch_blocks: int = STRETCH_BLOCKS) -> DataFrame:
+    """capture_id, stretch, edge_idx, tick (block of time), us (since it began), level, one (a single-bit pulse follows),
+    to_next, to_previous (us to the edges beside it, null at the capture's ends), previous_level; sorted by capture,
+    stretch and edge. An edge in the last or first block of a stretch is also in the neighbour's rows."""
     size = Decimal(block_us(rules)) / 1_000_000
-    following = F.lead("t").over(Window.partitionBy("capture_id").orderBy("edge_idx"))
-    pulse = (following - F.col("t")) * 1_000_000
+    rows = blocked(edges.select("capture_id", F.col("edge_idx").cast("long").alias("edge_idx"), "t", F.col("level").cast("int").alias("level"), *[c for c in edges.columns if c == "block"]))
+    rows = beside(rows, "t", "level")
+    pulse, since = (F.col("_next.t") - F.col("t")) * 1_000_000, (F.col("t") - F.col("_previous.t")) * 1_000_000
     one = F.coalesce(pulse.between(F.lit(rules.pulse_min_us), F.lit(rules.pulse_max_us)), F.lit(False))
-    rows = edges.select("capture_id", F.col("edge_idx").cast("long").alias("edge_idx"), "t", F.col("level").cast("int").alias("level"), one.alias("one"))
-    rows = rows.withColumn("block", F.floor(F.col("t").cast("double") / float(size)).cast("long"))
-    since = ((F.col("t") - F.col("block").cast("decimal(12,0)") * F.lit(size)) * 1_000_000).cast("double")
-    rows = rows.select(F.col("capture_id").cast("string").alias("capture_id"), "edge_idx", "block", since.alias("us"), "level", "one")
-    return rows.sortWithinPartitions("capture_id", "edge_idx")
+    rows = rows.select("*", one.alias("one"), pulse.cast("double").alias("to_next"), since.cast("double").alias("to_previous"), F.col("_previous.level").alias("previous_level"))
+    rows = rows.withColumn("tick", F.floor(F.col("t").cast("double") / float(size)).cast("long"))
+    us = ((F.col("t") - F.col("tick").cast("decimal(12,0)") * F.lit(size)) * 1_000_000).cast("double")
+    stretch = lambda tick: F.floor(tick / stretch_blocks).cast("long")
+    views = F.array_distinct(F.array(stretch(F.col("tick")), stretch(F.col("tick") - 1), stretch(F.col("tick") + 1)))
+    rows = rows.select(F.col("capture_id").cast("string").alias("capture_id"), F.explode(views).alias("stretch"), "edge_idx", "tick", us.alias("us"), "level", "one", "to_next", "to_previous", "previous_level")
+    return rows.repartition("capture_id", "stretch").sortWithinPartitions("capture_id", "stretch", "edge_idx")
 
 
 def fitted(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float] | None:
@@ -190,61 +200,75 @@ _DDL = {pa.int64(): "long", pa.int32(): "int", pa.float64(): "double", pa.string
 
 
 class EdgeStream:
-    """Candidates of sorted edges that come in batches, capture by capture.
+    """Candidates of sorted rows of ``marked`` that come in batches, one stretch of a capture after the other.
 
-    ``feed`` gives (capture_id, block up to which all is known, candidates as (block, ...)); that number is None at a
-    capture's end. Of a capture no more is held than the edges of blocks that wait for the next one's."""
+    ``feed`` gives (capture_id, stretch, block up to which all is known, candidates as (block, ...)); that number is None
+    at a stretch's end. No more is held than the edges of blocks that wait for the next one's."""
 
-    def __init__(self, rules: Rules, inverted: bool):
-        self.decoder, self.size = BlockDecoder(rules, inverted), block_us(rules)
-        self.capture, self.held = None, None
+    def __init__(self, rules: Rules, inverted: bool, stretch_blocks: int = STRETCH_BLOCKS):
+        self.decoder, self.size, self.stretch_blocks = BlockDecoder(rules, inverted), float(block_us(rules)), stretch_blocks
+        self.key, self.held, self.done, self.behind = None, None, None, None
 
     def feed(self, batch: pa.RecordBatch):
-        names = batch.column(0)
+        names = batch.column(0).dictionary_encode(null_encoding="encode")
         columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]]
-        coded = names.dictionary_encode()
-        code = coded.indices.to_numpy(zero_copy_only=False)
-        starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else []
-        for a, z in zip(starts, [*starts[1:], len(code)], strict=True):
-            name = coded.dictionary[int(code[a])].as_py()
-            part = [c[a:z] for c in columns]
-            if self.capture is not None and name == self.capture:
+        code, stretch = names.indices.to_numpy(zero_copy_only=False), columns[0]
+        new = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (stretch[1:] != stretch[:-1])]) if len(stretch) else []
+        for a, z in zip(new, [*new[1:], len(stretch)], strict=True):
+            key = names.dictionary[int(code[a])].as_py(), int(stretch[a])
+            to_next, to_previous, previous_level = (c[a:z] for c in columns[6:])
+            part = [c[a:z] for c in columns[1:6]]
+            if self.held is not None and key == self.key:
                 part = [np.concatenate(x) for x in zip(self.held, part, strict=True)]
             else:
                 yield from self.end()
-            self.capture = name
+                self.key, self.done = key, key[1] * self.stretch_blocks - 1
+                if to_previous[0] == to_previous[0]:  # not NaN: the edge that lies before all that the stretch sees
+                    part = self.with_edge(part, 0, -to_previous[0], previous_level[0])
+            self.behind = float(to_next[-1])
             yield from self._decode(part, False)
 
+    def with_edge(self, part: list, at: int, us: float, level) -> list:
+        """``part`` and one edge more, so far from the one at its end ``at`` (0 or -1); nothing starts there."""
+        idx, tick, us_of, _, _ = (x[at] for x in part)
+        t = us_of + us
+        beyond = np.floor(t / self.size)
+        edge = idx - 1 if at == 0 else idx + 1, tick + int(beyond), t - beyond * self.size, 0 if level != level else int(level), False
+        both = zip(part, edge, strict=True)
+        return [np.r_[np.array([e], x.dtype), x] if at == 0 else np.r_[x, np.array([e], x.dtype)] for x, e in both]
+
     def end(self):
         if self.held is not None:
-            yield from self._decode(self.held, True)
-        self.capture = self.held = None
-
-    def _decode(self, part, ended):
-        edge_idx, block, us, level, one = part
-        whole, last = len(block), np.inf
-        upto = None if ended else int(block[-1]) - 2  # the next block's edges, and one more, are there
-        out = []
-        live = np.unique(block[one] if ended else block[one & (block <= upto)])
+            more = self.behind == self.behind  # not NaN: the capture goes on
+            yield from self._decode(self.with_edge(self.held, -1, self.behind, 0) if more else self.held, True, not more)
+        self.key = self.held = None
+
+    def _decode(self, part, ended, at_end=False):
+        edge_idx, tick, us, level, one = part
+        whole, last, out = len(tick), np.inf, []
+        final = (self.key[1] + 1) * self.stretch_blocks - 1
+        upto = final if ended else min(int(tick[-1]) - 2, final)  # the next block's edges, and one more, are there
+        live = np.unique(tick[one & (tick > self.done) & (tick <= upto)])
         groups = np.split(live, np.flatnonzero(np.diff((live - live[0]) // TOGETHER)) + 1) if len(live) else []
         for b, upper in ((int(g[0]), int(g[-1])) for g in groups):
-            i, j = np.searchsorted(block, b, "left"), np.searchsorted(block, upper, "right")
-            a, z = max(int(i) - 1, 0), min(int(np.searchsorted(block, upper + 1, "right")) + 1, whole)
-            t = us[a:z] + (block[a:z] - b) * float(self.size)
+            i, j = np.searchsorted(tick, b, "left"), np.searchsorted(tick, upper, "right")
+            a, z = max(int(np.searchsorted(tick, b - 1, "left")) - 1, 0), min(int(np.searchsorted(tick, upper + 1, "right")) + 1, whole)
+            t = us[a:z] + (tick[a:z] - b) * self.size
             own = np.zeros(z - a, bool)
             own[i - a : j - a] = True
             tail = (None, None, None)
-            if ended:
-                last = us[-1] + float(block[-1] - b) * self.size
-                before = us[-2] + float(block[-2] - b) * self.size if whole > 1 else None
+            if at_end:
+                last = us[-1] + float(tick[-1] - b) * self.size
+                before = us[-2] + float(tick[-2] - b) * self.size if whole > 1 else None
                 tail = int(level[-1]), before, int(level[-2]) if whole > 1 else None
             out += [(b, *c) for c in self.decoder.candidates(t, edge_idx[a:z], level[a:z], one[a:z], own, last, *tail)]
         if ended:
-            yield self.capture, None, out
+            yield *self.key, None, out
             return
-        keep = max(int(np.searchsorted(block, upto, "right")) - 1, 0)
+        self.done = max(self.done, upto)
+        keep = max(int(np.searchsorted(tick, self.done, "left")) - 1, 0)
         self.held = [x[keep:] for x in part]
-        yield self.capture, upto, out
+        yield *self.key, upto, out
 
 
 def _finished(found: DataFrame, rules: Rules, capture) -> DataFrame:
@@ -262,39 +286,50 @@ def _finished(found: DataFrame, rules: Rules, capture) -> DataFrame:
     return found.drop("block", "prelude_us", "associated_us", "start_us", "end_us")
 
 
-def _streamed(edges: DataFrame, profile: Profile, settle) -> DataFrame:
+def _schema() -> tuple[pa.Schema, str]:
+    rows = pa.schema([("capture_id", pa.string()), ("settled", pa.bool_()), ("block", pa.int64()), *_CANDIDATE.items()])
+    return rows, "capture_id string, settled boolean, block long, " + ", ".join(f"{c} {_DDL[t]}" for c, t in _CANDIDATE.items())
+
+
+def _streamed(edges: DataFrame, profile: Profile, settle, stretch_blocks: int = STRETCH_BLOCKS) -> DataFrame:
     """Decoded rows of all captures; ``settle()`` gives a function from what EdgeStream gives to the rows that stay."""
     rules, inverted = profile.rules, profile.inverted
-    schema = pa.schema([("capture_id", pa.string()), ("block", pa.int64()), *_CANDIDATE.items()])
+    schema, ddl = _schema()
 
     def run(batches):
-        stream, stay, out = EdgeStream(rules, inverted), settle(), []
-        for batch in batches:
-            for piece in stream.feed(batch):
+        stream, stay, out = EdgeStream(rules, inverted, stretch_blocks), settle(), []
+        batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+        for b in batches:
+            for piece in stream.feed(b):
                 out += stay(*piece)
             if len(out) >= 500:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+                yield batch()
                 out = []
         for piece in stream.end():
             out += stay(*piece)
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+            yield batch()
 
-    ddl = "capture_id string, block long, " + ", ".join(f"{c} {_DDL[t]}" for c, t in _CANDIDATE.items())
-    return _finished(marked(edges, rules).mapInArrow(run, ddl), rules, edges.schema["capture_id"].dataType)
+    return marked(edges, rules, stretch_blocks).mapInArrow(run, ddl)
 
 
 def candidates(edges: DataFrame, profile: Profile) -> DataFrame:
     """One row for each confirmed start edge and phase, times in seconds: those of edges as exact decimals, others as
-    doubles. Invalid candidates are kept; without a confirmed marker there is none."""
-    return _streamed(edges, profile, lambda: lambda capture, upto, found: [(capture, *c) for c in found])
+    doubles. Invalid candidates are kept; without a confirmed marker there is none, nor in an empty table. Null captures
+    are one capture; other columns are not read."""
+    rows = _streamed(edges, profile, lambda: lambda capture, stretch, upto, found: [(capture, False, *c) for c in found])
+    return _finished(rows.drop("settled"), profile.rules, edges.schema["capture_id"].dataType)
 
 
-def frames(edges: DataFrame, profile: Profile) -> DataFrame:
-    """The candidates that stay when duplicates have gone (``dedup.Settler``), settled where they are decoded."""
-    from .dedup import Settler
+def frames(edges: DataFrame, profile: Profile, stretch_blocks: int = STRETCH_BLOCKS) -> DataFrame:
+    """The candidates that stay when duplicates have gone. ``dedup.Settler`` settles them where they are decoded, those
+    near the ends of a stretch when all are there, by the same rule. The edges are decoded once, when this is called."""
+    from .dedup import Settler, settled_islands
 
-    return _streamed(edges, profile, lambda: Settler(profile).feed)
+    found = cut(_streamed(edges, profile, lambda: Settler(profile, stretch_blocks).feed, stretch_blocks), "decoded")
+    rest = settled_islands(found.where("NOT settled").drop("settled"), profile)
+    rows = found.where("settled").drop("settled").unionByName(rest)
+    return _finished(rows, profile.rules, edges.schema["capture_id"].dataType)
 
 
 def failure_reasons(values: Column, command_known: Column, profile: Profile, core: bool = False) -> Column:
