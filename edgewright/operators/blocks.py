@@ -36,26 +36,30 @@ def with_summary(rows: DataFrame, summary: DataFrame) -> DataFrame:
     return rows.join(s, same, "left").drop("_c", "_b")
 
 
+def ends_of(edges: DataFrame, columns: tuple[str, ...], **ends) -> DataFrame:
+    """The columns of each block's edge that an aggregate (``F.min_by``, ``F.max_by``) picks, as one struct a block; they
+    are aggregated one by one, as buffers of plain values need no sort."""
+    rows = edges.groupBy("capture_id", "block").agg(*[pick(c, "edge_idx").alias(f"{name}{k}") for name, pick in ends.items() for k, c in enumerate(columns)])
+    return rows.select("capture_id", "block", *[F.struct(*[F.col(f"{name}{k}").alias(c) for k, c in enumerate(columns)]).alias(name) for name in ends])
+
+
 def following(edges: DataFrame, *columns: str) -> DataFrame:
     """``edges`` with _next, a struct of the columns of the edge behind it, null for a capture's last edge."""
-    kept = F.struct(*columns)
-    first = edges.groupBy("capture_id", "block").agg(F.min_by(kept, "edge_idx").alias("_first"))
+    first = ends_of(edges, columns, _first=F.min_by)
     rows = with_summary(edges, first.select("capture_id", "block", F.lead("_first").over(along()).alias("_after")))
-    return rows.withColumn("_next", F.coalesce(F.lead(kept).over(within()), F.col("_after"))).drop("_after")
+    return rows.withColumn("_next", F.coalesce(F.lead(F.struct(*columns)).over(within()), F.col("_after"))).drop("_after")
 
 
 def preceding(edges: DataFrame, *columns: str) -> DataFrame:
     """``edges`` with _previous, a struct of the columns of the edge ahead of it, null for a capture's first edge."""
-    kept = F.struct(*columns)
-    last = edges.groupBy("capture_id", "block").agg(F.max_by(kept, "edge_idx").alias("_last"))
+    last = ends_of(edges, columns, _last=F.max_by)
     rows = with_summary(edges, last.select("capture_id", "block", F.lag("_last").over(along()).alias("_before")))
-    return rows.withColumn("_previous", F.coalesce(F.lag(kept).over(within()), F.col("_before"))).drop("_before")
+    return rows.withColumn("_previous", F.coalesce(F.lag(F.struct(*columns)).over(within()), F.col("_before"))).drop("_before")
 
 
 def beside(edges: DataFrame, *columns: str) -> DataFrame:
     """``edges`` with both _next and _previous, from one summary."""
-    kept = F.struct(*columns)
-    both = edges.groupBy("capture_id", "block").agg(F.min_by(kept, "edge_idx").alias("_first"), F.max_by(kept, "edge_idx").alias("_last"))
+    both, kept = ends_of(edges, columns, _first=F.min_by, _last=F.max_by), F.struct(*columns)
     rows = with_summary(edges, both.select("capture_id", "block", F.lead("_first").over(along()).alias("_after"), F.lag("_last").over(along()).alias("_before")))
     here = {"_next": F.coalesce(F.lead(kept).over(within()), F.col("_after")), "_previous": F.coalesce(F.lag(kept).over(within()), F.col("_before"))}
     return rows.withColumns(here).drop("_after", "_before")

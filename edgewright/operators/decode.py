@@ -9,6 +9,7 @@ Duplicates are settled where they arise; only candidates near the ends of a stre
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from decimal import Decimal
 
 import numpy as np
@@ -32,6 +33,8 @@ TRUNCATED, BAD_HEADER, BAD_ID, BAD_COMMAND, BAD_TAIL = "正式帧数据截断",
 CORE_TRUNCATED = "核心帧数据截断"
 
 
+#: Digits of the ratios that decide between candidates; the rest is rounding.
+DIGITS = 9
 #: Blocks that are decoded at once: few enough for times since the first one to be exact to a millionth of a us.
 TOGETHER = 1000
 #: Blocks of a stretch, half a minute with the shipped rules: what one task decodes at least.
@@ -78,6 +81,8 @@ class BlockDecoder:
         self.marker, self.transitions = np.array(rules.marker_bits), rules.transitions
         self.residual, self.tail = float(rules.max_residual), float(rules.tail_tolerance)
         self.low, self.high = float(rules.pulse_min_us), float(rules.pulse_max_us)
+        same = [i for i in range(1, len(self.marker)) if self.marker[i] == self.marker[i - 1]]
+        self.telling = np.array(sorted({x for i in same[:2] for x in (i - 1, i)})) if same else np.arange(len(self.marker))
 
     def sample(self, t, bit, last, start, period, phases, n):
         """For each phase: bits, how many could be sampled, least distance to an edge in periods."""
@@ -98,16 +103,18 @@ class BlockDecoder:
 
     def refined(self, t, first, start, period):
         """The fit over the edges nearest to the marker's transitions, each after the one before."""
-        picked, upto = [], first
+        near = t[first : np.searchsorted(t, start + period * (len(self.marker) + 1), "right")].tolist()
+        picked, upto, half = [], 0, period / 2
         for k in self.transitions:
             at = start + period * k
-            a, b = max(np.searchsorted(t, at - period / 2, "left"), upto), np.searchsorted(t, at + period / 2, "right")
+            a, b = max(bisect_left(near, at - half), upto), bisect_right(near, at + half)
             if a >= b:
                 return None
-            picked.append(int(a + np.abs(t[a:b] - at).argmin()))
-            upto = picked[-1] + 1
-        fit = fitted(np.array(self.transitions, float), t[picked] - t[picked[0]])
-        return None if fit is None else (fit, float(t[picked[0]]))
+            best = min(range(a, b), key=lambda i: abs(near[i] - at))  # noqa: B023
+            picked.append(best)
+            upto = best + 1
+        fit = fitted(np.array(self.transitions, float), np.array([near[i] for i in picked]) - near[picked[0]])
+        return None if fit is None else (fit, near[picked[0]])
 
     def initial_fits(self, t, bit, last, starts, run):
         """(start edge, pulses, period, residual, sync start) of the runs whose fit is good and shows the marker; all
@@ -126,14 +133,18 @@ class BlockDecoder:
         good[good] &= residual[good] / slope[good] <= self.residual
         starts, n, slope, residual = starts[good], n[good], slope[good], residual[good]
         sync = t[starts] + intercept[good]
-        bits = np.arange(len(self.marker))
-        at = sync[:, None, None] + slope[:, None, None] * (np.arange(self.r.phases)[None, :, None] / self.r.phases + bits)
-        i = np.searchsorted(t, at.ravel(), "right").reshape(at.shape) - 1
-        ok = (at < last) & (i >= 0) & (i + 1 < len(t)) & (bit[np.clip(i, 0, len(t) - 1)] == self.marker)
-        for k in np.flatnonzero(ok.all(axis=2).any(axis=1)).tolist():
+        k, phase = (x.ravel() for x in np.indices((len(starts), self.r.phases)))
+        for bits in (self.telling, np.arange(len(self.marker))):  # few bits rule out most places and phases
+            at = sync[k, None] + slope[k, None] * (phase[:, None] / self.r.phases + bits)
+            i = np.searchsorted(t, at.ravel(), "right").reshape(at.shape) - 1
+            ok = (at < last) & (i >= 0) & (i + 1 < len(t)) & (bit[np.clip(i, 0, len(t) - 1)] == self.marker[bits])
+            k, phase = k[ok.all(axis=1)], phase[ok.all(axis=1)]
+        for k in np.unique(k).tolist():
             yield int(starts[k]), int(n[k]), float(slope[k]), float(residual[k]), float(sync[k])
 
-    def candidates(self, us, edge_idx, level, one, own, last, last_level, before, before_level):
+    def candidates(self, us, edge_idx, level, one, own, last, last_level, before, before_level, best_only=False):
+        """best_only: of a start edge's phases that read the same whole frame, the preferred one alone; the others start
+        at the same time, so they are its duplicates."""
         r, t = self.r, np.asarray(us, float)
         if len(t) < 2:
             return
@@ -157,6 +168,12 @@ class BlockDecoder:
             end = begin + period * r.frame_bits
             bits, count, near, _ = self.sample(t, bit, last, begin, period, phases, r.frame_bits)
             text, values = (bits + 48).astype(np.uint8), np.packbits(bits.astype(np.uint8), axis=1)
+            if best_only:
+                stay, n_bits = {}, r.frame_bits
+                for k in sorted(range(len(phases)), key=lambda k: (-round(float(near[k]), DIGITS), phases[k])):  # noqa: B023
+                    stay.setdefault(values[k].tobytes() if count[k] == n_bits else k, k)
+                k = sorted(stay.values())
+                phases, count, near, text, values = phases[k], count[k], near[k], text[k], values[k]
             i = int(np.searchsorted(t, end, "left")) - 1
             associated = float(t[i] if i >= 0 else t[s])
             for k, (phase, m, safe) in enumerate(zip(phases.tolist(), count.tolist(), near.tolist(), strict=True)):
@@ -205,7 +222,8 @@ class EdgeStream:
     ``feed`` gives (capture_id, stretch, block up to which all is known, candidates as (block, ...)); that number is None
     at a stretch's end. No more is held than the edges of blocks that wait for the next one's."""
 
-    def __init__(self, rules: Rules, inverted: bool, stretch_blocks: int = STRETCH_BLOCKS):
+    def __init__(self, rules: Rules, inverted: bool, stretch_blocks: int = STRETCH_BLOCKS, best_only: bool = False):
+        self.best_only = best_only
         self.decoder, self.size, self.stretch_blocks = BlockDecoder(rules, inverted), float(block_us(rules)), stretch_blocks
         self.key, self.held, self.done, self.behind = None, None, None, None
 
@@ -261,7 +279,7 @@ class EdgeStream:
                 last = us[-1] + float(tick[-1] - b) * self.size
                 before = us[-2] + float(tick[-2] - b) * self.size if whole > 1 else None
                 tail = int(level[-1]), before, int(level[-2]) if whole > 1 else None
-            out += [(b, *c) for c in self.decoder.candidates(t, edge_idx[a:z], level[a:z], one[a:z], own, last, *tail)]
+            out += [(b, *c) for c in self.decoder.candidates(t, edge_idx[a:z], level[a:z], one[a:z], own, last, *tail, self.best_only)]
         if ended:
             yield *self.key, None, out
             return
@@ -291,13 +309,13 @@ def _schema() -> tuple[pa.Schema, str]:
     return rows, "capture_id string, settled boolean, block long, " + ", ".join(f"{c} {_DDL[t]}" for c, t in _CANDIDATE.items())
 
 
-def _streamed(edges: DataFrame, profile: Profile, settle, stretch_blocks: int = STRETCH_BLOCKS) -> DataFrame:
+def _streamed(edges: DataFrame, profile: Profile, settle, stretch_blocks: int = STRETCH_BLOCKS, best_only: bool = False) -> DataFrame:
     """Decoded rows of all captures; ``settle()`` gives a function from what EdgeStream gives to the rows that stay."""
     rules, inverted = profile.rules, profile.inverted
     schema, ddl = _schema()
 
     def run(batches):
-        stream, stay, out = EdgeStream(rules, inverted, stretch_blocks), settle(), []
+        stream, stay, out = EdgeStream(rules, inverted, stretch_blocks, best_only), settle(), []
         batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
         for b in batches:
             for piece in stream.feed(b):
@@ -326,7 +344,7 @@ def frames(edges: DataFrame, profile: Profile, stretch_blocks: int = STRETCH_BLO
     near the ends of a stretch when all are there, by the same rule. The edges are decoded once, when this is called."""
     from .dedup import Settler, settled_islands
 
-    found = cut(_streamed(edges, profile, lambda: Settler(profile, stretch_blocks).feed, stretch_blocks), "decoded")
+    found = cut(_streamed(edges, profile, lambda: Settler(profile, stretch_blocks).feed, stretch_blocks, True), "decoded")
     rest = settled_islands(found.where("NOT settled").drop("settled"), profile)
     rows = found.where("settled").drop("settled").unionByName(rest)
     return _finished(rows, profile.rules, edges.schema["capture_id"].dataType)
