@@ -59,12 +59,11 @@ import glob; assert len(glob.glob({str(tmp_path)!r} + "/ew-session-*")) == 1
     assert not list(tmp_path.glob("ew-*"))  # Spark's own checkpoint folder is not ours
 
 
-def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
-    class Cluster:
-        conf = spark.conf
-
-        class sparkContext:
-            master = "spark://x"
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace as Some
 
+    session = lambda master, base: Some(conf=Some(get=lambda *_: base), sparkContext=Some(master=master))
+    assert storage.base_dir(session("spark://x", "hdfs://y/z/")) == "hdfs://y/z"
+    assert storage.base_dir(session("local[2]", None)) == f"file://{storage.LOCAL_FALLBACK}"
     with pytest.raises(ValueError):
-        storage.base_dir(Cluster)
+        storage.base_dir(session("spark://x", None))
