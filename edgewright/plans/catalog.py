@@ -15,7 +15,7 @@ from .. import config
 from ..errors import MESSAGES, CaptureError
 from ..functions import bits
 from ..operators import bitstreams, coverage, decode, dedup, signal
-from ..sources import edge_csv, report
+from ..sources import edge_csv, report, workbook
 from ..storage import cut, option, shared_dir
 from . import captures, synth
 
@@ -268,10 +268,12 @@ def result_sheet_view(spark, sf_dir):
     return report.result_view(_decoded(spark, sf_dir), _PROFILE).select("capture_id", "c00", "c01", "c06", "c14", "c15", "c16", "c21", "c22", "c35", "c37", "c42")
 
 
-@query("SELECT o_custkey AS capture_id, count(*) AS n_valid, 0::BIGINT AS n_invalid FROM orders GROUP BY ALL")
+@query(f"""WITH {_PAYLOAD}, w AS (SELECT capture_id, '1010101010101010' || array_to_string(list_transform(string_split(hex, ' '), lambda x: right('0000000' || bin(('0x' || x)::INTEGER), 8)), '') || '1' AS bits FROM pay)
+SELECT capture_id, sum(len(regexp_extract_all(bits, '0+|1+')) - 1)::BIGINT AS n_edges, count(*) AS n_segments, count(*) AS n_valid, 0::BIGINT AS n_invalid FROM w GROUP BY ALL""")
 def capture_summary(spark, sf_dir):
+    """An edge for each change of a bit, a segment and a valid frame for each order. Where fragments end depends on jitter."""
     result = captures.decode_edges(synth.waveform(_payloads(spark, sf_dir), _PROFILE), _PROFILE)
-    return result.summary.select("capture_id", "n_valid", "n_invalid")
+    return result.summary.select("capture_id", "n_edges", "n_segments", "n_valid", "n_invalid")
 
 
 @query(f"""WITH {_SIG}, n AS (SELECT *, coalesce((t - lag(t) OVER (PARTITION BY capture_id ORDER BY t) > {6 * HOUR})::INTEGER, 1) AS new FROM sig),
@@ -282,14 +284,16 @@ def dedup_islands(spark, sf_dir):
     return dedup.islands(e, 6 * HOUR, "t").groupBy("capture_id", "island").agg(F.count("*").alias("n"), F.min("t").alias("first_t"))
 
 
-@query("""WITH c AS (SELECT o_custkey AS capture_id, o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 4 WHEN 1 THEN 3 WHEN 2 THEN 2 ELSE 1 END AS rank, (o_orderkey % 3)::INTEGER AS pulses FROM orders)
-SELECT capture_id, o_orderkey, rank::INTEGER AS rank FROM c QUALIFY row_number() OVER (PARTITION BY capture_id ORDER BY rank DESC, pulses DESC, o_orderkey) = 1""")
+@query("""WITH c AS (SELECT o_custkey AS capture_id, o_orderkey AS k, 4 - o_orderkey % 4 AS rank, o_orderkey % 2 AS pulses, o_orderkey % 3 AS residual, CASE WHEN o_orderkey % 11 > 0 THEN o_orderkey % 5 END AS safety, o_orderkey % 7 AS period FROM orders)
+SELECT capture_id, k AS o_orderkey, rank::INTEGER AS rank FROM c
+QUALIFY row_number() OVER (PARTITION BY capture_id ORDER BY rank DESC, pulses DESC, residual, safety DESC NULLS LAST, period, k) = 1""")
 def dedup_preference(spark, sf_dir):
-    """The preferred one of made-up candidates that all lie in one place."""
+    """The preferred one of candidates that all lie in one place; every figure that decides varies with the order's key."""
     k = F.col("o_orderkey")
     rows = _t(spark, sf_dir, "orders").select(
-        F.col("o_custkey").alias("capture_id"), k.alias("edge_idx"), (k % 4 < 2).alias("valid"), (k % 4 == 1).alias("tail_extended"), (k % 4 < 3).alias("complete"), (k % 3).cast("int").alias("pulses"),
-        F.lit(0.1).alias("residual_ratio"), F.lit(0.5).alias("safety_ratio"), F.lit(416.0).alias("period_us"), k.cast("double").alias("phase_us"), F.lit(1.0).alias("start_t"), F.lit(1).cast("decimal(20,12)").alias("prelude_t"),
+        F.col("o_custkey").alias("capture_id"), k.alias("edge_idx"), (k % 4 < 2).alias("valid"), (k % 4 == 1).alias("tail_extended"), (k % 4 < 3).alias("complete"), (k % 2).cast("int").alias("pulses"),
+        ((k % 3) / 16).cast("double").alias("residual_ratio"), F.when(k % 11 > 0, (k % 5) / 8).cast("double").alias("safety_ratio"), (400 + k % 7).cast("double").alias("period_us"),
+        k.cast("double").alias("phase_us"), F.lit(1.0).alias("start_t"), F.lit(1).cast("decimal(20,12)").alias("prelude_t"),
     )
     best = dedup.ranked(dedup.deduplicated(rows, _R))
     return best.select("capture_id", F.col("edge_idx").alias("o_orderkey"), "rank")
@@ -398,17 +402,105 @@ def summary_counts(spark, sf_dir):
     return captures.summary(e, segments, made, captures.fragments(made, segments))
 
 
-_SHEET = ("capture_id", "n_edges", "n_segments", "n_valid", "n_invalid", "n_fragments")
+#: The summary's rows for counts n_edges, ... of a table c.
+_SUMMARY_ROWS = """(VALUES (1, c.capture_id::VARCHAR), (2, n_edges::VARCHAR), (3, n_segments::VARCHAR), (4, n_valid::VARCHAR), (5, n_invalid::VARCHAR), (6, n_fragments::VARCHAR), (7, 'B0 42 87'),
+(8, '332.80～499.20'), (9, '同步前导连续边沿初步拟合，确认AA 2D D4后按已知跳变位置细化拟合'), (10, 'T_est / 16'), (11, '两个候选中较大T_est的1/2'), (12, '40'), (13, '0'),
+(14, '反相映射（CSV 0 -> 1，CSV 1 -> 0）'), (15, '2024-01-01 00:00:00')) v(no, value)"""
+_COUNTS = ORACLE_SQL["summary_counts"]
+_AT = "2024-01-01 00:00:00"
 
 
-@query("SELECT o_custkey AS capture_id, no::INTEGER AS no, value FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY ALL), LATERAL (VALUES (1, o_custkey::VARCHAR), (2, (2 * n)::VARCHAR), (3, '1'), (4, n::VARCHAR), (5, '0'), (6, '3'), (7, 'B0 42 87'), "
-       "(8, '332.80～499.20'), (10, 'T_est / 16'), (12, '40'), (13, '0'), (15, '2024-01-01 00:00:00')) v(no, value)")
+@query(f"SELECT capture_id, no::INTEGER AS no, value FROM ({_COUNTS}) c, LATERAL {_SUMMARY_ROWS}")
 def summary_sheet_view(spark, sf_dir):
-    """The rows of the summary sheet whose texts are figures, for made-up counts."""
-    rows = _t(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("capture_id")).agg(F.count("*").alias("n_valid"))
-    rows = rows.select("*", (2 * F.col("n_valid")).alias("n_edges"), F.lit(1).alias("n_segments"), F.lit(0).alias("n_invalid"), F.lit(3).alias("n_fragments")).select(*_SHEET)
-    view = report.summary_view(rows, _PROFILE, "2024-01-01 00:00:00")
-    return view.where(~F.col("no").isin(9, 11, 14)).select("capture_id", F.col("no").cast("int").alias("no"), "value")
+    """The rows of the summary sheet of the signal's captures."""
+    return report.summary_view(summary_counts(spark, sf_dir), _PROFILE, _AT).select("capture_id", F.col("no").cast("int").alias("no"), "value")
+
+
+def _made_frames(spark, sf_dir):
+    """A frame for each order, every figure of the report varying with its key; every fifth is cut short."""
+    k, r = F.col("frame_key"), _PROFILE.rules
+    eighths = lambda n: ((k % n) / 8).cast("double")
+    rows = _payloads(spark, sf_dir).withColumn("bytes", F.when(k % 5 == 0, F.slice("bytes", 1, 12)).otherwise(F.col("bytes")))
+    rows = rows.withColumn("bits", bits.bit_string(bits.bytes_to_bits(F.col("bytes"))))
+    at = (k / 8).cast("double")
+    figures = {
+        "prelude_t": at.cast("decimal(20,12)"), "associated_t": F.when(k % 3 > 0, (at + 0.5).cast("decimal(20,12)")), "start_t": at + 0.25, "end_t": at + 0.75, "edge_idx": k,
+        "period_us": F.when(k % 7 > 0, 400 + eighths(64)), "pulses": (5 + k % 12).cast("int"), "initial_period_us": 400 + eighths(48), "initial_residual_us": eighths(40),
+        "initial_residual_ratio": eighths(3), "initial_threshold_us": 60 + eighths(9), "residual_us": eighths(41), "residual_ratio": eighths(5), "threshold_us": 61 + eighths(11),
+        "phase_us": eighths(400), "phase_step_us": 25 + eighths(8), "direct_bits": F.when(k % 11 == 0, -1).otherwise(104 - k % 3).cast("int"), "final_bits": F.length("bits"),
+        "tail_deviation_us": F.when(k % 2 == 0, eighths(16) - 1), "tail_tolerance_us": F.when(k % 2 == 0, 145 + eighths(8)), "previous_pulse_error_us": F.when(k % 4 == 0, eighths(24)),
+        "tail_status": F.when(k % 2 == 0, decode.EXTENDED).otherwise(decode.NOT_NEEDED), "tail_extended": k % 2 == 0,
+    }
+    return dedup.numbered(decode.validated(rows.withColumns(figures), _PROFILE))
+
+
+def _result_sql() -> str:
+    """The 43 columns of those frames."""
+    e = lambda n: f"((k % {n}) / 8.0)::DOUBLE"
+    shown = lambda x: f"coalesce(CASE WHEN {x} >= 0 THEN ({x})::VARCHAR END, '{report.NOT_APPLICABLE}')"
+    octet = lambda i: f"CASE WHEN {i} < 12 OR k % 5 > 0 THEN '0x' || split_part(hex, ' ', {i + 1}) ELSE '{report.NOT_RECOVERED}' END"
+    tail = "CASE WHEN k % 2 = 0 THEN "
+    cells = [
+        "'0xAA'", *[octet(i) for i in range(13)], "channel", "action", "row_number() OVER (PARTITION BY capture_id ORDER BY k)::INTEGER",
+        "k / 8.0::DOUBLE", "CASE WHEN k % 3 > 0 THEN k / 8.0::DOUBLE + 0.5 END", "k / 8.0::DOUBLE + 0.25", "k / 8.0::DOUBLE + 0.75",
+        f"CASE WHEN k % 5 > 0 THEN '{report.VALID}' ELSE '{report.INVALID}' END", f"CASE WHEN k % 5 > 0 THEN '' ELSE '{decode.TRUNCATED}' END",
+        f"CASE WHEN k % 7 > 0 THEN (400 + {e(64)})::VARCHAR ELSE '{report.NOT_ESTIMATED}' END", "'同步前导连续1T边沿初始拟合，确认AA 2D D4后按已知跳变位置细化拟合并重新采样验证'",
+        "(5 + k % 12)::INTEGER", f"400 + {e(48)}", e(40), e(3), f"60 + {e(9)}", e(41), e(5), f"61 + {e(11)}", e(400), f"25 + {e(8)}",
+        shown("CASE WHEN k % 11 = 0 THEN -1 ELSE 104 - k % 3 END"), "CASE WHEN k % 5 > 0 THEN '104' ELSE '96' END",
+        shown(f"{tail}{e(16)} - 1 END"), shown(f"{tail}145 + {e(8)} END"), shown(f"CASE WHEN k % 4 = 0 THEN {e(24)} END"), f"{tail}'{decode.EXTENDED}' ELSE '{decode.NOT_NEEDED}' END",
+        "array_to_string(list_transform(string_split(CASE WHEN k % 5 > 0 THEN hex ELSE left(hex, 35) END, ' '), lambda x: right('0000000' || bin(('0x' || x)::INTEGER), 8)), '')",
+        "CASE WHEN k % 5 > 0 THEN hex ELSE left(hex, 35) END",
+    ]
+    return f"WITH {_PAYLOAD} SELECT capture_id, " + ", ".join(f"{c} AS c{i:02}" for i, c in enumerate(cells)) + " FROM (SELECT *, o_orderkey AS k FROM pay)"
+
+
+@query(_result_sql())
+def result_sheet_columns(spark, sf_dir):
+    """All 43 columns of the result sheet."""
+    view = report.result_view(_made_frames(spark, sf_dir), _PROFILE)
+    return view.withColumns({c: F.col(c).cast("double") for c in ("c17", "c18")})
+
+
+def _read_back(spark, results, summary, fragments, sheet):
+    """(capture_id, row, cells) of a sheet of the workbooks that the three views give."""
+    path = f"{shared_dir(spark)}/books"
+    workbook.save(results, summary, fragments, path)
+    read = workbook.read_rows(spark, path).where(F.col("sheet") == sheet)
+    return read.select(F.regexp_extract("file", "([0-9]+)[^/]*$", 1).cast("long").alias("capture_id"), "row", "cells")
+
+
+def _named(view):
+    """A view whose captures are file names, as workbooks are named by them."""
+    return view.withColumn("capture_id", F.concat(F.col("capture_id").cast("string"), F.lit(".csv")))
+
+
+@query(f"WITH r AS ({_result_sql()}) SELECT capture_id, (c16 + 2)::INTEGER AS row, " + ", ".join(f"c{i:02}::VARCHAR AS c{i:02}" for i in range(43)) + " FROM r")
+def workbook_results(spark, sf_dir):
+    """The frames of every capture written as a workbook from the task that holds them, and read back cell by cell."""
+    frames = _made_frames(spark, sf_dir)
+    counts = frames.groupBy("capture_id").agg(F.count("*").alias("n_edges")).selectExpr("*", "1 AS n_segments", "0 AS n_valid", "0 AS n_invalid", "0 AS n_fragments")
+    none = spark.createDataFrame([], "capture_id string, number int, start_t double, end_t double, reason string")
+    rows = _read_back(spark, _named(report.result_view(frames, _PROFILE)), _named(report.summary_view(counts, _PROFILE, _AT)), none, report.RESULT_SHEET)
+    return rows.where("row > 2").select("capture_id", "row", *[F.get("cells", F.lit(i)).alias(f"c{i:02}") for i in range(43)])
+
+
+@query(f"""WITH s AS (SELECT capture_id, no, value FROM ({_COUNTS}) c, LATERAL {_SUMMARY_ROWS}), g AS (SELECT capture_id, start_t / 4096.0 AS a, end_t / 4096.0 AS z, reason, number FROM ({ORACLE_SQL['uncovered_ranges']})),
+l AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{x}')" for i, x in enumerate(report.SUMMARY, 1))}) v(no, label))
+SELECT s.capture_id, no::INTEGER AS row, label AS a, CASE no WHEN 1 THEN value || '.csv' ELSE value END AS b, NULL::VARCHAR AS c, NULL::VARCHAR AS d FROM s JOIN l USING (no)
+UNION ALL SELECT DISTINCT capture_id, 16, '未识别与边界诊断', NULL, NULL, NULL FROM s
+UNION ALL SELECT DISTINCT capture_id, 17, '序号', '起始时间[s]', '结束时间[s]', '原因' FROM s
+UNION ALL SELECT capture_id, 17 + number, number::VARCHAR, (a - 415000000000)::DOUBLE::VARCHAR, (z - 415000000000)::DOUBLE::VARCHAR, reason FROM g""")
+def workbook_summary(spark, sf_dir):
+    """Summary and fragments of the signal's captures written as workbooks and read back; times in units of 4096 us."""
+    segments = _segments(spark, sf_dir)
+    gaps = captures.fragments(_frames(spark, sf_dir), segments)
+    time = lambda c: (F.col(c) / 4096 - 415_000_000_000).cast("double").alias(c)
+    gaps = gaps.select("capture_id", "number", time("start_t"), time("end_t"), "reason")
+    results = report.result_view(_made_frames(spark, sf_dir), _PROFILE).limit(0)
+    view = report.summary_view(summary_counts(spark, sf_dir), _PROFILE, _AT)
+    named = F.when(F.col("no") == 1, F.concat("value", F.lit(".csv"))).otherwise(F.col("value"))
+    rows = _read_back(spark, _named(results), _named(view.withColumn("value", named)), _named(gaps), report.SUMMARY_SHEET)
+    return rows.select("capture_id", "row", *[F.get("cells", F.lit(i)).alias(c) for i, c in enumerate("abcd")])
 
 
 _TAILS = (decode.EXTENDED, decode.TOO_SHORT, decode.NO_EDGE, decode.BAD_EDGE)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config, load_config
 from ..errors import CaptureError
-from ..sources import edge_csv, report
+from ..sources import edge_csv, report, workbook
 from . import captures
 
 log = logging.getLogger(__name__)
@@ -48,7 +48,11 @@ def parse_capture(spark: SparkSession, path: str, config_key: str, out_dir: str,
             views = tuple(captures.cut(v, "view") for v in views)
         except PySparkException as e:
             raise CaptureError("PROTOCOL_PARSE_FAILED") from e
-        return report.write_xlsx(f"{out_dir}/{report.download_name(name)}", *views, source=path)
+        try:
+            workbook.save(*views, out_dir)
+        except (PySparkException, OSError) as e:
+            raise CaptureError("EXCEL_GENERATION_FAILED") from e
+        return f"{out_dir}/{report.download_name(name)}"
     except CaptureError as e:
         failure = e.code
         raise

@@ -13,7 +13,7 @@ from edgewright import config
 from edgewright.errors import CaptureError
 from edgewright.operators import decode, dedup, signal
 from edgewright.plans import captures, synth
-from edgewright.sources import edge_csv, report
+from edgewright.sources import edge_csv, report, workbook
 
 PROFILE = config.load_config().profile(" remote-b04287 ")
 GOOD = [0x2D, 0xD4, 1, 2, 3, 4, 0xB0, 0x42, 0x87, 9, 0x21, 0xAA, 0xAA]
@@ -161,14 +161,13 @@ def test_whole_capture_and_workbook(spark, tmp_path):
     view = report.result_view(result.frames, PROFILE)
     assert len(view.columns) == 1 + len(report.HEADERS) == 44
     out = str(tmp_path / "out" / report.download_name("a.csv"))
-    report.write_xlsx(out, view, report.summary_view(result.summary, PROFILE), result.fragments)
+    workbook.save(view, report.summary_view(result.summary, PROFILE), result.fragments, str(tmp_path / "out"))
     with zipfile.ZipFile(out) as z:
         texts = {n: z.read(n).decode() for n in z.namelist()}
     for t in texts.values():
         minidom.parseString(t)
     assert "2D D4 01 02 03 04 B0 42 87 09 21 AA AA" in texts["xl/worksheets/sheet1.xml"] and "1/2" in texts["xl/worksheets/sheet2.xml"]
-    with pytest.raises(CaptureError):
-        report.write_xlsx(out, view, view, view, source=out)
+    assert sorted(p.name for p in (tmp_path / "out").rglob("*")) == ["a-解析结果.xlsx"]
 
 
 @pytest.mark.parametrize(("name", "size", "code"), [("a.csv", 1, None), ("x/y\\b.CSV", 5, None), (".csv", 5, "INVALID_REQUEST"), ("a.txt", 5, "INVALID_REQUEST"), ("a.csv", 0, "INVALID_REQUEST"), ("a.csv", 21 * 1024 * 1024, "UPLOAD_TOO_LARGE")])
