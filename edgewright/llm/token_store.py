@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import cut, shared_dir, table
-from .tokens import PA, bare_pieces, library_cache, map_rows
+from .tokens import PA, bare_pieces, map_rows, piece_encoder
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 2
 #: Ids under the rolling hash; bits of it that must be zero at a cut; the smallest and largest chunk.
@@ -77,11 +77,11 @@ def encoded(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: int)
     def start():
         import zstandard
 
-        cache, pack = library_cache(path), zstandard.ZstdCompressor(level=3).compress
+        encode, pack = piece_encoder(path, bare_pieces), zstandard.ZstdCompressor(level=3).compress
         rows = iter(range(TaskContext.get().partitionId() << 33, 1 << 63))
 
         def one(doc_id, text):
-            ids = np.frombuffer(cache.encode(bare_pieces(text or "")) + end_id.to_bytes(4, "little"), "<u4")
+            ids = np.frombuffer(encode(text or "") + end_id.to_bytes(4, "little"), "<u4")
             ends = cut_points(ids)
             raw, begins, seen = ids.tobytes(), [0, *ends[:-1]], set()
             chunks = [address(raw[4 * a : 4 * b]) for a, b in zip(begins, ends, strict=True)]

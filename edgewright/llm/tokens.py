@@ -137,15 +137,51 @@ class Words:
         return [self.ids[r] for r in self.ranks_of(word.encode() + self.end)]
 
 
+@lru_cache(maxsize=4)
+def added_tokens(path: str) -> tuple[re.Pattern | None, dict[str, int]]:
+    """A pattern for the added tokens of a ``tokenizers`` file (none: None), and their ids. Called as usual, the library
+    cuts a text at them before all else."""
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f).get("added_tokens") or []
+    if any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in found):
+        raise ValueError(f"{path} has added tokens that are not found as they stand")
+    ids = {t["content"]: t["id"] for t in found}
+    return (re.compile("|".join(map(re.escape, sorted(ids, key=len, reverse=True)))) if ids else None), ids
+
+
+def around_added(path: str, encode: Callable[[str], bytes]) -> Callable[[str], bytes]:
+    """``encode`` for whole texts: added tokens become their ids, and what lies between is encoded apart."""
+    pattern, ids = added_tokens(path)
+    raw = {t: i.to_bytes(4, "little") for t, i in ids.items()}
+
+    def run(text: str) -> bytes:
+        if not any(t in text for t in raw):
+            return encode(text)
+        out, at = [], 0
+        for m in pattern.finditer(text):
+            out += [encode(text[at : m.start()]), raw[m[0]]]
+            at = m.end()
+        return b"".join([*out, encode(text[at:])])
+
+    return run
+
+
+@lru_cache(maxsize=4)
+def piece_encoder(path: str, pieces: Callable[[str], list[str]]) -> Callable[[str], bytes]:
+    """The little-endian unsigned 32-bit ids of a whole text, as the library gives them; ``pieces`` cuts its words."""
+    cache = library_cache(path)
+    return around_added(path, lambda text: cache.encode(pieces(text)))
+
+
 @lru_cache(maxsize=4)
 def library_cache(path: str) -> PieceCache:
     """A worker's cache over a ``tokenizers`` file, kept from task to task. Plain words go through the file's merges
-    (class Words), all else through the library. Strings of special tokens in a text are ordinary text."""
+    (class Words), all else through the library. For pieces without added tokens; see ``around_added``."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tok, words = Tokenizer.from_file(path), Words(path)
-    tok.encode_special_tokens = True
+    tok.encode_special_tokens = True  # a folded piece may look like an added token that the text does not have
     lowers = tok.encode("AbC").ids == tok.encode("abc").ids
 
     def encode_new(new):
@@ -163,12 +199,13 @@ def whole_encoder(path: str) -> Callable[[str], np.ndarray]:
     words = Words(path)
     table, encode = np.array(words.ids, "<u4"), words.engine.encode_ordinary
 
-    def run(text: str) -> np.ndarray:
+    def part(text: str) -> bytes:
         if len(text) > UNCUT and any(len(m) > UNCUT for m in _RUNS.findall(text)):
-            return np.frombuffer(library_cache(path).encode(spaced_pieces(text)), "<u4")
-        return table[np.array(encode(text), np.int64)]
+            return library_cache(path).encode(spaced_pieces(text))
+        return table[np.array(encode(text), np.int64)].tobytes()
 
-    return run
+    run = around_added(path, part)
+    return lambda text: np.frombuffer(run(text), "<u4")
 
 
 PA = {
