@@ -61,15 +61,25 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; rows repeated with one id and text stay once."""
+    """The rows of ``docs`` that stay, with all their columns; rows repeated with one id and text stay once.
+
+    A null id is an id like others that counts as the largest, a null text is empty, an empty table stays empty; the
+    columns may have any names, since what is added is prefixed by what none of them begins with. The rows that go are
+    told by a narrow table; texts are only sent to other tasks if that table is too large for each task to have, and
+    those of rows that repeat in full."""
+    own = "_"
+    while any(c.startswith(own) for c in docs.columns):
+        own += "_"
 
     def place(doc_id: Column, sha: Column) -> Column:
         return F.sha2(F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("null")), sha), 256)
 
-    found = exact_dedup(docs, id_col, text_col).groupBy(place(F.col("doc_id"), F.col("text_sha256")).alias("_place"))
-    gone = found.agg(F.max("kept").alias("_kept")).where("NOT _kept").select("_place")
-    placed = docs.withColumn("_place", place(F.col(id_col), F.sha2(normalised(text_of(text_col)).cast("binary"), 256)))
-    return placed.join(gone, "_place", "left_anti").dropDuplicates(["_place"]).select(*docs.columns)
+    found = exact_dedup(docs, id_col, text_col).groupBy(place(F.col("doc_id"), F.col("text_sha256")).alias(own))
+    found = cut(found.agg(F.max("kept").alias("kept"), F.count("*").alias("n")), "places")
+    gone, many = found.where("NOT kept").select(own), found.where("kept AND n > 1").select(own)
+    placed = docs.withColumn(own, place(F.col(id_col), F.sha2(normalised(text_of(text_col)).cast("binary"), 256)))
+    once = placed.join(gone.unionByName(many), own, "left_anti")
+    return once.unionByName(placed.join(many, own, "left_semi").dropDuplicates([own])).select(*docs.columns)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
