@@ -11,7 +11,6 @@ window of a shard is not full.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_right
 from typing import NamedTuple
 
 import numpy as np
@@ -23,14 +22,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, table
+from .numbering import positions
 from .token_store import packed, unpacked
 from .tokens import PA, map_rows, whole_encoder
 
 VOCABULARY, END_ID, WINDOW = "byte_bpe_50k.json", 0, 1024
 #: Documents of a shard, on average.
 SHARD_DOCS = 4096
-#: Documents of each shard, on average, that tell where shards begin; min-hashes of a document's place and their bits.
-SAMPLE_OF_SHARD, HASHES, HASH_BITS = 64, 3, 20
+#: Min-hashes of a document's place and their bits.
+HASHES, HASH_BITS = 3, 20
 #: BM25; terms in more than DENSE_SHARE of a shard's left-overs are kept as rows of weights, not as posting lists.
 K1, B, DENSE_SHARE = 1.2, 0.75, 0.125
 
@@ -97,30 +97,21 @@ def places(corpus: Corpus):
     return place
 
 
-def dealt(staged: DataFrame, corpus: Corpus, rows: int, shard_docs: int) -> DataFrame:
-    """``staged`` with its shard: rows in the order of their place, and of their number where that is equal, cut at
-    places that a sample by a hash of the row number gives."""
-
-    def placed(bounds):
-        def run(terms: pd.Series, row: pd.Series) -> pd.Series:
-            import zstandard
+def dealt(staged: DataFrame, corpus: Corpus, shard_docs: int) -> DataFrame:
+    """``staged`` with its shard: rows in the order of their place, and of their number where that is equal, cut into
+    shards of equal size. Spark sorts places and numbers by ranges; the driver sees neither rows nor bounds."""
+    places_of = places(corpus)
 
-            unpack = zstandard.ZstdDecompressor().decompress
-            if not len(terms):
-                return pd.Series([], dtype="int64")
-            at = places_of([np.split(unpacked(t, unpack), 2)[0] for t in terms])
-            return pd.Series(at if bounds is None else [bisect_right(bounds, x) for x in zip(at.tolist(), row.tolist(), strict=True)], dtype="int64")
+    def run(terms: pd.Series) -> pd.Series:
+        import zstandard
 
-        return F.pandas_udf(run, "long")("terms", "row")
+        unpack = zstandard.ZstdDecompressor().decompress
+        return pd.Series(places_of([np.split(unpacked(t, unpack), 2)[0] for t in terms]) if len(terms) else [], dtype="int64")
 
-    shards = max(1, -(-rows // shard_docs))
-    if shards == 1:
-        return staged.withColumn("shard", F.lit(0).cast("long"))
-    places_of = places(corpus)
-    some = staged.where(F.pmod(F.xxhash64("row"), F.lit(max(1, shard_docs // SAMPLE_OF_SHARD))) == 0)
-    some = some.select(placed(None).alias("place"), "row").toArrow()
-    some = sorted(zip(*(some[c].to_pylist() for c in ("place", "row")), strict=True))
-    return staged.withColumn("shard", placed([some[k * len(some) // shards] for k in range(1, shards)] if some else []))
+    rows = staged.select("row", F.pandas_udf(run, "long")("terms").alias("place"), F.lit(0).alias("all"))
+    rows = positions(rows, "all", ["place", "row"], "places")
+    shards = F.ceil(F.col("n") / shard_docs)
+    return staged.join(rows.select("row", F.floor(F.col("pos") * shards / F.col("n")).cast("long").alias("shard")), "row")
 
 
 class ShardIndex:
@@ -255,7 +246,7 @@ def pack(
     empty in, empty out. Copies lie in one shard, or in several neighbouring ones if they are too many for one.
     """
     staged = cut(left_overs(docs, id_col, text_col, tokenizer or public_tokenizers.path(VOCABULARY), end_id, window, with_ids), "left_overs")
-    corpus, rows = corpus_of(staged), staged.count()
+    corpus = corpus_of(staged)
     columns = PIECES | ({"ids": "binary"} if with_ids else {})
     schema = pa.schema([(c, PA[t]) for c, t in columns.items()])
 
@@ -281,7 +272,7 @@ def pack(
         values = list(zip(*out, strict=True)) or [()] * 8
         return pa.table([pa.array(v, f.type) for v, f in zip(values, schema, strict=False)], schema=schema)
 
-    return dealt(staged, corpus, rows, shard_docs).groupBy("shard").applyInArrow(shard, ", ".join(f"`{c}` {t}" for c, t in columns.items()))
+    return dealt(staged, corpus, shard_docs).groupBy("shard").applyInArrow(shard, ", ".join(f"`{c}` {t}" for c, t in columns.items()))
 
 
 def op6_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

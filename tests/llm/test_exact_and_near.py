@@ -37,6 +37,8 @@ def test_exact_dedup_empty_and_pipeline_form(spark):
     left = exact_dedup.keep_first(odd_docs(spark))
     assert left.columns == odd_docs(spark).columns
     assert sorted(r.doc_id for r in left.collect()) == [1, 4, 5, 7, 8, 10]
+    clash = odd_docs(spark).withColumnsRenamed({"kept": "_", "copies": "__x", "lang": "_place"})
+    assert sorted(map(tuple, exact_dedup.keep_first(clash).collect())) == sorted(map(tuple, left.collect())) and exact_dedup.keep_first(clash.limit(0)).count() == 0
 
 
 def brute_fingerprint(t):

@@ -14,11 +14,11 @@ from tokenizers import Tokenizer
 
 from edgewright.llm import bpe_tree, packing, token_store
 from edgewright.llm.common import cut, shared_dir
-from edgewright.llm.tokens import bare_pieces, library_cache, spaced_pieces, whole_encoder
+from edgewright.llm.tokens import bare_pieces, piece_encoder, spaced_pieces, whole_encoder
 
 ODD = ["", "a" * 5000, "ab" * 3000, " \n \t x  y\n", "\x1c a\x1c b  \x1c", "don't 'll  we've!!  ... 12 3a", " x", " ", "  ", "　a　 b", "é" * 700 + "́", "the" * 2000]
-ODD += ["Ωσς ΑΣ", "µm ªº ß ÀÉ", "<|endoftext|> <|startoftext|>", "word. word, word|", "İstanbul ǅ", "\x85x\x85 y"]
-DOCS = [(None, "x y"), (1, None), (2, ""), (3, "a b" * 4000), (3, "a b" * 4000), (4, " \n "), (5, "the " * 1023)]
+ODD += ["Ωσς ΑΣ", "µm ªº ß ÀÉ", "<|endoftext|> <|startoftext|>", "a <|endoftext|> b", "x<|endoftext|><|endoftext|>y  <|startoftext|>\n", "<|EndOfText|> <|endoftext", "é<|startoftext|>É " * 50, "word. word, word|", "İstanbul ǅ", "\x85x\x85 y"]
+DOCS = [(None, "x y"), (1, None), (2, ""), (3, "a b" * 4000), (3, "a b" * 4000), (4, " \n "), (5, "the " * 1023), (6, "x <|endoftext|> y")]
 
 
 def texts():
@@ -32,16 +32,13 @@ def ids_of(b):
 
 @pytest.mark.parametrize(("name", "pieces"), [("word_bpe_49k.json", bare_pieces), ("byte_bpe_50k.json", spaced_pieces)])
 def test_pieces_give_the_library_ids(name, pieces):
-    tok = Tokenizer.from_file(P.path(name))
-    tok.encode_special_tokens = True
-    cache = library_cache(P.path(name))
+    tok, encode = Tokenizer.from_file(P.path(name)), piece_encoder(P.path(name), pieces)
     for t in texts():
-        assert ids_of(cache.encode(pieces(t))) == tok.encode(t, add_special_tokens=False).ids
+        assert ids_of(encode(t)) == tok.encode(t, add_special_tokens=False).ids
 
 
 def test_whole_texts_give_the_library_ids(monkeypatch):
     tok, encode = Tokenizer.from_file(P.path("byte_bpe_50k.json")), whole_encoder(P.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     for uncut in (100_000, 50):
         monkeypatch.setattr("edgewright.llm.tokens.UNCUT", uncut)
         for t in texts():
@@ -97,7 +94,6 @@ def test_crc_and_cuts():
 
 def library_ids(name, end, t):
     tok = Tokenizer.from_file(P.path(name))
-    tok.encode_special_tokens = True
     return np.array([*tok.encode(t or "", add_special_tokens=False).ids, end], "<u4")
 
 
@@ -274,7 +270,7 @@ def test_statistics_cover_all_and_copies_meet(spark):
     assert corpus.n == 750 and corpus.mean == sum(map(len, ids)) / 750
     df = np.bincount(np.concatenate([np.unique(x) for x in ids]))
     assert corpus.df.tolist() == df.tolist()
-    got = packing.dealt(staged, corpus, 750, 100).collect()
+    got = packing.dealt(staged, corpus, 100).collect()
     sizes = collections.Counter(r.shard for r in got)
     assert len(sizes) == 8 and max(sizes.values()) < 150
     shards = collections.defaultdict(set)
