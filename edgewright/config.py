@@ -56,6 +56,13 @@ FRAME_BITS, ID_AT, COMMAND_AT, TAIL_AT = 104, 6, 10, 11
 UNKNOWN_CHANNEL, UNKNOWN_ACTION = "未知通道", "未知命令"
 
 
+#: What an error says of a field, whose name stands before it (fixed values).
+EMPTY, TOO_FEW, NOT_POSITIVE, NOT_COUNT, FIXED = "不能为空", "至少包含一项", "必须大于 0", "必须是正整数", "必须固定为"
+BELOW_ONE, BELOW_MINIMUM, BELOW_HALF, TWO_PHASES = "必须小于 1", "不能小于 minValidPulseCount", "必须小于 0.5", "必须大于等于 2"
+BAD_SUFFIX, SAME_CODE, SAME_KEY = "末尾必须等于 formalHeaderHex", "命令码不能重复", "key 不能重复"
+BAD_LEVEL, BAD_MAPPING, NO_RULE, NO_DOCUMENT = "只能是 0 或 1", "只能是 direct 或 inverted", "关联规则不存在", "配置文档不能为空"
+
+
 def hex_bytes(text: str) -> tuple[int, ...]:
     return tuple(int(x, 16) for x in text.split())
 
@@ -173,7 +180,7 @@ class _Reader:
 
     def __init__(self, raw, where: str, fields: str):
         if raw is None:
-            raise _no(f"{where} 不能为空")
+            raise _no(f"{where} {EMPTY}")
         if not isinstance(raw, dict):
             raise _no(f"{where} 必须是对象")
         unknown = sorted(set(raw) - set(fields.split()))
@@ -187,24 +194,24 @@ class _Reader:
     def text(self, field: str) -> str:
         v = self.raw.get(field)
         if not isinstance(v, str) or not v.strip():
-            raise _no(f"{self.at(field)} 不能为空")
+            raise _no(f"{self.at(field)} {EMPTY}")
         return v.strip()
 
     def positive(self, field: str) -> Decimal:
         v = self.raw.get(field)
         if isinstance(v, bool) or not isinstance(v, (int, float, Decimal)) or Decimal(str(v)) <= 0:
-            raise _no(f"{self.at(field)} 必须大于 0")
+            raise _no(f"{self.at(field)} {NOT_POSITIVE}")
         return Decimal(str(v))
 
     def count(self, field: str) -> int:
         v = self.raw.get(field)
         if isinstance(v, bool) or not isinstance(v, int) or v <= 0:
-            raise _no(f"{self.at(field)} 必须是正整数")
+            raise _no(f"{self.at(field)} {NOT_COUNT}")
         return v
 
     def fixed(self, field: str, value):
         if self.raw.get(field) != value or isinstance(self.raw.get(field), bool):
-            raise _no(f"{self.at(field)} 必须固定为 {value}")
+            raise _no(f"{self.at(field)} {FIXED} {value}")
         return value
 
     def hex(self, field: str, n: int) -> tuple[int, ...]:
@@ -216,13 +223,13 @@ class _Reader:
     def fixed_hex(self, field: str, value: str) -> tuple[int, ...]:
         got = self.hex(field, len(value.split()))
         if hex_text(got) != value:
-            raise _no(f"{self.at(field)} 必须固定为 {value}")
+            raise _no(f"{self.at(field)} {FIXED} {value}")
         return got
 
     def items(self, field: str) -> list:
         v = self.raw.get(field)
         if v is None or v == []:
-            raise _no(f"{self.at(field)} 至少包含一项")
+            raise _no(f"{self.at(field)} {TOO_FEW}")
         if not isinstance(v, list):
             raise _no(f"{self.at(field)} 必须是列表")
         return v
@@ -238,10 +245,10 @@ def _rules(raw, where: str) -> Rules:
         "phases": t.count("phaseCount"), "dedup_tolerance": t.positive("dedupToleranceRatio"),
     }
     for bad, field, text in (
-        (timing["prefilter"] >= 1, "prefilterToleranceRatio", "必须小于 1"),
-        (timing["max_pulses"] < timing["min_pulses"], "maxInitialFitPulseCount", "不能小于 minValidPulseCount"),
-        (timing["tail_tolerance"] >= Decimal("0.5"), "tailEdgeToleranceRatio", "必须小于 0.5"),
-        (timing["phases"] < 2, "phaseCount", "必须大于等于 2"),
+        (timing["prefilter"] >= 1, "prefilterToleranceRatio", BELOW_ONE),
+        (timing["max_pulses"] < timing["min_pulses"], "maxInitialFitPulseCount", BELOW_MINIMUM),
+        (timing["tail_tolerance"] >= Decimal("0.5"), "tailEdgeToleranceRatio", BELOW_HALF),
+        (timing["phases"] < 2, "phaseCount", TWO_PHASES),
     ):
         if bad:
             raise _no(f"{t.at(field)} {text}")
@@ -252,13 +259,13 @@ def _rules(raw, where: str) -> Rules:
         "tail": f.fixed_hex("tailHex", TAIL),
     }
     if frame["marker"][-len(frame["header"]) :] != frame["header"]:
-        raise _no(f"{f.at('syncMarkerHex')} 末尾必须等于 formalHeaderHex")
+        raise _no(f"{f.at('syncMarkerHex')} {BAD_SUFFIX}")
     commands: dict[int, tuple[int, str, str]] = {}
     for i, raw_command in enumerate(top.items("commands")):
         c = _Reader(raw_command, f"{top.at('commands')}[{i}]", "code channel action")
         code = c.hex("code", 1)[0]
         if code in commands:
-            raise _no(f"{top.at('commands')} 命令码不能重复: {code:02X}")
+            raise _no(f"{top.at('commands')} {SAME_CODE}: {code:02X}")
         commands[code] = (code, c.text("channel"), c.text("action"))
     return Rules(key=key, name=name, commands=tuple(commands.values()), **timing, **frame)
 
@@ -273,13 +280,13 @@ def _profile(raw, where: str, rules: dict[str, Rules]) -> Profile:
     idle = r.positive("idleThresholdMs")
     level = r.raw.get("idleLevel")
     if isinstance(level, bool) or level not in (0, 1):
-        raise _no(f"{r.at('idleLevel')} 只能是 0 或 1")
+        raise _no(f"{r.at('idleLevel')} {BAD_LEVEL}")
     mapping = r.text("levelMapping").lower()
     if mapping not in ("direct", "inverted"):
-        raise _no(f"{r.at('levelMapping')} 只能是 direct 或 inverted")
+        raise _no(f"{r.at('levelMapping')} {BAD_MAPPING}")
     rule_key = r.text("protocolRuleKey")
     if rule_key not in rules:
-        raise _no(f"{r.at('protocolRuleKey')} 关联规则不存在: {rule_key}")
+        raise _no(f"{r.at('protocolRuleKey')} {NO_RULE}: {rule_key}")
     return Profile(key, name, remote_id, charset, idle, level, mapping == "inverted", rules[rule_key])
 
 
@@ -288,7 +295,7 @@ def _keyed(items: list, where: str, make) -> dict:
     for i, raw in enumerate(items):
         x = make(raw, f"{where}[{i}]")
         if x.key in out:
-            raise _no(f"{where} key 不能重复: {x.key}")
+            raise _no(f"{where} {SAME_KEY}: {x.key}")
         out[x.key] = x
     return out
 
@@ -296,7 +303,7 @@ def _keyed(items: list, where: str, make) -> dict:
 def validated(document) -> Config:
     """The typed configuration; the first broken rule raises CONFIG_INVALID and names its field."""
     if document is None:
-        raise _no("配置文档不能为空")
+        raise _no(NO_DOCUMENT)
     top = _Reader(document, "", "schemaVersion remoteConfigs protocolRuleSets")
     top.fixed("schemaVersion", 1)
     remotes, sets = top.items("remoteConfigs"), top.items("protocolRuleSets")
@@ -305,6 +312,15 @@ def validated(document) -> Config:
     return Config(tuple(profiles.values()), tuple(rules.values()))
 
 
+def parsed(text: str) -> Config:
+    """The configuration in a JSON text."""
+    try:
+        document = json.loads(text, parse_float=Decimal)
+    except ValueError as e:
+        raise CaptureError("CONFIG_INVALID") from e
+    return validated(document)
+
+
 def load_config(path: str | None = None) -> Config:
     """The configuration in a JSON file (UTF-8), the shipped one without a path."""
     if path is None:
@@ -313,32 +329,95 @@ def load_config(path: str | None = None) -> Config:
         text = Path(path).read_text("utf-8")
     except OSError as e:
         raise CaptureError("CONFIG_READ_FAILED") from e
-    try:
-        document = json.loads(text, parse_float=Decimal)
     except ValueError as e:
         raise CaptureError("CONFIG_INVALID") from e
-    return validated(document)
+    return parsed(text)
 
 
-def remote_profiles(spark: SparkSession, config: Config | None = None) -> DataFrame:
-    """One row for each profile."""
-    rows = [
+PROFILE_COLUMNS = (
+    "config_key string, name string, remote_id string, charset string, idle_threshold_ms string, idle_level int, level_mapping string, rule_key string, rule_name string"
+)
+SETTING_COLUMNS = "rule_key string, section string, setting string, value string"
+
+
+def profile_rows(config: Config) -> list[tuple]:
+    return [
         (p.key, p.name, hex_text(p.remote_id), p.charset, str(p.idle_ms), p.idle_level, p.mapping, p.rules.key, p.rules.name)
-        for p in (config or load_config()).profiles
-    ]
-    return spark.createDataFrame(rows, "config_key string, name string, remote_id string, charset string, idle_threshold_ms string, idle_level int, level_mapping string, rule_key string, rule_name string")
+        for p in config.profiles
+    ]
 
 
-def parser_settings(spark: SparkSession, config: Config | None = None) -> DataFrame:
-    """(rule_key, section, setting, value), derived values included, one row for each setting."""
+def setting_rows(config: Config) -> list[tuple]:
+    """(rule_key, section, setting, value), derived values included."""
     rows = []
-    for r in (config or load_config()).rules:
-        timing = {"nominal_bit_period_us": r.period_us, "prefilter_tolerance_ratio": r.prefilter, "min_valid_pulse_count": r.min_pulses, "max_initial_fit_pulse_count": r.max_pulses, "max_fit_residual_ratio": r.max_residual, "tail_edge_tolerance_ratio": r.tail_tolerance, "phase_count": r.phases, "dedup_tolerance_ratio": r.dedup_tolerance}
-        frame = {"sync_marker_hex": hex_text(r.marker), "formal_header_hex": hex_text(r.header), "formal_frame_bits": r.frame_bits, "remote_id_byte_offset": r.id_at, "command_byte_offset": r.command_at, "tail_byte_offset": r.tail_at, "tail_hex": hex_text(r.tail)}
-        derived = {"single_bit_pulse_min_us": r.pulse_min_us, "single_bit_pulse_max_us": r.pulse_max_us, "previous_pulse_tolerance_ratio": r.previous_pulse_tolerance, "formal_frame_bytes": r.frame_bytes, "sync_prelude_bits": r.prelude_bits, "sync_inclusive_bits": r.prelude_bits + r.frame_bits, "phase_step": r.phase_step, "marker_transitions": ",".join(map(str, r.transitions))}
+    for r in config.rules:
+        timing = {
+            "nominal_bit_period_us": r.period_us, "prefilter_tolerance_ratio": r.prefilter, "min_valid_pulse_count": r.min_pulses, "max_initial_fit_pulse_count": r.max_pulses,
+            "max_fit_residual_ratio": r.max_residual, "tail_edge_tolerance_ratio": r.tail_tolerance, "phase_count": r.phases, "dedup_tolerance_ratio": r.dedup_tolerance,
+        }
+        frame = {
+            "sync_marker_hex": hex_text(r.marker), "formal_header_hex": hex_text(r.header), "formal_frame_bits": r.frame_bits, "remote_id_byte_offset": r.id_at,
+            "command_byte_offset": r.command_at, "tail_byte_offset": r.tail_at, "tail_hex": hex_text(r.tail),
+        }
+        derived = {
+            "single_bit_pulse_min_us": r.pulse_min_us, "single_bit_pulse_max_us": r.pulse_max_us, "previous_pulse_tolerance_ratio": r.previous_pulse_tolerance, "formal_frame_bytes": r.frame_bytes,
+            "sync_prelude_bits": r.prelude_bits, "sync_inclusive_bits": r.prelude_bits + r.frame_bits, "phase_step": r.phase_step, "marker_transitions": ",".join(map(str, r.transitions)),
+        }
         for section, values in (("timing", timing), ("frame", frame), ("derived", derived)):
             rows += [(r.key, section, k, format(v.normalize(), "f") if isinstance(v, Decimal) else str(v)) for k, v in values.items()]
-    return spark.createDataFrame(rows, "rule_key string, section string, setting string, value string")
+    return rows
+
+
+def remote_profiles(spark: SparkSession, config: Config | None = None) -> DataFrame:
+    """One row for each profile."""
+    return spark.createDataFrame(profile_rows(config or load_config()), PROFILE_COLUMNS)
+
+
+def parser_settings(spark: SparkSession, config: Config | None = None) -> DataFrame:
+    """(rule_key, section, setting, value), derived values included, one row for each setting."""
+    return spark.createDataFrame(setting_rows(config or load_config()), SETTING_COLUMNS)
+
+
+def _of_documents(documents: DataFrame, id_col: str, text_col: str, columns: str, rows) -> DataFrame:
+    """The rows that a function makes of each JSON text, behind its id; a batch of documents is read at a time."""
+    import pyarrow as pa
+
+    names = [id_col, *[c.split()[0] for c in columns.split(", ")]]
+    kinds = [pa.int64() if documents.schema[id_col].dataType.simpleString() == "bigint" else pa.string()]
+    kinds += [pa.int32() if c.endswith(" int") else pa.string() for c in columns.split(", ")]
+    schema = pa.schema(list(zip(names, kinds, strict=True)))
+
+    def run(batches):
+        for b in batches:
+            found = [(i, *r) for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for r in rows(text)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], f.type) for k, f in enumerate(schema)], schema=schema)
+
+    key = documents.schema[id_col].dataType.simpleString()
+    ids = documents if key == "bigint" else documents.withColumn(id_col, documents[id_col].cast("string"))
+    return ids.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {'bigint' if key == 'bigint' else 'string'}, {columns}")
+
+
+def profiles_of(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The profiles of many configurations (JSON texts), each behind its document's id. A broken one raises; so does a null."""
+    return _of_documents(documents, id_col, text_col, PROFILE_COLUMNS, lambda text: profile_rows(parsed(text or "")))
+
+
+def settings_of(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The settings of many configurations, likewise."""
+    return _of_documents(documents, id_col, text_col, SETTING_COLUMNS, lambda text: setting_rows(parsed(text or "")))
+
+
+def outcomes_of(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, code, message) of many configurations: OK and no message, or the first broken rule. A null text is no JSON."""
+
+    def told(text):
+        try:
+            parsed(text or "")
+        except CaptureError as e:
+            return [(e.code, e.message)]
+        return [("OK", None)]
+
+    return _of_documents(documents, id_col, text_col, "code string, message string", told)
 
 
 def commands(spark: SparkSession, rules: Rules) -> DataFrame:

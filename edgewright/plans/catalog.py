@@ -7,12 +7,13 @@ event's id. ``orders`` gives frames that are encoded to waveforms and decoded ag
 from __future__ import annotations
 
 import copy
+import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config
-from ..errors import MESSAGES, CaptureError
+from ..errors import CaptureError
 from ..functions import bits
 from ..operators import bitstreams, coverage, decode, dedup, signal
 from ..sources import edge_csv, report, workbook
@@ -196,10 +197,15 @@ def fixed_period_samples(spark, sf_dir):
     return rows.select("capture_id", "segment", "phase_no", "k", F.round("sample_t").cast("long").alias("sample_us"), "level")
 
 
-@query(f"SELECT '{''.join(map(str, _R.marker_bits))}' AS bits, '{','.join(map(str, _R.transitions))}' AS transitions")
+@query("""WITH b AS (SELECT o_orderkey, printf('AA %02X %02X', (o_orderkey >> 8) & 255, o_orderkey & 255) AS hex, '10101010' || right('0000000000000000' || bin(o_orderkey & 65535), 16) AS bits FROM orders)
+SELECT o_orderkey, hex, bits, array_to_string(list_filter(range(24), lambda i: i = 0 OR bits[i + 1] <> bits[i]), ',') AS transitions FROM b""")
 def marker_bits(spark, sf_dir):
-    b = bits.bytes_to_bits(bits.hex_to_bytes(F.lit(config.MARKER)))
-    return spark.range(1).select(bits.bit_string(b).alias("bits"), F.array_join(F.transform(bits.marker_transitions(b), lambda x: x.cast("string")), ",").alias("transitions"))
+    """A marker made of AA and two bytes of each order's key: its bits and the places where they change."""
+    k = F.col("o_orderkey")
+    text = F.concat(F.lit("AA "), bits.byte_hex(F.shiftright(k, 8)), F.lit(" "), bits.byte_hex(k))
+    rows = _t(spark, sf_dir, "orders").select("o_orderkey", text.alias("hex")).withColumn("b", bits.bytes_to_bits(bits.hex_to_bytes(F.col("hex"))))
+    changes = F.array_join(F.transform(bits.marker_transitions(F.col("b")), lambda x: x.cast("string")), ",")
+    return rows.select("o_orderkey", "hex", bits.bit_string(F.col("b")).alias("bits"), changes.alias("transitions"))
 
 
 @query("""SELECT o_orderkey, printf('%02X %02X', (o_orderkey >> 8) & 255, o_orderkey & 255) AS hex, right('0000000000000000' || bin(o_orderkey & 65535), 16) AS bits FROM orders""")
@@ -324,19 +330,40 @@ def uncovered_ranges(spark, sf_dir):
     return captures.fragments(_frames(spark, sf_dir), segments)
 
 
-@query("SELECT " + ", ".join(f"'{v}' AS {k}" for k, v in (("config_key", _PROFILE.key), ("name", _PROFILE.name), ("remote_id", "B0 42 87"), ("charset", "GBK"), ("idle_threshold_ms", "40"))) + f", 0 AS idle_level, 'inverted' AS level_mapping, '{_R.key}' AS rule_key, '{_R.name}' AS rule_name")
+def _document(spark, sf_dir, texts):
+    """A configuration for each customer: the one of ``texts`` that its key leads to, with its own bit period, remote and
+    idle threshold."""
+    k = F.col("c_custkey")
+    text = F.get(F.array(*[F.lit(t) for t in texts]), (k % len(texts)).cast("int"))
+    own = {'"nominalBitPeriodUs": 416': F.concat(F.lit('"nominalBitPeriodUs": '), (400 + k % 50).cast("string")), '"B0 42 87"': F.concat(F.lit('"b0 '), bits.byte_hex(F.shiftright(k, 8)), F.lit(" "), bits.byte_hex(k), F.lit('"')),
+           '"idleThresholdMs": 40': F.concat(F.lit('"idleThresholdMs": '), (40 + k % 5).cast("string"))}
+    for old, new in own.items():
+        text = F.replace(text, F.lit(old), new)
+    return _t(spark, sf_dir, "customer").select("c_custkey", text.alias("text"))
+
+
+_TEXT = json.dumps(config.DEFAULT_CONFIG, default=float)
+_DIRECT = _TEXT.replace('"inverted"', '" DIRECT "').replace('"idleLevel": 0', '"idleLevel": 1')
+
+
+@query("""SELECT c_custkey, 'remote-b04287' AS config_key, 'NRZ-L 类遥控器（B0 42 87）' AS name, printf('B0 %02X %02X', (c_custkey >> 8) & 255, c_custkey & 255) AS remote_id, 'GBK' AS charset, (40 + c_custkey % 5)::VARCHAR AS idle_threshold_ms,
+(c_custkey % 2)::INTEGER AS idle_level, CASE WHEN c_custkey % 2 = 0 THEN 'inverted' ELSE 'direct' END AS level_mapping, 'nrzlDefault' AS rule_key, 'NRZ-L 104 位帧规则' AS rule_name FROM customer""")
 def remote_profiles(spark, sf_dir):
-    return config.remote_profiles(spark)
+    """The profiles of a configuration for each customer, read and resolved where its row is."""
+    return config.profiles_of(_document(spark, sf_dir, (_TEXT, _DIRECT)), "c_custkey", "text")
 
 
-@query("""SELECT 'nrzlDefault' AS rule_key, * FROM (VALUES ('timing', 'nominal_bit_period_us', '416'), ('timing', 'prefilter_tolerance_ratio', '0.2'), ('timing', 'min_valid_pulse_count', '5'),
+@query("""WITH n AS (SELECT c_custkey, 400 + c_custkey % 50 AS n FROM customer), d AS (SELECT c_custkey, n, CASE WHEN n * 8 % 10 = 0 THEN (n * 8 // 10)::VARCHAR ELSE (n * 8 // 10) || '.' || (n * 8 % 10) END AS x,
+CASE WHEN n * 12 % 10 = 0 THEN (n * 12 // 10)::VARCHAR ELSE (n * 12 // 10) || '.' || (n * 12 % 10) END AS high FROM n)
+SELECT c_custkey, 'nrzlDefault' AS rule_key, section, setting, value FROM d, LATERAL (VALUES ('timing', 'nominal_bit_period_us', n::VARCHAR), ('timing', 'prefilter_tolerance_ratio', '0.2'), ('timing', 'min_valid_pulse_count', '5'),
 ('timing', 'max_initial_fit_pulse_count', '16'), ('timing', 'max_fit_residual_ratio', '0.15'), ('timing', 'tail_edge_tolerance_ratio', '0.35'), ('timing', 'phase_count', '16'), ('timing', 'dedup_tolerance_ratio', '0.5'),
 ('frame', 'sync_marker_hex', 'AA 2D D4'), ('frame', 'formal_header_hex', '2D D4'), ('frame', 'formal_frame_bits', '104'), ('frame', 'remote_id_byte_offset', '6'), ('frame', 'command_byte_offset', '10'),
-('frame', 'tail_byte_offset', '11'), ('frame', 'tail_hex', 'AA AA'), ('derived', 'single_bit_pulse_min_us', '332.8'), ('derived', 'single_bit_pulse_max_us', '499.2'), ('derived', 'previous_pulse_tolerance_ratio', '0.3'),
+('frame', 'tail_byte_offset', '11'), ('frame', 'tail_hex', 'AA AA'), ('derived', 'single_bit_pulse_min_us', x), ('derived', 'single_bit_pulse_max_us', high), ('derived', 'previous_pulse_tolerance_ratio', '0.3'),
 ('derived', 'formal_frame_bytes', '13'), ('derived', 'sync_prelude_bits', '8'), ('derived', 'sync_inclusive_bits', '112'), ('derived', 'phase_step', 'T_est / 16'),
 ('derived', 'marker_transitions', '0,1,2,3,4,5,6,7,10,11,12,14,15,18,19,20,21,22')) v(section, setting, value)""")
 def protocol_settings(spark, sf_dir):
-    return config.parser_settings(spark)
+    """All settings of a configuration for each customer, those derived from its bit period included."""
+    return config.settings_of(_document(spark, sf_dir, (_TEXT,)), "c_custkey", "text")
 
 
 def _csv_text(spark, sf_dir, faults=False):
@@ -567,11 +594,12 @@ def bit_stream_dedup(spark, sf_dir):
     return best.groupBy("capture_id").agg(F.count("*").alias("n"), F.max("segment").alias("last_segment"))
 
 
-@query(f"""WITH {_COMMANDS} SELECT channel, regexp_extract(channel, '([0-9]+)', 1)::INTEGER AS channel_no, string_agg(printf('%02X', code), ' ' ORDER BY code) AS codes, count(*) AS n FROM cmd GROUP BY ALL""")
+@query(f"""WITH {_PAYLOAD} SELECT channel, regexp_extract(channel, '([0-9]+)', 1)::INTEGER AS channel_no, string_agg(DISTINCT split_part(hex, ' ', 11), ' ' ORDER BY split_part(hex, ' ', 11)) AS codes, count(*) AS n FROM pay GROUP BY ALL""")
 def commands_by_channel(spark, sf_dir):
-    c = config.commands(spark, _R)
-    codes = F.array_join(F.transform(F.sort_array(F.collect_list("code")), bits.byte_hex), " ")
-    return c.groupBy("channel").agg(codes.alias("codes"), F.count("*").alias("n")).withColumn("channel_no", F.regexp_extract("channel", "([0-9]+)", 1).cast("int"))
+    """The commands that the orders' frames send, by channel: their codes in order and how many frames."""
+    sent = decode.with_commands(_payloads(spark, sf_dir), _R).withColumn("code", F.get("bytes", F.lit(_R.command_at)))
+    codes = F.array_join(F.transform(F.sort_array(F.collect_set("code")), bits.byte_hex), " ")
+    return sent.groupBy("channel").agg(codes.alias("codes"), F.count("*").alias("n")).withColumn("channel_no", F.regexp_extract("channel", "([0-9]+)", 1).cast("int"))
 
 
 #: A change of one field of the shipped configuration (its path and new value) that breaks a rule; the message names it.
@@ -588,52 +616,68 @@ _BROKEN = (
 )
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{path}', '{value}', 'CONFIG_INVALID', true)" for path, value in _BROKEN) + ") v(path, value, code, named)")
-def config_rules(spark, sf_dir):
-    """Each rule of the configuration broken once: the code of the error, and whether it names the field."""
-    rows = []
-    for path, value in _BROKEN:
-        document = copy.deepcopy(config.DEFAULT_CONFIG)
-        at, *rest = (int(x) if x.isdigit() else x for x in reversed(path.split(".")))
-        inner = document
-        for k in reversed(rest):
-            inner = inner[k]
-        inner[at] = value
-        try:
-            config.validated(document)
-            code, message = "none", ""
-        except CaptureError as e:
-            code, message = e.code, e.message
-        rows.append((path, str(value), code, str(at) in message))
-    return spark.createDataFrame(rows, "path string, value string, code string, named boolean")
-
-
-@query(r"""SELECT * FROM (VALUES ('a.csv', 1, 'a.csv'), ('x/y\b.CSV', 5, 'b.CSV'), ('.csv', 5, 'INVALID_REQUEST'), ('a.txt', 5, 'INVALID_REQUEST'), ('a.csv', 0, 'INVALID_REQUEST'),
-(' ', 5, 'INVALID_REQUEST'), ('a.csv', 20971520, 'a.csv'), ('a.csv', 20971521, 'UPLOAD_TOO_LARGE')) v(name, size, outcome)""")
-def upload_checks(spark, sf_dir):
-    """What becomes of uploads: the bare name, or the code of the error."""
-    cases = (("a.csv", 1), ("x/y\\b.CSV", 5), (".csv", 5), ("a.txt", 5), ("a.csv", 0), (" ", 5), ("a.csv", 20 << 20), ("a.csv", (20 << 20) + 1))
+def _broken(path: str, value) -> str:
+    """The shipped configuration with one field changed, as JSON."""
+    document = copy.deepcopy(config.DEFAULT_CONFIG)
+    at, *rest = (int(x) if x.isdigit() else x for x in reversed(path.split(".")))
+    inner = document
+    for k in reversed(rest):
+        inner = inner[k]
+    inner[at] = value
+    return json.dumps(document, default=float)
 
-    def outcome(name, size):
-        try:
-            return edge_csv.check_upload(name, size)
-        except CaptureError as e:
-            return e.code
 
-    return spark.createDataFrame([(n, k, outcome(n, k)) for n, k in cases], "name string, size int, outcome string")
+def _twice(path: str) -> str:
+    """The same with one entry of a list repeated."""
+    document = copy.deepcopy(config.DEFAULT_CONFIG)
+    inner = document
+    for k in path.split("."):
+        inner = inner[int(k) if k.isdigit() else k]
+    inner.append(inner[0])
+    return json.dumps(document, default=float)
 
 
-@query("""SELECT * FROM (VALUES ('status', 'UP'), ('file', 'a' || '""" + report.SUFFIX + """'), ('dedup', '1/2'), ('INVALID_REQUEST', '400'), ('UPLOAD_TOO_LARGE', '413'), ('CONFIG_READ_FAILED', '422'), ('CONFIG_INVALID', '422'),
-('CONFIG_NOT_FOUND', '404'), ('CSV_READ_FAILED', '422'), ('PROTOCOL_PARSE_FAILED', '422'), ('EXCEL_GENERATION_FAILED', '500'), ('INTERNAL_ERROR', '500'), ('blank', 'CONFIG_NOT_FOUND'), (' remote-b04287 ', 'remote-b04287')) v(what, value)""")
-def service_answers(spark, sf_dir):
-    """Health, the name of a report, the fraction of the deduplication rule, statuses of errors, profiles by key."""
+#: Documents by what is wrong with them: a field, a repeated entry, text that is no JSON, nothing.
+_DOCUMENTS = [
+    *[(path, path.rsplit(".", 1)[-1], _broken(path, value)) for path, value in _BROKEN], *[(p, p.rsplit(".", 1)[-1], _twice(p)) for p in ("remoteConfigs", "protocolRuleSets", "protocolRuleSets.0.commands")],
+    ("no JSON", "", "{" + _TEXT), ("null", "", "null"), ("good", "", _TEXT),
+]
 
-    def profile(key):
-        try:
-            return config.load_config().profile(key).key
-        except CaptureError as e:
-            return e.code
 
-    rows = [("status", captures.health(spark)["status"]), ("file", report.download_name("a.csv")), ("dedup", _R.dedup_fraction)]
-    rows += [(code, str(CaptureError(code).status)) for code in MESSAGES] + [("blank", profile(" ")), (" remote-b04287 ", profile(" remote-b04287 "))]
-    return spark.createDataFrame(rows, "what string, value string")
+@query(f"""WITH v AS (SELECT * FROM (VALUES {', '.join(f"({n}, '{what}', '{'OK' if what == 'good' else 'CONFIG_INVALID'}', '{field}')" for n, (what, field, _) in enumerate(_DOCUMENTS))}) v(n, what, code, field))
+SELECT c_custkey, what, code, CASE WHEN field <> '' THEN true END AS named FROM customer JOIN v ON n = c_custkey % {len(_DOCUMENTS)}""")
+def config_rules(spark, sf_dir):
+    """A configuration for each customer, one rule broken in all but some: the code of the error, and whether it names
+    the field."""
+    k, size = F.col("c_custkey"), len(_DOCUMENTS)
+    rows = config.outcomes_of(_document(spark, sf_dir, [text for _, _, text in _DOCUMENTS]), "c_custkey", "text")
+    what, field = (F.get(F.array(*[F.lit(d[i]) for d in _DOCUMENTS]), (k % size).cast("int")) for i in (0, 1))
+    return rows.select("c_custkey", what.alias("what"), "code", F.when(field != "", F.contains("message", field)).alias("named"))
+
+
+@query(r"""WITH f AS (SELECT o_orderkey, o_orderkey % 8 AS c, o_orderkey * 7919 % 30000000 AS size, o_orderkey::VARCHAR AS k FROM orders),
+n AS (SELECT o_orderkey, size, CASE c WHEN 0 THEN k || '.csv' WHEN 1 THEN 'x/y\' || k || '.CSV' WHEN 2 THEN '/' || k || '.csv ' WHEN 3 THEN k || '.txt' WHEN 4 THEN '.csv' WHEN 5 THEN ' ' WHEN 6 THEN k || '.csv/' ELSE k || '.Csv' END AS name,
+  CASE c WHEN 1 THEN k || '.CSV' WHEN 7 THEN k || '.Csv' ELSE k || '.csv' END AS bare, c IN (0, 1, 2, 7) AND size > 0 AS ours FROM f)
+SELECT o_orderkey, name, size, CASE WHEN NOT ours THEN 'INVALID_REQUEST' WHEN size > 20971520 THEN 'UPLOAD_TOO_LARGE' ELSE bare END AS outcome FROM n""")
+def upload_checks(spark, sf_dir):
+    """What becomes of a listing of uploads, one named after each order: the bare name, or the code of the error."""
+    k, n = F.col("o_orderkey"), F.col("o_orderkey").cast("string")
+    forms = [F.concat(n, F.lit(".csv")), F.concat(F.lit("x/y\\"), n, F.lit(".CSV")), F.concat(F.lit("/"), n, F.lit(".csv ")), F.concat(n, F.lit(".txt")), F.lit(".csv"), F.lit(" "), F.concat(n, F.lit(".csv/")), F.concat(n, F.lit(".Csv"))]
+    rows = _t(spark, sf_dir, "orders").select(k, F.get(F.array(*forms), (k % 8).cast("int")).alias("name"), (k * 7919 % 30_000_000).alias("size"))
+    return rows.withColumn("outcome", edge_csv.upload_outcome(F.col("name"), F.col("size")))
+
+
+@query(f"""SELECT o_orderkey, CASE WHEN o_orderkey % 4 < 2 THEN 'nrzlDefault' ELSE 'CONFIG_NOT_FOUND' END AS answer, CASE WHEN o_orderkey % 4 < 2 THEN 200 ELSE 404 END AS status,
+'UP' AS health, CASE WHEN o_orderkey % 4 < 2 THEN o_orderkey || '{report.SUFFIX}' END AS file, CASE WHEN o_orderkey % 4 < 2 THEN '1/2' END AS dedup FROM orders""")
+def service_answers(spark, sf_dir):
+    """A request for each order's file, its profile's key as it stands, padded, blank or unknown: the rule that it leads to
+    or the error with its status, the report's name and the tolerance shown in it."""
+    k = F.col("o_orderkey")
+    key = F.get(F.array(*[F.lit(x) for x in (_PROFILE.key, f" {_PROFILE.key} ", "  ", "x")]), (k % 4).cast("int"))
+    asked = _t(spark, sf_dir, "orders").select("o_orderkey", F.trim(key).alias("config_key"), F.concat(k.cast("string"), F.lit(".csv")).alias("name"))
+    found = asked.join(F.broadcast(config.remote_profiles(spark)).drop("name"), "config_key", "left")  # as large as its configuration
+    hit, error = F.col("rule_key").isNotNull(), CaptureError("CONFIG_NOT_FOUND")
+    return found.select(
+        "o_orderkey", F.coalesce("rule_key", F.lit(error.code)).alias("answer"), F.when(hit, 200).otherwise(error.status).alias("status"), F.lit(captures.health(spark)["status"]).alias("health"),
+        F.when(hit, report.download_name_of(F.col("name"))).alias("file"), F.when(hit, _R.dedup_fraction).alias("dedup"),
+    )

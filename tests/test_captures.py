@@ -286,6 +286,8 @@ def test_files_with_one_name_are_different_captures(spark, tmp_path):
 
 
 def test_times_are_rounded_to_twelve_decimals(spark):
-    lines = spark.createDataFrame([("a", 1, "T,L"), ("a", 2, "0.1234567890123,1"), ("a", 3, "0.1234567890126,0"), ("a", 4, "123456789,1")], "capture_id string, line long, text string")
-    rows = {r.source_line: (str(r.t), r.reason) for r in edge_csv.checked(edge_csv.text_lines(lines)).collect()}
+    lines = spark.createDataFrame([("a", 1, "T,L"), ("a", 2, "0.1234567890123,1"), ("a", 3, "0.1234567890126,0"), ("a", 4, "123456789,1"), ("b", 1, "T,L"), ("b", 2, "0.12345678901234,1"), ("b", 3, "0.12345678901233,0"), ("c", 2, "1e-2,1"), ("c", 3, "0.0100000000000000000000001,1"), ("c", 4, "0.01,1")], "capture_id string, line long, text string")
+    found = edge_csv.checked(edge_csv.text_lines(lines)).collect()
+    rows = {r.source_line: (str(r.t), r.reason) for r in found if r.capture_id == "a"}
+    assert {(r.capture_id, r.source_line) for r in found if r.capture_id != "a" and r.reason} == {("b", 3), ("c", 4)}  # back by less than is kept
     assert rows[2] == ("0.123456789012", None) and rows[3] == ("0.123456789013", None) and rows[4][1] == "时间不是合法数值"
