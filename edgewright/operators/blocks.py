@@ -57,14 +57,6 @@ def preceding(edges: DataFrame, *columns: str) -> DataFrame:
     return rows.withColumn("_previous", F.coalesce(F.lag(F.struct(*columns)).over(within()), F.col("_before"))).drop("_before")
 
 
-def beside(edges: DataFrame, *columns: str) -> DataFrame:
-    """``edges`` with both _next and _previous, from one summary."""
-    both, kept = ends_of(edges, columns, _first=F.min_by, _last=F.max_by), F.struct(*columns)
-    rows = with_summary(edges, both.select("capture_id", "block", F.lead("_first").over(along()).alias("_after"), F.lag("_last").over(along()).alias("_before")))
-    here = {"_next": F.coalesce(F.lead(kept).over(within()), F.col("_after")), "_previous": F.coalesce(F.lag(kept).over(within()), F.col("_before"))}
-    return rows.withColumns(here).drop("_after", "_before")
-
-
 def counted(edges: DataFrame, column: str, upto: str, total: str | None = None) -> DataFrame:
     """``edges`` with the sum of a column up to and with each edge, and over its capture."""
     sums = edges.groupBy("capture_id", "block").agg(F.sum(column).alias("_sum"))

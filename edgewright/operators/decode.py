@@ -10,7 +10,7 @@ Duplicates are settled where they arise; only candidates near the ends of a stre
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
-from decimal import Decimal
+from decimal import ROUND_CEILING, ROUND_FLOOR, Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..config import UNKNOWN_ACTION, UNKNOWN_CHANNEL, Profile, Rules, commands
 from ..functions.bits import text_to_bytes
 from ..storage import cut
-from .blocks import beside, blocked
+from .blocks import along, ends_of, with_summary
 
 #: Outcomes of the recovery of a missing last bit (fixed values).
 NOT_NEEDED = "不适用，CSV已直接恢复104 bit"
@@ -46,20 +46,31 @@ def block_us(rules: Rules) -> int:
 
 
 def marked(edges: DataFrame, rules: Rules, stretch_blocks: int = STRETCH_BLOCKS) -> DataFrame:
-    """capture_id, stretch, edge_idx, tick (block of time), us (since it began), level, one (a single-bit pulse follows),
-    to_next, to_previous (us to the edges beside it, null at the capture's ends), previous_level; sorted by capture,
-    stretch and edge. An edge in the last or first block of a stretch is also in the neighbour's rows."""
+    """capture_id, stretch, edge_idx, tick (block of time), us (since it began), level, to_next, to_previous,
+    previous_level; sorted by capture, stretch and edge. An edge in the last or first block of a stretch is also in the
+    neighbour's rows.
+
+    A stretch has three parts: its first block, its last one, and those between. What a stretch sees begins and ends with
+    a part; the last edge before a part and the first one behind it come from a summary of the parts (one row each, which
+    is written, so that the size of the table says how it is joined). to_next and to_previous (us) are for the edges at
+    the ends of their part only, and null at the capture's ends."""
     size = Decimal(block_us(rules)) / 1_000_000
-    rows = blocked(edges.select("capture_id", F.col("edge_idx").cast("long").alias("edge_idx"), "t", F.col("level").cast("int").alias("level"), *[c for c in edges.columns if c == "block"]))
-    rows = beside(rows, "t", "level")
-    pulse, since = (F.col("_next.t") - F.col("t")) * 1_000_000, (F.col("t") - F.col("_previous.t")) * 1_000_000
-    one = F.coalesce(pulse.between(F.lit(rules.pulse_min_us), F.lit(rules.pulse_max_us)), F.lit(False))
-    rows = rows.select("*", one.alias("one"), pulse.cast("double").alias("to_next"), since.cast("double").alias("to_previous"), F.col("_previous.level").alias("previous_level"))
+    rows = edges.select(F.col("capture_id").cast("string").alias("capture_id"), F.col("edge_idx").cast("long").alias("edge_idx"), "t", F.col("level").cast("int").alias("level"))
     rows = rows.withColumn("tick", F.floor(F.col("t").cast("double") / float(size)).cast("long"))
-    us = ((F.col("t") - F.col("tick").cast("decimal(12,0)") * F.lit(size)) * 1_000_000).cast("double")
     stretch = lambda tick: F.floor(tick / stretch_blocks).cast("long")
+    place = F.pmod("tick", F.lit(stretch_blocks))
+    part = stretch(F.col("tick")) * 3 + F.when(place == stretch_blocks - 1, 2).when(place == 0, 0).otherwise(1)
+    rows = rows.withColumn("block", part)
+    ends = ends_of(rows, ("t", "level"), _first=F.min_by, _last=F.max_by)
+    ends = cut(ends.select("capture_id", "block", F.lead("_first").over(along())["t"].alias("_after"), F.lag("_last").over(along()).alias("_before")), "parts")
+    rows = with_summary(rows, ends)
+    us = lambda c: (c * 1_000_000).cast("double")
+    since = us(F.col("t") - F.col("tick").cast("decimal(12,0)") * F.lit(size))
     views = F.array_distinct(F.array(stretch(F.col("tick")), stretch(F.col("tick") - 1), stretch(F.col("tick") + 1)))
-    rows = rows.select(F.col("capture_id").cast("string").alias("capture_id"), F.explode(views).alias("stretch"), "edge_idx", "tick", us.alias("us"), "level", "one", "to_next", "to_previous", "previous_level")
+    rows = rows.select(
+        "capture_id", F.explode(views).alias("stretch"), "edge_idx", "tick", since.alias("us"), "level", us(F.col("_after") - F.col("t")).alias("to_next"),
+        us(F.col("t") - F.col("_before.t")).alias("to_previous"), F.col("_before.level").alias("previous_level"),
+    )
     return rows.repartition("capture_id", "stretch").sortWithinPartitions("capture_id", "stretch", "edge_idx")
 
 
@@ -226,6 +237,8 @@ class EdgeStream:
         self.best_only = best_only
         self.decoder, self.size, self.stretch_blocks = BlockDecoder(rules, inverted), float(block_us(rules)), stretch_blocks
         self.key, self.held, self.done, self.behind = None, None, None, None
+        finest = lambda us, way: float((us * 1_000_000).to_integral_value(way)) / 1_000_000
+        self.low, self.high = finest(rules.pulse_min_us, ROUND_CEILING) - 5e-7, finest(rules.pulse_max_us, ROUND_FLOOR) + 5e-7
 
     def feed(self, batch: pa.RecordBatch):
         names = batch.column(0).dictionary_encode(null_encoding="encode")
@@ -234,8 +247,8 @@ class EdgeStream:
         new = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (stretch[1:] != stretch[:-1])]) if len(stretch) else []
         for a, z in zip(new, [*new[1:], len(stretch)], strict=True):
             key = names.dictionary[int(code[a])].as_py(), int(stretch[a])
-            to_next, to_previous, previous_level = (c[a:z] for c in columns[6:])
-            part = [c[a:z] for c in columns[1:6]]
+            to_next, to_previous, previous_level = (c[a:z] for c in columns[5:])
+            part = [c[a:z] for c in columns[1:5]]
             if self.held is not None and key == self.key:
                 part = [np.concatenate(x) for x in zip(self.held, part, strict=True)]
             else:
@@ -248,10 +261,10 @@ class EdgeStream:
 
     def with_edge(self, part: list, at: int, us: float, level) -> list:
         """``part`` and one edge more, so far from the one at its end ``at`` (0 or -1); nothing starts there."""
-        idx, tick, us_of, _, _ = (x[at] for x in part)
+        idx, tick, us_of, _ = (x[at] for x in part)
         t = us_of + us
         beyond = np.floor(t / self.size)
-        edge = idx - 1 if at == 0 else idx + 1, tick + int(beyond), t - beyond * self.size, 0 if level != level else int(level), False
+        edge = idx - 1 if at == 0 else idx + 1, tick + int(beyond), t - beyond * self.size, 0 if level != level else int(level)
         both = zip(part, edge, strict=True)
         return [np.r_[np.array([e], x.dtype), x] if at == 0 else np.r_[x, np.array([e], x.dtype)] for x, e in both]
 
@@ -262,8 +275,10 @@ class EdgeStream:
         self.key = self.held = None
 
     def _decode(self, part, ended, at_end=False):
-        edge_idx, tick, us, level, one = part
+        edge_idx, tick, us, level = part
         whole, last, out = len(tick), np.inf, []
+        pulse = np.diff(us) + np.diff(tick) * self.size  # times are whole millionths of a us, so bounds can be inclusive
+        one = np.append((pulse >= self.low) & (pulse <= self.high), False)
         final = (self.key[1] + 1) * self.stretch_blocks - 1
         upto = final if ended else min(int(tick[-1]) - 2, final)  # the next block's edges, and one more, are there
         live = np.unique(tick[one & (tick > self.done) & (tick <= upto)])
