@@ -2,6 +2,8 @@
 
 A stream is one phase of one segment: capture_id, segment, phase_us, bits (a string of 0 and 1), first_t (time of
 its first sample), period_us, and the segment's start_t, end_t, left_known and right_known where they are needed.
+Streams without a bit have no marker, streams that repeat give their frames each time (``deduplicated`` leaves one), null
+bits give no frame, empty tables give empty ones.
 """
 
 from __future__ import annotations

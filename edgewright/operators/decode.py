@@ -60,9 +60,9 @@ def marked(edges: DataFrame, rules: Rules, stretch_blocks: int = STRETCH_BLOCKS)
     stretch = lambda tick: F.floor(tick / stretch_blocks).cast("long")
     place = F.pmod("tick", F.lit(stretch_blocks))
     part = stretch(F.col("tick")) * 3 + F.when(place == stretch_blocks - 1, 2).when(place == 0, 0).otherwise(1)
-    rows = rows.withColumn("block", part)
+    rows = rows.withColumn("edge_block", part)
     ends = ends_of(rows, ("t", "level"), _first=F.min_by, _last=F.max_by)
-    ends = cut(ends.select("capture_id", "block", F.lead("_first").over(along())["t"].alias("_after"), F.lag("_last").over(along()).alias("_before")), "parts")
+    ends = cut(ends.select("capture_id", "edge_block", F.lead("_first").over(along())["t"].alias("_after"), F.lag("_last").over(along()).alias("_before")), "parts")
     rows = with_summary(rows, ends)
     us = lambda c: (c * 1_000_000).cast("double")
     since = us(F.col("t") - F.col("tick").cast("decimal(12,0)") * F.lit(size))

@@ -3,7 +3,7 @@
 Every operator takes the name of its time column and the idle threshold or window in that column's unit, so exact
 decimals stay exact. Rows are ordered by edge_idx; equal times and repeated levels are allowed, and times do not fall.
 Windows are made block by block (``blocks``), so a capture of any length is spread over many tasks. Every operator keeps
-the column block, and makes it where it is missing. An empty table gives an empty one; a null capture is a capture.
+the column edge_block, and makes it where it is missing. An empty table gives an empty one; a null capture is a capture.
 """
 
 from __future__ import annotations
@@ -21,9 +21,9 @@ def monotonic_violations(edges: DataFrame, t: str = "t") -> DataFrame:
 
 
 def intervals(edges: DataFrame, t: str = "t") -> DataFrame:
-    """capture_id, edge_idx, start_t, end_t, level, block: half-open [start_t, end_t) at one level; the last edge opens none."""
-    rows = following(blocked(edges).select("capture_id", "edge_idx", "block", F.col(t).alias("start_t"), "level"), "start_t", "level")
-    return rows.select("capture_id", "edge_idx", "start_t", F.col("_next.start_t").alias("end_t"), "level", "block").where("end_t IS NOT NULL")
+    """capture_id, edge_idx, start_t, end_t, level, edge_block: half-open [start_t, end_t) at one level; the last edge opens none."""
+    rows = following(blocked(edges).select("capture_id", "edge_idx", "edge_block", F.col(t).alias("start_t"), "level"), "start_t", "level")
+    return rows.select("capture_id", "edge_idx", "start_t", F.col("_next.start_t").alias("end_t"), "level", "edge_block").where("end_t IS NOT NULL")
 
 
 def idle_separator(idle_level: int, threshold) -> Column:
@@ -57,29 +57,29 @@ def pulse_runs(edges: DataFrame, low, high, least: int = 5, most: int = 16, t: s
     A run ends at the first edge without such a pulse: the last edge of an island that begins behind the one before it,
     so its length is a difference of row numbers. Only edges of runs that are long enough are put into lists. A block
     sees as many edges behind it as a run can have."""
-    rows = with_halo(blocked(edges).select("capture_id", "edge_idx", "block", F.col(t).alias("t")), most + 1)
+    rows = with_halo(blocked(edges).select("capture_id", "edge_idx", "edge_block", F.col(t).alias("t")), most + 1)
     one = F.coalesce((F.lead("t").over(within()) - F.col("t")).between(F.lit(low), F.lit(high)), F.lit(False))
     rows = rows.withColumns({"_one": one, "_row": F.row_number().over(within())})
     ended = F.count_if(~F.col("_one")).over(within().rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("_island", F.coalesce(ended, F.lit(0)))
-    island = Window.partitionBy("capture_id", "block", "_island")
+    island = Window.partitionBy("capture_id", "edge_block", "_island")
     rows = rows.withColumns({"_stop": F.max("_row").over(island), "_start": F.min("_row").over(island)})
     ahead = within().rowsBetween(0, most)
     rows = rows.withColumn("_times", F.collect_list(F.when(F.col("_stop") - F.col("_start") >= least, F.col("t"))).over(ahead))
     rows = rows.withColumn("pulses", F.least(F.lit(most), F.col("_stop") - F.col("_row")).cast("int")).where((F.col("pulses") >= least) & ~F.col("halo"))
     points = F.transform(F.slice("_times", F.lit(1), F.col("pulses") + 1), lambda x, i: F.struct(i.cast("double").alias("x"), (x - F.col("t")).cast("double").alias("y")))
-    return rows.select("capture_id", "edge_idx", "t", "pulses", points.alias("points"), "block")
+    return rows.select("capture_id", "edge_idx", "t", "pulses", points.alias("points"), "edge_block")
 
 
 def asof(probes: DataFrame, edges: DataFrame, probe_t: str = "probe_t", t: str = "t", strict: bool = False) -> DataFrame:
     """``probes`` with the last edge at or before ``probe_t`` (strictly before, with ``strict``): prev_t, prev_level,
     and the time of the edge after that one, next_t. A probe goes to the block of that edge, where both sides are sorted
     by time; there is no range join, and a hot capture is as many tasks as it has blocks."""
-    e = following(blocked(edges).select("capture_id", "edge_idx", "block", F.col(t).alias("_t"), "level"), "_t", "level")
+    e = following(blocked(edges).select("capture_id", "edge_idx", "edge_block", F.col(t).alias("_t"), "level"), "_t", "level")
     p = probes.select("capture_id", F.struct(*probes.columns).alias("_probe"), F.col(probe_t).alias("_t"), F.lit(0 if strict else 1).alias("_side"))
     p = placed(p, e, "_t", "_t", strict)
     e = e.withColumns({"_side": F.lit(1 if strict else 0), "_edge": F.struct(F.col("_t").alias("t"), "level", F.col("_next._t").alias("n"))})
-    both = e.select("capture_id", "block", "_t", "_side", "edge_idx", "_edge").unionByName(p, allowMissingColumns=True)
+    both = e.select("capture_id", "edge_block", "_t", "_side", "edge_idx", "_edge").unionByName(p, allowMissingColumns=True)
     before = within("_t", "_side", "edge_idx").rowsBetween(Window.unboundedPreceding, 0)
     found = both.withColumn("_edge", F.last("_edge", ignorenulls=True).over(before)).where("_probe IS NOT NULL")
     return found.select("_probe.*", F.col("_edge.t").alias("prev_t"), F.col("_edge.level").alias("prev_level"), F.col("_edge.n").alias("next_t"))

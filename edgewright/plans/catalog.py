@@ -72,7 +72,8 @@ _INT = f"""{_SIG}, iv AS (SELECT * FROM (SELECT capture_id, edge_idx, t AS start
   FROM sig) WHERE end_t IS NOT NULL)"""
 _SEG = f"""{_INT}, m AS (SELECT *, (level = 0 AND end_t - start_t >= {IDLE_US})::INTEGER AS sep FROM iv),
 isl AS (SELECT *, sum(sep) OVER (PARTITION BY capture_id ORDER BY edge_idx) AS island, sum(sep) OVER (PARTITION BY capture_id) AS seps FROM m),
-grp AS (SELECT capture_id, island, any_value(seps) AS seps, min(start_t) AS start_t, max(end_t) AS end_t, count(*) AS n_intervals FROM isl WHERE sep = 0 GROUP BY capture_id, island),
+grp AS (SELECT capture_id, island, any_value(seps) AS seps, min(start_t) AS start_t, max(end_t) AS end_t, count(*) AS n_intervals FROM isl
+  WHERE sep = 0 GROUP BY capture_id, island),
 seg AS (SELECT capture_id, row_number() OVER (PARTITION BY capture_id ORDER BY island) AS segment, start_t, end_t, n_intervals,
   island > 0 AS left_known, island < seps AS right_known FROM grp WHERE start_t < end_t)"""
 
@@ -92,7 +93,7 @@ def level_mapping(spark, sf_dir):
 
 @query(f"WITH {_INT} SELECT capture_id, edge_idx, start_t, end_t, level FROM iv")
 def level_intervals(spark, sf_dir):
-    return _intervals(spark, sf_dir).drop("block")
+    return _intervals(spark, sf_dir).drop("edge_block")
 
 
 @query(f"WITH {_INT} SELECT capture_id, edge_idx, start_t, end_t FROM iv WHERE level = 0 AND end_t - start_t >= {IDLE_US}")
@@ -116,7 +117,8 @@ st AS (SELECT *, min(CASE WHEN NOT one THEN edge_idx END) OVER (PARTITION BY cap
 run AS (SELECT capture_id, edge_idx, t, least(16, stop - edge_idx) AS pulses FROM st WHERE stop - edge_idx >= 3),
 pt AS (SELECT r.capture_id, r.edge_idx, r.pulses, (s.edge_idx - r.edge_idx)::DOUBLE AS x, (s.t - r.t)::DOUBLE AS y FROM run r JOIN sig s
   ON s.capture_id = r.capture_id AND s.edge_idx BETWEEN r.edge_idx AND r.edge_idx + r.pulses),
-fit AS (SELECT capture_id, edge_idx, any_value(pulses) AS pulses, regr_slope(y, x) AS slope, regr_intercept(y, x) AS icpt FROM pt GROUP BY capture_id, edge_idx),
+fit AS (SELECT capture_id, edge_idx, any_value(pulses) AS pulses, regr_slope(y, x) AS slope, regr_intercept(y, x) AS icpt FROM pt
+  GROUP BY capture_id, edge_idx),
 res AS (SELECT f.*, r.worst FROM fit f JOIN (SELECT p.capture_id, p.edge_idx, max(abs(p.y - f.icpt - f.slope * p.x)) AS worst FROM pt p JOIN fit f
   ON p.capture_id = f.capture_id AND p.edge_idx = f.edge_idx GROUP BY ALL) r ON r.capture_id = f.capture_id AND r.edge_idx = f.edge_idx)"""
 
@@ -157,7 +159,8 @@ def _probes(spark, sf_dir, shift=PROBE_US):
 
 _PREV = f"""{_SIG}, nx AS (SELECT *, lead(t) OVER (PARTITION BY capture_id ORDER BY edge_idx) AS next_t FROM sig),
 pr AS (SELECT capture_id, edge_idx, t + {PROBE_US} AS probe_t FROM sig),
-aj AS (SELECT p.capture_id, p.edge_idx, p.probe_t, n.t AS prev_t, n.level AS prev_level, n.next_t FROM pr p ASOF LEFT JOIN nx n ON p.capture_id = n.capture_id AND p.probe_t >= n.t)"""
+aj AS (SELECT p.capture_id, p.edge_idx, p.probe_t, n.t AS prev_t, n.level AS prev_level, n.next_t FROM pr p ASOF LEFT
+  JOIN nx n ON p.capture_id = n.capture_id AND p.probe_t >= n.t)"""
 
 
 @query(f"WITH {_PREV} SELECT capture_id, edge_idx, probe_t, prev_t, prev_level, next_t FROM aj")
@@ -189,8 +192,10 @@ def min_safety_distance(spark, sf_dir):
 
 
 @query(f"""WITH {_SEG}, p AS (SELECT s.*, p AS phase_no, start_t + p * {3 * HOUR} AS origin FROM seg s, generate_series(0, 1) g(p)),
-r AS (SELECT capture_id, segment, phase_no, k, origin + k * {6 * HOUR} AS sample_us FROM p, LATERAL (SELECT unnest(generate_series(0, (end_t - origin - 1) // {6 * HOUR})) AS k) WHERE origin < end_t)
-SELECT r.capture_id, segment::INTEGER AS segment, phase_no::INTEGER AS phase_no, k, sample_us, level FROM r ASOF JOIN iv ON r.capture_id = iv.capture_id AND r.sample_us >= iv.start_t""")
+r AS (SELECT capture_id, segment, phase_no, k, origin + k * {6 * HOUR} AS sample_us FROM p,
+  LATERAL (SELECT unnest(generate_series(0, (end_t - origin - 1) // {6 * HOUR})) AS k) WHERE origin < end_t)
+SELECT r.capture_id, segment::INTEGER AS segment, phase_no::INTEGER AS phase_no, k, sample_us, level FROM r ASOF
+  JOIN iv ON r.capture_id = iv.capture_id AND r.sample_us >= iv.start_t""")
 def fixed_period_samples(spark, sf_dir):
     spans = _intervals(spark, sf_dir)
     rows = signal.sampled_levels(spans, signal.segments(spans, 0, IDLE_US), float(6 * HOUR), 2)
@@ -235,7 +240,8 @@ def _payloads(spark, sf_dir):
     return synth.payloads(_t(spark, sf_dir, "orders"), _PROFILE)
 
 
-@query(f"""WITH o AS (SELECT o_orderkey, o_orderkey % 6 AS f FROM orders) SELECT o_orderkey, CASE f WHEN 1 THEN '{decode.BAD_HEADER}' WHEN 2 THEN '{decode.BAD_ID}' WHEN 3 THEN '{decode.BAD_COMMAND}'
+@query(f"""WITH o AS (SELECT o_orderkey, o_orderkey % 6 AS f
+  FROM orders) SELECT o_orderkey, CASE f WHEN 1 THEN '{decode.BAD_HEADER}' WHEN 2 THEN '{decode.BAD_ID}' WHEN 3 THEN '{decode.BAD_COMMAND}'
 WHEN 4 THEN '{decode.BAD_ID}；{decode.BAD_TAIL}' WHEN 5 THEN '{decode.TRUNCATED}' ELSE '' END AS reasons, f = 0 AS valid FROM o""")
 def failure_reasons(spark, sf_dir):
     """Frames with planted faults: header, ID, command, ID and tail, cut short."""
@@ -275,7 +281,8 @@ def result_sheet_view(spark, sf_dir):
 
 
 @query(f"""WITH {_PAYLOAD}, w AS (SELECT capture_id, '1010101010101010' || array_to_string(list_transform(string_split(hex, ' '), lambda x: right('0000000' || bin(('0x' || x)::INTEGER), 8)), '') || '1' AS bits FROM pay)
-SELECT capture_id, sum(len(regexp_extract_all(bits, '0+|1+')) - 1)::BIGINT AS n_edges, count(*) AS n_segments, count(*) AS n_valid, 0::BIGINT AS n_invalid FROM w GROUP BY ALL""")
+SELECT capture_id, sum(len(regexp_extract_all(bits, '0+|1+')) - 1)::BIGINT AS n_edges, count(*) AS n_segments, count(*) AS n_valid, 0::BIGINT AS n_invalid
+  FROM w GROUP BY ALL""")
 def capture_summary(spark, sf_dir):
     """An edge for each change of a bit, a segment and a valid frame for each order. Where fragments end depends on jitter."""
     result = captures.decode_edges(synth.waveform(_payloads(spark, sf_dir), _PROFILE), _PROFILE)
@@ -306,7 +313,8 @@ def dedup_preference(spark, sf_dir):
 
 
 _COVER = f"""{_SEG}, fr AS (SELECT capture_id, edge_idx, t AS prelude_t, t + {COVER_US} AS end_t FROM sig),
-fs AS (SELECT f.capture_id, f.edge_idx, f.prelude_t, f.end_t, s.segment, s.start_t AS segment_start, s.end_t AS segment_end FROM fr f JOIN seg s ON f.capture_id = s.capture_id AND f.prelude_t >= s.start_t AND f.prelude_t < s.end_t),
+fs AS (SELECT f.capture_id, f.edge_idx, f.prelude_t, f.end_t, s.segment, s.start_t AS segment_start, s.end_t AS segment_end FROM fr f
+  JOIN seg s ON f.capture_id = s.capture_id AND f.prelude_t >= s.start_t AND f.prelude_t < s.end_t),
 cl AS (SELECT s.capture_id, s.segment, s.start_t, s.end_t, s.left_known, s.right_known, greatest(f.prelude_t, s.start_t) AS a, least(f.end_t, s.end_t) AS b FROM seg s JOIN fs f USING (capture_id, segment)
   UNION ALL SELECT capture_id, segment, start_t, end_t, left_known, right_known, end_t, NULL FROM seg),
 cu AS (SELECT *, greatest(start_t, coalesce(max(b) OVER (PARTITION BY capture_id, segment ORDER BY a, b NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), start_t)) AS gap FROM cl)"""
@@ -353,9 +361,11 @@ def remote_profiles(spark, sf_dir):
     return config.profiles_of(_document(spark, sf_dir, (_TEXT, _DIRECT)), "c_custkey", "text")
 
 
-@query("""WITH n AS (SELECT c_custkey, 400 + c_custkey % 50 AS n FROM customer), d AS (SELECT c_custkey, n, CASE WHEN n * 8 % 10 = 0 THEN (n * 8 // 10)::VARCHAR ELSE (n * 8 // 10) || '.' || (n * 8 % 10) END AS x,
+@query("""WITH n AS (SELECT c_custkey, 400 + c_custkey % 50 AS n
+  FROM customer), d AS (SELECT c_custkey, n, CASE WHEN n * 8 % 10 = 0 THEN (n * 8 // 10)::VARCHAR ELSE (n * 8 // 10) || '.' || (n * 8 % 10) END AS x,
 CASE WHEN n * 12 % 10 = 0 THEN (n * 12 // 10)::VARCHAR ELSE (n * 12 // 10) || '.' || (n * 12 % 10) END AS high FROM n)
-SELECT c_custkey, 'nrzlDefault' AS rule_key, section, setting, value FROM d, LATERAL (VALUES ('timing', 'nominal_bit_period_us', n::VARCHAR), ('timing', 'prefilter_tolerance_ratio', '0.2'), ('timing', 'min_valid_pulse_count', '5'),
+SELECT c_custkey, 'nrzlDefault' AS rule_key, section, setting, value FROM d,
+  LATERAL (VALUES ('timing', 'nominal_bit_period_us', n::VARCHAR), ('timing', 'prefilter_tolerance_ratio', '0.2'), ('timing', 'min_valid_pulse_count', '5'),
 ('timing', 'max_initial_fit_pulse_count', '16'), ('timing', 'max_fit_residual_ratio', '0.15'), ('timing', 'tail_edge_tolerance_ratio', '0.35'), ('timing', 'phase_count', '16'), ('timing', 'dedup_tolerance_ratio', '0.5'),
 ('frame', 'sync_marker_hex', 'AA 2D D4'), ('frame', 'formal_header_hex', '2D D4'), ('frame', 'formal_frame_bits', '104'), ('frame', 'remote_id_byte_offset', '6'), ('frame', 'command_byte_offset', '10'),
 ('frame', 'tail_byte_offset', '11'), ('frame', 'tail_hex', 'AA AA'), ('derived', 'single_bit_pulse_min_us', x), ('derived', 'single_bit_pulse_max_us', high), ('derived', 'previous_pulse_tolerance_ratio', '0.3'),
@@ -421,7 +431,8 @@ def csv_header_faults(spark, sf_dir):
 
 @query(f"""WITH {_COVER}, f AS (SELECT capture_id, count(*) FILTER (level = 1) AS n_valid, count(*) FILTER (level = 0) AS n_invalid FROM sig GROUP BY ALL),
 g AS (SELECT capture_id, count(*) AS n FROM cu WHERE gap < a GROUP BY ALL), s AS (SELECT capture_id, count(*) AS n FROM seg GROUP BY ALL)
-SELECT f.capture_id, n_valid + n_invalid AS n_edges, coalesce(s.n, 0)::BIGINT AS n_segments, n_valid, n_invalid, coalesce(g.n, 0)::BIGINT AS n_fragments FROM f LEFT JOIN s USING (capture_id) LEFT JOIN g USING (capture_id)""")
+SELECT f.capture_id, n_valid + n_invalid AS n_edges, coalesce(s.n, 0)::BIGINT AS n_segments, n_valid, n_invalid, coalesce(g.n, 0)::BIGINT AS n_fragments
+  FROM f LEFT JOIN s USING (capture_id) LEFT JOIN g USING (capture_id)""")
 def summary_counts(spark, sf_dir):
     """All five counts of a summary over the signal; an edge at level 1 stands for a valid frame."""
     e, segments = events_signal(spark, sf_dir), _segments(spark, sf_dir)
@@ -511,9 +522,11 @@ def workbook_results(spark, sf_dir):
     return rows.where("row > 2").select("capture_id", "row", *[F.get("cells", F.lit(i)).alias(f"c{i:02}") for i in range(43)])
 
 
-@query(f"""WITH s AS (SELECT capture_id, no, value FROM ({_COUNTS}) c, LATERAL {_SUMMARY_ROWS}), g AS (SELECT capture_id, start_t / 4096.0 AS a, end_t / 4096.0 AS z, reason, number FROM ({ORACLE_SQL['uncovered_ranges']})),
+@query(f"""WITH s AS (SELECT capture_id, no, value FROM ({_COUNTS}) c,
+  LATERAL {_SUMMARY_ROWS}), g AS (SELECT capture_id, start_t / 4096.0 AS a, end_t / 4096.0 AS z, reason, number FROM ({ORACLE_SQL['uncovered_ranges']})),
 l AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{x}')" for i, x in enumerate(report.SUMMARY, 1))}) v(no, label))
-SELECT s.capture_id, no::INTEGER AS row, label AS a, CASE no WHEN 1 THEN value || '.csv' ELSE value END AS b, NULL::VARCHAR AS c, NULL::VARCHAR AS d FROM s JOIN l USING (no)
+SELECT s.capture_id, no::INTEGER AS row, label AS a, CASE no WHEN 1 THEN value || '.csv' ELSE value END AS b, NULL::VARCHAR AS c, NULL::VARCHAR AS d
+  FROM s JOIN l USING (no)
 UNION ALL SELECT DISTINCT capture_id, 16, '未识别与边界诊断', NULL, NULL, NULL FROM s
 UNION ALL SELECT DISTINCT capture_id, 17, '序号', '起始时间[s]', '结束时间[s]', '原因' FROM s
 UNION ALL SELECT capture_id, 17 + number, number::VARCHAR, (a - 415000000000)::DOUBLE::VARCHAR, (z - 415000000000)::DOUBLE::VARCHAR, reason FROM g""")
@@ -576,9 +589,11 @@ def bit_stream_unmatched(spark, sf_dir):
 
 @query(f"""WITH {_COVER}, g AS (SELECT capture_id, segment, min(prelude_t) AS a, arg_max(end_t, prelude_t) AS z FROM fs GROUP BY ALL),
 b AS (SELECT s.*, g.a, g.z FROM seg s LEFT JOIN g USING (capture_id, segment) WHERE NOT (left_known AND right_known))
-SELECT capture_id, segment::INTEGER AS segment, start_t::DOUBLE AS start_t, end_t::DOUBLE AS end_t, '{bitstreams.EDGE_UNMATCHED}' AS reason FROM b WHERE a IS NULL
+SELECT capture_id, segment::INTEGER AS segment, start_t::DOUBLE AS start_t, end_t::DOUBLE AS end_t, '{bitstreams.EDGE_UNMATCHED}' AS reason FROM b
+  WHERE a IS NULL
 UNION ALL SELECT capture_id, segment::INTEGER, start_t::DOUBLE, a::DOUBLE, '{bitstreams.HEAD_PIECE}' FROM b WHERE NOT left_known AND start_t < a
-UNION ALL SELECT capture_id, segment::INTEGER, z::DOUBLE, end_t::DOUBLE, '{bitstreams.TAIL_PIECE}' FROM b WHERE a IS NOT NULL AND NOT right_known AND z < end_t""")
+UNION ALL SELECT capture_id, segment::INTEGER, z::DOUBLE, end_t::DOUBLE, '{bitstreams.TAIL_PIECE}' FROM b
+  WHERE a IS NOT NULL AND NOT right_known AND z < end_t""")
 def boundary_fragments(spark, sf_dir):
     segments = _segments(spark, sf_dir)
     inside = coverage.frames_in_segments(_frames(spark, sf_dir), segments)
@@ -668,7 +683,8 @@ def upload_checks(spark, sf_dir):
 
 
 @query(f"""SELECT o_orderkey, CASE WHEN o_orderkey % 4 < 2 THEN 'nrzlDefault' ELSE 'CONFIG_NOT_FOUND' END AS answer, CASE WHEN o_orderkey % 4 < 2 THEN 200 ELSE 404 END AS status,
-'UP' AS health, CASE WHEN o_orderkey % 4 < 2 THEN o_orderkey || '{report.SUFFIX}' END AS file, CASE WHEN o_orderkey % 4 < 2 THEN '1/2' END AS dedup FROM orders""")
+'UP' AS health, CASE WHEN o_orderkey % 4 < 2 THEN o_orderkey || '{report.SUFFIX}' END AS file, CASE WHEN o_orderkey % 4 < 2 THEN '1/2' END AS dedup
+  FROM orders""")
 def service_answers(spark, sf_dir):
     """A request for each order's file, its profile's key as it stands, padded, blank or unknown: the rule that it leads to
     or the error with its status, the report's name and the tolerance shown in it."""

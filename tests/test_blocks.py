@@ -33,7 +33,7 @@ def results(edges):
     inside = coverage.frames_in_segments(covers, segments)
     runs = signal.pulse_runs(edges, 1, 1, 2, 5)
     return {
-        "intervals": spans.drop("block"), "segments": segments, "runs": runs.drop("block"), "violations": signal.monotonic_violations(edges.withColumn("t", edges.t % 7)).drop("block"),
+        "intervals": spans.drop("edge_block"), "segments": segments, "runs": runs.drop("edge_block"), "violations": signal.monotonic_violations(edges.withColumn("t", edges.t % 7)).drop("edge_block"),
         "asof": signal.asof(probes, edges), "strict": signal.asof(probes, edges, strict=True), "nearest": signal.nearest_edge(probes, edges, 2), "inside": inside,
         "samples": signal.sampled_levels(spans, segments, 3.0, 2), "gaps": coverage.uncovered(segments, inside.selectExpr("capture_id", "segment", "prelude_t AS cover_start", "end_t AS cover_end")),
     }
