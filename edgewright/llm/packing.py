@@ -86,12 +86,15 @@ def places(corpus: Corpus):
             rank[np.argsort(chance, kind="stable")] = np.arange(len(chance))
             ranks.append(np.where(corpus.df > 1, np.minimum(rank, last), last))
 
+    ranks = [np.append(rank, last) for rank in ranks]  # of a number behind all terms, which every document has
+    none = np.array([len(corpus.df)])
+
     def place(terms: list[np.ndarray]) -> np.ndarray:
-        ends = np.cumsum([len(t) + 1 for t in terms])
+        begins = np.cumsum([0, *(len(t) + 1 for t in terms)])[:-1]
+        both = np.concatenate([x for t in terms for x in (t, none)]).astype(np.int64)
         out = np.zeros(len(terms), np.int64)
         for rank in ranks:
-            both = np.concatenate([np.append(rank[t], last) for t in terms])
-            out = out << HASH_BITS | np.minimum.reduceat(both, np.r_[0, ends[:-1]])
+            out = out << HASH_BITS | np.minimum.reduceat(rank[both], begins)
         return out
 
     return place
@@ -109,7 +112,7 @@ def dealt(staged: DataFrame, corpus: Corpus, shard_docs: int) -> DataFrame:
         return pd.Series(places_of([np.split(unpacked(t, unpack), 2)[0] for t in terms]) if len(terms) else [], dtype="int64")
 
     rows = staged.select("row", F.pandas_udf(run, "long")("terms").alias("place"), F.lit(0).alias("all"))
-    rows = positions(rows, "all", ["place", "row"], "places")
+    rows = positions(cut(rows, "placed"), "all", ["place", "row"], "places")
     shards = F.ceil(F.col("n") / shard_docs)
     return staged.join(rows.select("row", F.floor(F.col("pos") * shards / F.col("n")).cast("long").alias("shard")), "row")
 
