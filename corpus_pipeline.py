@@ -3,6 +3,9 @@
 Language identification (texts without a language go), exact deduplication (the first of equal texts stays),
 SimHash near-duplicates (the document with the smallest id of each group stays), repeated passages (their bytes go
 from the texts), packing (the pieces of all that is left). All but the last return the columns of ``documents``.
+
+Null and repeated ids pass from stage to stage as the operators' docstrings say; a null text has no language and goes first;
+packing gives a piece for every document that is left, for an emptied text its end id alone. An empty table gives no piece.
 """
 
 from __future__ import annotations

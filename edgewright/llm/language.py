@@ -120,8 +120,8 @@ def held_out(id_col: str):
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", families: dict[str, str] | None = None) -> Hierarchy | None:
     """The classifier, from labelled rows that aren't held out; None if there are none with a letter.
 
-    The sample is bounded: SAMPLE_OF_LANGUAGE rows of a language, SAMPLE_ROWS in all, in the order of a hash of
-    the id. Features are made on the executors; the driver gets at most SAMPLE_ROWS vectors of BUCKETS floats.
+    The sample is bounded: SAMPLE_OF_LANGUAGE rows of a language, SAMPLE_ROWS in all (but one row of each language at
+    least), in the order of a hash of the id. Features are made on the executors; the driver gets at most SAMPLE_ROWS vectors of BUCKETS floats.
     """
     rows = docs.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
     rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.lit("sample"), id_col).alias("h"))
@@ -179,7 +179,12 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = LEAST_SCORE) -> DataFrame:
-    """The rows of ``docs`` whose text has a language with a score of ``least`` or more, with all their columns."""
+    """The rows of ``docs`` whose text has a language with a score of ``least`` or more, with all their columns.
+
+    Null texts and texts without a letter go; null labels and null ids stay if the text has a language, repeated rows stay
+    or go together. With no labelled row to learn from every row goes; empty in, empty out. A column named _language is
+    replaced.
+    """
     model = fit(docs, id_col, text_col, lang_col)
     marked = with_language(docs, model, text_col, "_language")
     return marked.where((F.col("_language.lang_pred") != UNKNOWN) & (F.col("_language.score") >= least)).drop("_language")

@@ -78,7 +78,9 @@ def grown(nodes: DataFrame, folder: str, name: str) -> Tree:
     return Tree(levels, cut(found, f"{name}_tops", folder))
 
 
-def build(docs: DataFrame, id_col: str = "doc_id", group_col: str = "source", fields: tuple[str, ...] = FIELDS, claim: Column | None = None, folder: str | None = None) -> Manifest:
+def build(
+    docs: DataFrame, id_col: str = "doc_id", group_col: str = "source", fields: tuple[str, ...] = FIELDS, claim: Column | None = None, folder: str | None = None,
+) -> Manifest:
     """The manifest of ``docs``, a leaf for each row: the digest of ``fields``. Rows of a group ascend by id, a null one
     first, equal ids by their leaf's digest; groups ascend by their bytes, null first. A null value differs from an empty
     text. Repeated rows are leaves of their own, an empty table has no root, other columns are not read.
@@ -154,10 +156,13 @@ _SQL_LEVELS = 6
 def _oracle() -> str:
     fields = lambda text: "sha256(" + " || ".join(f"coalesce(strlen({c}) || ':' || {c}, '-')" for c in ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text)) + ")"
     low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    crc = "list_reduce([4294967295] || list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT), lambda a, b: list_reduce([xor(a, b)] || range(8), lambda x, y: xor(x >> 1, (x & 1) * 3988292384)))"
+    octets = "list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)"
+    step = "list_reduce([xor(a, b)] || range(8), lambda x, y: xor(x >> 1, (x & 1) * 3988292384))"
+    crc = f"list_reduce([4294967295] || {octets}, lambda a, b: {step})"
     parts = [
         f"WITH d AS (SELECT doc_id, source, {fields('text')} AS leaf, CASE WHEN xor({crc}, 4294967295) % 5 = 0 THEN {fields(low)} END AS claim FROM documents)",
-        "a0 AS (SELECT coalesce('+' || source, '') AS k, doc_id, leaf, claim, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, leaf AS h, count(*) OVER (PARTITION BY source) AS n FROM d)",
+        "a0 AS (SELECT coalesce('+' || source, '') AS k, doc_id, leaf, claim, leaf AS h, count(*) OVER (PARTITION BY source) AS n, "
+        "row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d)",
     ]
 
     def tree(a: str) -> None:
@@ -180,7 +185,8 @@ def _oracle() -> str:
     proved("u", "pu", "h", "g, h")
     proved("a", "pa", "coalesce(claim, leaf)", "doc_id, leaf")
     proof = lambda t: " || ".join(f"coalesce({t}.l{i} || {t}.r{i}, '')" for i in range(_SQL_LEVELS))
-    parts.append(f"f0 AS (SELECT pa0.*, pu0.h AS subroot, sha256({proof('pa0')} || {proof('pu0')}) AS proof_sha256, " + ", ".join(f"pu0.l{i} AS ul{i}, pu0.r{i} AS ur{i}" for i in range(_SQL_LEVELS)) + " FROM pa0 JOIN pu0 ON pa0.k = pu0.g)")
+    above = ", ".join(f"pu0.l{i} AS ul{i}, pu0.r{i} AS ur{i}" for i in range(_SQL_LEVELS))
+    parts.append(f"f0 AS (SELECT pa0.*, pu0.h AS subroot, sha256({proof('pa0')} || {proof('pu0')}) AS proof_sha256, {above} FROM pa0 JOIN pu0 ON pa0.k = pu0.g)")
     steps = [*((f"l{i}", f"r{i}") for i in range(_SQL_LEVELS)), *((f"ul{i}", f"ur{i}") for i in range(_SQL_LEVELS))]
     for i, (left, right) in enumerate(steps):
         parts.append(f"f{i + 1} AS (SELECT * REPLACE (CASE WHEN {left} IS NULL THEN f ELSE sha256({left} || f || {right}) END AS f) FROM f{i})")

@@ -471,7 +471,10 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = "n_chars", **how) -> DataFrame:
     """``docs`` with all columns, the repeated bytes gone from the text and ``count_col``, where there is one, set to
-    its new number of characters. A character that loses one of its bytes goes whole. No row goes."""
+    its new number of characters. A character that loses one of its bytes goes whole. No row goes: a null text stays
+    null, a text that repeats in full becomes empty, and rows are told apart by id and text, so a null id is an id like
+    others and rows that repeat in full lose the same bytes. Columns _key, _i, _k and _spans are its own; empty in,
+    empty out."""
     length = how.get("length", LENGTH)
     _, spans = repeated_spans(docs, id_col, text_col, **how)
     of_doc = spans.groupBy("doc_id", "key").agg(F.collect_list(F.struct("s", "e")).alias("_spans"))
