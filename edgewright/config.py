@@ -238,7 +238,8 @@ class _Reader:
 def _rules(raw, where: str) -> Rules:
     top = _Reader(raw, where, "key name timing frame commands")
     key, name = top.text("key"), top.text("name")
-    t = _Reader(top.raw.get("timing"), top.at("timing"), "nominalBitPeriodUs prefilterToleranceRatio minValidPulseCount maxInitialFitPulseCount maxFitResidualRatio tailEdgeToleranceRatio phaseCount dedupToleranceRatio")
+    timing_fields = "nominalBitPeriodUs prefilterToleranceRatio minValidPulseCount maxInitialFitPulseCount maxFitResidualRatio"
+    t = _Reader(top.raw.get("timing"), top.at("timing"), f"{timing_fields} tailEdgeToleranceRatio phaseCount dedupToleranceRatio")
     timing = {
         "period_us": t.positive("nominalBitPeriodUs"), "prefilter": t.positive("prefilterToleranceRatio"), "min_pulses": t.count("minValidPulseCount"),
         "max_pulses": t.count("maxInitialFitPulseCount"), "max_residual": t.positive("maxFitResidualRatio"), "tail_tolerance": t.positive("tailEdgeToleranceRatio"),

@@ -36,13 +36,15 @@ def framed(streams: DataFrame, profile: Profile) -> DataFrame:
     rows = with_commands(rows, r).withColumn("reasons", failure_reasons(F.col("bytes"), F.col("command_known"), profile, core=True))
     start = F.col("first_t") + F.col("start_bit") * F.col("period_us") / 1e6
     rows = rows.withColumns({"complete": F.size("bytes") >= r.frame_bytes, "valid": F.size("reasons") == 0, "start_t": start})
-    return rows.withColumn("end_t", F.least(F.col("start_t") + F.length("bits") * F.col("period_us") / 1e6, F.col("end_t").cast("double"))).withColumn("bytes", F.col("_all")).drop("_all", "command_known")
+    end = F.least(F.col("start_t") + F.length("bits") * F.col("period_us") / 1e6, F.col("end_t").cast("double"))
+    return rows.withColumn("end_t", end).withColumn("bytes", F.col("_all")).drop("_all", "command_known")
 
 
 def unmatched(streams: DataFrame) -> DataFrame:
     """A whole stream as one invalid frame, for segments in which no marker was found."""
     return streams.select(
-        "capture_id", "segment", "phase_us", "bits", text_to_bytes(F.col("bits")).alias("bytes"), F.when(F.col("bits") == "", F.col("start_t")).otherwise(F.col("first_t")).cast("double").alias("start_t"),
+        "capture_id", "segment", "phase_us", "bits", text_to_bytes(F.col("bits")).alias("bytes"),
+        F.when(F.col("bits") == "", F.col("start_t")).otherwise(F.col("first_t")).cast("double").alias("start_t"),
         F.col("end_t").cast("double").alias("end_t"), F.lit(-1).alias("start_bit"), F.lit(False).alias("valid"), F.array(F.lit(NO_START)).alias("reasons"),
         F.lit(UNKNOWN_CHANNEL).alias("channel"), F.lit(UNKNOWN_ACTION).alias("action"),
     )

@@ -42,7 +42,8 @@ def segments(spans: DataFrame, idle_level: int, threshold) -> DataFrame:
     part = F.min("start_t").alias("start_t"), F.max("end_t").alias("end_t"), F.count("*").alias("n_intervals")
     found = rows.groupBy("capture_id", "_island", "_seps").agg(*part).where("start_t < end_t")
     number = F.row_number().over(Window.partitionBy("capture_id").orderBy("_island"))
-    return found.select("capture_id", number.alias("segment"), "start_t", "end_t", "n_intervals", (F.col("_island") > 0).alias("left_known"), (F.col("_island") < F.col("_seps")).alias("right_known"))
+    known = (F.col("_island") > 0).alias("left_known"), (F.col("_island") < F.col("_seps")).alias("right_known")
+    return found.select("capture_id", number.alias("segment"), "start_t", "end_t", "n_intervals", *known)
 
 
 def at_file_boundary(left_known: str = "left_known", right_known: str = "right_known") -> Column:
