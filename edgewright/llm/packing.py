@@ -52,22 +52,19 @@ class Corpus(NamedTuple):
 
 
 def corpus_of(staged: DataFrame) -> Corpus:
-    """Counted over all rows; the driver gets one row for each term of the vocabulary."""
+    """The sum of what the tasks of ``left_overs`` have counted; the driver gets one row for each term of the vocabulary."""
 
     def count(batches):
         import zstandard
 
         unpack = zstandard.ZstdDecompressor().decompress
-        df, n, tokens = np.zeros(0, np.int64), 0, 0
         for b in batches:
-            found = [np.split(unpacked(t, unpack), 2) for t in b.column(0).to_pylist()]
-            part = np.bincount(np.concatenate([t for t, _ in found] or [df]).astype(np.int64), minlength=len(df))
-            part[: len(df)] += df
-            df, n, tokens = part, n + sum(len(t) > 0 for t, _ in found), tokens + sum(int(c.sum()) for _, c in found)
-        term = df.nonzero()[0]
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-2, -1, term]), pa.array(np.r_[tokens, n, df[term]])], ["term", "n"])
-
-    rows = staged.select("terms").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+            for tokens, n, terms in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                term, df = np.split(unpacked(terms, unpack).astype(np.int64), 2)
+                yield pa.RecordBatch.from_arrays([pa.array(np.r_[-2, -1, term]), pa.array(np.r_[tokens, n[0], df])], ["term", "n"])
+
+    counts = staged.where("row < 0").select("doc_tokens", "crcs", "terms").mapInArrow(count, "term long, n long")
+    rows = counts.groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     found = dict(zip(*(rows[c].to_pylist() for c in ("term", "n")), strict=True))
     tokens, n = found.pop(-2, 0), found.pop(-1, 0)
     df = np.zeros(max(found, default=0) + 1, np.int64)
@@ -103,7 +100,7 @@ def places(corpus: Corpus):
 def dealt(staged: DataFrame, corpus: Corpus, shard_docs: int) -> DataFrame:
     """``staged`` with its shard: rows in the order of their place, and of their number where that is equal, cut into
     shards of equal size. Spark sorts places and numbers by ranges; the driver sees neither rows nor bounds."""
-    places_of = places(corpus)
+    places_of, staged = places(corpus), staged.where("row >= 0")
 
     def run(terms: pd.Series) -> pd.Series:
         import zstandard
@@ -214,13 +211,15 @@ def fill(texts: list[np.ndarray], window: int, index: ShardIndex | None = None)
 
 def left_overs(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: int, window: int, with_ids: bool) -> DataFrame:
     """doc_id, row (unique), doc_tokens, crcs (of the full windows), head (their ids, if asked for), tail, terms (ids
-    of the whole text, ascending, then how often each stands there; none if the tail is empty)."""
+    of the whole text, ascending, then how often each stands there; none if the tail is empty). Row -1 of each task has
+    what it counted over its documents with a tail: their tokens, their number (as crcs), and by term how many have it."""
 
     def start():
         import zstandard
 
         encode, pack = whole_encoder(path), zstandard.ZstdCompressor(level=1).compress
         rows = iter(range(TaskContext.get().partitionId() << 33, 1 << 63))
+        seen, df = [0, 0], np.zeros(1 << 16, np.uint32)
 
         def one(doc_id, text):
             ids = np.append(encode(text or ""), np.uint32(end_id))
@@ -228,10 +227,23 @@ def left_overs(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: i
             crcs = [zlib.crc32(raw[4 * k * window : 4 * (k + 1) * window]) for k in range(full)]
             head = packed(ids[: full * window], pack) if with_ids else None
             tail = ids[full * window :]
-            terms = np.concatenate(np.unique(ids, return_counts=True)) if len(tail) else tail
+            terms = tail
+            if len(tail):
+                nonlocal df
+                found, often = np.unique(ids, return_counts=True)
+                if found[-1] >= len(df):
+                    df = np.append(df, np.zeros(int(found[-1]) + 1, np.uint32))
+                df[found] += 1
+                seen[0] += len(ids)
+                seen[1] += 1
+                terms = np.concatenate([found, often])
             yield doc_id, next(rows), len(ids), crcs, head, packed(tail, pack), packed(terms, pack)
 
-        return one
+        def last():
+            term = df.nonzero()[0]
+            yield None, -1, seen[0], [seen[1]], None, packed(df[:0], pack), packed(np.concatenate([term, df[term]]), pack)
+
+        return one, last
 
     columns = {"doc_id": "long", "row": "long", "doc_tokens": "long", "crcs": "array<long>", "head": "binary", "tail": "binary", "terms": "binary"}
     return map_rows(docs.select(F.col(id_col), F.col(text_col)), start, columns, 500)

@@ -153,9 +153,10 @@ def around_added(path: str, encode: Callable[[str], bytes]) -> Callable[[str], b
     """``encode`` for whole texts: added tokens become their ids, and what lies between is encoded apart."""
     pattern, ids = added_tokens(path)
     raw = {t: i.to_bytes(4, "little") for t, i in ids.items()}
+    common = os.path.commonprefix([*raw])
 
     def run(text: str) -> bytes:
-        if not any(t in text for t in raw):
+        if common not in text or pattern is None or not pattern.search(text):
             return encode(text)
         out, at = [], 0
         for m in pattern.finditer(text):
@@ -226,14 +227,14 @@ PA = {
 
 def map_rows(df: DataFrame, start: Callable[[], Callable[..., Iterator[tuple]]], columns: dict[str, str], rows: int = 1000) -> DataFrame:
     """Arrow-batched map: ``start()`` runs once in each task and gives a function from one row's values to the
-    rows it makes. ``columns``: names and types of what comes out. At most ``rows`` rows wait at a time."""
+    rows it makes, or that and a function for the rows at the task's end. ``columns``: names and types of what comes out. At most ``rows`` rows wait at a time."""
     schema = pa.schema([(n, PA[t]) for n, t in columns.items()])
 
     def batch(out: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
     def run(batches):
-        f = start()
+        f, last = made if isinstance(made := start(), tuple) else (made, tuple)
         out: list[tuple] = []
         for b in batches:
             for at in range(0, b.num_rows, 256):
@@ -243,6 +244,7 @@ def map_rows(df: DataFrame, start: Callable[[], Callable[..., Iterator[tuple]]],
                     if len(out) >= rows:
                         yield batch(out)
                         out = []
+        out.extend(last())
         if out:
             yield batch(out)
 
