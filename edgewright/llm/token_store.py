@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import cut, shared_dir, table
-from .tokens import PA, bare_pieces, map_rows, piece_encoder
+from .tokens import PA, column_encoder, map_rows
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 2
 #: Ids under the rolling hash; bits of it that must be zero at a cut; the smallest and largest chunk.
@@ -77,11 +77,11 @@ def encoded(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: int)
     def start():
         import zstandard
 
-        encode, pack = piece_encoder(path, bare_pieces), zstandard.ZstdCompressor(level=3).compress
+        pack = zstandard.ZstdCompressor(level=3).compress
         rows = iter(range(TaskContext.get().partitionId() << 33, 1 << 63))
 
-        def one(doc_id, text):
-            ids = np.frombuffer(encode(text or "") + end_id.to_bytes(4, "little"), "<u4")
+        def one(doc_id, ids):
+            ids = np.append(ids, np.array([end_id], "<u4"))
             ends = cut_points(ids)
             raw, begins, seen = ids.tobytes(), [0, *ends[:-1]], set()
             chunks = [address(raw[4 * a : 4 * b]) for a, b in zip(begins, ends, strict=True)]
@@ -90,8 +90,11 @@ def encoded(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: int)
 
         return one
 
+    def values(batch):
+        return zip(batch.column(0).to_pylist(), column_encoder(path)(batch.column(1)), strict=True)
+
     columns = {"doc_id": "long", "row": "long", "n_tokens": "long", "chunks": "array<binary>", "lens": "array<int>", "again": "array<int>", "blob": "binary"}
-    return map_rows(docs.select(F.col(id_col), F.col(text_col)), start, columns, 500)
+    return map_rows(docs.select(F.col(id_col), F.col(text_col)), start, columns, 500, values)
 
 
 def packed(ids: np.ndarray, pack) -> bytes:

@@ -12,6 +12,7 @@ import re
 import struct
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -28,6 +29,15 @@ PUNCTUATION = ".,;:!?|"
 CACHED_PIECES, CACHED_CHARS = 500_000, 48
 #: A longer run of white space, or of anything else, is left to the library.
 UNCUT = 100_000
+#: Bytes of texts that are cut together.
+SPAN_BYTES = 1 << 21
+
+#: By byte of UTF-8, where 0xC3 leads all that is not ASCII: whether its text may be cut by bytes (the rest of U+00D7 and
+#: U+00F7 stands for no letter); its lower case; its kind: 0 white space, 1 anything else, 2 letter.
+_BYTES = np.arange(256, dtype=np.uint8)
+_PLAIN = np.isin(_BYTES, [9, 10, 13, *range(32, 127), *range(0x80, 0xC0), 0xC3]) & ~np.isin(_BYTES, [0x97, 0xB7])
+_LOWER = _BYTES + np.where(np.isin(_BYTES, [*range(65, 91), *range(0x80, 0x9F)]), 32, 0).astype(np.uint8)
+_KIND = np.where(np.isin(_BYTES, [9, 10, 13, 32]), 0, np.where(np.isin(_BYTES, [*range(65, 91), *range(97, 123), *range(0x80, 0xC0), 0xC3]), 2, 1)).astype(np.uint8)
 
 
 def spaced_pieces(text: str) -> list[str]:
@@ -48,22 +58,25 @@ def bare_pieces(text: str) -> list[str]:
 
 
 class PieceCache:
-    """``encode(pieces)``: the little-endian unsigned 32-bit ids of all pieces, as bytes.
+    """``each(pieces)``: the little-endian unsigned 32-bit ids of every piece, as bytes; ``encode`` joins them.
 
-    encode_new: gives the ids of each of a list of strings. fold: a change of a string that leaves its ids alone.
+    encode_new: gives the ids (as bytes) of each of a list of strings. fold: a change of a string that leaves its ids alone.
     A new piece that ends in punctuation after a letter is looked up in two parts, since a pre-token starts there.
     The cache has two generations; what is used again moves to the younger one when it would be forgotten.
     """
 
-    def __init__(self, encode_new: Callable[[list[str]], Iterable[list[int]]], fold: Callable[[str], str] = str, limit: int = CACHED_PIECES):
+    def __init__(self, encode_new: Callable[[list[str]], Iterable[bytes]], fold: Callable[[str], str] = str, limit: int = CACHED_PIECES):
         self.encode_new, self.fold, self.limit = encode_new, fold, limit
         self.young, self.old = {"": b""}, {}
 
     def encode(self, pieces: list[str]) -> bytes:
+        return b"".join(self.each(pieces))
+
+    def each(self, pieces: list[str]) -> list[bytes]:
         young, old = self.young, self.old
         out = list(map(young.get, pieces))
         if None not in out:
-            return b"".join(out)
+            return out
         gaps = [k for k, ids in enumerate(out) if ids is None]
         long, parts = {}, {}
         for p in {pieces[k] for k in gaps}:
@@ -80,7 +93,7 @@ class PieceCache:
             wanted.discard(x)
         new = list(wanted)
         for x, ids in zip(new, self.encode_new(new), strict=True):
-            (young if len(x) <= CACHED_CHARS else long)[x] = struct.pack(f"<{len(ids)}I", *ids)
+            (young if len(x) <= CACHED_CHARS else long)[x] = ids
         for p, (body, tail) in parts.items():
             if body != p:
                 ids = (long if body in long else young)[body] + (long if tail in long else young)[tail]
@@ -90,7 +103,22 @@ class PieceCache:
             out[k] = long[p] if p in long else young[p]
         if len(young) > self.limit:
             self.young, self.old = {"": b""}, young
-        return b"".join(out)
+        return out
+
+    def each_cut(self, pieces: list[str]) -> list[bytes]:
+        """``each`` for pieces that differ, are folded and need no second cut."""
+        out = list(map(self.young.get, pieces))
+        gaps = [k for k, ids in enumerate(out) if ids is None]
+        names = [pieces[k] for k in gaps]
+        found = list(map(self.old.get, names))
+        made = iter(self.encode_new([p for p, ids in zip(names, found, strict=True) if ids is None]))
+        for k, p, ids in zip(gaps, names, found, strict=True):
+            out[k] = ids = next(made) if ids is None else ids
+            if len(p) <= CACHED_CHARS:
+                self.young[p] = ids
+        if len(self.young) > self.limit:
+            self.young, self.old = {"": b""}, self.young
+        return out
 
 
 def folded(text: str) -> str:
@@ -124,17 +152,21 @@ class Words:
             both = b"".join(raw(t) for t in (m.split(" ") if isinstance(m, str) else m))
             ranks.setdefault(both, len(ranks))
         ids = {raw(t): i for t, i in model["vocab"].items() if all(c in byte_of for c in (t[: -len(mark)] if mark and t.endswith(mark) else t))}
-        self.ids = [ids.get(b, -1) for b in sorted(ranks, key=ranks.get)]
+        self.ids = np.array([ids.get(b, -1) for b in sorted(ranks, key=ranks.get)])
         self.engine = tiktoken.Encoding("merges", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.ranks_of = self.engine._core_bpe.encode_single_piece
-        self.end, self.spaced = b"\xff" if mark else b"", not mark
-
-    def knows(self, word: str) -> bool:
-        letters = word[1:] if self.spaced and word[:1] == " " else word
-        return letters.isalpha() and max(letters) <= "\xff" and (self.spaced or letters.islower())
+        self.end = b"\xff" if mark else b""
+        self.knows = re.compile("[a-zªµºß-öø-ÿ]+" if mark else " ?[A-Za-zªµºÀ-ÖØ-öø-ÿ]+").fullmatch
 
-    def encode(self, word: str) -> list[int]:
-        return [self.ids[r] for r in self.ranks_of(word.encode() + self.end)]
+    def encode(self, words: list[str]) -> Iterator[bytes]:
+        ranks = [self.ranks_of(w.encode() + self.end) for w in words]
+        ids = self.ids[np.fromiter(chain.from_iterable(ranks), np.int64)]
+        if (ids < 0).any():
+            raise ValueError("a merge of the vocabulary file gives no token")
+        raw, at = ids.astype("<u4").tobytes(), 0
+        for r in ranks:
+            yield raw[at : at + 4 * len(r)]
+            at += 4 * len(r)
 
 
 @lru_cache(maxsize=4)
@@ -186,19 +218,75 @@ def library_cache(path: str) -> PieceCache:
     lowers = tok.encode("AbC").ids == tok.encode("abc").ids
 
     def encode_new(new):
-        rest = [x for x in new if not words.knows(x)]
-        found = dict(zip(rest, (e.ids for e in tok.encode_batch_fast(rest, add_special_tokens=False)), strict=True))
-        return [found[x] if x in found else words.encode(x) for x in new]
+        plain = [words.knows(x) is not None for x in new]
+        rest = iter(tok.encode_batch_fast([x for x, known in zip(new, plain, strict=True) if not known], add_special_tokens=False))
+        found = words.encode([x for x, known in zip(new, plain, strict=True) if known])
+        return [next(found) if known else struct.pack(f"<{len(ids := next(rest).ids)}I", *ids) for known in plain]
 
     return PieceCache(encode_new, folded if lowers else str)
 
 
+@lru_cache(maxsize=2)
+def column_encoder(path: str) -> Callable[[pa.Array], Iterator[np.ndarray]]:
+    """The ids (unsigned 32-bit) of every text of an Arrow array of strings, as the library gives them (null: none), for a
+    vocabulary that drops white space and whose pattern ends a run of letters where anything else follows.
+
+    Texts of printable ASCII, tabs, line ends and the letters from U+00C0 to U+00FF are cut together, by the classes of
+    their bytes, at white space and behind letters; each distinct piece among them is looked up once. Texts with other
+    characters, with added tokens or of more than ``SPAN_BYTES`` are encoded one by one."""
+    cache, single, added = library_cache(path), piece_encoder(path, bare_pieces), added_tokens(path)[0]
+    added = added and re.compile(added.pattern.encode())
+    lower = _LOWER if cache.fold is folded else np.arange(256, dtype=np.uint8)
+
+    def together(data: np.ndarray, at: np.ndarray, texts: pa.Array) -> list[np.ndarray]:
+        odd = [np.flatnonzero(~_PLAIN[data])]
+        if len(data) and data.max() > 0x7F:  # what follows a lead byte, and nothing else, must be the rest of a letter
+            odd.append(np.flatnonzero((data[:-1] == 0xC3) != (data[1:] >> 6 == 2)))
+        if added:
+            odd.append(np.array([m.start() for m in added.finditer(data)], np.int64))
+        apart = np.unique(np.searchsorted(at, np.concatenate(odd), "right") - 1)
+        data = lower[data]
+        for k in apart:
+            data[at[k] : at[k + 1]] = 32
+        kind = _KIND[data]
+        before = np.r_[np.uint8(0), kind[:-1]]
+        before[at[:-1][np.diff(at) > 0]] = 0
+        begins = (kind > 0) & ((before == 0) | (before > kind))
+        kept, first = kind > 0, np.searchsorted(np.flatnonzero(begins), at)
+        chars, starts = data[kept], np.flatnonzero(begins[kept])
+        offsets = np.r_[starts, len(chars)].astype(np.int32)
+        pieces = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(chars)).dictionary_encode()
+        ids = cache.each_cut(pieces.dictionary.to_pylist())
+        ends = np.cumsum([0, *map(len, ids)]) // 4
+        found = pa.ListArray.from_arrays(ends.astype(np.int32), pa.array(np.frombuffer(b"".join(ids), "<u4"))).take(pieces.indices)
+        flat, bounds = found.values.to_numpy(), found.offsets.to_numpy()[first]
+        out = [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        for k in apart.tolist():
+            out[k] = np.frombuffer(single(texts[k].as_py()), "<u4")
+        return out
+
+    def run(texts: pa.Array) -> Iterator[np.ndarray]:
+        texts = texts.cast(pa.large_string()).fill_null("")
+        _, where, raw = texts.buffers()
+        at = np.frombuffer(where, np.int64)[texts.offset :][: len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        data, a = np.frombuffer(raw or b"", np.uint8), 0
+        while a < len(texts):
+            b = max(a + 1, int(np.searchsorted(at, at[a] + SPAN_BYTES, "right")) - 1)
+            if at[b] - at[a] > SPAN_BYTES:
+                yield np.frombuffer(single(texts[a].as_py()), "<u4")
+            else:
+                yield from together(data[at[a] : at[b]], at[a : b + 1] - at[a], texts[a:b])
+            a = b
+
+    return run
+
+
 @lru_cache(maxsize=2)
 def whole_encoder(path: str) -> Callable[[str], np.ndarray]:
     """For a byte-level file whose pattern is ``public_tokenizers.PATTERN``: the ids (unsigned 32-bit) of a whole
     text, by the file's merges. Stretches without a place to cut (``UNCUT`` characters) go through the library."""
     words = Words(path)
-    table, encode = np.array(words.ids, "<u4"), words.engine.encode_ordinary
+    table, encode = words.ids.astype("<u4"), words.engine.encode_ordinary
 
     def part(text: str) -> bytes:
         if len(text) > UNCUT and any(len(m) > UNCUT for m in _RUNS.findall(text)):
@@ -225,9 +313,18 @@ PA = {
 }
 
 
-def map_rows(df: DataFrame, start: Callable[[], Callable[..., Iterator[tuple]]], columns: dict[str, str], rows: int = 1000) -> DataFrame:
+def row_values(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """The values of each row of an Arrow batch."""
+    for at in range(0, batch.num_rows, 256):
+        yield from zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True)
+
+
+def map_rows(
+    df: DataFrame, start: Callable[[], Callable[..., Iterator[tuple]]], columns: dict[str, str], rows: int = 1000, values: Callable[[pa.RecordBatch], Iterable[tuple]] = row_values
+) -> DataFrame:
     """Arrow-batched map: ``start()`` runs once in each task and gives a function from one row's values to the
-    rows it makes, or that and a function for the rows at the task's end. ``columns``: names and types of what comes out. At most ``rows`` rows wait at a time."""
+    rows it makes, or that and a function for the rows at the task's end. ``columns``: names and types of what comes out. At most ``rows`` rows wait at a time.
+    ``values`` gives the rows' values."""
     schema = pa.schema([(n, PA[t]) for n, t in columns.items()])
 
     def batch(out: list[tuple]) -> pa.RecordBatch:
@@ -237,13 +334,11 @@ def map_rows(df: DataFrame, start: Callable[[], Callable[..., Iterator[tuple]]],
         f, last = made if isinstance(made := start(), tuple) else (made, tuple)
         out: list[tuple] = []
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                for row in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    out.extend(f(*row))
-                    if len(out) >= rows:
-                        yield batch(out)
-                        out = []
+            for row in values(b):
+                out.extend(f(*row))
+                if len(out) >= rows:
+                    yield batch(out)
+                    out = []
         out.extend(last())
         if out:
             yield batch(out)

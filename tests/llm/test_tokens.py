@@ -6,13 +6,14 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import tiktoken
 import zstandard
 from tokenizers import Tokenizer
 
-from edgewright.llm import bpe_tree, packing, token_store
+from edgewright.llm import bpe_tree, packing, token_store, tokens
 from edgewright.llm.common import cut, shared_dir
 from edgewright.llm.tokens import bare_pieces, piece_encoder, spaced_pieces, whole_encoder
 
@@ -45,6 +46,40 @@ def test_whole_texts_give_the_library_ids(monkeypatch):
             assert encode(t).tolist() == tok.encode(t, add_special_tokens=False).ids
 
 
+PLAIN = ["Don't STOP, don't 'll 3a a3b!?b _x_ a-b", "Ünïcode ÀÉÿß Þþ ÷ × a×b", "x\ty\r\nz", "\x7fa\x00b", "É.é,É", "%%%. a%%%.b", "é", "", "a" * 60 + "." * 60, "ª µ º", "<|EndOfText|> A<|endoftext|>b"]
+
+
+@pytest.mark.parametrize("span", [1 << 21, 300, 1])
+def test_columns_give_the_library_ids(monkeypatch, span):
+    monkeypatch.setattr(tokens, "SPAN_BYTES", span)
+    rng = random.Random(2)
+    some = PLAIN + texts() + ["".join(rng.choice("ab c\n\t.,'-E\u00c9\u00e93%s") for _ in range(rng.randint(0, 80))) for _ in range(500)]
+    tok, encode = Tokenizer.from_file(P.path("word_bpe_49k.json")), tokens.column_encoder(P.path("word_bpe_49k.json"))
+    column = pa.array([None, "before", *some, None, "", "after"])[2:-1]  # starts inside its buffers
+    got = [x.tolist() for x in encode(column)]
+    assert got == [tok.encode(t, add_special_tokens=False).ids for t in some] + [[], []]
+    for none in (column[:0], pa.array([None, ""], pa.string()), pa.array([], pa.large_string())):
+        assert [len(x) for x in encode(none)] == [0] * len(none)
+
+
+def test_a_piece_of_a_column_is_looked_up_once(monkeypatch):
+    path, asked = P.path("word_bpe_49k.json"), []
+    cache = tokens.library_cache(path)
+    monkeypatch.setattr(cache, "each_cut", lambda pieces, real=cache.each_cut: asked.extend(pieces) or real(pieces))
+    column = pa.array(["Word word, WORD.", None, "word.\n\u00c9t\u00e9 \u00e9t\u00e9, word"] * 50)
+    assert len([*tokens.column_encoder(path)(column)]) == 150
+    assert sorted(asked) == sorted(["word", ",", ".", "\u00e9t\u00e9"])
+
+
+def test_a_small_cache_forgets_and_finds_again():
+    made = []
+    cache = tokens.PieceCache(lambda new: [made.append(x) or x.encode() for x in new], limit=3)
+    for pieces in (["a", "b"], ["c", "d"], ["a", "e"], ["x" * 99, "a"], ["f", "g"], ["x" * 99]):
+        assert cache.each_cut(pieces) == [p.encode() for p in pieces]
+        assert len(cache.young) <= 6 and "x" * 99 not in cache.young
+    assert made.count("a") == 1 and made.count("x" * 99) == 2
+
+
 def encoder():
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path(bpe_tree.VOCABULARY), "rb"))}
     return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
