@@ -75,7 +75,7 @@ def first_map(size: np.ndarray, shards: int = SHARDS) -> SlotMap:
 def edited(old: SlotMap, size: np.ndarray, shards: int, slack: float = SLACK) -> SlotMap:
     """The next version of a map, for today's bytes and this many shards. Slots of shards that are gone move, and of
     shards above the mean by more than ``slack`` those slots, large ones first, that bring them down to it without
-    going below; all others stay where they are."""
+    going below; all others stay where they are. While no slot has bytes, each new shard gets an equal part of the slots."""
     shard = np.array(old.shard)
     shard[shard >= shards] = -1
     mean = int(size.sum()) / shards
@@ -88,8 +88,10 @@ def edited(old: SlotMap, size: np.ndarray, shards: int, slack: float = SLACK) ->
             if 0 < size[s] <= over:
                 shard[s] = -1
                 over -= int(size[s])
-    if shards > old.shards and not size.any():  # nothing is stored yet: deal the slots themselves
-        shard[np.arange(len(shard)) % shards >= old.shards] = -1
+    if (new := shards - old.shards) > 0 and not size.any():  # nothing is stored yet: shards with the most slots give some
+        mine = [np.flatnonzero(shard == k).tolist() for k in range(old.shards)]
+        for n in range(new * (len(shard) // shards)):
+            shard[max(mine, key=len).pop()] = old.shards + n % new
     _dealt(shard, np.flatnonzero(shard < 0).tolist(), size, shards)
     return SlotMap(old.version + 1, shards, tuple(shard.tolist()))
 

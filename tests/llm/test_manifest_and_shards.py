@@ -164,6 +164,16 @@ def test_edited_maps_move_little():
     assert sharding.edited(one, np.zeros(sharding.SLOTS, np.int64), 41).shard.count(40) == sharding.SLOTS // 41
 
 
+@pytest.mark.parametrize("shards", [41, 44, 60])
+def test_maps_without_bytes_grow_into_new_shards_only(shards):
+    rng = np.random.default_rng(4)
+    for size in (rng.integers(900, 1100, sharding.SLOTS), np.arange(sharding.SLOTS), np.zeros(sharding.SLOTS, np.int64)):
+        one = sharding.first_map(size, 40)
+        a, b = np.array(one.shard), np.array(sharding.edited(one, np.zeros(sharding.SLOTS, np.int64), shards).shard)
+        assert (b[a != b] >= 40).all() and set(np.bincount(b, minlength=shards)[40:]) == {sharding.SLOTS // shards}
+        assert np.bincount(b).max() <= sharding.SLOTS // shards + 1
+
+
 def test_map_versions(spark, tmp_path):
     path = f"file://{tmp_path}/maps"
     one = sharding.first_map(np.arange(64), 4)
