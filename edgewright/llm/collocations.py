@@ -20,10 +20,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, table
+from .numbering import positions
 
 #: Words of a phrase, occurrences it needs, percent of its occurrences that a longer one may take up, phrases reported.
 MAX_WORDS, LEAST, SHARE, TOP = 3, 10, 50, 2000
@@ -269,13 +270,14 @@ def collocations(
     count as often as they stand there, ties are ordered by the phrase's bytes. Other columns are not read.
 
     Skew: shards hold any mix of languages, so neither a hot one nor a hot phrase meets before it is counted; phrases
-    below ``least`` leave in the reduction. The last ranking keeps ``top`` rows a task before it gathers a language.
+    below ``least`` leave in the reduction. Ranks come from ranges over all tasks; only the first ``top`` rows of a language
+    meet, for its n.
     """
     counts = frequent_phrases(docs, text_col, lang_col, max_words, least, shard_words)
     frequent, total = counts.where("words > 0"), counts.where("words = 0").select("lang", F.col("a").alias("n"))
     stay = cut(scored(frequent), "scored").join(cut(subsumed(frequent, max_words, share), "subsumed"), ["lang", "phrase"], "left_anti")
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    stay = stay.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)
+    ranked = positions(stay.withColumns({"_score": -F.col("score"), "_a": -F.col("a")}), "lang", ["_score", "_a", "phrase"], "ranked")
+    stay = ranked.where(F.col("pos") < top).withColumn("rank", F.col("pos") + 1).drop("n")
     return stay.join(total, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 

@@ -80,6 +80,12 @@ def test_collocations_against_brute_force(spark, max_words, least, top):
     assert Counter(map(tuple, got.collect())) == Counter(brute(rows, max_words, least, 50, top))
 
 
+def test_no_task_ranks_a_whole_language(spark):
+    docs = spark.createDataFrame([(i, t, lang, "z", 1, 1, 1) for i, (t, lang) in enumerate(odd_rows(50))], SCHEMA)
+    plan = co.collocations(docs, least=2, shard_words=5_000)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
+
+
 def test_collocations_of_nothing(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert co.collocations(empty).count() == 0
