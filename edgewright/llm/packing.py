@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import cut, table
 from .numbering import positions
 from .token_store import packed, unpacked
-from .tokens import PA, map_rows, whole_encoder
+from .tokens import PA, column_encoder, map_rows
 
 VOCABULARY, END_ID, WINDOW = "byte_bpe_50k.json", 0, 1024
 #: Documents of a shard, on average.
@@ -165,7 +165,10 @@ class ShardIndex:
         begin, size = self.begin[t], self.end[t] - self.begin[t]
         at = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
         row = self.row[t]
-        return np.bincount(self.doc[at], self.weight[at], len(self.alive)) + self.rows[row[row >= 0]].sum(axis=0)
+        often = np.zeros(len(self.alive), np.float32)
+        for k in row[row >= 0].tolist():
+            often += self.rows[k]
+        return np.bincount(self.doc[at], self.weight[at], len(self.alive)) + often
 
 
 def fill(texts: list[np.ndarray], window: int, index: ShardIndex | None = None) -> list[tuple[int, int, int, int, int]]:
@@ -217,12 +220,12 @@ def left_overs(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: i
     def start():
         import zstandard
 
-        encode, pack = whole_encoder(path), zstandard.ZstdCompressor(level=1).compress
+        pack = zstandard.ZstdCompressor(level=1).compress
         rows = iter(range(TaskContext.get().partitionId() << 33, 1 << 63))
         seen, df = [0, 0], np.zeros(1 << 16, np.uint32)
 
-        def one(doc_id, text):
-            ids = np.append(encode(text or ""), np.uint32(end_id))
+        def one(doc_id, ids):
+            ids = np.append(ids, np.uint32(end_id))
             raw, full = memoryview(ids).cast("B"), len(ids) // window
             crcs = [zlib.crc32(raw[4 * k * window : 4 * (k + 1) * window]) for k in range(full)]
             head = packed(ids[: full * window], pack) if with_ids else None
@@ -245,8 +248,11 @@ def left_overs(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: i
 
         return one, last
 
+    def values(batch):
+        return zip(batch.column(0).to_pylist(), column_encoder(path, spaced=True)(batch.column(1)), strict=True)
+
     columns = {"doc_id": "long", "row": "long", "doc_tokens": "long", "crcs": "array<long>", "head": "binary", "tail": "binary", "terms": "binary"}
-    return map_rows(docs.select(F.col(id_col), F.col(text_col)), start, columns, 500)
+    return map_rows(docs.select(F.col(id_col), F.col(text_col)), start, columns, 500, values)
 
 
 def pack(

@@ -27,17 +27,24 @@ _RUNS = re.compile(f"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+")
 PUNCTUATION = ".,;:!?|"
 #: Encoded pieces in each of a worker's two generations, and the longest piece worth keeping.
 CACHED_PIECES, CACHED_CHARS = 500_000, 48
+#: The same where words are encoded without the cache, so only marks, numbers and the like are kept.
+CACHED_MARKS = 50_000
 #: A longer run of white space, or of anything else, is left to the library.
 UNCUT = 100_000
 #: Bytes of texts that are cut together.
 SPAN_BYTES = 1 << 21
 
 #: By byte of UTF-8, where 0xC3 leads all that is not ASCII: whether its text may be cut by bytes (the rest of U+00D7 and
-#: U+00F7 stands for no letter); its lower case; its kind: 0 white space, 1 anything else, 2 letter.
+#: U+00F7 stands for no letter); its lower case; its kind: 0 white space, 1 anything else, 2 letter, 3 apostrophe.
 _BYTES = np.arange(256, dtype=np.uint8)
 _PLAIN = np.isin(_BYTES, [9, 10, 13, *range(32, 127), *range(0x80, 0xC0), 0xC3]) & ~np.isin(_BYTES, [0x97, 0xB7])
 _LOWER = _BYTES + np.where(np.isin(_BYTES, [*range(65, 91), *range(0x80, 0x9F)]), 32, 0).astype(np.uint8)
 _KIND = np.where(np.isin(_BYTES, [9, 10, 13, 32]), 0, np.where(np.isin(_BYTES, [*range(65, 91), *range(97, 123), *range(0x80, 0xC0), 0xC3]), 2, 1)).astype(np.uint8)
+_KIND[39] = 3
+#: Whether a piece begins at a byte, by 4 times the kind of the byte before, plus its own. Bare: words and marks without
+#: white space. Spaced: a run of white space belongs to what follows; an apostrophe may belong to the letters behind it.
+_BARE_CUTS = np.array([0, 1, 1, 1, 0, 0, 0, 0, 0, 1, 0, 1, 0, 0, 0, 0], bool)
+_SPACED_CUTS = np.array([0, 0, 0, 0, 1, 0, 1, 0, 1, 1, 0, 1, 1, 0, 0, 0], bool)
 
 
 def spaced_pieces(text: str) -> list[str]:
@@ -153,6 +160,7 @@ class Words:
             ranks.setdefault(both, len(ranks))
         ids = {raw(t): i for t, i in model["vocab"].items() if all(c in byte_of for c in (t[: -len(mark)] if mark and t.endswith(mark) else t))}
         self.ids = np.array([ids.get(b, -1) for b in sorted(ranks, key=ranks.get)])
+        self.sizes = np.array([len(b) for b in sorted(ranks, key=ranks.get)])
         self.engine = tiktoken.Encoding("merges", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.ranks_of = self.engine._core_bpe.encode_single_piece
         self.end = b"\xff" if mark else b""
@@ -168,6 +176,24 @@ class Words:
             yield raw[at : at + 4 * len(r)]
             at += 4 * len(r)
 
+    def encode_joined(self, words: pa.StringArray) -> pa.ListArray:
+        """For a file without an end-of-word mark and words that each begin with a space: they are cut apart again in the
+        engine, and the bytes of its tokens tell where each one ends."""
+        _, where, raw = words.buffers()
+        at = np.frombuffer(where, np.int32)[: len(words) + 1] if len(words) else np.zeros(1, np.int32)
+        ranks = np.array(self.engine.encode_ordinary(raw.to_pybytes()[: at[-1]].decode() if at[-1] else ""), np.int64)
+        ids = self.ids[ranks]
+        if (ids < 0).any():
+            raise ValueError("a merge of the vocabulary file gives no token")
+        ends = np.searchsorted(np.cumsum(self.sizes[ranks]), at, "right")
+        return pa.ListArray.from_arrays(ends.astype(np.int32), pa.array(ids.astype("<u4")))
+
+
+@lru_cache(maxsize=2)
+def words_of(path: str) -> Words:
+    """A worker's engine for a file, made once."""
+    return Words(path)
+
 
 @lru_cache(maxsize=4)
 def added_tokens(path: str) -> tuple[re.Pattern | None, dict[str, int]]:
@@ -213,7 +239,7 @@ def library_cache(path: str) -> PieceCache:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tok, words = Tokenizer.from_file(path), Words(path)
+    tok, words = Tokenizer.from_file(path), words_of(path)
     tok.encode_special_tokens = True  # a folded piece may look like an added token that the text does not have
     lowers = tok.encode("AbC").ids == tok.encode("abc").ids
 
@@ -227,17 +253,61 @@ def library_cache(path: str) -> PieceCache:
 
 
 @lru_cache(maxsize=2)
-def column_encoder(path: str) -> Callable[[pa.Array], Iterator[np.ndarray]]:
+def whole_encoder(path: str) -> Callable[[str], np.ndarray]:
+    """For a byte-level file whose pattern is ``public_tokenizers.PATTERN``: the ids (unsigned 32-bit) of a whole
+    text, by the file's merges. Stretches without a place to cut (``UNCUT`` characters) go through the library."""
+    words = words_of(path)
+    table, encode = words.ids.astype("<u4"), words.engine.encode_ordinary
+
+    def part(text: str) -> bytes:
+        if len(text) > UNCUT and any(len(m) > UNCUT for m in _RUNS.findall(text)):
+            return library_cache(path).encode(spaced_pieces(text))
+        return table[np.array(encode(text), np.int64)].tobytes()
+
+    run = around_added(path, part)
+    return lambda text: np.frombuffer(run(text), "<u4")
+
+
+@lru_cache(maxsize=2)
+def column_encoder(path: str, spaced: bool = False) -> Callable[[pa.Array], Iterator[np.ndarray]]:
     """The ids (unsigned 32-bit) of every text of an Arrow array of strings, as the library gives them (null: none), for a
-    vocabulary that drops white space and whose pattern ends a run of letters where anything else follows.
+    vocabulary that drops white space and whose pattern ends a run of letters where anything else follows; ``spaced``: for
+    a byte-level file whose pattern is ``public_tokenizers.PATTERN``.
 
     Texts of printable ASCII, tabs, line ends and the letters from U+00C0 to U+00FF are cut together, by the classes of
-    their bytes, at white space and behind letters; each distinct piece among them is looked up once. Texts with other
-    characters, with added tokens or of more than ``SPAN_BYTES`` are encoded one by one."""
-    cache, single, added = library_cache(path), piece_encoder(path, bare_pieces), added_tokens(path)[0]
+    their bytes, at white space and behind letters (``spaced``: and where letters follow marks other than an apostrophe);
+    each distinct piece among them is looked up once. Texts with other characters, with added tokens or of more than
+    ``SPAN_BYTES`` are encoded one by one."""
+    added = added_tokens(path)[0]
+    if spaced:  # without the library, whose tables take a worker's memory
+        single, words, cuts = whole_encoder(path), words_of(path), _SPACED_CUTS
+        cache = PieceCache(lambda new: [single(x).tobytes() for x in new], limit=CACHED_MARKS)
+    else:
+        pieces_of, words, cuts, cache = piece_encoder(path, bare_pieces), None, _BARE_CUTS, library_cache(path)
+        single = lambda text: np.frombuffer(pieces_of(text), "<u4")
     added = added and re.compile(added.pattern.encode())
     lower = _LOWER if cache.fold is folded else np.arange(256, dtype=np.uint8)
 
+    def cached(pieces: pa.StringArray) -> pa.ListArray:
+        ids = cache.each_cut(pieces.to_pylist())
+        ends = np.cumsum([0, *map(len, ids)]) // 4
+        return pa.ListArray.from_arrays(ends.astype(np.int32), pa.array(np.frombuffer(b"".join(ids), "<u4")))
+
+    def joined(pieces: pa.StringArray) -> pa.ListArray:
+        """A space and letters: without the cache."""
+        if not len(pieces):
+            return cached(pieces)
+        _, where, raw = pieces.buffers()
+        at, data = np.frombuffer(where, np.int32)[: len(pieces) + 1], np.frombuffer(raw, np.uint8)
+        second = np.minimum(at[:-1] + 1, at[-1] - 1)  # of a piece of one byte: the next one's first
+        plain = (np.diff(at) > 1) & (data[at[:-1]] == 32) & (_KIND[data[second]] == 2)
+        order = np.r_[np.flatnonzero(plain), np.flatnonzero(~plain)]
+        k, place = int(plain.sum()), np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        sorted_pieces = pieces.take(pa.array(order))
+        ids = pa.concat_arrays([words.encode_joined(sorted_pieces[:k]), cached(sorted_pieces[k:])])
+        return ids.take(pa.array(place))
+
     def together(data: np.ndarray, at: np.ndarray, texts: pa.Array) -> list[np.ndarray]:
         odd = [np.flatnonzero(~_PLAIN[data])]
         if len(data) and data.max() > 0x7F:  # what follows a lead byte, and nothing else, must be the rest of a letter
@@ -245,24 +315,22 @@ def column_encoder(path: str) -> Callable[[pa.Array], Iterator[np.ndarray]]:
         if added:
             odd.append(np.array([m.start() for m in added.finditer(data)], np.int64))
         apart = np.unique(np.searchsorted(at, np.concatenate(odd), "right") - 1)
-        data = lower[data]
+        data, kind = lower[data], _KIND[data]
+        kept, begins = np.ones(len(data), bool) if spaced else kind > 0, np.zeros(len(data), bool)
+        begins[1:] = cuts[4 * kind[:-1] + kind[1:]]
+        begins[at[:-1][np.diff(at) > 0]] = True
         for k in apart:
-            data[at[k] : at[k + 1]] = 32
-        kind = _KIND[data]
-        before = np.r_[np.uint8(0), kind[:-1]]
-        before[at[:-1][np.diff(at) > 0]] = 0
-        begins = (kind > 0) & ((before == 0) | (before > kind))
-        kept, first = kind > 0, np.searchsorted(np.flatnonzero(begins), at)
+            kept[at[k] : at[k + 1]] = False
+        begins &= kept
+        first = np.searchsorted(np.flatnonzero(begins), at)
         chars, starts = data[kept], np.flatnonzero(begins[kept])
         offsets = np.r_[starts, len(chars)].astype(np.int32)
         pieces = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(chars)).dictionary_encode()
-        ids = cache.each_cut(pieces.dictionary.to_pylist())
-        ends = np.cumsum([0, *map(len, ids)]) // 4
-        found = pa.ListArray.from_arrays(ends.astype(np.int32), pa.array(np.frombuffer(b"".join(ids), "<u4"))).take(pieces.indices)
+        found = (joined if spaced else cached)(pieces.dictionary).take(pieces.indices)
         flat, bounds = found.values.to_numpy(), found.offsets.to_numpy()[first]
         out = [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         for k in apart.tolist():
-            out[k] = np.frombuffer(single(texts[k].as_py()), "<u4")
+            out[k] = single(texts[k].as_py())
         return out
 
     def run(texts: pa.Array) -> Iterator[np.ndarray]:
@@ -273,7 +341,7 @@ def column_encoder(path: str) -> Callable[[pa.Array], Iterator[np.ndarray]]:
         while a < len(texts):
             b = max(a + 1, int(np.searchsorted(at, at[a] + SPAN_BYTES, "right")) - 1)
             if at[b] - at[a] > SPAN_BYTES:
-                yield np.frombuffer(single(texts[a].as_py()), "<u4")
+                yield single(texts[a].as_py())
             else:
                 yield from together(data[at[a] : at[b]], at[a : b + 1] - at[a], texts[a:b])
             a = b
@@ -281,22 +349,6 @@ def column_encoder(path: str) -> Callable[[pa.Array], Iterator[np.ndarray]]:
     return run
 
 
-@lru_cache(maxsize=2)
-def whole_encoder(path: str) -> Callable[[str], np.ndarray]:
-    """For a byte-level file whose pattern is ``public_tokenizers.PATTERN``: the ids (unsigned 32-bit) of a whole
-    text, by the file's merges. Stretches without a place to cut (``UNCUT`` characters) go through the library."""
-    words = Words(path)
-    table, encode = words.ids.astype("<u4"), words.engine.encode_ordinary
-
-    def part(text: str) -> bytes:
-        if len(text) > UNCUT and any(len(m) > UNCUT for m in _RUNS.findall(text)):
-            return library_cache(path).encode(spaced_pieces(text))
-        return table[np.array(encode(text), np.int64)].tobytes()
-
-    run = around_added(path, part)
-    return lambda text: np.frombuffer(run(text), "<u4")
-
-
 PA = {
     "long": pa.int64(),
     "int": pa.int32(),

@@ -71,6 +71,30 @@ def test_a_piece_of_a_column_is_looked_up_once(monkeypatch):
     assert sorted(asked) == sorted(["word", ",", ".", "\u00e9t\u00e9"])
 
 
+@pytest.mark.parametrize("span", [1 << 21, 300, 1])
+def test_spaced_columns_give_the_library_ids(monkeypatch, span):
+    monkeypatch.setattr(tokens, "SPAN_BYTES", span)
+    rng = random.Random(4)
+    odd = ["  lead", "trail  ", " ", "\n\n", "x\n\n y", "it's 'sup ''s !'s 3's 's'll", "a  b \n c\r\n\td", "<|endoftext|>", " a<|endoftext|> b", "a <|endoftex", " \u00e9", "x " + "a" * 700, "\u2003a \u00a0b"]
+    some = odd + PLAIN + texts() + ["".join(rng.choice("abst  \n\t.,''-E\u00c9\u00e93%") for _ in range(rng.randint(0, 80))) for _ in range(2000)]
+    tok, encode = Tokenizer.from_file(P.path("byte_bpe_50k.json")), tokens.column_encoder(P.path("byte_bpe_50k.json"), spaced=True)
+    column = pa.array([None, "before", *some, None, "", "after"])[2:-1]  # starts inside its buffers
+    got = [x.tolist() for x in encode(column)]
+    assert got == [tok.encode(t, add_special_tokens=False).ids for t in some] + [[], []]
+    for none in (column[:0], pa.array([None, ""], pa.string()), pa.array([], pa.large_string())):
+        assert [len(x) for x in encode(none)] == [0] * len(none)
+
+
+def test_packing_encodes_a_word_of_a_batch_once(monkeypatch, spark):
+    asked, joined = [], tokens.Words.encode_joined
+    monkeypatch.setattr(tokens.Words, "encode_joined", lambda self, words: asked.extend(words.to_pylist()) or joined(self, words))
+    monkeypatch.setattr(packing, "map_rows", lambda docs, start, columns, rows, values: values)
+    values = packing.left_overs(spark.createDataFrame([], "doc_id long, text string"), "doc_id", "text", P.path("byte_bpe_50k.json"), 0, 1024, False)
+    batch = pa.RecordBatch.from_pydict({"doc_id": range(150), "text": ["One word, one word.", None, "a word\n \u00c9t\u00e9 and one word"] * 50})
+    assert [len(ids) for _, ids in values(batch)][1] == 0
+    assert sorted(asked) == sorted([" word", " one", " and"])
+
+
 def test_a_small_cache_forgets_and_finds_again():
     made = []
     cache = tokens.PieceCache(lambda new: [made.append(x) or x.encode() for x in new], limit=3)
