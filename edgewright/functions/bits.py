@@ -55,22 +55,45 @@ def marker_transitions(bits: Column) -> Column:
     return F.filter(F.sequence(F.lit(0), F.size(bits) - 1), lambda i: (i == 0) | (F.get(bits, i) != F.get(bits, i - 1)))
 
 
+def minus_product(y: Column, a: Column, b: Column) -> Column:
+    """y - a * b rounded once, as a fused operation does: the product's and the difference's rounding errors are exact
+    doubles, and are put back before the end."""
+    half = lambda v: v * 134217729.0 - (v * 134217729.0 - v)
+    said = F.struct(y.alias("y"), a.alias("a"), b.alias("b"), (a * b).alias("p"), half(a).alias("ah"), half(b).alias("bh"))
+
+    def ends(v: Column) -> Column:
+        al, bl = v["a"] - v["ah"], v["b"] - v["bh"]
+        lost = ((v["ah"] * v["bh"] - v["p"]) + v["ah"] * bl + al * v["bh"]) + al * bl
+        return let(F.struct(v["y"].alias("y"), v["p"].alias("p"), lost.alias("lost"), (v["y"] - v["p"]).alias("d")), rest)
+
+    def rest(v: Column) -> Column:
+        back = v["d"] - v["y"]
+        return v["d"] + (((v["y"] - (v["d"] - back)) - (v["p"] + back)) - v["lost"])
+
+    return let(said, ends)
+
+
 def ols(points: Column) -> Column:
     """Least squares over an array of structs (x, y): a struct (n, slope, intercept, max_residual), null with fewer
-    than two points or no spread in x. Sums run in array order, so the result does not depend on partitions."""
+    than two points or no spread in x. Means and moments are updated point by point in array order, the way DuckDB's
+    regr_slope and regr_intercept do, so a slope that lies between two whole numbers is rounded to the same one, and
+    the result does not depend on partitions."""
     n, zero = F.size(points).cast("double"), F.lit(0.0)
-    pair = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
-    sums = F.aggregate(points, pair(zero, zero), lambda s, p: pair(s["a"] + p["x"].cast("double"), s["b"] + p["y"].cast("double")))
+    state = lambda **v: F.struct(*[c.alias(k) for k, c in v.items()])
+
+    def step(s: Column, p: Column) -> Column:
+        x, y, k = p["x"].cast("double"), p["y"].cast("double"), s["k"] + 1.0
+        mx, my = s["mx"] + (x - s["mx"]) / k, s["my"] + (y - s["my"]) / k
+        return state(k=k, mx=mx, my=my, xy=s["xy"] + (x - s["mx"]) * (y - my), xx=s["xx"] + (x - mx) * (x - s["mx"]), sx=s["sx"] + x, sy=s["sy"] + y)
 
-    def fit(means: Column) -> Column:
-        mx, my = means["a"] / n, means["b"] / n
-        apart = F.aggregate(points, pair(zero, zero), lambda s, p: pair(s["a"] + (p["x"] - mx) * (p["y"] - my), s["b"] + (p["x"] - mx) * (p["x"] - mx)))
-        return let(apart, lambda s: let(pair(s["a"] / F.nullif(s["b"], zero), my), lambda f: told(f["a"], f["b"] - f["a"] * mx)))
+    def fit(s: Column) -> Column:
+        slope = (s["xy"] / n) / F.nullif(s["xx"] / n, zero)
+        return let(F.struct(slope.alias("a"), (s["sx"] / n).alias("x"), (s["sy"] / n).alias("y")), lambda f: told(f["a"], minus_product(f["y"], f["a"], f["x"])))
 
     def told(slope: Column, intercept: Column) -> Column:
-        return let(pair(slope, intercept), lambda f: F.when(f["a"].isNotNull(), F.struct(
+        return let(F.struct(slope.alias("a"), intercept.alias("b")), lambda f: F.when(f["a"].isNotNull(), F.struct(
             F.size(points).alias("n"), f["a"].alias("slope"), f["b"].alias("intercept"),
-            F.array_max(F.transform(points, lambda p: F.abs(p["y"] - (f["b"] + f["a"] * p["x"])))).alias("max_residual"),
+            F.array_max(F.transform(points, lambda p: F.abs(p["y"] - f["b"] - f["a"] * p["x"]))).alias("max_residual"),
         )))
 
-    return F.when(F.size(points) >= 2, let(sums, fit))
+    return F.when(F.size(points) >= 2, let(F.aggregate(points, state(k=zero, mx=zero, my=zero, xy=zero, xx=zero, sx=zero, sy=zero), step), fit))
