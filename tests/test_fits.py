@@ -9,6 +9,7 @@ RUNS = (
     [0, 13333402054, 26779015103, 48960711092, 61593854855, 66488057444],
     [0, 4409707739, 27262818718, 39772388439, 40794971434, 46309417864, 51375435608, 63121927543, 63391754482],
     [0, 11945058147, 23592301182, 26496929828, 51365325127, 76870974829, 78243864505],
+    [0, 11454819105, 23042528089, 49961002461, 57256774172, 76761993283, 89659039187],
     [0, 19386521081, 36672797760, 37358482926, 40228434872, 45207686148, 64428032344, 73124923992],
 )
 
