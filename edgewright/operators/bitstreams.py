@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..config import UNKNOWN_ACTION, UNKNOWN_CHANNEL, Profile
 from ..functions.bits import text_to_bytes
+from ..storage import cut
 from .decode import failure_reasons, with_commands
 
 #: Texts of diagnostics (fixed values).
@@ -70,12 +71,22 @@ def deduplicated(frames: DataFrame, tolerance_us: float) -> DataFrame:
 
     Frames are duplicates within the tolerance, or at neighbouring bits and within one period; valid ones, whole ones,
     early ones and small phases are preferred. Frames further apart than both bounds cannot meet, so each island is
-    settled alone."""
-    reach = F.greatest(F.lit(tolerance_us), F.max("period_us").over(Window.partitionBy("capture_id", "segment"))) / 1e6
+    settled alone. Where all of an island's frames are duplicates of each other, the preferred one is what the sequential
+    rule gives, and a window finds it; other islands, rare and small, run the rule itself. What the windows leave is
+    written first, so a job runs when this is called."""
     order = Window.partitionBy("capture_id", "segment").orderBy("start_t", "phase_us")
-    rows = frames.withColumn("_reach", reach)
-    rows = rows.withColumn("_new", F.coalesce(F.col("start_t") - F.lag("start_t").over(order) > F.col("_reach"), F.lit(True)).cast("int"))
+    everywhere = (Window.unboundedPreceding, Window.unboundedFollowing)
+    reach = F.greatest(F.lit(tolerance_us), F.max("period_us").over(order.rowsBetween(*everywhere))) / 1e6
+    new = F.coalesce(F.col("start_t") - F.lag("start_t").over(order) > F.col("_reach"), F.lit(True)).cast("int")
+    rows = frames.withColumn("_reach", reach).withColumn("_new", new)
     rows = rows.withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_reach", "_new")
+    valid, complete = (F.coalesce(F.col(c), F.lit(False)).desc() for c in ("valid", "complete"))
+    best = Window.partitionBy("capture_id", "segment", "_island").orderBy(valid, complete, "start_t", "phase_us")
+    most, least = (lambda c, f=f: f(c).over(best.rowsBetween(*everywhere)) for f in (F.max, F.min))
+    span = most("start_t") - least("start_t")
+    near = (least("start_bit") >= 0) & (most("start_bit") - least("start_bit") <= 1) & (span <= least("period_us") / 1e6)
+    rows = rows.withColumns({"_simple": F.coalesce((span <= tolerance_us / 1e6) | near, F.lit(False)), "_best": F.row_number().over(best)})
+    rows = cut(rows.where("NOT _simple OR _best = 1"), "islands")
     columns = frames.columns
 
     def rule(key, table):
@@ -93,5 +104,6 @@ def deduplicated(frames: DataFrame, tolerance_us: float) -> DataFrame:
                 kept.append(r)
         return pa.Table.from_pylist(kept, schema=table.schema).select(columns)
 
-    best = rows.groupBy("capture_id", "segment", "_island").applyInArrow(rule, frames.schema)
-    return best.withColumn("frame_no", F.row_number().over(Window.partitionBy("capture_id").orderBy("start_t", "segment")))
+    hard = rows.where("NOT _simple").groupBy("capture_id", "segment", "_island").applyInArrow(rule, frames.schema)
+    stay = rows.where("_simple").select(columns).unionByName(hard)
+    return stay.withColumn("frame_no", F.row_number().over(Window.partitionBy("capture_id").orderBy("start_t", "segment")))
